@@ -89,7 +89,7 @@ def _month_number(name: Column) -> Column:
 def parse_month(value) -> Column:
     """Month end from text such as "April 2024", "Apr-24" or "Sep – 2023"."""
     text = F.regexp_replace(F.trim(col(value)), "[–—]", "-")
-    pattern = r"([A-Za-z]{3,9})[-\s]+(20\d{2}|\d{2})"
+    pattern = r"([A-Za-z]{3,9})[-\s]+(\d{4}|\d{2})"
     month = _month_number(F.regexp_extract(text, pattern, 1))
     year = F.regexp_extract(text, pattern, 2).try_cast("int")
     return month_end(F.when(year < 100, year + 2000).otherwise(year), month)

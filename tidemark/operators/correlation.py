@@ -68,6 +68,19 @@ def avg_rank(value, keys) -> Column:
     return low + (ties - 1) / F.lit(2.0)
 
 
+def avg_rank_by_value(df: DataFrame, value: str, keys) -> DataFrame:
+    """Average rank of each distinct value within its keys.
+
+    Rows are counted per value first, so the ranking window holds distinct
+    values and a key with most of the rows costs no more than its values.
+    """
+    keys = list(keys)
+    counts = df.where(col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    below = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)
+    return counts.withColumn("avg_rank", rank).drop("_c")
+
+
 def spearman_matrix(returns: DataFrame, pairs: DataFrame, value: str = "ret") -> DataFrame:
     """Pearson correlation of average ranks over each pair's complete rows."""
     ranked = aligned_pairs(returns, pairs, value).select(
@@ -79,15 +92,21 @@ def spearman_matrix(returns: DataFrame, pairs: DataFrame, value: str = "ret") ->
 
 
 def kendall_matrix(returns: DataFrame, pairs: DataFrame, value: str = "ret") -> DataFrame:
-    """Kendall tau-b without forming pairs of observations.
+    """Kendall tau-b over each pair's complete rows."""
+    return kendall_of(aligned_pairs(returns, pairs, value))
+
+
+def kendall_of(aligned: DataFrame) -> DataFrame:
+    """Kendall tau-b of aligned (pair, date, x, y) rows.
 
     Discordant pairs are the inversions of y in x order.  They are counted one
     binary digit of y's dense rank at a time: among rows that agree on all
     higher digits, a row with digit 0 is inverted with every earlier row with
-    digit 1.  That is n log n rows of running counts instead of n squared pairs.
+    digit 1.  That is n log n rows of running counts instead of n squared pairs
+    of observations, which are never formed.
     """
     by_pair = W.partitionBy(*PAIR)
-    rows = aligned_pairs(returns, pairs, value).select(
+    rows = aligned.select(
         *PAIR, "date", "x", "y",
         (F.dense_rank().over(by_pair.orderBy("y")) - 1).alias("y_rank"),
     )

@@ -89,14 +89,14 @@ def shift_fiscal_year(df: DataFrame, out_indicator: str) -> DataFrame:
     """Re-date an indicator one fiscal year later, value and status kept."""
     moved = F.last_day(F.add_months("date", 12))
     start_year = cal.fy_start(moved)
-    return (
-        df.withColumn("date", moved)
-        .withColumn("indicator", F.lit(out_indicator))
-        .withColumn("period_label", cal.fy_label(start_year))
-        .withColumn("period_start", cal.fy_start_date(start_year))
-        .withColumn("period_end", F.col("date"))
-        .withColumn("is_derived", F.lit(True))
-    )
+    return df.withColumns({
+        "date": moved,
+        "indicator": F.lit(out_indicator),
+        "period_label": cal.fy_label(start_year),
+        "period_start": cal.fy_start_date(start_year),
+        "period_end": moved,
+        "is_derived": F.lit(True),
+    })
 
 
 def trailing_deviation(df: DataFrame, n: int = 60, value: str = "value", keys=(),
