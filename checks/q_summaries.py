@@ -32,10 +32,14 @@ def _(spark, d):
     return w.select("date", r(offset_ratio("DII", "FPI"), 6, "ratio"))
 
 
-@query("a3_fiscalise", "records", "select entity, indicator, CAST(year(date + INTERVAL 9 MONTH) AS INT) as fy, make_date(CAST(year(date + INTERVAL 9 MONTH) AS INT), 3, 31) as date, "
-       + rd("avg(value)", 6) + " as value from records group by 1,2,3,4")
+UTIL = (f"u as (select n_name as entity, last_day(CAST(o_orderdate AS DATE)) as date, 100.0::DOUBLE * count(*) filter (where o_orderstatus='F') / count(*) as value from {fx.GEO} group by 1,2)")
+
+
+@query("a3_fiscalise", sql=f"with {UTIL} select entity, CAST(year(date + INTERVAL 9 MONTH) AS INT) as fy, make_date(CAST(year(date + INTERVAL 9 MONTH) AS INT), 3, 31) as date, {rd('avg(value)')} as value from u group by 1,2,3")
 def _(spark, d):
-    return sm.fiscalise(fx.records(spark, d), "value", ("entity", "indicator")).select("entity", "indicator", "fy", "date", r("value", 6))
+    share = F.lit(100.0) * F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))
+    used = fx.geography(spark, d).groupBy(F.col("n_name").alias("entity"), F.last_day(F.col("o_orderdate").cast("date")).alias("date")).agg(share.alias("value"))
+    return sm.fiscalise(used, "value", ("entity",)).select("entity", "fy", "date", r("value"))
 
 
 def quarter_sql(stat: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clean_double, pct, ratio
 from tidemark.operators.growth import lead_year_growth
+from tidemark.session import settle
 
 Z95 = 1.96
 GATE = {"n": 100, "states": 15, "years": 5}
@@ -61,14 +62,16 @@ def two_way_fe(panel: DataFrame) -> DataFrame:
     """Within slope with entity-clustered error; one row.
 
     A cluster's score is Sxy - beta * Sxx, so the errors need only one partial
-    sum per cluster once beta is known.
+    sum per cluster once beta is known.  The panel and the cluster sums are read
+    several times and are settled first.
     """
+    panel = settle(panel.select("state", "year", "x", "y"))
     within = two_way_demean(panel)
-    clusters = within.groupBy("state").agg(
+    clusters = settle(within.groupBy("state").agg(
         F.sum(F.col("xw") * F.col("yw")).alias("sxy"),
         F.sum(F.col("xw") * F.col("xw")).alias("sxx"),
         F.count(F.lit(1)).alias("rows"),
-    )
+    ))
     sums = clusters.agg(
         F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"),
         F.sum("rows").alias("n"), F.count(F.lit(1)).alias("states"),

@@ -18,6 +18,7 @@ from tidemark.operators import evidence as ev
 from tidemark.operators import regression as rg
 from tidemark.operators.alignment import Aligned, InputSpec, align
 from tidemark.operators.filters import all_status, drop_most_influential, exclude_range
+from tidemark.session import settle
 
 COVID_YEARS = ("2021-03-31", "2022-03-31")
 
@@ -131,17 +132,15 @@ def _variant(spec: EvidenceSpec, sample: DataFrame, key: str, influence: Callabl
     return sample
 
 
-def run(spec: EvidenceSpec, inputs: dict[str, DataFrame], persist: bool = True) -> Report:
+def run(spec: EvidenceSpec, inputs: dict[str, DataFrame]) -> Report:
     """All result tables of one analysis (estimates only when eligible).
 
-    The aligned sample is read by a dozen fits, so it is cut from its sources
-    once: ``checkpoint`` keeps it in the shared folder when one is set.
+    The aligned sample is read by a dozen fits, so it is written once to the
+    shared folder and its sources are not scanned again.
     """
     segmented = spec.break_date is not None
     aligned = align(inputs, spec.inputs, spec.alignment, spec.start)
-    sample = aligned.sample
-    if persist:
-        sample = sample.checkpoint() if sample.sparkSession.sparkContext.getCheckpointDir() else sample.persist()
+    sample = settle(aligned.sample)
     parameters = len(spec.terms)
     gates = ev.eligibility(
         sample, dependent=[spec.dependent], focal=spec.names("focal"), controls=spec.names("control"),

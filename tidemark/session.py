@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that the operators rely on; everything else is left to the cluster.
 REQUIRED_SETTINGS = {
@@ -58,3 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several passes read to the shared folder, and read it back.
+
+    Used on aggregated results (a panel, an aligned sample), so that their raw
+    sources are scanned once; the written table survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
