@@ -158,6 +158,7 @@ def standardised_condition(gram: np.ndarray, constant: int | None) -> float | No
 
 
 SOLUTION = T.StructType([
+    T.StructField("n", T.LongType()),
     T.StructField("beta", T.ArrayType(T.DoubleType())),
     T.StructField("inverse", T.ArrayType(T.DoubleType())),
     T.StructField("rank", T.IntegerType()),
@@ -165,32 +166,53 @@ SOLUTION = T.StructType([
 ])
 
 
+def unpack(packed: np.ndarray) -> np.ndarray:
+    """Symmetric matrix from its row-wise upper triangle."""
+    m = int((math.sqrt(8 * len(packed) + 1) - 1) / 2)
+    full = np.zeros((m, m))
+    full[np.triu_indices(m)] = packed
+    return full + np.triu(full, 1).T
+
+
 def solver(constant: int | None = None):
-    """Column function (gram, moment) -> solution; ``gram`` is k*k row-major.
+    """Column function: packed Gram of (1, terms..., y) -> solution.
 
     A singular or non-finite system gives null coefficients and its rank.
+    ``constant`` is the position of the intercept among the terms.
     """
 
     @F.pandas_udf(SOLUTION)
-    def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for grams, moments in batches:
+    def solve(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for grams in batches:
             rows = []
-            for flat, moment in zip(grams, moments):
-                v = np.array(moment, dtype=float)
-                g = np.array(flat, dtype=float).reshape(len(v), len(v))
-                usable = bool(np.isfinite(g).all() and np.isfinite(v).all())
+            for packed in grams:
+                full = unpack(np.array(packed, dtype=float))
+                g, v = full[1:-1, 1:-1], full[1:-1, -1]
+                usable = bool(np.isfinite(full).all())
                 rank = gram_rank(g) if usable else 0
                 beta = inverse = condition = None
                 if usable and rank == len(v):
                     b, i = solve_scaled(g, v)
                     beta, inverse = b.tolist(), i.reshape(-1).tolist()
                     condition = standardised_condition(g, constant)
-                rows.append((beta, inverse, rank, condition))
+                rows.append((int(full[0, 0]) if usable else None, beta, inverse, rank, condition))
             yield pd.DataFrame(rows, columns=SOLUTION.names)
 
     return solve
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def sandwich_errors(inverse: pd.Series, half: pd.Series, factor: pd.Series) -> pd.Series:
+    """Standard errors from the inverse Gram and one half of the score sums."""
+    out = []
+    for flat, meat, f in zip(inverse, half, factor):
+        k = int(math.sqrt(len(flat)))
+        a, m = np.array(flat, dtype=float).reshape(k, k), np.array(meat, dtype=float).reshape(k, k)
+        variance = np.diag(a @ (m + m.T) @ a) * f
+        out.append(np.sqrt(np.maximum(variance, 0.0)).tolist())
+    return pd.Series(out)
+
+
 @F.pandas_udf(T.DoubleType())
 def t_p_value(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([

@@ -9,7 +9,7 @@ group is one analysis or variant; its windows run over its dated sample.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import numerics as nx
-from tidemark.functions.numerics import gram_rank, solve_scaled
+from tidemark.functions.numerics import gram_rank, solve_scaled, unpack
 from tidemark.functions.scalars import col, ratio
+from tidemark.session import settle
 
 INTERCEPT = "intercept"
 
@@ -37,27 +38,55 @@ class Fit:
     def window(self):
         return W.partitionBy(*self.by).orderBy(self.order)
 
+    def settle(self) -> Fit:
+        """Groups and rows as written tables, for a fit that many tests read."""
+        kept = (*self.by, self.order, *self.terms, self.y, *BOOKKEEPING)
+        kept += tuple(c for c in self.rows.columns if c not in kept)
+        return replace(self, groups=settle(self.groups), rows=settle(self.rows.select(*kept)))
 
-def gram_expr(terms, weight: Column | None = None) -> Column:
-    """Row-major array of sums of cross products; symmetric halves shared."""
-    def product(a: str, b: str) -> Column:
-        p = F.col(a) * F.col(b)
-        return p if weight is None else p * weight
-    sums = {}
-    for i, a in enumerate(terms):
-        for b in terms[i:]:
-            sums[a, b] = sums[b, a] = F.sum(product(a, b))
-    return F.array(*[sums[a, b] for a in terms for b in terms])
 
-
-def moment_expr(terms, y: str) -> Column:
-    return F.array(*[F.sum(F.col(t) * F.col(y)) for t in terms])
+# Columns that a fit adds to its rows.
+BOOKKEEPING = ("beta", "inverse", "df", "fitted", "resid")
+# Up to this many design columns their cross products are summed as columns;
+# wider designs are summed as (position, product) rows, which keeps the
+# generated code small.
+WIDE_DESIGN = 8
 
 
 def grouped(df: DataFrame, by, *aggregates: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
 
 
+def summed_products(df: DataFrame, by, left, right=None, out: str = "packed") -> DataFrame:
+    """Sums of products per group as one array, row-major.
+
+    With one list: the upper triangle of its cross products.  With two lists:
+    every product of a left with a right column.
+    """
+    left, by = list(left), list(by)
+    if max(len(left), len(right or ())) <= WIDE_DESIGN:
+        pairs = (
+            [(a, b) for i, a in enumerate(left) for b in left[i:]] if right is None
+            else [(a, b) for a in left for b in right]
+        )
+        return grouped(df, by, F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias(out))
+    z = F.array(*left)
+    staged = df.select(*by, z.alias("_z"), (F.array(*right) if right else z).alias("_w"))
+    inner = (
+        (lambda a, i: F.transform(F.slice("_w", i + 1, len(left)), lambda b: a * b)) if right is None
+        else (lambda a, i: F.transform("_w", lambda b: a * b))
+    )
+    products = staged.select(*by, F.posexplode(F.flatten(F.transform("_z", inner))).alias("_pos", "_p"))
+    sums = products.groupBy(*by, "_pos").agg(F.sum("_p").alias("_p"))
+    packed = F.sort_array(F.collect_list(F.struct("_pos", "_p")))["_p"]
+    return grouped(sums, by, packed.alias(out))
+
+
+def packed_gram(df: DataFrame, by, terms, y: str) -> DataFrame:
+    """Packed Gram matrix of (1, terms..., y) per group."""
+    return summed_products(df.withColumn("_1", F.lit(1.0)), by, ["_1", *terms, y])
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, by) -> DataFrame:
     """Rows beside their group's single row."""
     if by:
@@ -79,20 +108,15 @@ def ols(df: DataFrame, y: str, terms, by=(), order: str = "date") -> Fit:
     k = len(terms)
     base = design(df, terms)
     constant = terms.index(INTERCEPT) if INTERCEPT in terms else None
-    sums = grouped(
-        base, by,
-        F.count(F.lit(1)).alias("n"), gram_expr(terms).alias("gram"),
-        moment_expr(terms, y).alias("moment"),
-    )
-    solved = sums.withColumn("s", nx.solver(constant)("gram", "moment"))
-    enough = F.col("n") > k
+    solved = packed_gram(base, by, terms, y).select(*by, nx.solver(constant)("packed").alias("s"))
+    enough = F.col("s.n") > k
     groups = solved.select(
-        *by, "n", (F.col("n") - k).alias("df"), "gram",
+        *by, F.col("s.n").alias("n"), (F.col("s.n") - k).alias("df"),
         F.when(enough, F.col("s.beta")).alias("beta"),
         F.when(enough, F.col("s.inverse")).alias("inverse"),
         F.col("s.rank").alias("rank"), F.col("s.condition").alias("condition"),
     )
-    slim = groups.where("beta is not null").select(*by, "beta", "inverse", "n", "df")
+    slim = groups.where("beta is not null").select(*by, "beta", "inverse", "df")
     rows = join_groups(base, slim, by)
     fitted = sum((F.col(t) * F.element_at("beta", i + 1) for i, t in enumerate(terms)), F.lit(0.0))
     rows = rows.withColumn("fitted", fitted).withColumn("resid", F.col(y) - F.col("fitted"))
@@ -106,40 +130,31 @@ def hac(fit: Fit, max_lag: int) -> DataFrame:
     are summed per row first, so the aggregation holds k*k sums whatever the
     number of lags.
     """
-    k, w = len(fit.terms), fit.window()
-    rows = fit.rows
-    scores = [f"_g{i}" for i in range(k)]
-    rows = rows.withColumns({g: F.col(t) * F.col("resid") for g, t in zip(scores, fit.terms)})
-    lagged = {}
-    for i, g in enumerate(scores):
-        total = F.col(g) * 0.5
+    w = fit.window()
+    scores = F.array(*[F.col(t) * F.col("resid") for t in fit.terms])
+    rows = fit.rows.select(*fit.by, fit.order, scores.alias("_g"))
+    rows = rows.withColumns({f"_l{i}": F.lag("_g", i).over(w) for i in range(1, max_lag + 1)})
+
+    def weighted(v: Column, i: Column) -> Column:
+        total = v * 0.5
         for lag in range(1, max_lag + 1):
-            weight = 1.0 - lag / (max_lag + 1.0)
-            total = total + F.coalesce(F.lag(g, lag).over(w), F.lit(0.0)) * weight
-        lagged[f"_h{i}"] = total
-    rows = rows.withColumns(lagged)
-    meat = F.array(*[F.sum(F.col(f"_g{i}") * F.col(f"_h{j}")) for i in range(k) for j in range(k)])
-    sums = grouped(rows, fit.by, meat.alias("half"))
-    table = join_groups(fit.groups.where("beta is not null"), sums, fit.by)
+            total = total + F.coalesce(F.get(f"_l{lag}", i), F.lit(0.0)) * (1.0 - lag / (max_lag + 1.0))
+        return total
 
-    def at(name: str, i: int, j: int) -> str:
-        return f"element_at({name}, {i * k + j + 1})"
-
-    variances = []
-    for t in range(k):
-        # Row t of the inverse on both sides of the symmetrised meat.
-        parts = [
-            f"{at('inverse', t, i)} * ({at('half', i, j)} + {at('half', j, i)}) * {at('inverse', t, j)}"
-            for i in range(k) for j in range(k)
-        ]
-        variances.append(F.expr(" + ".join(parts)))
-    entries = F.array(*[
-        F.struct(F.lit(name).alias("term"), F.element_at("beta", t + 1).alias("coef"),
-                 F.sqrt(F.greatest(variances[t] * F.col("n") / F.col("df"), F.lit(0.0))).alias("se"))
-        for t, name in enumerate(fit.terms)
-    ])
-    long = table.select(*fit.by, "n", "df", F.explode(entries).alias("e")).select(
-        *fit.by, "n", "df", "e.*"
+    rows = rows.withColumn("_h", F.transform("_g", weighted))
+    k = len(fit.terms)
+    flat = rows.select(
+        *fit.by, *[F.col("_g")[i].alias(f"_g{i}") for i in range(k)],
+        *[F.col("_h")[i].alias(f"_h{i}") for i in range(k)],
+    )
+    sums = summed_products(
+        flat, fit.by, [f"_g{i}" for i in range(k)], [f"_h{i}" for i in range(k)], "half"
+    )
+    table = join_groups(fit.groups.where("beta is not null"), sums, fit.by)
+    errors = nx.sandwich_errors("inverse", "half", ratio("n", "df"))
+    names = F.array(*[F.lit(t) for t in fit.terms])
+    long = table.withColumn("_se", errors).select(
+        *fit.by, "n", "df", F.inline(F.arrays_zip(names.alias("term"), F.col("beta").alias("coef"), F.col("_se").alias("se")))
     )
     out = long.withColumn("t", ratio("coef", "se"))
     out = out.withColumn("p_value", nx.t_p_value("t", F.col("df").cast("double")))
@@ -152,13 +167,17 @@ def hac(fit: Fit, max_lag: int) -> DataFrame:
 def cooks(fit: Fit) -> DataFrame:
     """Rows with leverage and Cook's distance."""
     k = len(fit.terms)
-    quadratic = " + ".join(
-        f"{a} * {b} * element_at(inverse, {i * k + j + 1})"
-        for i, a in enumerate(fit.terms) for j, b in enumerate(fit.terms)
-    )
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+    x = F.array(*fit.terms)
+    leverage = total(F.transform(x, lambda a, i: a * total(
+        F.zip_with(F.slice("inverse", i * k + 1, k), x, lambda p, b: p * b)
+    )))
     residual_ss = F.sum(F.col("resid") * F.col("resid"))
     variance = grouped(fit.rows, fit.by, residual_ss.alias("_ss"))
-    rows = join_groups(fit.rows, variance, fit.by).withColumn("leverage", F.expr(quadratic))
+    rows = join_groups(fit.rows, variance, fit.by).withColumn("leverage", leverage)
     s2 = ratio("_ss", "df")
     free = 1.0 - F.col("leverage")
     distance = ratio(
@@ -174,11 +193,8 @@ def max_cooks(fit: Fit) -> DataFrame:
 def design_rank(df: DataFrame, terms, by=()) -> DataFrame:
     """Rank of the design against its column count."""
     terms = tuple(terms)
-    sums = grouped(
-        design(df, terms), by, gram_expr(terms).alias("gram"),
-        F.array(*[F.sum(F.col(t)) for t in terms]).alias("moment"),
-    )
-    ranked = sums.withColumn("rank", nx.solver(None)("gram", "moment")["rank"])
+    packed = packed_gram(design(df, terms), by, terms, terms[0])
+    ranked = packed.withColumn("rank", nx.solver(None)("packed")["rank"])
     return ranked.select(*by, "rank", F.lit(len(terms)).alias("columns"),
                          (F.col("rank") == len(terms)).alias("full_rank"))
 
@@ -186,12 +202,8 @@ def design_rank(df: DataFrame, terms, by=()) -> DataFrame:
 def condition_number(df: DataFrame, terms, by=()) -> DataFrame:
     """Condition number of the standardised design (population deviation)."""
     terms = (INTERCEPT, *[t for t in terms if t != INTERCEPT])
-    sums = grouped(
-        design(df, terms), by, gram_expr(terms).alias("gram"),
-        F.array(*[F.sum(F.col(t)) for t in terms]).alias("moment"),
-    )
-    solved = sums.withColumn("s", nx.solver(0)("gram", "moment"))
-    return solved.select(*by, F.col("s.condition").alias("condition"))
+    packed = packed_gram(design(df, terms), by, terms, terms[0])
+    return packed.select(*by, nx.solver(0)("packed")["condition"].alias("condition"))
 
 
 def breusch_godfrey(fit: Fit, lags: int) -> DataFrame:
@@ -245,62 +257,51 @@ def adf(rows: DataFrame, value: str = "resid", by=(), order: str = "date",
     }) if lag_names else staged
     terms = ("_lvl", *lag_names)
     common = staged.where(F.col("_pos") > max_lag + 1)
-    sums = grouped(
-        common, by, F.count(F.lit(1)).alias("n"), gram_expr(terms).alias("gram"),
-        moment_expr(terms, "_d").alias("moment"), F.sum(F.col("_d") * F.col("_d")).alias("yy"),
-    )
-    chosen = sums.select(*by, _aic_lag("gram", "moment", "yy", F.col("n").cast("double")).alias("lag"))
+    chosen = packed_gram(common, by, terms, "_d").select(*by, _aic_lag("packed").alias("lag"))
     # Refit: unused lags become zero and only rows with all used lags stay.
     refit = join_groups(staged, chosen, by).where(F.col("_pos") > F.col("lag") + 1)
     refit = refit.withColumns({
         name: F.when(F.col("lag") >= i, F.col(name)).otherwise(F.lit(0.0))
         for i, name in enumerate(lag_names, 1)
     }) if lag_names else refit
-    final = grouped(
-        refit, by, F.max("lag").alias("lag"), F.count(F.lit(1)).alias("n"),
-        gram_expr(terms).alias("gram"), moment_expr(terms, "_d").alias("moment"),
-        F.sum(F.col("_d") * F.col("_d")).alias("yy"),
-    )
-    tau = _tau("gram", "moment", "yy", F.col("n").cast("double"), F.col("lag").cast("double"))
-    out = final.select(*by, "lag", "n", tau.alias("tau"))
+    final = join_groups(packed_gram(refit, by, terms, "_d"), chosen, by)
+    out = final.select(*by, "lag", _tau("packed", F.col("lag").cast("double")).alias("tau"))
     return out.withColumn("adf_p_value", nx.dickey_fuller_p_value("tau"))
 
 
-def _leading_fit(gram, moment, yy: float, size: int):
-    """Coefficients, inverse and residual sum of squares of a leading block."""
-    k = len(moment)
-    block = gram.reshape(k, k)[:size, :size]
-    head = moment[:size]
-    if gram_rank(block) < size:
+def _leading_fit(full, size: int):
+    """Coefficients, inverse and residual sum of squares of the first terms."""
+    block, head = full[1:size + 1, 1:size + 1], full[1:size + 1, -1]
+    if full[0, 0] <= size or gram_rank(block) < size:
         return None
     beta, inverse = solve_scaled(block, head)
-    return beta, inverse, float(yy - 2.0 * beta @ head + beta @ block @ beta)
+    return beta, inverse, float(full[-1, -1] - 2.0 * beta @ head + beta @ block @ beta)
 
 
 @F.pandas_udf("int")
-def _aic_lag(gram: pd.Series, moment: pd.Series, yy: pd.Series, n: pd.Series) -> pd.Series:
-    def best(g, m, y, rows):
-        scores = []
-        for size in range(1, len(m) + 1):
-            fit = _leading_fit(g, m, y, size) if rows > size else None
+def _aic_lag(packed: pd.Series) -> pd.Series:
+    def best(full):
+        scores, n = [], full[0, 0]
+        for size in range(1, len(full) - 1):
+            fit = _leading_fit(full, size)
             if fit is not None and fit[2] > 0:
-                scores.append((rows * math.log(fit[2] / rows) + 2.0 * size, size - 1))
+                scores.append((n * math.log(fit[2] / n) + 2.0 * size, size - 1))
         return min(scores)[1] if scores else 0
 
-    return pd.Series([best(*row) for row in zip(gram, moment, yy, n)], dtype="int32")
+    return pd.Series([best(unpack(p)) for p in packed], dtype="int32")
 
 
 @F.pandas_udf("double")
-def _tau(gram: pd.Series, moment: pd.Series, yy: pd.Series, n: pd.Series, lag: pd.Series) -> pd.Series:
-    def statistic(g, m, y, rows, used):
+def _tau(packed: pd.Series, lag: pd.Series) -> pd.Series:
+    def statistic(full, used):
         size = int(used) + 1
-        fit = _leading_fit(g, m, y, size) if rows > size else None
+        fit = _leading_fit(full, size)
         if fit is None or fit[2] <= 0:
             return None
         beta, inverse, ss = fit
-        return float(beta[0] / math.sqrt(inverse[0, 0] * ss / (rows - size)))
+        return float(beta[0] / math.sqrt(inverse[0, 0] * ss / (full[0, 0] - size)))
 
-    return pd.Series([statistic(*row) for row in zip(gram, moment, yy, n, lag)], dtype="float64")
+    return pd.Series([statistic(unpack(p), u) for p, u in zip(packed, lag)], dtype="float64")
 
 
 def adf_gate(table: DataFrame, level: float = 0.10) -> DataFrame:

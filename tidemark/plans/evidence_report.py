@@ -18,6 +18,7 @@ from tidemark.operators import evidence as ev
 from tidemark.operators import regression as rg
 from tidemark.operators.alignment import Aligned, InputSpec, align
 from tidemark.operators.filters import all_status, drop_most_influential, exclude_range
+from tidemark.operators.reshape import union_records
 from tidemark.session import settle
 
 COVID_YEARS = ("2021-03-31", "2022-03-31")
@@ -96,6 +97,11 @@ ADOPTION_TREND = EvidenceSpec(
 )
 
 
+# Variants that keep the design and change the rows.
+ROW_VARIANTS = ("exclude_covid_fiscal_years", "actual_status_only", "exclude_most_influential",
+                "later_start", "exclude_disruption")
+
+
 @dataclass(frozen=True)
 class Report:
     """Result tables of one analysis, all keyed by analysis_key."""
@@ -132,119 +138,125 @@ def _variant(spec: EvidenceSpec, sample: DataFrame, key: str, influence: Callabl
     return sample
 
 
-def run(spec: EvidenceSpec, inputs: dict[str, DataFrame]) -> Report:
-    """All result tables of one analysis (estimates only when eligible).
+def prepare(spec: EvidenceSpec, inputs: dict[str, DataFrame]) -> Aligned:
+    """The aligned sample of an analysis and its exclusion counts."""
+    return align(inputs, spec.inputs, spec.alignment, spec.start)
 
-    The aligned sample is read by a dozen fits, so it is written once to the
-    shared folder and its sources are not scanned again.
-    """
-    segmented = spec.break_date is not None
-    aligned = align(inputs, spec.inputs, spec.alignment, spec.start)
-    sample = settle(aligned.sample)
-    parameters = len(spec.terms)
-    gates = ev.eligibility(
+
+def gates(spec: EvidenceSpec, sample: DataFrame) -> DataFrame:
+    """Eligibility row of one analysis."""
+    return ev.eligibility(
         sample, dependent=[spec.dependent], focal=spec.names("focal"), controls=spec.names("control"),
         min_observations=spec.min_observations, min_pairs=spec.min_observations,
-        parameters=parameters, min_residual_df=spec.min_residual_df,
+        parameters=len(spec.terms), min_residual_df=spec.min_residual_df,
     ).withColumns({"analysis_key": F.lit(spec.key), "family": F.lit(spec.family)})
 
-    def designed(df: DataFrame, by=()) -> DataFrame:
-        return rg.segmented_design(df, spec.break_date, by) if segmented else fiscal_columns(df, spec, by)
 
-    y = spec.dependent
-    base = designed(sample)
-    fit = rg.ols(base, y, spec.terms)
-    main = _focal_rows(fit, spec.max_lag, spec.focal)
+def designed(spec: EvidenceSpec, df: DataFrame, by=()) -> DataFrame:
+    """Design columns, which may depend on the first row of each variant."""
+    if spec.break_date is not None:
+        return rg.segmented_design(df, spec.break_date, by)
+    return fiscal_columns(df, spec, by)
 
-    def influence() -> DataFrame:
-        return rg.cooks(fit)
 
-    # Variants that share the full design are fitted together, tag by tag.
-    tables = []
-    by = ("specification",)
-    rows_keys = [k for k in spec.robustness if k in (
-        "exclude_covid_fiscal_years", "actual_status_only", "exclude_most_influential",
-        "later_start", "exclude_disruption",
-    )]
+def robustness_fits(spec: EvidenceSpec, sample: DataFrame, fit: rg.Fit) -> DataFrame:
+    """Focal rows of every registered variant, null where it could not be fitted.
+
+    Variants that only change the rows are tagged, stacked and fitted together.
+    """
+    y, by = spec.dependent, ("specification",)
 
     def tagged(keys) -> DataFrame:
-        parts = [_variant(spec, sample, k, influence).withColumn("specification", F.lit(k)) for k in keys]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return designed(out, by)
-
-    drop_indicator = "exceptional" in spec.terms
-    shared = [k for k in rows_keys if not (drop_indicator and k == "exclude_covid_fiscal_years")]
+        parts = [
+            _variant(spec, sample, k, lambda: rg.cooks(fit)).withColumn("specification", F.lit(k)) for k in keys
+        ]
+        return designed(spec, union_records(*parts), by)
+
+    def focal(fitted: rg.Fit, key: str | None = None, max_lag: int = spec.max_lag) -> DataFrame:
+        rows = _focal_rows(fitted, max_lag, spec.focal)
+        return rows if key is None else rows.withColumn("specification", F.lit(key))
+
+    covid = "exclude_covid_fiscal_years"
+    drops_term = "exceptional" in spec.terms
+    shared = [k for k in spec.robustness if k in ROW_VARIANTS and not (drops_term and k == covid)]
+    tables = []
     if shared:
-        tables.append(_focal_rows(rg.ols(tagged(shared), y, spec.terms, by), spec.max_lag, spec.focal))
-    if drop_indicator and "exclude_covid_fiscal_years" in rows_keys:
+        tables.append(focal(rg.ols(tagged(shared), y, spec.terms, by)))
+    if drops_term and covid in spec.robustness:
+        # Without those years the indicator is constant, so it leaves the design.
         kept = tuple(t for t in spec.terms if t != "exceptional")
-        tables.append(_focal_rows(
-            rg.ols(tagged(["exclude_covid_fiscal_years"]), y, kept, by), spec.max_lag, spec.focal
-        ))
+        tables.append(focal(rg.ols(tagged([covid]), y, kept, by)))
     for k in spec.robustness:
         if k.startswith("hac_max_lags_"):
-            tables.append(_focal_rows(fit, int(k.rsplit("_", 1)[1]), spec.focal).withColumn("specification", F.lit(k)))
+            tables.append(focal(fit, k, int(k.rsplit("_", 1)[1])))
         elif k == "parsimonious_bivariate":
-            small = rg.ols(base, y, ("intercept", spec.focal))
-            tables.append(_focal_rows(small, spec.max_lag, spec.focal).withColumn("specification", F.lit(k)))
+            tables.append(focal(rg.ols(designed(spec, sample), y, ("intercept", spec.focal)), k))
         elif k == "linear_level_trend":
-            level = base.withColumn("_level", F.exp(y))
-            straight = rg.ols(level, "_level", spec.terms)
-            tables.append(_focal_rows(straight, spec.max_lag, spec.focal).withColumn("specification", F.lit(k)))
+            level = designed(spec, sample).withColumn("_level", F.exp(y))
+            tables.append(focal(rg.ols(level, "_level", spec.terms), k))
     fields = ("specification", "coef", "se", "t", "p_value", "ci_low", "ci_high", "n")
-    fitted = tables[0].select(*fields)
-    for t in tables[1:]:
-        fitted = fitted.unionByName(t.select(*fields))
+    fitted = union_records(*[t.select(*fields) for t in tables])
     names = sample.sparkSession.createDataFrame([(k,) for k in spec.robustness], "specification string")
-    robust = names.join(fitted, "specification", "left")
+    return names.join(fitted, "specification", "left")
 
-    def scaled(df: DataFrame) -> DataFrame:
-        level = F.col("specification") == "linear_level_trend" if "specification" in df.columns else F.lit(False)
 
-        def on(name: str):
-            return F.when(level, effect(name, "annual_level")).otherwise(effect(name, spec.scale))
+def on_scale(df: DataFrame, scale: str) -> DataFrame:
+    """Estimates on their reporting scale; the level variant has its own."""
+    level = F.col("specification") == "linear_level_trend" if "specification" in df.columns else F.lit(False)
 
-        error = F.when(level, effect_error("coef", "se", "annual_level")).otherwise(
-            effect_error("coef", "se", spec.scale)
-        )
-        return df.withColumns({
-            "value": on("coef"), "low": on("ci_low"), "high": on("ci_high"), "error": error,
-        })
+    def choose(fn, *args):
+        return F.when(level, fn(*args, "annual_level")).otherwise(fn(*args, scale))
 
-    robust = scaled(robust)
-    robustness = robust.select(
-        F.lit(spec.key).alias("analysis_key"), "specification", "value", "p_value", "n",
-        ev.robustness_status("p_value", "value", spec.expected).alias("status"),
-    )
-    estimates = scaled(main).select(
-        F.lit(spec.key).alias("analysis_key"), F.lit(spec.family).alias("family"),
-        F.col("term"), F.lit(True).alias("is_focal"), F.lit(spec.expected).alias("expected"),
-        "value", F.col("error").alias("se"), F.col("low").alias("ci_low"), F.col("high").alias("ci_high"),
-        "p_value", "n",
-    )
-    values = fit.groups.select("df", "condition").withColumn("_one", F.lit(1))
-    values = values.join(rg.breusch_godfrey(fit, max(1, spec.max_lag)).withColumn("_one", F.lit(1)), "_one")
-    values = values.join(rg.max_cooks(fit).withColumn("_one", F.lit(1)), "_one")
+    return df.withColumns({
+        "value": choose(effect, "coef"), "low": choose(effect, "ci_low"), "high": choose(effect, "ci_high"),
+        "error": choose(effect_error, "coef", "se"),
+    })
+
+
+def diagnostic_values(spec: EvidenceSpec, sample: DataFrame, fit: rg.Fit) -> DataFrame:
+    """One wide row of the registered diagnostic values."""
+    parts = [rg.breusch_godfrey(fit, max(1, spec.max_lag)).select("bg_p_value"), rg.max_cooks(fit)]
     if "stationarity" in spec.diagnostics:
-        values = values.join(rg.adf(fit.rows).withColumn("_one", F.lit(1)).select("_one", "adf_p_value"), "_one")
+        parts.append(rg.adf(fit.rows).select("adf_p_value"))
     if "stability" in spec.diagnostics:
-        stable = rg.stability_gate(
-            sample, y, spec.terms, spec.focal, spec.expected, 12, 36, rebuild=lambda df, keys: designed(df, keys)
-        )
-        values = values.join(stable.select("stable").withColumn("_one", F.lit(1)), "_one")
-    diagnostics = ev.diagnostic_flags(
-        values.withColumn("analysis_key", F.lit(spec.key)), spec.min_residual_df
-    ).where(F.col("key").isin(*spec.diagnostics))
-
-    passed = gates.where("eligible").select("analysis_key")
-    return Report(
-        aligned, gates,
-        estimates.join(passed, "analysis_key", "left_semi"),
-        diagnostics.join(passed, "analysis_key", "left_semi"),
-        robustness.join(passed, "analysis_key", "left_semi"),
+        parts.append(rg.stability_gate(
+            sample, spec.dependent, spec.terms, spec.focal, spec.expected, 12, 36,
+            rebuild=lambda df, keys: designed(spec, df, keys),
+        ).select("stable"))
+    row = fit.groups.select("df", "condition", F.lit(spec.key).alias("analysis_key"))
+    for part in parts:
+        row = row.join(part.withColumn("analysis_key", F.lit(spec.key)), "analysis_key", "left")
+    return row
+
+
+def run(spec: EvidenceSpec, inputs: dict[str, DataFrame]) -> Report:
+    """All result tables of one analysis (estimates only when eligible).
+
+    The aligned sample and the main fit are read by many tests, so each is
+    written once to the shared folder and its sources are not scanned again.
+    """
+    aligned = prepare(spec, inputs)
+    sample = settle(aligned.sample)
+    gate = settle(gates(spec, sample))
+    passed = gate.where("eligible").select("analysis_key")
+    key = F.lit(spec.key).alias("analysis_key")
+    fit = rg.ols(designed(spec, sample), spec.dependent, spec.terms).settle()
+    main = on_scale(_focal_rows(fit, spec.max_lag, spec.focal), spec.scale)
+    estimates = main.select(
+        key, F.lit(spec.family).alias("family"), "term", F.lit(True).alias("is_focal"),
+        F.lit(spec.expected).alias("expected"), "value", F.col("error").alias("se"),
+        F.col("low").alias("ci_low"), F.col("high").alias("ci_high"), "p_value", "n",
     )
+    robustness = on_scale(robustness_fits(spec, sample, fit), spec.scale).select(
+        key, "specification", "value", "p_value", "n",
+        ev.robustness_status("p_value", "value", spec.expected).alias("status"),
+    )
+    diagnostics = ev.diagnostic_flags(diagnostic_values(spec, sample, fit), spec.min_residual_df).where(
+        F.col("key").isin(*spec.diagnostics)
+    )
+    return Report(aligned, gate, *[
+        settle(t.join(passed, "analysis_key", "left_semi")) for t in (estimates, diagnostics, robustness)
+    ])
 
 
 def combine(reports) -> DataFrame:
@@ -254,21 +266,14 @@ def combine(reports) -> DataFrame:
     """
     reports = list(reports)
 
-    def union(parts) -> DataFrame:
-        parts = list(parts)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    gates = union(r.eligibility for r in reports)
-    estimates = union(r.estimates for r in reports)
-    registered = gates.select("analysis_key", "family", "eligible", "n", "start_date", "end_date")
+    gate = union_records(*[r.eligibility for r in reports])
+    estimates = union_records(*[r.estimates for r in reports])
+    registered = gate.select("analysis_key", "family", "eligible", "n", "start_date", "end_date")
     focal = registered.join(estimates.drop("n", "family"), "analysis_key", "left")
     adjusted = ev.bh_adjust(focal).where("eligible")
     graded = ev.grade(
         adjusted.select("analysis_key", "value", "adjusted_p_value", "expected"),
-        union(r.diagnostics for r in reports), union(r.robustness for r in reports),
+        union_records(*[r.diagnostics for r in reports]), union_records(*[r.robustness for r in reports]),
     )
     full = registered.join(
         adjusted.select("analysis_key", "term", "value", "se", "ci_low", "ci_high", "p_value", "adjusted_p_value"),

@@ -235,8 +235,8 @@ def flow_resilience(flows: DataFrame) -> DataFrame:
     return capital_resilience(monthly_flows(flows))
 
 
-def annual_records(df: DataFrame, period_kind: str, indicator: str) -> DataFrame:
-    """Academic or calendar years of (year, value) as dated records."""
+def annual_records(df: DataFrame, period_kind: str, indicator: str, keys=()) -> DataFrame:
+    """Academic or calendar years of (keys, year, value) as dated records."""
     y = col("year")
     if period_kind == "academic":
         date, start = cal.fy_end_date(y), cal.fy_start_date(y)
@@ -245,7 +245,7 @@ def annual_records(df: DataFrame, period_kind: str, indicator: str) -> DataFrame
         date = F.make_date(y, F.lit(12), F.lit(31))
         start, label = F.make_date(y, F.lit(1), F.lit(1)), y.cast("string")
     return df.select(
-        date.alias("date"), F.lit(indicator).alias("indicator"), "value",
+        *keys, date.alias("date"), F.lit(indicator).alias("indicator"), "value",
         label.alias("period_label"), start.alias("period_start"), date.alias("period_end"),
     )
 

@@ -20,6 +20,12 @@ LANDED_FLOWS = T.StructType([
 ])
 
 
+def read_stream(spark: SparkSession, path: str, schema: T.StructType = LANDED_FLOWS,
+                files_per_trigger: int = 1000) -> DataFrame:
+    """Landed JSON rows as they arrive."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
 def stream_landed(spark: SparkSession, path: str, schema: T.StructType = LANDED_FLOWS,
                   watermark: str = "7 days", files_per_trigger: int = 1000) -> DataFrame:
     """Landed JSON rows as a stream, the same content once.
@@ -27,11 +33,7 @@ def stream_landed(spark: SparkSession, path: str, schema: T.StructType = LANDED_
     The content hash keeps only what arrived within the watermark in state, so
     state does not grow with the archive.
     """
-    raw = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(path)
-    )
+    raw = read_stream(spark, path, schema, files_per_trigger)
     marked = raw.withColumn("sha256", checksum(schema.names))
     return marked.withWatermark("retrieved_at", watermark).dropDuplicatesWithinWatermark(["sha256"])
 
@@ -60,18 +62,20 @@ def upsert_batch(batch: DataFrame, version: int, table: str, schema: T.StructTyp
     columns = schema.names
     fresh = upsert_latest(
         batch.select(*columns).limit(0), batch.select(*columns), keys, ts
-    ).withColumn("month", F.trunc("date", "month"))
+    ).withColumn("month", F.trunc("date", "month")).persist()
     months = fresh.select("month").distinct()
     old = current_rows(spark, table, schema).where(F.col("version") < version)
     old = old.join(months, "month", "left_semi").select(*columns, "month")
     merged = upsert_latest(old.drop("month"), fresh.select(*columns), keys, ts)
     out = merged.withColumn("month", F.trunc("date", "month")).withColumn("version", F.lit(version).cast("long"))
+    # Rebalancing by month gives each month few files and splits a large one.
     (
-        out.write.mode("overwrite")
+        out.hint("rebalance", F.col("month")).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month", "version")
         .parquet(table)
     )
+    fresh.unpersist()
 
 
 def stream_upsert(df: DataFrame, table: str, keys, ts: str, checkpoint: str,
@@ -99,3 +103,23 @@ def stream_monthly_flows(df: DataFrame, watermark: str = "76 days", ts: str = "d
     return df.withColumn("month", month).withWatermark("month", watermark).groupBy(
         "month", "category"
     ).agg(F.sum("net").alias("net"), F.max("date").alias("date"))
+
+
+def stream_updates(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Changed aggregate rows of each micro-batch, one folder per batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return (
+        df.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_updates(updates: DataFrame, keys) -> DataFrame:
+    """The newest state of each aggregate key."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
