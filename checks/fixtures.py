@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MONEY = "decimal(18,2)"
 
@@ -89,11 +90,16 @@ def snapshots(spark, d):
         dsum("l_extendedprice").alias("budget"),
         xsum(f"{EXT} * (1 + {TAX})").alias("total"),
     )
-    c = y.select(F.col("fy").alias("edition"), F.col("budget").alias("current_budget_capex"))
-    r = y.select((F.col("fy") + 1).alias("edition"), (F.col("budget") * 0.98).alias("prior_revised_capex"))
-    a = y.select((F.col("fy") + 2).alias("edition"), F.col("actual").alias("actual_capex"),
-                 F.col("total").alias("actual_total_expenditure"))
-    return c.join(r, "edition").join(a, "edition")
+    # One row per fiscal year, so a window over all of them is short.
+    def years_ago(c: str, n: int):
+        return F.first(c).over(W.orderBy("fy").rangeBetween(-n, -n))
+
+    edition = y.select(
+        F.col("fy").alias("edition"), F.col("budget").alias("current_budget_capex"),
+        (years_ago("budget", 1) * 0.98).alias("prior_revised_capex"), years_ago("actual", 2).alias("actual_capex"),
+        years_ago("total", 2).alias("actual_total_expenditure"),
+    )
+    return edition.where("prior_revised_capex is not null and actual_capex is not null")
 
 
 def panel(spark, d):

@@ -291,7 +291,7 @@ def _(spark, d):
 
 @query("x2_stream_upsert", "flows", "select date, category, CASE WHEN category='DII' and date >= DATE '1998-01-01' THEN net * 2 ELSE net END as net from flows")
 def _(spark, d):
-    source = st.stream_landed(spark, f"{landed_flows(spark, d, True)}/*", files_per_trigger=2)
+    source = st.read_stream(spark, f"{landed_flows(spark, d, True)}/*", files_per_trigger=2)
     table = scratch_path(spark, "archive")
     st.stream_upsert(source, table, ("date", "category"), "retrieved_at", f"{table}-state").awaitTermination()
     return st.current_rows(spark, table, st.LANDED_FLOWS).select("date", "category", "net")

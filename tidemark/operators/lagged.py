@@ -44,21 +44,36 @@ def monthly_compound(returns: DataFrame, value: str = "ret") -> DataFrame:
     )
 
 
-def _window_return(anchors: DataFrame, returns: DataFrame, first_month, min_n: int, value: str) -> DataFrame:
-    """Compound 12 months from ``first_month``, an expression over the anchor.
+def window_anchors(anchors: DataFrame, shifts, direction: str) -> DataFrame:
+    """(anchor, direction, offset, first_month) of 12-month windows.
+
+    ``forward`` windows start ``offset`` months after the anchor, ``backward``
+    windows end ``offset`` months before it.
+    """
+    dates = anchors.select(F.col("date").alias("anchor")).distinct()
+    base = dates.select("anchor", F.lit(direction).alias("direction"), offsets(shifts).alias("offset"))
+    month = cal.period_index("anchor", "monthly")
+    first = {
+        "forward": month + F.col("offset") + 1,
+        "backward": month - F.col("offset") - (WINDOW_MONTHS - 1),
+    }[direction]
+    return base.withColumn("first_month", first)
+
+
+def window_return(anchors: DataFrame, returns: DataFrame, min_n: int = WINDOW_MINIMUM,
+                  value: str = "ret") -> DataFrame:
+    """Percent return compounded over each anchor's 12 months.
 
     Both window ends are month ends, so "after the start, up to the end" is
     exactly twelve whole months: the range join becomes an equi-join on the
     month index of monthly pre-aggregates.
     """
-    months = anchors.withColumn(
-        "month_idx", F.explode(F.sequence(first_month, first_month + (WINDOW_MONTHS - 1)))
-    )
-    keys = ["anchor", "offset"]
+    last = F.col("first_month") + (WINDOW_MONTHS - 1)
+    months = anchors.withColumn("month_idx", F.explode(F.sequence("first_month", last)))
     return (
         monthly_compound(returns, value)
         .join(months, "month_idx")
-        .groupBy("market", *keys)
+        .groupBy("market", "anchor", "direction", "offset")
         .agg(
             ((F.product("growth") - 1.0) * 100.0).alias("window_return"),
             F.sum("rows").alias("n"),
@@ -67,24 +82,16 @@ def _window_return(anchors: DataFrame, returns: DataFrame, first_month, min_n: i
     )
 
 
-def _anchors(anchors: DataFrame, shifts) -> DataFrame:
-    return anchors.select(F.col("date").alias("anchor")).distinct().select(
-        "anchor", offsets(shifts).alias("offset")
-    )
-
-
 def forward_window_return(anchors: DataFrame, returns: DataFrame, lags,
                           min_n: int = WINDOW_MINIMUM, value: str = "ret") -> DataFrame:
     """Percent return over the 12 months that start ``lag`` months after a date."""
-    start = cal.period_index("anchor", "monthly") + F.col("offset") + 1
-    return _window_return(_anchors(anchors, lags), returns, start, min_n, value)
+    return window_return(window_anchors(anchors, lags, "forward"), returns, min_n, value)
 
 
 def backward_window_return(anchors: DataFrame, returns: DataFrame, leads,
                            min_n: int = WINDOW_MINIMUM, value: str = "ret") -> DataFrame:
     """Percent return over the 12 months that end ``lead`` months before a date."""
-    start = cal.period_index("anchor", "monthly") - F.col("offset") - (WINDOW_MONTHS - 1)
-    return _window_return(_anchors(anchors, leads), returns, start, min_n, value)
+    return window_return(window_anchors(anchors, leads, "backward"), returns, min_n, value)
 
 
 def lag_correlations(pairs: DataFrame, keys, exclude_years=(), min_n: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidemark.functions import numerics as nx
@@ -278,7 +279,7 @@ def _leading_fit(full, size: int):
     return beta, inverse, float(full[-1, -1] - 2.0 * beta @ head + beta @ block @ beta)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _aic_lag(packed: pd.Series) -> pd.Series:
     def best(full):
         scores, n = [], full[0, 0]
@@ -291,7 +292,7 @@ def _aic_lag(packed: pd.Series) -> pd.Series:
     return pd.Series([best(unpack(p)) for p in packed], dtype="int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tau(packed: pd.Series, lag: pd.Series) -> pd.Series:
     def statistic(full, used):
         size = int(used) + 1

@@ -18,7 +18,7 @@ from tidemark.operators.growth import (
     trailing_deviation, yoy_exact,
 )
 from tidemark.operators.lagged import (
-    backward_window_return, forward_window_return, lag_correlations, lag_ladder, lag_pairs,
+    lag_correlations, lag_ladder, lag_pairs, window_anchors, window_return,
 )
 from tidemark.operators.reshape import densify_years, union_records
 from tidemark.operators.rules import classify
@@ -81,26 +81,34 @@ def lag_analysis(driver: DataFrame, performance: DataFrame, targets, benchmark:
     enter by excess return, the benchmark by raw return, and every target once
     more relative to the control.
     """
-    targets = list(targets)
-    excess = performance.where(F.col("market").isin(targets)).select(
-        "date", "market", F.col("excess").alias("ret")
-    )
-    raw = performance.select("date", "market", F.col("raw_return").alias("ret"))
-    relative = [mk.relative_return(raw, t, control) for t in targets]
-    returns = union_records(excess, raw.where(F.col("market") == benchmark), *relative)
-    anchors = driver.where(F.col("driver").isNotNull())
+    # One pass over the performance rows yields every return series.
+    staged = mk.with_benchmark(performance, control, "raw_return", "_control")
+    is_target = F.col("market").isin(list(targets))
 
-    def paired(windows: DataFrame, direction: str) -> DataFrame:
-        joined = windows.join(anchors, windows["anchor"] == anchors["date"])
-        return joined.select(
-            F.col("market").alias("series"), F.col("offset").alias("lag"),
-            F.lit("months").alias("lag_unit"), F.lit("market").alias("outcome_type"),
-            F.lit(direction).alias("direction"), "driver",
-            F.col("window_return").alias("outcome"), F.year("anchor").cast("int").alias("year"),
-        )
+    def entry(condition, name, ret):
+        return F.when(condition, F.struct(name.alias("series"), ret.alias("ret")))
 
-    pairs = paired(forward_window_return(anchors, returns, MARKET_LAGS), "capex_leads").unionByName(
-        paired(backward_window_return(anchors, returns, MARKET_LEADS), "market_leads")
+    market = F.col("market")
+    entries = F.array(
+        entry(is_target, market, F.col("excess")),
+        entry(market == benchmark, market, F.col("raw_return")),
+        entry(is_target, F.concat(market, F.lit(f"_VS_{control}")), F.col("raw_return") - F.col("_control")),
+    )
+    returns = staged.select("date", F.explode(F.array_compact(entries)).alias("e")).select(
+        "date", F.col("e.series").alias("market"), "e.ret"
+    )
+    anchors = driver.where(F.col("driver").isNotNull())
+    windows = window_anchors(anchors, MARKET_LAGS, "forward").unionByName(
+        window_anchors(anchors, MARKET_LEADS, "backward")
+    )
+    leads = F.when(F.col("direction") == "forward", F.lit("capex_leads")).otherwise("market_leads")
+    pairs = window_return(windows, returns).join(
+        anchors.select(F.col("date").alias("anchor"), "driver"), "anchor"
+    ).select(
+        F.col("market").alias("series"), F.col("offset").alias("lag"),
+        F.lit("months").alias("lag_unit"), F.lit("market").alias("outcome_type"),
+        leads.alias("direction"), "driver", F.col("window_return").alias("outcome"),
+        F.year("anchor").cast("int").alias("year"),
     )
     if real_outcome is not None:
         real = lag_pairs(driver, real_outcome, YEAR_LAGS).select(
@@ -152,18 +160,17 @@ def fiscal_sustainability(fiscal: DataFrame, government: DataFrame) -> DataFrame
 
 
 def corporate_fundamentals(fundamentals: DataFrame, metrics=GROWTH_FIELDS) -> DataFrame:
-    """Group-year medians of company growth."""
+    """Group-year medians of company growth.
+
+    All metrics grow over one window and are unpivoted before the medians, so
+    the statements are read once.
+    """
     grown = fundamentals
     for field in metrics:
         grown = pct_change(grown, field, ("company_key",), "fy", f"{field}_growth", 100.0)
-    medians = [
-        group_median(grown, f"{field}_growth").select(
-            "grp", "fy", F.lit(f"{field}_growth").alias("metric"),
-            F.col(f"median_{field}_growth").alias("value"),
-        )
-        for field in metrics
-    ]
-    return union_records(*medians)
+    names = [f"{field}_growth" for field in metrics]
+    long = grown.unpivot(["grp", "fy"], names, "metric", "value")
+    return group_median(long, "value", ("grp", "fy", "metric")).withColumnRenamed("median_value", "value")
 
 
 def project_quality(status: DataFrame, cost: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.vintages import upsert_latest
 from tidemark.sources.landing import checksum
 
+ROWS_PER_FILE = 2_000_000
+
 LANDED_FLOWS = T.StructType([
     T.StructField("date", T.DateType()),
     T.StructField("category", T.StringType()),
@@ -68,9 +70,12 @@ def upsert_batch(batch: DataFrame, version: int, table: str, schema: T.StructTyp
     old = old.join(months, "month", "left_semi").select(*columns, "month")
     merged = upsert_latest(old.drop("month"), fresh.select(*columns), keys, ts)
     out = merged.withColumn("month", F.trunc("date", "month")).withColumn("version", F.lit(version).cast("long"))
-    # Rebalancing by month gives each month few files and splits a large one.
+    # Adaptive rebalancing is off inside a stream, so months are spread by hand:
+    # one file each, and more for every ROWS_PER_FILE rows of the batch.
+    spread = 1 + fresh.count() // ROWS_PER_FILE
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(spread))
     (
-        out.hint("rebalance", F.col("month")).write.mode("overwrite")
+        out.repartition("month", bucket).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month", "version")
         .parquet(table)
