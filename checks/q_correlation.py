@@ -26,17 +26,12 @@ def returns(spark, d):
 
 
 def matrix_pairs(spark, d):
-    """Two known markets against all the others of the table."""
-    others = [m for m in markets(spark, d) if m not in HOME]
-    return co.market_pairs(spark, HOME, others)
-
-
-def markets(spark, d):
-    return [x[0] for x in fx.table(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(100).collect()]
+    """Two registered markets against all the others."""
+    return co.market_pairs(spark, HOME, AWAY)
 
 
 def pairs(spark, d):
-    return co.unordered_pairs(spark, markets(spark, d))
+    return co.unordered_pairs(spark, sorted(ALL))
 
 
 def pearson(spark, d):

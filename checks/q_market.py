@@ -173,10 +173,9 @@ COMPLETE = ("ok as (select date from ret_w where ret is not null group by 1 havi
 
 @query("a13_volatility_table", "ret_w",
        f"with {COMPLETE}, v as (select market, stddev_samp(ret) * sqrt(252) * 100 as v from ret_w where ret is not null"
-       f" and date in (select date from ok) group by 1) select market, {rd('v')} as volatility_pct,"
-       " CAST(row_number() over (order by v desc nulls last, market) AS INT) as rank from v")
+       f" and date in (select date from ok) group by 1) select market, {rd('v')} as volatility_pct from v")
 def _(spark, d):
-    return mk.volatility_table(fx.prices_w(spark, d)).select("market", r("volatility_pct"), "rank")
+    return mk.volatility_table(fx.prices_w(spark, d)).select("market", r("volatility_pct"))
 
 
 PERF = (f"mm as (select market, max(date) as date, arg_max(price, date) as price from prices_w where date in (select date from prices_w"

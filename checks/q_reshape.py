@@ -57,11 +57,9 @@ def _(spark, d):
     return rs.densify_years(fx.country_year(spark, d), 1993, 2003)
 
 
-@query("t1_canonical_order", "records", "select CAST(row_number() over (order by date, indicator, entity) AS BIGINT) as pos, date, indicator, entity from records order by date, indicator, entity limit 400")
+@query("t1_canonical_order", "records", "select date, indicator, entity, value from records order by date, indicator, entity")
 def _(spark, d):
-    from pyspark.sql import Window as W
-    first = rs.canonical_order(fx.records(spark, d)).limit(400)
-    return first.select(F.row_number().over(W.orderBy("date", "indicator", "entity")).cast("bigint").alias("pos"), "date", "indicator", "entity")
+    return rs.canonical_order(fx.records(spark, d)).select("date", "indicator", "entity", "value")
 
 
 def definitions(spark, d):

@@ -193,6 +193,19 @@ def test_benjamini_hochberg(spark):
     assert got == {4: pytest.approx(0.025), 0: pytest.approx(0.025), 2: pytest.approx(0.05), 1: pytest.approx(0.05), 3: 1.0}
 
 
+def test_benjamini_hochberg_of_one_large_family(spark):
+    rng = np.random.default_rng(6)
+    p = np.round(rng.uniform(size=3000) ** 2, 3)
+    df = spark.createDataFrame([("hot", i, float(v)) for i, v in enumerate(p)] + [("small", 0, 0.2)], "family string, analysis_key int, p_value double")
+    order = np.argsort(p, kind="stable")
+    raw = p[order] * len(p) / np.arange(1, len(p) + 1)
+    want = np.empty(len(p))
+    want[order] = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1)
+    for buckets in (1, 7, 1024):
+        got = {r.analysis_key: r.adjusted_p_value for r in ev.bh_adjust(df, buckets=buckets).where("family = 'hot'").collect()}
+        assert len(got) == len(p) and all(got[i] == pytest.approx(want[i], rel=1e-12) for i in range(len(p)))
+
+
 def test_grades(spark):
     focal = spark.createDataFrame([(k, 1.0, p, "positive") for k, p in (("strong", 0.01), ("moderate", 0.01), ("mixed", 0.01), ("failed", 0.01), ("not", 0.5), ("mixed2", 0.5))],
                                   "analysis_key string, value double, adjusted_p_value double, expected string")

@@ -187,3 +187,24 @@ def test_bridge_keeps_left_rows(spark):
     right = spark.createDataFrame([(dt.date(2020, 3, 31), "i", 4.0, "revised"), (dt.date(2021, 3, 31), "i", 4.0, "actual"), (dt.date(2022, 3, 31), "i", 0.0, "actual")], schema)
     rows = vt.bridge(left, right, "r").collect()
     assert len(rows) == 4 and [(r.value, r.status) for r in rows if r.indicator == "r"] == [(2.5, "revised")]
+
+
+def test_canonical_order(spark):
+    df = spark.createDataFrame([(dt.date(2021, 1, 1), "b", "x"), (dt.date(2020, 1, 1), "b", "y"), (dt.date(2020, 1, 1), "a", "z")], "date date, indicator string, entity string")
+    assert [r.entity for r in rs.canonical_order(df).collect()] == ["z", "y", "x"]
+
+
+def test_exact_median_with_ties_signs_and_a_hot_group(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    groups = {"hot": rng.standard_t(2, 4001) * 50, "even": rng.normal(size=10), "ties": np.array([1.0, 1.0, 1.0, 9.0]), "one": np.array([-3.0]), "zero": np.array([-2.0, 0.0, 0.0, 5.0, 7.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None)], "k string, v double")
+    got = {r.k: r.m for r in sm.exact_median(df, "v", ["k"], "m").collect()}
+    assert got == {k: pytest.approx(float(np.median(v))) for k, v in groups.items()}
+
+
+def test_order_check_across_chunks(spark):
+    rows = [("a", i, dt.date(2020, 1, 1) + dt.timedelta(days=d)) for i, d in enumerate([0, 1, 2, 2, 4, 3, 7, 6, 9])]
+    df = spark.createDataFrame(rows, "k string, pos int, date date")
+    for chunk in (2, 3, 100):
+        assert sorted(r.pos for r in ql.check_ordered(df, ["k"], "pos", chunk=chunk).collect()) == [3, 5, 7]

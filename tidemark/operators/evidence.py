@@ -28,29 +28,46 @@ STATIONARITY_LEVEL = 0.10
 INFLUENCE_LIMIT = 1.0
 
 
-def bh_adjust(pvals: DataFrame, family=("family",), p: str = "p_value", order=("analysis_key",),
-              out: str = "adjusted_p_value") -> DataFrame:
+def bh_adjust(pvals: DataFrame, family=("family",), p: str = "p_value",
+              out: str = "adjusted_p_value", buckets: int = 1024) -> DataFrame:
     """Benjamini-Hochberg within a family; a missing p enters as 1.
 
-    A family is the registered list of focal tests of one lens, so its window
-    is as long as that list.
+    Equal p-values share one adjusted value, so tests are counted per distinct
+    p first.  Distinct values are split into ``buckets`` ranges of p: ranks and
+    the running minimum from above are carried across ranges by per-range
+    totals, so a family with most of the tests spreads over many tasks.
     """
+    family = list(family)
     entered = pvals.withColumn("_p", F.coalesce(col(p), F.lit(1.0)))
-    part = W.partitionBy(*family)
-    ascending = part.orderBy("_p", *order)
-    from_above = part.orderBy(F.col("_p").desc(), *[col(o).desc() for o in order]).rowsBetween(
-        W.unboundedPreceding, 0
+    bucket = F.least(F.floor(F.col("_p") * buckets), F.lit(buckets - 1)).cast("int")
+    values = entered.groupBy(*family, "_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket)
+
+    whole = W.partitionBy(*family)
+    before = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    ranges = values.groupBy(*family, "_b").agg(F.sum("_c").alias("_c")).select(
+        *family, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
+        F.sum("_c").over(whole).alias("_m"),
     )
-    raw = entered.withColumn("_rank", F.row_number().over(ascending)).withColumn(
-        "_m", F.count(F.lit(1)).over(part)
-    ).withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank"))
-    adjusted = F.least(F.min("_raw").over(from_above), F.lit(1.0))
-    return raw.withColumn(out, adjusted).drop("_p", "_rank", "_m", "_raw")
+    inside = W.partitionBy(*family, "_b")
+    rank = F.col("_before") + F.sum("_c").over(inside.orderBy("_p"))
+    raw = values.join(ranges, [*family, "_b"]).withColumn("_raw", F.col("_p") * F.col("_m") / rank)
+    after = whole.orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
+    later = raw.groupBy(*family, "_b").agg(F.min("_raw").alias("_low")).select(
+        *family, "_b", F.min("_low").over(after).alias("_later")
+    )
+    from_above = inside.orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, 0)
+    adjusted = raw.join(later, [*family, "_b"]).select(
+        *family, "_p",
+        # LEAST skips the null of the last range.
+        F.least(F.min("_raw").over(from_above), F.col("_later"), F.lit(1.0)).alias(out),
+    )
+    return entered.join(adjusted, [*family, "_p"]).drop("_p")
 
 
 def variation(value) -> Column:
     """More than one distinct value after rounding to 12 digits."""
-    return F.count_distinct(F.round(col(value), 12)) > 1
+    v = F.round(col(value), 12)
+    return F.coalesce(F.min(v) != F.max(v), F.lit(False))
 
 
 def eligibility(sample: DataFrame, *, dependent, focal, controls=(), min_observations: int,

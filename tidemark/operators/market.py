@@ -191,15 +191,14 @@ def annual_volatility(returns: DataFrame, periods: int = TRADING_DAYS) -> DataFr
 
 
 def volatility_table(prices: DataFrame, periods: int = TRADING_DAYS) -> DataFrame:
-    """Annualised volatility in percent with its rank, highest first.
+    """Annualised volatility in percent, highest first.
 
     Returns are taken on complete dates only: a wide frame drops any row with a
     missing cell after differencing.
     """
     returns = drop_any(with_returns(prices), value="ret")
     table = _by_market(returns, "volatility_pct", volatility_expr("ret", periods) * 100.0)
-    order = W.orderBy(F.col("volatility_pct").desc_nulls_last(), "market")
-    return table.withColumn("rank", F.row_number().over(order))
+    return table.orderBy(F.col("volatility_pct").desc_nulls_last(), "market")
 
 
 def sharpe(returns: DataFrame, risk_free: float = 0.0, periods: int = TRADING_DAYS) -> DataFrame:

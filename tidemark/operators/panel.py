@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clean_double, pct, ratio
 from tidemark.operators.growth import lead_year_growth
+from tidemark.operators.summaries import exact_median
 from tidemark.session import settle
 
 Z95 = 1.96
@@ -104,7 +105,13 @@ def panel_gate(estimate: DataFrame, required: dict[str, int] = GATE) -> DataFram
 
 
 def panel_medians(panel: DataFrame) -> DataFrame:
-    return panel.groupBy("year").agg(F.median("x").alias("median_x"), F.median("y").alias("median_y"))
+    """Cross-entity median of x and y per year."""
+    long = panel.unpivot(["year"], ["x", "y"], "axis", "value")
+    medians = exact_median(long, "value", ("year", "axis"), "m")
+    return medians.groupBy("year").agg(
+        F.max(F.when(F.col("axis") == "x", F.col("m"))).alias("median_x"),
+        F.max(F.when(F.col("axis") == "y", F.col("m"))).alias("median_y"),
+    )
 
 
 def regression_segment(points: DataFrame, by=()) -> DataFrame:

@@ -79,10 +79,28 @@ def check_coverage(df: DataFrame, stated: DataFrame, key: str, date: str = "date
     return joined.where(~same)
 
 
-def check_ordered(df: DataFrame, keys, position: str, date: str = "date") -> DataFrame:
-    """Rows whose date is not after that of the previous position."""
-    w = W.partitionBy(*keys).orderBy(position)
-    return df.withColumn("previous", F.lag(date).over(w)).where(col(date) <= F.col("previous"))
+def check_ordered(df: DataFrame, keys, position: str, date: str = "date",
+                  chunk: int = 1_000_000) -> DataFrame:
+    """Rows whose date is not after that of the previous position.
+
+    Positions are numbers.  Each key is cut into ranges of ``chunk`` positions;
+    the first row of a range is compared with the last row of the range before,
+    so a key with most of the rows is checked in parallel.
+    """
+    keys = list(keys)
+    cut = df.withColumn("_chunk", F.floor(col(position) / F.lit(chunk)))
+    ends = cut.groupBy(*keys, "_chunk").agg(F.max_by(col(date), col(position)).alias("_last"))
+    carried = ends.select(
+        *keys, "_chunk", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_before")
+    )
+    inside = W.partitionBy(*keys, "_chunk").orderBy(position)
+    first = F.row_number().over(inside) == 1
+    return (
+        cut.join(carried, [*keys, "_chunk"])
+        .withColumn("previous", F.when(first, F.col("_before")).otherwise(F.lag(date).over(inside)))
+        .where(col(date) <= F.col("previous"))
+        .drop("_chunk", "_before")
+    )
 
 
 def check_no_lookahead(df: DataFrame, source_dates, date: str = "date") -> DataFrame:
