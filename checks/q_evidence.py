@@ -20,9 +20,9 @@ REASON = "CASE WHEN date < DATE '1995-06-30' THEN 'before_start' WHEN status not
 ONE = ("one as (select date, CASE WHEN month(date) = 8 THEN NULL WHEN month(date) = 9 THEN -value ELSE value END as value, status from records where entity='NATION_4' and indicator='{}')")
 
 
-def series(spark, d, indicator):
+def series(records, indicator):
     v = F.when(F.month("date") == 9, -F.col("value")).when(F.month("date") != 8, F.col("value"))
-    return fx.records(spark, d).where(f"entity = 'NATION_4' and indicator = '{indicator}'").withColumn("value", v).select("date", "value", "status")
+    return records.where(f"entity = 'NATION_4' and indicator = '{indicator}'").withColumn("value", v).select("date", "value", "status")
 
 
 LOG = al.InputSpec("building", "monthly", "dependent", ("actual", "provisional"), "log_difference")
@@ -30,7 +30,7 @@ LOG = al.InputSpec("building", "monthly", "dependent", ("actual", "provisional")
 
 @query("f3_eligible_observations", "records", f"with {ONE.format('BUILDING')} select date, status, {REASON} as reason from one")
 def _(spark, d):
-    return al.eligible_observations(series(spark, d, "BUILDING"), LOG, "1995-06-30").select("date", "status", "reason")
+    return al.eligible_observations(series(fx.records(spark, d), "BUILDING"), LOG, "1995-06-30").select("date", "status", "reason")
 
 
 
@@ -67,7 +67,8 @@ SPECS = (
 
 
 def aligned(spark, d):
-    inputs = {"a": series(spark, d, "BUILDING"), "b": series(spark, d, "MACHINERY"), "c": series(spark, d, "FURNITURE")}
+    records = settle(fx.records(spark, d))
+    inputs = {"a": series(records, "BUILDING"), "b": series(records, "MACHINERY"), "c": series(records, "FURNITURE")}
     return al.align(inputs, SPECS, "lag_then_inner_join")
 
 
@@ -186,7 +187,7 @@ ENDS = ("e as (select grp, date, y, x1, row_number() over (partition by grp orde
 
 @query("a41_stability_gate", "regression_w", f"with {ENDS} select grp, CAST(n AS BIGINT) as n, n > 36 and s1 > 0 and s2 > 0 as stable from sl")
 def _(spark, d):
-    return rg.stability_gate(fx.regression_w(spark, d), "y", ("intercept", "x1"), "x1", "positive", by=("grp",))
+    return rg.stability_gate(settle(fx.regression_w(spark, d)), "y", ("intercept", "x1"), "x1", "positive", by=("grp",))
 
 
 VARIANT = ("v as (select *, 'full' as variant from regression_w union all select *, 'later' from regression_w where date >= DATE '1997-01-01'"
@@ -195,7 +196,7 @@ VARIANT = ("v as (select *, 'full' as variant from regression_w union all select
 
 @query("a42_robustness", "regression_w", f"with {VARIANT} select grp, variant, count(*) as n, {rd('regr_slope(y, x1)', 5)} as slope, CASE WHEN regr_slope(y, x1) > 0 THEN true ELSE false END as same_direction from v group by 1,2")
 def _(spark, d):
-    base = fx.regression_w(spark, d)
+    base = settle(fx.regression_w(spark, d))
     tagged = base.withColumn("variant", F.lit("full")).unionByName(
         base.where("date >= date'1997-01-01'").withColumn("variant", F.lit("later"))).unionByName(
         fl.exclude_range(base, "1998-01-01", "1998-12-31").withColumn("variant", F.lit("no_1998")))
@@ -238,7 +239,7 @@ GATE_SQL = ("g as (select grp, count(*) as n, min(date) as start_date, max(date)
 
 
 def gates(spark, d):
-    df = fx.regression_w(spark, d)
+    df = settle(fx.regression_w(spark, d))
     # In one region the control repeats the focal column.
     df = df.withColumn("x2", F.when(F.col("grp") == "ASIA", F.col("x1")).otherwise(F.col("x2")))
     return ev.eligibility(df, dependent=["y"], focal=["x1"], controls=["x2"], min_observations=80, min_pairs=30, parameters=3, min_residual_df=20, by=("grp",))
@@ -261,10 +262,10 @@ def _(spark, d):
 @query("r7_readiness", "regression_w", f"with {GATE_SQL}, h as (select date, max(y) filter (where grp='ASIA') as y, max(x1) filter (where grp='EUROPE') as x1 from regression_w group by 1)"
        f" select 'regions' as analysis_key, grp, n, {OKAY} as eligible from g union all select 'cross', 'ALL', count(*), count(*) >= 30 from h where y is not null and x1 is not null")
 def _(spark, d):
-    cross = fx.regression_w(spark, d).groupBy("date").agg(
+    cross = settle(fx.regression_w(spark, d)).groupBy("date").agg(
         F.max(F.when(F.col("grp") == "ASIA", F.col("y"))).alias("y"), F.max(F.when(F.col("grp") == "EUROPE", F.col("x1"))).alias("x1")
-    ).where("y is not null and x1 is not null").withColumn("grp", F.lit("ALL"))
-    second = ev.eligibility(cross, dependent=["y"], focal=["x1"], min_observations=30, min_pairs=30, parameters=2, min_residual_df=20, by=("grp",))
+    ).where("y is not null and x1 is not null")
+    second = ev.eligibility(cross, dependent=["y"], focal=["x1"], min_observations=30, min_pairs=30, parameters=2, min_residual_df=20).withColumn("grp", F.lit("ALL"))
     return ev.readiness({"regions": gates(spark, d), "cross": second}).select("analysis_key", "grp", "n", "eligible")
 
 
@@ -288,7 +289,7 @@ GR = ("fo as (select *, CASE WHEN analysis_key % 3 = 0 THEN 'positive' WHEN anal
 
 def graded(spark, d):
     k = F.col("analysis_key") % 3
-    focal = ev.bh_adjust(tests(spark, d)).withColumn("expected", F.when(k == 0, "positive").when(k == 1, "negative").otherwise("two_sided"))
+    focal = settle(ev.bh_adjust(tests(spark, d))).withColumn("expected", F.when(k == 0, "positive").when(k == 1, "negative").otherwise("two_sided"))
     o = fx.table(spark, d, "orders").withColumnRenamed("o_custkey", "analysis_key")
     diagnostics = o.select("analysis_key", (F.col("o_totalprice") <= 490000).alias("passed"))
     robust = o.where("o_totalprice > 60000").select("analysis_key", ((F.col("o_totalprice") - 150000) / 1000).alias("value"), F.when(F.col("o_orderstatus") == "F", 0.01).otherwise(0.2).alias("p"))

@@ -14,6 +14,7 @@ from tidemark.operators import market as mk
 from tidemark.operators import reshape as rs
 from tidemark.operators import summaries as sm
 from tidemark.operators import vintages as vt
+from tidemark.session import settle
 
 VINTAGE = ("v as (select fy, max(b) as budget, max(rv) as revised, max(a) as actual, max(t) as total_expenditure from ("
            "select edition as fy, current_budget_capex as b, NULL as rv, NULL as a, NULL as t from snapshots"
@@ -152,7 +153,7 @@ def _(spark, d):
        f" select date, 'share' as indicator, {rd('value', 4)} as value, 'actual' as status from l union all"
        f" select l.date, 'ratio', {rd('l.value / rr.value')}, CASE WHEN rr.status <> 'actual' THEN rr.status ELSE 'actual' END from l join rr on l.date = rr.date where rr.value <> 0")
 def _(spark, d):
-    recs = fx.records(spark, d).where("entity = 'NATION_1'")
+    recs = settle(fx.records(spark, d)).where("entity = 'NATION_1'")
     left = recs.where("indicator = 'BUILDING'").select("date", F.lit("share").alias("indicator"), "value", F.lit("actual").alias("status"))
     out = vt.bridge(left, recs.where("indicator = 'MACHINERY'"), "ratio")
     return out.select("date", "indicator", F.when(F.col("indicator") == "share", r("value", 4)).otherwise(r("value", 6)).alias("value"), "status")
@@ -161,7 +162,7 @@ def _(spark, d):
 @query("j15_outer_align", "country_year", "select year, max(value) filter (where entity='NATION_1') as a, max(value) filter (where entity='NATION_2') as b, max(value) filter (where entity='NATION_3' and year > 1997) as c"
        " from country_year where entity in ('NATION_1','NATION_2') or (entity='NATION_3' and year > 1997) group by 1")
 def _(spark, d):
-    cy = fx.country_year(spark, d)
+    cy = settle(fx.country_year(spark, d))
     frames = {"a": cy.where("entity='NATION_1'"), "b": cy.where("entity='NATION_2'"), "c": cy.where("entity='NATION_3' and year > 1997")}
     return rs.outer_align(frames, "year")
 
@@ -219,7 +220,7 @@ def _(spark, d):
 
 @query("j22_scatter_points", "country_year", "select x.year, x.value as x, y.value as y, z.value as z from country_year x join country_year y on x.year=y.year left join (select * from country_year where entity='NATION_3' and year < 2000) z on z.year=x.year where x.entity='NATION_1' and y.entity='NATION_2'")
 def _(spark, d):
-    cy = fx.country_year(spark, d)
+    cy = settle(fx.country_year(spark, d))
     return sm.scatter_points(cy.where("entity='NATION_1'"), cy.where("entity='NATION_2'"), cy.where("entity='NATION_3' and year < 2000"), "year")
 
 

@@ -8,6 +8,7 @@ from checks import fixtures as fx
 from checks.registry import query, r, rd
 from tidemark.operators import panel as pn
 from tidemark.operators import reshape as rs
+from tidemark.session import settle
 
 # x and y enter the estimate rounded to 4 digits, as in the published panel.
 XY = ("pg as (select state, fy, outlay * 100 / current_value as x, (first_value(constant_value) over (partition by state order by fy range between 1 following and 1 following) / constant_value - 1) * 100 as y from panel),"
@@ -21,7 +22,8 @@ FE = ("cl as (select state, sum(xw*yw) as sxy, sum(xw*xw) as sxx, count(*) as c
 
 
 def sources(spark, d):
-    p = fx.panel(spark, d)
+    # The three published tables: one aggregation here, written once.
+    p = settle(fx.panel(spark, d))
     current = p.select("state", "fy", F.col("current_value").alias("value"))
     constant = p.select("state", "fy", F.col("constant_value").alias("value"))
     outlay = p.select("state", "fy", F.col("outlay").alias("value"), F.lit("actual").alias("status"))

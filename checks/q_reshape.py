@@ -10,6 +10,7 @@ from checks.registry import query, r, rd
 from tidemark.operators import correlation as co
 from tidemark.operators import market as mk
 from tidemark.operators import reshape as rs
+from tidemark.session import settle
 
 FIVE = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
@@ -85,7 +86,7 @@ def _(spark, d):
 
 @query("u9_to_market_performance", "ret_m", f"select market, count(*) as n, CAST(max(year(date)) AS DOUBLE) as last_year, {rd('arg_max(price, date) / arg_min(price, date) - 1')} as total_return from ret_m group by 1")
 def _(spark, d):
-    prices = mk.with_returns(fx.prices_m(spark, d))
+    prices = settle(mk.with_returns(fx.prices_m(spark, d)))
     pairs = co.pearson_matrix(prices, co.unordered_pairs(spark, FIVE))
     doc = rs.to_market_performance(mk.total_return(prices), prices, pairs, {"interval": "monthly"})
     summary = T.StructType([T.StructField("total_return", T.DoubleType())])

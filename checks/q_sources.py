@@ -9,7 +9,7 @@ from checks import fixtures as fx
 from checks.registry import query, r, rd
 from tidemark.functions.calendar import parse_quarter_label
 from tidemark.schema import FLOWS
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, settle
 from tidemark.sources import grids as gd
 from tidemark.sources import json_sources as js
 from tidemark.sources import landing as ld
@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("s9_with_snapshot_fallback", "country_year", "select entity, year, CASE WHEN entity < 'NATION_2' THEN value ELSE value * 3 END as value, entity >= 'NATION_2' as fallback from country_year")
 def _(spark, d):
-    cy = fx.country_year(spark, d)
+    cy = settle(fx.country_year(spark, d))
     fresh = cy.where("entity < 'NATION_2'").withColumn("retrieved_at", F.lit("2024-03-01"))
     landed = cy.withColumns({"value": F.col("value") * 2, "retrieved_at": F.lit("2024-01-01")}).unionByName(
         cy.withColumns({"value": F.col("value") * 3, "retrieved_at": F.lit("2024-02-01")}))

@@ -10,6 +10,7 @@ from tidemark.functions.scalars import map_category, offset_ratio
 from tidemark.operators import growth as gr
 from tidemark.operators import reshape as rs
 from tidemark.operators import summaries as sm
+from tidemark.session import settle
 
 FLOWMAP = {"DII": "DII", "FII": "FPI", "FPI": "FPI", "FII/FPI": "FPI"}
 MONTHLY = ("mf as (select date_trunc('month', date) as month, max(date) as date, coalesce(sum(net) filter (where category='DII'), 0) as DII, coalesce(sum(net) filter (where category<>'DII'), 0) as FPI from flows group by 1)")
@@ -98,7 +99,7 @@ def _(spark, d):
 @query("a44_scatter_reference", "country_year", "with p as (select x.value as x, y.value as y, z.value as z from country_year x join country_year y on x.year=y.year left join (select * from country_year where entity='NATION_3') z on z.year=x.year where x.entity='NATION_1' and y.entity='NATION_2')"
        f" select {rd('median(x)', 4)} as median_x, {rd('median(y)', 4)} as median_y, min(z) as min_z, max(z) as max_z from p")
 def _(spark, d):
-    cy = fx.country_year(spark, d)
+    cy = settle(fx.country_year(spark, d))
     p = sm.scatter_points(cy.where("entity='NATION_1'"), cy.where("entity='NATION_2'"), cy.where("entity='NATION_3'"), "year")
     return sm.scatter_reference(p).select(r("median_x", 4), r("median_y", 4), "min_z", "max_z")
 

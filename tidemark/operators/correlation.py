@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from tidemark.functions.moments import correlation, pair_count
 from tidemark.functions.scalars import col, ratio
 from tidemark.operators.growth import pct_change, trailing
+from tidemark.session import settle
 
 PAIR = ("market_a", "market_b")
 PAIR_SCHEMA = "market_a string, market_b string"
@@ -43,7 +44,9 @@ def unordered_pairs(spark: SparkSession, markets: Iterable[str]) -> DataFrame:
 
 def aligned_pairs(returns: DataFrame, pairs: DataFrame, value: str = "ret") -> DataFrame:
     """Rows (market_a, market_b, date, x, y) where both markets have a value."""
-    present = returns.where(col(value).isNotNull()).select("date", "market", col(value))
+    # The same filter on both sides lets the join reuse one exchange below it.
+    usable = col(value).isNotNull() & F.col("date").isNotNull() & F.col("market").isNotNull()
+    present = returns.where(usable).select("date", "market", col(value))
     left = present.select("date", F.col("market").alias("market_a"), col(value).alias("x"))
     right = present.select("date", F.col("market").alias("market_b"), col(value).alias("y"))
     return left.join(pairs, "market_a").join(right, ["market_b", "date"]).select(
@@ -106,10 +109,10 @@ def kendall_of(aligned: DataFrame) -> DataFrame:
     of observations, which are never formed.
     """
     by_pair = W.partitionBy(*PAIR)
-    rows = aligned.select(
+    rows = settle(aligned.select(
         *PAIR, "date", "x", "y",
         (F.dense_rank().over(by_pair.orderBy("y")) - 1).alias("y_rank"),
-    )
+    ))
     width = F.ceil(F.log2(F.max("y_rank").over(by_pair) + 1.0)).cast("int")
     digits = rows.withColumn("_width", F.greatest(width, F.lit(1))).select(
         *PAIR, "x", "y", "y_rank",

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.scalars import col
 from tidemark.operators.regression import INTERCEPT, design_rank, direction_matches
+from tidemark.session import settle
 
 ALPHA = 0.05
 CHECKS = (
@@ -35,10 +36,11 @@ def bh_adjust(pvals: DataFrame, family=("family",), p: str = "p_value",
     Equal p-values share one adjusted value, so tests are counted per distinct
     p first.  Distinct values are split into ``buckets`` ranges of p: ranks and
     the running minimum from above are carried across ranges by per-range
-    totals, so a family with most of the tests spreads over many tasks.
+    totals, so a family with most of the tests spreads over many tasks.  The
+    tests are read several times and are settled first.
     """
     family = list(family)
-    entered = pvals.withColumn("_p", F.coalesce(col(p), F.lit(1.0)))
+    entered = settle(pvals).withColumn("_p", F.coalesce(col(p), F.lit(1.0)))
     bucket = F.least(F.floor(F.col("_p") * buckets), F.lit(buckets - 1)).cast("int")
     values = entered.groupBy(*family, "_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket)
 

@@ -47,8 +47,14 @@ def two_way_demean(panel: DataFrame, columns=("x", "y"), entity: str = "state",
     """Value minus entity mean minus period mean plus grand mean.
 
     Means come from grouped aggregates joined back, so neither a large entity
-    nor the whole panel is ever gathered into one task.
+    nor the whole panel is ever gathered into one task.  The panel is read once
+    per mean and is settled first.
     """
+    return within(settle(panel), columns, entity, period)
+
+
+def within(panel: DataFrame, columns, entity: str, period: str) -> DataFrame:
+    """``two_way_demean`` of a frame that is cheap to read again."""
     def means(key: str, tag: str) -> DataFrame:
         return panel.groupBy(key).agg(*[F.avg(c).alias(f"_{tag}_{c}") for c in columns])
 
@@ -67,8 +73,8 @@ def two_way_fe(panel: DataFrame) -> DataFrame:
     several times and are settled first.
     """
     panel = settle(panel.select("state", "year", "x", "y"))
-    within = two_way_demean(panel)
-    clusters = settle(within.groupBy("state").agg(
+    demeaned = within(panel, ("x", "y"), "state", "year")
+    clusters = settle(demeaned.groupBy("state").agg(
         F.sum(F.col("xw") * F.col("yw")).alias("sxy"),
         F.sum(F.col("xw") * F.col("xw")).alias("sxx"),
         F.count(F.lit(1)).alias("rows"),

@@ -187,8 +187,9 @@ def latest_snapshot(wide: DataFrame, columns, year: str = "year") -> DataFrame:
     """Latest year with any value, unpivoted; categories without one keep null."""
     columns = list(columns)
     present = wide.dropna("all", subset=columns)
-    newest = present.select(F.max(year)).scalar()
-    return present.where(col(year) == newest).unpivot([year], columns, "category", "value")
+    # One row per year, so the largest row by year is the latest one.
+    newest = present.agg(F.max_by(F.struct(year, *columns), col(year)).alias("_row"))
+    return newest.select("_row.*").unpivot([year], columns, "category", "value")
 
 
 def tail(df: DataFrame, order: str, n: int) -> DataFrame:

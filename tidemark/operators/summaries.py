@@ -14,6 +14,7 @@ from tidemark.functions import calendar as cal
 from tidemark.functions.scalars import col, finite, offset_ratio, pct, predict_debt
 from tidemark.operators.filters import settled
 from tidemark.operators.growth import trailing_consecutive_sum
+from tidemark.session import settle
 
 FLOW_CATEGORIES = ("DII", "FPI")
 
@@ -57,9 +58,10 @@ def exact_median(df: DataFrame, value: str, keys, out: str = "median") -> DataFr
     that range's distinct values are then ordered.
     """
     keys = list(keys)
-    counts = df.where(col(value).isNotNull()).groupBy(*keys, col(value).alias("_v")).agg(
+    # Read once for the ranges and once for the chosen one.
+    counts = settle(df.where(col(value).isNotNull()).groupBy(*keys, col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
-    ).withColumn("_b", median_bucket(F.col("_v")))
+    ).withColumn("_b", median_bucket(F.col("_v"))))
     group = W.partitionBy(*keys)
     upto = group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     ranges = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).select(
