@@ -11,6 +11,7 @@ from tidemark.functions import scalars as sc
 from tidemark.operators import filters as fl
 from tidemark.operators import growth as gr
 from tidemark.operators import reshape as rs
+from tidemark.session import spread
 from tidemark.sources import documents as dc
 
 NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -268,7 +269,7 @@ LABEL_RX = r"(?i)Capital Expenditure(?:\d+|\*+)?\s+([\d,.]+)\s+([\d,.]+)"
 @query("s13_extract_labelled_amounts", "text_rows",
        f"select l_orderkey, l_linenumber, CAST(regexp_extract(text, '{LABEL_RX}', 1) AS DOUBLE) as amount, CAST(regexp_extract(text, '{LABEL_RX}', 2) AS DOUBLE) as quantity, shipdate from text_rows")
 def _(spark, d):
-    out = dc.extract_labelled_amounts(fx.text_rows(spark, d), "text", ("Capital Outlay", "Capital Expenditure"), 2)
+    out = dc.extract_labelled_amounts(spread(fx.text_rows(spark, d)), "text", ("Capital Outlay", "Capital Expenditure"), 2)
     return out.select("l_orderkey", "l_linenumber", F.get("amounts", F.lit(0)).alias("amount"), F.get("amounts", F.lit(1)).alias("quantity"), "shipdate")
 
 

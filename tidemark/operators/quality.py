@@ -146,12 +146,17 @@ def check_windows(events: DataFrame) -> DataFrame:
 
 
 def check_text(df: DataFrame, column: str, patterns=CAUSAL_PATTERNS) -> DataFrame:
-    """Rows whose lower-cased text matches a pattern, with the first such one."""
+    """Rows whose lower-cased text matches a pattern, with the first such one.
+
+    One alternation decides which rows match; the patterns are then tried one by
+    one on those rows only.
+    """
+    patterns = list(patterns)
     text = F.lower(col(column))
-    hit: Column = F.lit(None).cast("string")
-    for p in reversed(patterns):
+    hit: Column = F.lit(patterns[-1])
+    for p in reversed(patterns[:-1]):
         hit = F.when(text.rlike(p), F.lit(p)).otherwise(hit)
-    return df.withColumn("pattern", hit).where("pattern is not null")
+    return df.where(text.rlike("|".join(f"(?:{p})" for p in patterns))).withColumn("pattern", hit)
 
 
 def check_evidence(results: DataFrame, alpha: float = ALPHA) -> DataFrame:

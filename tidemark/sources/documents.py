@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import col
 
-AMOUNT = r"([\d,.]+)"
+AMOUNT = r"[\d,.]+"
 
 
 def java_quote(text: str) -> str:
@@ -18,8 +18,9 @@ def java_quote(text: str) -> str:
 
 
 def label_pattern(label: str, n: int) -> str:
-    """Label, an optional footnote mark, then n amounts."""
-    return rf"(?i){java_quote(label)}(?:\d+|\*+)?\s+" + r"\s+".join([AMOUNT] * n)
+    """Label, an optional footnote mark, then one group of n amounts."""
+    amounts = r"\s+".join([AMOUNT] * n)
+    return rf"(?i){java_quote(label)}(?:\d+|\*+)?\s+({amounts})"
 
 
 def amount(text: Column) -> Column:
@@ -28,14 +29,17 @@ def amount(text: Column) -> Column:
 
 
 def extract_labelled_amounts(docs: DataFrame, text: str, labels, n: int, out: str = "amounts") -> DataFrame:
-    """Array of the n amounts behind the first label that matches, else null."""
+    """Array of the n amounts behind the first label that matches, else null.
+
+    Each label is searched once: the amounts come out as one block and are
+    split afterwards.
+    """
     squeezed = F.regexp_replace(col(text), r"[ \t]+", " ")
-    found = []
-    for label in labels:
-        pattern = label_pattern(label, n)
-        groups = F.array(*[amount(F.regexp_extract("_text", pattern, g)) for g in range(1, n + 1)])
-        found.append(F.when(F.col("_text").rlike(pattern), groups))
-    return docs.withColumn("_text", squeezed).withColumn(out, F.coalesce(*found)).drop("_text")
+    blocks = [
+        F.get(F.regexp_extract_all(squeezed, F.lit(label_pattern(label, n)), F.lit(1)), F.lit(0))
+        for label in labels
+    ]
+    return docs.withColumn(out, F.transform(F.split(F.coalesce(*blocks), r"\s+"), amount))
 
 
 def section(text, start: str, end: str) -> Column:
