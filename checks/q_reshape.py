@@ -79,9 +79,10 @@ def _(spark, d):
     body = T.StructType([T.StructField("values", T.ArrayType(point))])
     schema = T.StructType([T.StructField("series", T.MapType(T.StringType(), body))])
     parsed = doc.select(F.explode(F.from_json("document", schema)["series"]).alias("key", "b"))
+    # A defined series without records has an empty list.
     v = F.col("b.values")
-    return parsed.select("key", F.size(v).cast("bigint").alias("n"), v[0]["date"].alias("first_date"), F.element_at(v, -1)["date"].alias("last_date"),
-                         F.element_at(v, -1)["value"].alias("last_value"), v[0]["status"].alias("first_status"))
+    return parsed.where(F.size(v) > 0).select("key", F.size(v).cast("bigint").alias("n"), F.get(v, F.lit(0))["date"].alias("first_date"), F.try_element_at(v, F.lit(-1))["date"].alias("last_date"),
+                         F.try_element_at(v, F.lit(-1))["value"].alias("last_value"), F.get(v, F.lit(0))["status"].alias("first_status"))
 
 
 @query("u9_to_market_performance", "ret_m", f"select market, count(*) as n, CAST(max(year(date)) AS DOUBLE) as last_year, {rd('arg_max(price, date) / arg_min(price, date) - 1')} as total_return from ret_m group by 1")
