@@ -243,6 +243,8 @@ def test_segmented_trend_report(spark):
     v = np.exp(0.02 * np.arange(108) + 0.05 * np.sin(np.arange(108)) + rng.normal(size=108) * 0.03)
     df = spark.createDataFrame([(m.date(), float(x), "actual") for m, x in zip(months, v)], "date date, value double, status string")
     report = er.run(er.ADOPTION_TREND, {"log_upi_transactions_per_capita": df})
+    shift = {r.term: r for r in report.estimates.collect()}
+    assert set(shift) == {"monthly_trend", "level_shift", "slope_shift"} and not shift["level_shift"].is_focal
     row = er.combine([report]).collect()[0]
     assert row.n == 108 and row.value > 0 and row.p_value < 0.05 and row.checks == 4
     assert report.robustness.where("value is not null").count() == 4
@@ -251,4 +253,6 @@ def test_segmented_trend_report(spark):
     x = np.column_stack([np.ones(108), t, *[(months.month == m).astype(float) for m in range(2, 13)], idx >= cut, np.maximum(0, idx - cut)])
     b, se, _, _ = ols_hac(np.log(v), x.astype(float), 12)
     assert row.value == pytest.approx(100 * np.expm1(12 * b[1]), rel=1e-8)
+    assert shift["level_shift"].value == pytest.approx(100 * np.expm1(b[-2]), rel=1e-6)
+    assert shift["slope_shift"].value == pytest.approx(100 * np.expm1(12 * b[-1]), rel=1e-6)
     assert row.se == pytest.approx(abs(1200 * np.exp(12 * b[1]) * se[1]), rel=1e-6)

@@ -41,6 +41,7 @@ class EvidenceSpec:
     min_observations: int = 30
     min_residual_df: int = 20
     scale: str = "identity"
+    secondary: tuple[tuple[str, str], ...] = ()
     start: str | None = None
     break_date: str | None = None
     covid_dates: tuple[str, ...] = ()
@@ -72,7 +73,7 @@ DEBT_INTEREST = EvidenceSpec(
     terms=("intercept", "lagged_general_government_debt", "lagged_primary_balance", "trend"),
     focal="lagged_general_government_debt", expected="positive", max_lag=2,
     family="fiscal_capacity_primary", diagnostics=FISCAL_DIAGNOSTICS, robustness=FISCAL_ROBUSTNESS,
-    covid_dates=COVID_YEARS,
+    secondary=(("lagged_primary_balance", "identity"), ("trend", "identity")), covid_dates=COVID_YEARS,
 )
 BALANCE_DEBT = EvidenceSpec(
     key="primary-balance-debt-change",
@@ -85,7 +86,7 @@ BALANCE_DEBT = EvidenceSpec(
     terms=("intercept", "lagged_primary_balance", "lagged_debt_change", "exceptional"),
     focal="lagged_primary_balance", expected="negative", max_lag=2,
     family="fiscal_capacity_primary", diagnostics=FISCAL_DIAGNOSTICS, robustness=FISCAL_ROBUSTNESS,
-    covid_dates=COVID_YEARS,
+    secondary=(("lagged_debt_change", "identity"), ("exceptional", "identity")), covid_dates=COVID_YEARS,
 )
 ADOPTION_TREND = EvidenceSpec(
     key="upi-adoption-trend",
@@ -94,6 +95,7 @@ ADOPTION_TREND = EvidenceSpec(
     terms=rg.SEGMENTED_TERMS, focal="monthly_trend", expected="positive", max_lag=12,
     family="digital_integration_primary", diagnostics=TREND_DIAGNOSTICS, robustness=TREND_ROBUSTNESS,
     min_observations=36, scale="annual_log_percent", start="2017-04-30", break_date="2020-04-30",
+    secondary=(("level_shift", "log_percent"), ("slope_shift", "annual_log_percent")),
 )
 
 
@@ -200,12 +202,16 @@ def robustness_fits(spec: EvidenceSpec, sample: DataFrame, fit: rg.Fit) -> DataF
     return names.join(fitted, "specification", "left")
 
 
-def on_scale(df: DataFrame, scale: str) -> DataFrame:
-    """Estimates on their reporting scale; the level variant has its own."""
-    level = F.col("specification") == "linear_level_trend" if "specification" in df.columns else F.lit(False)
+def on_scale(df: DataFrame, scale: str, special: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """Estimates on their reporting scale.
 
+    ``special`` names the (column, value) rows that have a scale of their own.
+    """
     def choose(fn, *args):
-        return F.when(level, fn(*args, "annual_level")).otherwise(fn(*args, scale))
+        out = fn(*args, scale)
+        for (column, value), own in (special or {}).items():
+            out = F.when(F.col(column) == value, fn(*args, own)).otherwise(out)
+        return out
 
     return df.withColumns({
         "value": choose(effect, "coef"), "low": choose(effect, "ci_low"), "high": choose(effect, "ci_high"),
@@ -241,13 +247,15 @@ def run(spec: EvidenceSpec, inputs: dict[str, DataFrame]) -> Report:
     passed = gate.where("eligible").select("analysis_key")
     key = F.lit(spec.key).alias("analysis_key")
     fit = rg.ols(designed(spec, sample), spec.dependent, spec.terms).settle()
-    main = on_scale(_focal_rows(fit, spec.max_lag, spec.focal), spec.scale)
-    estimates = main.select(
-        key, F.lit(spec.family).alias("family"), "term", F.lit(True).alias("is_focal"),
+    reported = rg.hac(fit, spec.max_lag).where(F.col("term").isin(spec.focal, *dict(spec.secondary)))
+    scaled = on_scale(reported, spec.scale, {("term", t): own for t, own in spec.secondary})
+    estimates = scaled.select(
+        key, F.lit(spec.family).alias("family"), "term", (F.col("term") == spec.focal).alias("is_focal"),
         F.lit(spec.expected).alias("expected"), "value", F.col("error").alias("se"),
         F.col("low").alias("ci_low"), F.col("high").alias("ci_high"), "p_value", "n",
     )
-    robustness = on_scale(robustness_fits(spec, sample, fit), spec.scale).select(
+    level = {("specification", "linear_level_trend"): "annual_level"}
+    robustness = on_scale(robustness_fits(spec, sample, fit), spec.scale, level).select(
         key, "specification", "value", "p_value", "n",
         ev.robustness_status("p_value", "value", spec.expected).alias("status"),
     )
@@ -267,7 +275,7 @@ def combine(reports) -> DataFrame:
     reports = list(reports)
 
     gate = union_records(*[r.eligibility for r in reports])
-    estimates = union_records(*[r.estimates for r in reports])
+    estimates = union_records(*[r.estimates for r in reports]).where("is_focal")
     registered = gate.select("analysis_key", "family", "eligible", "n", "start_date", "end_date")
     focal = registered.join(estimates.drop("n", "family"), "analysis_key", "left")
     adjusted = ev.bh_adjust(focal).where("eligible")
