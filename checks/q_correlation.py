@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.registry import corr_sql, query, r, rd
 from tidemark.operators import correlation as co
-from tidemark.operators import growth as gr
 from tidemark.operators import market as mk
 
 HOME = ("click", "error")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import clean_double, pct, ratio
+from tidemark.functions.scalars import clean_double, ratio
 from tidemark.operators.growth import lead_year_growth
 from tidemark.operators.summaries import exact_median
 from tidemark.session import settle

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.scalars import clean_double, col
+from tidemark.functions.scalars import clean_double
 
 SKIP_LABELS = r"^(Note|Source)"
 
