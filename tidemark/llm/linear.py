@@ -22,15 +22,19 @@ UPPER, LOW, DIGIT = (byte_class(lambda b, lo=lo, hi=hi: lo <= b <= hi) for lo, h
 
 @dataclass
 class Features:
-    """Occurrences of features: ``index[first[d]:first[d + 1]]``, each of weight ``weight[d]``."""
+    """Features of text d: ``index[first[d]:first[d + 1]]``, each of weight ``weight[d]``."""
 
     index: np.ndarray
     first: np.ndarray
     weight: np.ndarray
 
 
-def features(text: pa.Array) -> Features:
-    """Word 1- and 2-grams and shape 1- to 3-grams, hashed; a text's weights sum to one.
+def features(text: pa.Array, presence: bool = False) -> Features:
+    """Word 1- and 2-grams and shape 1- to 3-grams, hashed.
+
+    By default every occurrence weighs ten over their number: a text is what it
+    is on average.  With ``presence`` every distinct feature weighs five over
+    the fourth root of that number: a single telling word counts.
 
     Words are runs of letters and digits or runs of marks.  The shape of a word
     is its letter cases, digits and whether it repeats the word before it or
@@ -64,7 +68,11 @@ def features(text: pa.Array) -> Features:
     index = np.stack(families, axis=1).reshape(-1)
     index = (index >> U(32)).astype(np.int64) * DIMENSIONS >> 32
     first = np.searchsorted(doc, np.arange(len(text) + 1)) * len(families)
-    return Features(index, first, 1 / np.maximum(np.diff(first), 1))
+    number = np.maximum(np.diff(first), 1)
+    if not presence:
+        return Features(index, first, 10 / number)
+    once = np.unique(np.repeat(doc, len(families)) * DIMENSIONS + index)
+    return Features(once % DIMENSIONS, np.searchsorted(once, np.arange(len(text) + 1) * DIMENSIONS), 5 / number ** 0.25)
 
 
 @dataclass
@@ -95,23 +103,22 @@ def sigmoid(t):
     return 1 / (1 + np.exp(-np.clip(t, -30, 30)))
 
 
-def _examples(batches: Iterator[pa.RecordBatch]):
+def _examples(batches: Iterator[pa.RecordBatch], presence: bool):
     """``(index, value, label)`` of each labelled text; the last index is the constant."""
     for batch in batches:
         for part in slices(batch):
-            f = features(part.column("text"))
+            f = features(part.column("text"), presence)
             for d, label in enumerate(part.column("label").to_pylist()):
                 at, times = np.unique(f.index[f.first[d]:f.first[d + 1]], return_counts=True)
-                # A scale of ten puts weights of frequent features near one.
-                x = np.append(times * (10 * f.weight[d]), 1.0).astype(np.float32)
+                x = np.append(times * f.weight[d], 1.0).astype(np.float32)
                 yield np.append(at, DIMENSIONS).astype(np.int32), x, label
 
 
-def _fit_shard(batches: Iterator[pa.RecordBatch], outputs: int, epochs: int) -> Iterator[pa.RecordBatch]:
-    rows = list(_examples(batches))
+def _fit_shard(batches: Iterator[pa.RecordBatch], outputs: int, epochs: int, presence: bool) -> Iterator[pa.RecordBatch]:
+    rows = list(_examples(batches, presence))
     if not rows:
         return
-    leaders = [Leader() for _ in range(outputs)]
+    leaders = [Leader(alpha=0.3, l1=2.0) if presence else Leader() for _ in range(outputs)]
     for _ in range(epochs):
         for at, x, label in rows:
             for k, leader in enumerate(leaders):
@@ -123,7 +130,7 @@ def _fit_shard(batches: Iterator[pa.RecordBatch], outputs: int, epochs: int) ->
 
 
 def fit(labelled: DataFrame, outputs: int = 1, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS,
-        epochs: int = EPOCHS) -> np.ndarray:
+        epochs: int = EPOCHS, presence: bool = False) -> np.ndarray:
     """Weights ``[outputs, DIMENSIONS + 1]`` from ``doc_id, text, label`` rows (label: 0/1, or the output's number).
 
     The sample is bounded by ``sample_rows``: beyond it, rows are taken by a
@@ -139,20 +146,20 @@ def fit(labelled: DataFrame, outputs: int = 1, sample_rows: int = SAMPLE_ROWS, s
     shards = -(-min(total, sample_rows) // shard_rows) or 1
     dealt = labelled.select("text", "label", F.xxhash64(F.lit("order"), "doc_id", "text").alias("turn")).repartition(
         shards, F.pmod("turn", F.lit(shards))).sortWithinPartitions("turn", "label")
-    found = dealt.mapInArrow(lambda it: _fit_shard(it, outputs, epochs), "rows long, w binary").collect()
+    found = dealt.mapInArrow(lambda it: _fit_shard(it, outputs, epochs, presence), "rows long, w binary").collect()
     out = np.zeros((outputs, DIMENSIONS + 1))
     for row in sorted(found, key=lambda r: bytes(r.w)):
         out += np.frombuffer(row.w, np.float32).reshape(out.shape) * (row.rows / sum(r.rows for r in found))
     return out.astype(np.float32)
 
 
-def margins(text: pa.Array, weights: np.ndarray) -> np.ndarray:
+def margins(text: pa.Array, weights: np.ndarray, presence: bool = False) -> np.ndarray:
     """Sparse dot products ``[outputs, texts]``."""
-    f = features(text)
+    f = features(text, presence)
     out = np.empty((len(weights), len(text)))
     for k, w in enumerate(weights):
         sums = np.concatenate([[0.0], np.cumsum(w[f.index], dtype=np.float64)])
-        out[k] = (sums[f.first[1:]] - sums[f.first[:-1]]) * 10 * f.weight + w[-1]
+        out[k] = (sums[f.first[1:]] - sums[f.first[:-1]]) * f.weight + w[-1]
     return out
 
 

@@ -161,7 +161,8 @@ class Encoder:
 # checksum of the payload.  A payload: 1 byte, 0 for a null id; the id (8
 # bytes); token ids of equal width.  Numbers are little-endian.
 
-_HEAD = struct.Struct("<?q")
+_HEAD = "<?q"
+_HEAD_SIZE = struct.calcsize(_HEAD)
 
 
 def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
@@ -179,7 +180,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, width: int
             for piece in slices(batch, max_rows=512):
                 texts = piece.column("text").to_pylist()
                 doc_ids = piece.column("doc_id").to_pylist()
-                payload = [_HEAD.pack(i is not None, i or 0) + ids + stop
+                payload = [struct.pack(_HEAD, i is not None, i or 0) + ids + stop
                            for i, ids in zip(doc_ids, encoder.ids([t or "" for t in texts]), strict=True)]
                 size = np.array([len(p) for p in payload])
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -196,7 +197,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, width: int
                 place = int(offset[-1] + size[-1] + 16)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(size), pa.int32()), pa.array([name] * len(size)), pa.array(offset, pa.int64()),
-                     pa.array(size, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array((size - _HEAD.size) // width, pa.int64())],
+                     pa.array(size, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array((size - _HEAD_SIZE) // width, pa.int64())],
                     ["part", "file", "offset", "length", "doc_id", "n_tokens"])
     finally:
         if out is not None:
@@ -265,8 +266,8 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterato
         before = before if name == current else 0
         current, rows = name, []
         for s, n in zip(start.tolist(), size.tolist(), strict=True):
-            known, doc_id = _HEAD.unpack_from(block, s)
-            ids = np.frombuffer(block, f"<u{width}", (n - _HEAD.size) // width, s + _HEAD.size)
+            known, doc_id = struct.unpack_from(_HEAD, block, s)
+            ids = np.frombuffer(block, f"<u{width}", (n - _HEAD_SIZE) // width, s + _HEAD_SIZE)
             rows.append((name, doc_id if known else None, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
             before += len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
@@ -296,7 +297,7 @@ def fetch(index: DataFrame, folder: str, width: int = 2) -> DataFrame:
                     source.seek(row["offset"])
                     block = source.read(row["length"] + 16)
                 start, size, _ = parse(block, last=True)
-                ids = np.frombuffer(block, f"<u{width}", (size[0] - _HEAD.size) // width, start[0] + _HEAD.size)
+                ids = np.frombuffer(block, f"<u{width}", (size[0] - _HEAD_SIZE) // width, start[0] + _HEAD_SIZE)
                 yield pa.RecordBatch.from_pydict({"doc_id": [row["doc_id"]], "ids": [ids.tolist()]},
                                                  pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
