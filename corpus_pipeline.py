@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import leaks, mixing, near, quality, records
-from tidemark.llm.store import stored
+from tidemark.llm.store import plain_names, stored
 
 #: Shares of the tokens that are left after the quality stage.
 TARGETS = {"prime": 0.99, "toxic": 0.01}
@@ -17,23 +17,27 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; columns as they were."""
-    scored = quality.with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="_score")
-    return scored.filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    docs, restore = plain_names(docs)
+    scored = quality.with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return restore(scored.filter(F.col("score") >= quality.THRESHOLD))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest id, once; a null id stays, once for each text."""
-    kept = near.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
+    docs, restore = plain_names(docs)
+    kept = near.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
     unnamed = docs.filter("doc_id is null").dropDuplicates(["text"])
-    return named.unionByName(unnamed)
+    return restore(named.unionByName(unnamed))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark phrase; a document of several rows goes if one of them has one."""
+    """Documents without any benchmark phrase."""
+    docs, restore = plain_names(docs)
     found = leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(
-        F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+        F.col("doc_id").alias("leak_id"), "text_hash").distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("leak_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    return restore(docs.join(found, same, "left_anti"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,8 +166,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
     """Exact phrase matches of benchmark items in documents.
 
     Takes ``doc_id, text`` and ``item_id, text``; other columns are ignored.
-    Returns one row per input row: ``doc_id, n_words, n_hit, n_items,
-    item_ids, contaminated``.  Every run of ``window`` item words (all words of
+    Returns one row per input row: ``doc_id, text_hash, n_words, n_hit,
+    n_items, item_ids, contaminated``.  Every run of ``window`` item words (all words of
     a shorter item) is a phrase; ``n_hit`` counts the document words inside any
     occurrence of a phrase, ``item_ids`` (strings, sorted) are the items that
     have one.
@@ -197,7 +197,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
         "doc_id", "text_hash", "n_hit").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash"))
     return index.filter("n_words is not null").alias("d").join(named.alias("h"), same, "left").select(
-        "d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        "d.doc_id", "d.text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

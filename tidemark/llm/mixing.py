@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import linear
-from tidemark.llm.store import stored
+from tidemark.llm.store import plain_names, stored
 from tidemark.llm.words import SPACED, slices, words_of
 
 #: Share of the token total that each domain should get.
@@ -128,6 +128,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The documents, each as often as its copies say; columns as they were."""
+    docs, restore = plain_names(docs)
     out = with_rates(docs, labelled_domains(labels), targets)
-    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return restore(out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))

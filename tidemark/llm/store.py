@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,16 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with neutral names for all columns but ``doc_id`` and ``text``, and what puts the names back.
+
+    So columns that an operator adds cannot clash with those a table brings.
+    """
+    names = docs.columns
+    held = [c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(names)]
+    return docs.toDF(*held), lambda out: out.select(*held).toDF(*names)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``a, b`` (long) pairs: one ``node, root`` row per node.
 

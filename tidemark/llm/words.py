@@ -2,7 +2,7 @@
 
 Words are maximal runs of bytes of one class in UTF-8 text; every byte of a
 character outside ASCII belongs to the same class, so byte runs are words.
-Work goes in slices of a few megabytes, whatever the batch holds.
+Work goes in slices of about a megabyte, whatever the batch holds.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES, SLICE_ROWS, BLOCK = 4 << 20, 2048, 1 << 20
+SLICE_BYTES, SLICE_ROWS, BLOCK = 1 << 20, 1024, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 
