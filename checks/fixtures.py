@@ -169,7 +169,7 @@ def monthly_volume(spark, d):
 
 
 def country_year(spark, d):
-    return geography(spark, d).where("o_orderpriority = '1-URGENT'").groupBy(
+    return geography(spark, d).groupBy(
         F.col("n_name").alias("entity"), F.year("o_orderdate").cast("int").alias("year")
     ).agg(davg("o_totalprice").alias("value"))
 
@@ -267,7 +267,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
                   f" {xs(f'CASE WHEN o_orderstatus={chr(39)}F{chr(39)} THEN {PRICE_S} ELSE {PRICE_S}*-0.5 END')} as net"
                   " from orders group by 1,2"),
     "monthly_volume": ((), f"select CAST(year(o_orderdate) AS INT) as y, CAST(month(o_orderdate) AS INT) as m, count(*) as volume, {s('o_totalprice')} as value from orders group by 1,2"),
-    "country_year": ((), f"select n_name as entity, CAST(year(o_orderdate) AS INT) as year, {s('o_totalprice')}/count(*) as value from {GEO} where o_orderpriority='1-URGENT' group by 1,2"),
+    "country_year": ((), f"select n_name as entity, CAST(year(o_orderdate) AS INT) as year, {s('o_totalprice')}/count(*) as value from {GEO} group by 1,2"),
     "regression_m": (("prices_m",), "select date, max(price/1e6) filter (where market='ASIA') as y, max(price/1e6) filter (where market='EUROPE') as x1,"
                                     " max(price/1e6) filter (where market='AFRICA') as x2 from prices_m group by 1"),
     "regression_w": ((), f"select r_name as grp, {MONTH.format('o_orderdate')} as date, {s('o_totalprice')}/1e6 as y, CAST(count(*) AS DOUBLE) as x1,"

@@ -253,7 +253,8 @@ def evidence_inputs(spark, d):
 TREND = er.EvidenceSpec(
     key="volume-trend", inputs=(al.InputSpec("log_volume", "monthly", "dependent", ("actual",), "log"),), alignment="exact_date_inner_join",
     terms=er.ADOPTION_TREND.terms, focal="monthly_trend", expected="positive", max_lag=12, family="digital", diagnostics=er.TREND_DIAGNOSTICS,
-    robustness=("exclude_disruption", "linear_level_trend", "hac_max_lags_6"), min_observations=36, scale="annual_log_percent", break_date="1998-04-30")
+    robustness=("start_date_2018_04", "exclude_pandemic_disruption_months", "linear_level_trend", "hac_max_lags_6"),
+    later_start="1996-01-31", disruption=("1998-03-31", "1998-06-30"), min_observations=36, scale="annual_log_percent", break_date="1998-04-30")
 FISCAL = er.EvidenceSpec(
     key="flow-change", inputs=(al.InputSpec("net_change", "monthly", "dependent", transform="difference"), al.InputSpec("lagged_buy", "monthly", "focal", lag=1), al.InputSpec("lagged_sell", "monthly", "control", lag=1)),
     alignment="lag_then_inner_join", terms=("intercept", "lagged_buy", "lagged_sell", "trend"), focal="lagged_buy", expected="negative", max_lag=2, family="fiscal",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.registry import query, rd
 from tidemark.operators import quality as ql
-from tidemark.session import spread
 
 
 @query("v1_check_unique", sql="select o_custkey, CAST(o_orderdate AS DATE) as day, count(*) as n from orders group by 1,2 having count(*) > 1")
@@ -151,4 +150,4 @@ def pattern_sql(patterns) -> str:
 
 @query("v16_check_text", sql=f"select doc_id, {pattern_sql(TEXT_PATTERNS)} as pattern from documents where {pattern_sql(TEXT_PATTERNS)} is not null")
 def _(spark, d):
-    return ql.check_text(spread(fx.table(spark, d, "documents").select("doc_id", "text")), "text", TEXT_PATTERNS).select("doc_id", "pattern")
+    return ql.check_text(fx.table(spark, d, "documents").select("doc_id", "text"), "text", TEXT_PATTERNS).select("doc_id", "pattern")

@@ -55,9 +55,8 @@ def _(spark, d):
     land(p, path, "2024-01-01")
     land(p.where("market in ('ASIA','EUROPE')").withColumn("price", F.col("price") * 2), path, "2024-02-01")
     rows = js.read_landed(spark, f"{path}/*/", OBS)
-    rows = rows.withColumns({"date_dir": F.col("retrieved_at"), "landing": F.col("retrieved_at")})
-    # A landing is one write here, so its files share the folder name.
-    newest = ld.latest_landing(rows, ["key"], "date_dir", "landing", "retrieved_at")
+    rows = rows.withColumn("date_dir", F.col("retrieved_at"))
+    newest = ld.latest_landing(rows, ["key"])
     return newest.select("key", "date", "tri")
 
 
@@ -272,37 +271,36 @@ def landed_flows(spark, d, revise: bool):
     """Daily flow files; with revisions, later files replace earlier figures."""
     path = scratch_path(spark, "flows")
     f = fx.flows(spark, d).select(*FLOWS.names)
-    f.withColumn("retrieved_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).coalesce(2).write.json(f"{path}/a")
+    # Many files in no order of dates, so that every trigger brings late rows.
+    f.withColumn("retrieved_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).repartition(6, F.xxhash64("date")).write.json(f"{path}/a")
     second = f.where("category = 'DII' and date >= date'1998-01-01'") if revise else f
     factor = 2 if revise else 1
     moment = "2024-01-03 00:00:00" if revise else "2024-01-01 00:00:00"
-    second.withColumns({"net": F.col("net") * factor, "retrieved_at": F.lit(moment).cast("timestamp")}).coalesce(1).write.json(f"{path}/b")
+    second.withColumns({"net": F.col("net") * factor, "retrieved_at": F.lit(moment).cast("timestamp")}).repartition(3, F.xxhash64("category", "date")).write.json(f"{path}/b")
     return path
 
 
 @query("x1_stream_landed", "flows", "select date, category, buy, sell, net from flows")
 def _(spark, d):
-    source = st.stream_landed(spark, f"{landed_flows(spark, d, False)}/*")
+    source = st.read_stream(spark, f"{landed_flows(spark, d, False)}/*", files_per_trigger=4)
     out = scratch_path(spark, "ingested")
-    q = source.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").start(out)
-    q.awaitTermination()
-    return spark.read.parquet(out).select(*FLOWS.names)
+    st.stream_landed(source, out, f"{out}-state").awaitTermination()
+    return st.landed_rows(spark, out).select(*FLOWS.names)
 
 
 @query("x2_stream_upsert", "flows", "select date, category, CASE WHEN category='DII' and date >= DATE '1998-01-01' THEN net * 2 ELSE net END as net from flows")
 def _(spark, d):
-    source = st.read_stream(spark, f"{landed_flows(spark, d, True)}/*", files_per_trigger=2)
-    table = scratch_path(spark, "archive")
-    st.stream_upsert(source, table, ("date", "category"), "retrieved_at", f"{table}-state").awaitTermination()
+    path, table = landed_flows(spark, d, True), scratch_path(spark, "archive")
+    for name in ("a", "b"):  # each part is a stream of its own, with a new checkpoint
+        source = st.read_stream(spark, f"{path}/{name}", files_per_trigger=3)
+        st.stream_upsert(source, table, ("date", "category"), "retrieved_at", f"{table}-state-{name}").awaitTermination()
     return st.current_rows(spark, table, st.LANDED_FLOWS).select("date", "category", "net")
 
 
 @query("x3_stream_monthly_flows", "flows", f"select CAST(date_trunc('month', date) AS DATE) as month, category, {rd('sum(net)', 3)} as net, max(date) as date from flows group by 1,2")
 def _(spark, d):
     path = scratch_path(spark, "flows")
-    fx.flows(spark, d).withColumn("retrieved_at", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.json(path)
-    monthly = st.stream_monthly_flows(st.read_stream(spark, path))
+    fx.flows(spark, d).withColumn("retrieved_at", F.lit("2024-01-01").cast("timestamp")).repartition(6, F.xxhash64("date")).write.json(path)
     table = scratch_path(spark, "monthly")
-    st.stream_updates(monthly, table, f"{table}-state").awaitTermination()
-    newest = st.latest_updates(spark.read.parquet(table), ("month", "category"))
-    return newest.select(F.col("month").cast("date").alias("month"), "category", r("net", 3), "date")
+    st.stream_monthly_flows(st.read_stream(spark, path, files_per_trigger=2), table, f"{table}-state").awaitTermination()
+    return st.monthly_flows(spark, table).select("month", "category", r("net", 3), "date")

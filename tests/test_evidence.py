@@ -256,3 +256,36 @@ def test_segmented_trend_report(spark):
     assert shift["level_shift"].value == pytest.approx(100 * np.expm1(b[-2]), rel=1e-6)
     assert shift["slope_shift"].value == pytest.approx(100 * np.expm1(12 * b[-1]), rel=1e-6)
     assert row.se == pytest.approx(abs(1200 * np.exp(12 * b[1]) * se[1]), rel=1e-6)
+
+
+def test_incomplete_groups_are_refused_and_short_groups_stay(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for name, n in (("long", 300), ("short", 14), ("holed", 40), ("tiny", 2)):
+        u = 0.0
+        for i in range(n):
+            u = 0.5 * u + float(rng.standard_normal())
+            x = None if name == "holed" and i == 7 else float(i)
+            rows.append((name, dt.date(2000, 1, 1) + dt.timedelta(days=31 * i), 1.0 + 2.0 * i, x, u))
+    df = spark.createDataFrame(rows, "grp string, date date, y double, x double, u double")
+    groups = {r.grp: r for r in rg.ols(df, "y", ("intercept", "x"), ("grp",)).groups.collect()}
+    assert groups["holed"].beta is None
+    assert np.allclose(groups["long"].beta, [1.0, 2.0]) and np.allclose(groups["short"].beta, [1.0, 2.0])
+    together = {r.grp: r for r in rg.adf(df, "u", ("grp",)).collect()}
+    assert set(together) == {"long", "short", "holed", "tiny"}
+    for name in ("long", "short"):
+        alone = rg.adf(df.where(f"grp = '{name}'"), "u", ("grp",)).first()
+        assert together[name].lag == alone.lag and abs(together[name].tau - alone.tau) < 1e-9
+
+
+def test_reversed_event_window_gives_nothing(spark):
+    import datetime as dt
+
+    from tidemark.operators import market as mk
+
+    prices = spark.createDataFrame([(dt.date(2024, 1, k), "M", float(k)) for k in range(1, 20)], "date date, market string, price double")
+    events = spark.createDataFrame([("ok", dt.date(2024, 1, 2), dt.date(2024, 1, 5)), ("back", dt.date(2024, 1, 9), dt.date(2024, 1, 3))],
+                                   "event_id string, start_date date, end_date date")
+    assert [r.event_id for r in mk.event_window_change(prices, events).collect()] == ["ok"]

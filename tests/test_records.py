@@ -208,3 +208,68 @@ def test_order_check_across_chunks(spark):
     df = spark.createDataFrame(rows, "k string, pos int, date date")
     for chunk in (2, 3, 100):
         assert sorted(r.pos for r in ql.check_ordered(df, ["k"], "pos", chunk=chunk).collect()) == [3, 5, 7]
+
+
+# --- streams and landings ------------------------------------------------------------
+
+def flow_rows(spark, rows):
+    from tidemark.streaming import flows as st
+
+    stamped = [(dt.date.fromisoformat(d), "FPI", 1.0, 1.0, net, dt.datetime.fromisoformat(at)) for d, net, at in rows]
+    return spark.createDataFrame(stamped, st.LANDED_FLOWS)
+
+
+def test_upsert_survives_replay_and_restart(spark, tmp_path):
+    from tidemark.streaming import flows as st
+
+    table, keys = str(tmp_path / "flows"), ("date", "category")
+
+    def put(source, batch, rows):
+        st.upsert_batch(flow_rows(spark, rows), batch, source, table, st.LANDED_FLOWS, keys, "retrieved_at")
+
+    def live():
+        return {str(r.date): r.net for r in st.current_rows(spark, table, st.LANDED_FLOWS).collect()}
+
+    put("a", 0, [("2024-01-01", 1.0, "2024-03-01"), ("2024-01-02", 2.0, "2024-03-01"), ("2024-02-01", 3.0, "2024-03-01")])
+    revised = [("2024-01-02", 20.0, "2024-03-02")]
+    put("a", 1, revised)
+    put("a", 1, revised)
+    assert live() == {"2024-01-01": 1.0, "2024-01-02": 20.0, "2024-02-01": 3.0}
+    put("b", 0, [("2024-01-03", 30.0, "2024-03-03")])  # a new checkpoint counts batches from 0 again
+    put("a", 1, revised)
+    expected = {"2024-01-01": 1.0, "2024-01-02": 20.0, "2024-01-03": 30.0, "2024-02-01": 3.0}
+    assert live() == expected
+    assert st.vacuum(spark, table) == 2
+    assert live() == expected
+
+
+def test_landing_keeps_late_rows_once(spark, tmp_path):
+    from tidemark.streaming import flows as st
+
+    table = str(tmp_path / "landed")
+    first = [("2024-03-01", 1.0, "2024-06-01"), ("2024-03-02", 2.0, "2024-06-01")]
+    late = [("2020-01-01", 3.0, "2020-01-01"), *first]
+    for batch, rows in ((0, first), (1, late), (1, late)):
+        st.land_batch(flow_rows(spark, rows), batch, "a", table, st.LANDED_FLOWS)
+    assert sorted(r.net for r in st.landed_rows(spark, table).collect()) == [1.0, 2.0, 3.0]
+
+
+def test_monthly_flows_keep_late_months(spark, tmp_path):
+    from tidemark.streaming import flows as st
+
+    source, table = str(tmp_path / "in"), str(tmp_path / "monthly")
+    for day in ("2024-09-01", "2024-02-01", "2024-09-02"):
+        flow_rows(spark, [(day, 7.0, "2024-10-01")]).coalesce(1).write.mode("append").json(source)
+        st.stream_monthly_flows(st.read_stream(spark, source), table, str(tmp_path / "state")).awaitTermination()
+    got = {str(r.month): r.net for r in st.monthly_flows(spark, table).collect()}
+    assert got == {"2024-09-01": 14.0, "2024-02-01": 7.0}
+
+
+def test_latest_landing_keeps_all_part_files(spark):
+    from tidemark.sources.landing import latest_landing
+
+    job = "/part-0000{}-aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeee{}-c000.json"
+    rows = [("k", "2024-01-02", 5, "/x" + job.format(0, 1), 1), ("k", "2024-01-02", 6, "/x" + job.format(1, 1), 2),
+            ("k", "2024-01-02", 4, "/x" + job.format(0, 2), 3), ("k", "2024-01-01", 9, "/y.json", 4)]
+    df = spark.createDataFrame(rows, "key string, date_dir string, file_time int, file_path string, value int")
+    assert sorted(r.value for r in latest_landing(df, ["key"]).collect()) == [1, 2]

@@ -27,15 +27,15 @@ def slice_dates(df: DataFrame, start, end, date: str = "date") -> DataFrame:
 def drop_any(df: DataFrame, n_markets=None, market: str = "market", value: str = "price") -> DataFrame:
     """Keep the dates on which every market of a long frame has a value.
 
-    ``n_markets`` is the expected market count.  Without it the distinct markets
-    are counted in a scalar subquery, which reads the frame a second time; with
-    it one window by date decides, holding one row per market.
+    ``n_markets`` is the expected market count; without it the distinct markets
+    are counted in a scalar subquery.  Complete dates are counted with partial
+    sums and met in a semi join, so no row carries the markets of its date.
     """
     present = df.where(col(value).isNotNull())
     if n_markets is None:
         n_markets = df.select(F.count_distinct(col(market))).scalar()
-    seen = F.size(F.collect_set(col(market)).over(W.partitionBy("date")))
-    return present.withColumn("_n", seen).where(F.col("_n") == n_markets).drop("_n")
+    seen = present.groupBy("date").agg(F.count_distinct(col(market)).alias("_n")).where(F.col("_n") == n_markets)
+    return present.join(seen.select("date"), "date", "left_semi")
 
 
 def drop_all(df: DataFrame, columns) -> DataFrame:

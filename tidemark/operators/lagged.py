@@ -123,7 +123,11 @@ def lag_correlations(pairs: DataFrame, keys, exclude_years=(), min_n: int = 3) -
 def lag_ladder(driver: DataFrame, outcomes: DataFrame, lags=(0, 1, 2, 3),
                required: int = 8) -> DataFrame:
     """Distributed-lag table: one row per outcome and lag with its sample gate."""
-    table = lag_correlations(lag_pairs(driver, outcomes, lags), ("outcome_key", "lag"))
+    found = lag_correlations(lag_pairs(driver, outcomes, lags), ("outcome_key", "lag"))
+    # A cell without any pair is published too, with n = 0 and its gate.
+    cells = outcomes.select("outcome_key").distinct().withColumn(
+        "lag", F.explode(F.array(*[F.lit(i) for i in lags])))
+    table = cells.join(found, ["outcome_key", "lag"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     eligible = F.col("n") >= required
     return table.select(
         "outcome_key", "lag", "n", "pearson", "spearman",

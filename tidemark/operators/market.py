@@ -255,8 +255,14 @@ def metric_rankings(summary: DataFrame, metrics, market: str = "market") -> Data
 # --- composed monthly performance ------------------------------------------
 
 def sector_performance(prices: DataFrame, benchmark: str, required) -> DataFrame:
-    """Monthly price, normalised level, relative wealth and rolling excess."""
-    monthly = month_last(common_period(prices, required)).drop("month")
+    """Monthly price, normalised level, relative wealth and rolling excess.
+
+    Refuses a required market without prices, and fewer than 13 common months.
+    """
+    monthly = month_last(common_period(prices, required, check=True)).drop("month")
+    months = monthly.select(F.count_distinct("date")).scalar()
+    monthly = monthly.where(F.when(months > MONTHS, F.lit(True)).otherwise(
+        F.raise_error(F.lit("At least 13 common months are required")).cast("boolean")))
     staged = with_benchmark(with_returns(monthly), benchmark)
     is_bench = F.col("market") == benchmark
     step = ratio(F.col("ret") + 1.0, F.col("bench") + 1.0)
@@ -314,9 +320,10 @@ def event_window_change(prices: DataFrame, events: DataFrame) -> DataFrame:
 
     Windows are expanded to days, which makes the range join an equi-join on
     the date; complete means every market has a price.  Windows with fewer than
-    two such dates give no row.
+    two such dates, and windows that end before they start, give no row.
     """
-    days = events.select("event_id", F.explode(F.sequence("start_date", "end_date")).alias("date"))
+    ordered = events.where("start_date <= end_date")
+    days = ordered.select("event_id", F.explode(F.sequence("start_date", "end_date")).alias("date"))
     inside = drop_any(prices).join(days, "date")
     return (
         inside.groupBy("event_id", "market")

@@ -84,16 +84,23 @@ def summed_products(df: DataFrame, by, left, right=None, out: str = "packed") ->
 
 
 def packed_gram(df: DataFrame, by, terms, y: str) -> DataFrame:
-    """Packed Gram matrix of (1, terms..., y) per group."""
-    return summed_products(df.withColumn("_1", F.lit(1.0)), by, ["_1", *terms, y])
+    """Packed Gram matrix of (1, terms..., y) per group.
+
+    A null counts as not-a-number, so a group with an incomplete or non-finite
+    row has no finite system and is refused as a whole, never fitted to sums
+    that skip different rows.
+    """
+    whole = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in dict.fromkeys((*terms, y))})
+    return summed_products(whole.withColumn("_1", F.lit(1.0)), by, ["_1", *terms, y])
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, by) -> DataFrame:
     """Rows beside their group's single row."""
     if by:
         return rows.join(groups, list(by))
-    # Ungrouped fits have one row; a constant key keeps this an equi-join.
-    return rows.withColumn("_one", F.lit(1)).join(groups.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # Ungrouped fits have one row, read as a scalar subquery; without it no row is left.
+    one = groups.select(F.struct(*groups.columns).alias("_g")).scalar()
+    return rows.withColumn("_g", one).where(F.col("_g").isNotNull()).select(*rows.columns, "_g.*")
 
 
 def design(df: DataFrame, terms) -> DataFrame:
@@ -102,7 +109,11 @@ def design(df: DataFrame, terms) -> DataFrame:
 
 
 def ols(df: DataFrame, y: str, terms, by=(), order: str = "date") -> Fit:
-    """OLS per group.  A rank-deficient or saturated group has null ``beta``."""
+    """OLS per group.
+
+    A group that is rank-deficient or saturated, or holds a null or non-finite
+    value, has null ``beta`` and no rows.
+    """
     terms, by = tuple(terms), tuple(by)
     if len(set(terms)) != len(terms):
         raise ValueError("Regression term names must be unique")
@@ -231,9 +242,9 @@ def breusch_godfrey(fit: Fit, lags: int) -> DataFrame:
     )
 
 
-def default_adf_lag(n: int) -> int:
+def default_adf_lag(n: Column) -> Column:
     """Schwert's rule, bounded by half the sample."""
-    return max(min(n // 2 - 1, math.ceil(12.0 * (n / 100.0) ** 0.25)), 0)
+    return F.greatest(F.lit(0), F.least(F.floor(n / 2) - 1, F.ceil(F.pow(n / 100.0, F.lit(0.25)) * 12.0))).cast("int")
 
 
 def adf(rows: DataFrame, value: str = "resid", by=(), order: str = "date",
@@ -242,23 +253,26 @@ def adf(rows: DataFrame, value: str = "resid", by=(), order: str = "date",
 
     One Gram matrix over the common sample holds every candidate regression as
     a leading block; the chosen lag is then refitted on its own longer sample.
-    ``max_lag`` defaults to Schwert's rule on the largest group.
+    ``max_lag`` defaults to Schwert's rule on each group's own size; the one
+    action asks for the widest, which sets the number of columns.  Every group
+    has a row; one too short for the test has nulls.
     """
-    if max_lag is None:
-        counts = grouped(rows, by, F.count(F.lit(1)).alias("n")).agg(F.max("n"))
-        max_lag = default_adf_lag(int(counts.first()[0] or 0))
     by = tuple(by)
+    cap = default_adf_lag(F.col("_n")) if max_lag is None else F.lit(max_lag)
+    groups = grouped(rows, by, F.count(F.lit(1)).alias("_n")).select(*by, cap.alias("_cap"))
+    widest = max_lag if max_lag is not None else groups.agg(F.max("_cap")).first()[0] or 0
     w = W.partitionBy(*by).orderBy(order)
-    staged = rows.select(*by, order, col(value).alias("_u")).withColumns({
+    staged = join_groups(rows.select(*by, order, col(value).alias("_u")), groups, by).withColumns({
         "_lvl": F.lag("_u").over(w), "_pos": F.row_number().over(w),
     }).withColumn("_d", F.col("_u") - F.col("_lvl"))
-    lag_names = [f"_d{i}" for i in range(1, max_lag + 1)]
+    lag_names = [f"_d{i}" for i in range(1, widest + 1)]
     staged = staged.withColumns({
-        name: F.lag("_d", i).over(w) for i, name in enumerate(lag_names, 1)
+        name: F.when(F.col("_cap") >= i, F.lag("_d", i).over(w)).otherwise(0.0) for i, name in enumerate(lag_names, 1)
     }) if lag_names else staged
     terms = ("_lvl", *lag_names)
-    common = staged.where(F.col("_pos") > max_lag + 1)
-    chosen = packed_gram(common, by, terms, "_d").select(*by, _aic_lag("packed").alias("lag"))
+    common = staged.where(F.col("_pos") > F.col("_cap") + 1)
+    chosen = join_groups(packed_gram(common, by, terms, "_d"), groups, by).select(
+        *by, _aic_lag("packed", "_cap").alias("lag"))
     # Refit: unused lags become zero and only rows with all used lags stay.
     refit = join_groups(staged, chosen, by).where(F.col("_pos") > F.col("lag") + 1)
     refit = refit.withColumns({
@@ -267,6 +281,7 @@ def adf(rows: DataFrame, value: str = "resid", by=(), order: str = "date",
     }) if lag_names else refit
     final = join_groups(packed_gram(refit, by, terms, "_d"), chosen, by)
     out = final.select(*by, "lag", _tau("packed", F.col("lag").cast("double")).alias("tau"))
+    out = groups.select(*by).join(out, list(by), "left") if by else out
     return out.withColumn("adf_p_value", nx.dickey_fuller_p_value("tau"))
 
 
@@ -280,16 +295,16 @@ def _leading_fit(full, size: int):
 
 
 @F.pandas_udf(T.IntegerType())
-def _aic_lag(packed: pd.Series) -> pd.Series:
-    def best(full):
+def _aic_lag(packed: pd.Series, cap: pd.Series) -> pd.Series:
+    def best(full, most):
         scores, n = [], full[0, 0]
-        for size in range(1, len(full) - 1):
+        for size in range(1, most + 2):
             fit = _leading_fit(full, size)
             if fit is not None and fit[2] > 0:
                 scores.append((n * math.log(fit[2] / n) + 2.0 * size, size - 1))
         return min(scores)[1] if scores else 0
 
-    return pd.Series([best(unpack(p)) for p in packed], dtype="int32")
+    return pd.Series([best(unpack(p), int(most)) for p, most in zip(packed, cap)], dtype="int32")
 
 
 @F.pandas_udf(T.DoubleType())

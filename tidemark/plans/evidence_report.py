@@ -45,6 +45,8 @@ class EvidenceSpec:
     start: str | None = None
     break_date: str | None = None
     covid_dates: tuple[str, ...] = ()
+    later_start: str = "2018-04-30"
+    disruption: tuple[str, str] = ("2020-03-31", "2020-06-30")
 
     @property
     def dependent(self) -> str:
@@ -54,13 +56,15 @@ class EvidenceSpec:
         return tuple(i.name for i in self.inputs if i.role == role)
 
 
+# Published keys (fixed values).
 FISCAL_DIAGNOSTICS = ("residual_degrees_of_freedom", "condition_number", "residual_autocorrelation",
                       "stationarity", "influential_observation")
 FISCAL_ROBUSTNESS = ("exclude_covid_fiscal_years", "actual_status_only", "hac_max_lags_1",
                      "exclude_most_influential", "parsimonious_bivariate")
 TREND_DIAGNOSTICS = ("residual_degrees_of_freedom", "condition_number", "residual_autocorrelation",
                      "influential_observation", "stability")
-TREND_ROBUSTNESS = ("later_start", "exclude_disruption", "linear_level_trend", "hac_max_lags_6")
+TREND_ROBUSTNESS = ("start_date_2018_04", "exclude_pandemic_disruption_months", "linear_level_trend",
+                    "hac_max_lags_6")
 
 DEBT_INTEREST = EvidenceSpec(
     key="debt-interest-burden-change",
@@ -83,10 +87,10 @@ BALANCE_DEBT = EvidenceSpec(
         InputSpec("lagged_debt_change", "fiscal_year", "control", transform="difference", lag=1),
     ),
     alignment="lag_then_inner_join",
-    terms=("intercept", "lagged_primary_balance", "lagged_debt_change", "exceptional"),
+    terms=("intercept", "lagged_primary_balance", "lagged_debt_change", "covid_fy2020_22"),
     focal="lagged_primary_balance", expected="negative", max_lag=2,
     family="fiscal_capacity_primary", diagnostics=FISCAL_DIAGNOSTICS, robustness=FISCAL_ROBUSTNESS,
-    secondary=(("lagged_debt_change", "identity"), ("exceptional", "identity")), covid_dates=COVID_YEARS,
+    secondary=(("lagged_debt_change", "identity"), ("covid_fy2020_22", "identity")), covid_dates=COVID_YEARS,
 )
 ADOPTION_TREND = EvidenceSpec(
     key="upi-adoption-trend",
@@ -101,7 +105,7 @@ ADOPTION_TREND = EvidenceSpec(
 
 # Variants that keep the design and change the rows.
 ROW_VARIANTS = ("exclude_covid_fiscal_years", "actual_status_only", "exclude_most_influential",
-                "later_start", "exclude_disruption")
+                "start_date_2018_04", "exclude_pandemic_disruption_months")
 
 
 @dataclass(frozen=True)
@@ -118,7 +122,7 @@ class Report:
 def fiscal_columns(sample: DataFrame, spec: EvidenceSpec, by=()) -> DataFrame:
     """Design columns that depend on the rows of a variant."""
     out = sample.withColumn("trend", rg.trend(F.year("date"), by))
-    return rg.exceptional_dates(out, spec.covid_dates or COVID_YEARS)
+    return rg.exceptional_dates(out, spec.covid_dates or COVID_YEARS, "covid_fy2020_22")
 
 
 def _focal_rows(fit: rg.Fit, max_lag: int, focal: str) -> DataFrame:
@@ -133,10 +137,10 @@ def _variant(spec: EvidenceSpec, sample: DataFrame, key: str, influence: Callabl
         return all_status(sample, [c for c in sample.columns if c.endswith("__status")])
     if key == "exclude_most_influential":
         return drop_most_influential(influence()).select(*sample.columns)
-    if key == "later_start":
-        return sample.where(F.col("date") >= F.lit("2018-04-30").cast("date"))
-    if key == "exclude_disruption":
-        return exclude_range(sample, "2020-03-31", "2020-06-30")
+    if key == "start_date_2018_04":
+        return sample.where(F.col("date") >= F.lit(spec.later_start).cast("date"))
+    if key == "exclude_pandemic_disruption_months":
+        return exclude_range(sample, *spec.disruption)
     return sample
 
 
@@ -179,14 +183,14 @@ def robustness_fits(spec: EvidenceSpec, sample: DataFrame, fit: rg.Fit) -> DataF
         return rows if key is None else rows.withColumn("specification", F.lit(key))
 
     covid = "exclude_covid_fiscal_years"
-    drops_term = "exceptional" in spec.terms
+    drops_term = "covid_fy2020_22" in spec.terms
     shared = [k for k in spec.robustness if k in ROW_VARIANTS and not (drops_term and k == covid)]
     tables = []
     if shared:
         tables.append(focal(rg.ols(tagged(shared), y, spec.terms, by)))
     if drops_term and covid in spec.robustness:
         # Without those years the indicator is constant, so it leaves the design.
-        kept = tuple(t for t in spec.terms if t != "exceptional")
+        kept = tuple(t for t in spec.terms if t != "covid_fy2020_22")
         tables.append(focal(rg.ols(tagged([covid]), y, kept, by)))
     for k in spec.robustness:
         if k.startswith("hac_max_lags_"):

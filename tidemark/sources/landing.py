@@ -4,27 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.functions.scalars import col
 
 
+def landing_id(path) -> F.Column:
+    """What the files of one write have in common: the job's id in part names, else the file's own path."""
+    job = F.regexp_extract(col(path), "/part-[0-9]+-([0-9a-f-]{36})[^/]*$", 1)
+    return F.when(job != "", job).otherwise(col(path))
+
+
 def latest_landing(df: DataFrame, keys, date_dir: str = "date_dir", mtime: str = "file_time",
                    name: str = "file_path") -> DataFrame:
-    """Rows of the newest landing per source by (date folder, time, name).
+    """Rows of the newest landing per source by (date folder, time), all its part files.
 
-    The newest file is found among distinct files by aggregation, so a source
-    with most of the rows never becomes one sort.
+    A landing is as new as its newest file.  It is found among distinct
+    landings by aggregation, so a source with most of the rows never becomes
+    one sort.
     """
     keys = list(keys)
-    order = F.struct(col(date_dir), col(mtime), col(name))
-    newest = df.groupBy(*keys).agg(F.max(order).alias("_newest")).select(
-        *keys,
-        F.col("_newest").getField(date_dir).alias(date_dir),
-        F.col("_newest").getField(mtime).alias(mtime),
-        F.col("_newest").getField(name).alias(name),
-    )
-    return df.join(newest, [*keys, date_dir, mtime, name], "left_semi")
+    marked = df.withColumn("_landing", landing_id(name))
+    landings = marked.groupBy(*keys, date_dir, "_landing").agg(F.max(mtime).alias("_time"))
+    newest = landings.groupBy(*keys).agg(F.max(F.struct(date_dir, "_time", "_landing")).alias("_newest")).select(
+        *keys, F.col("_newest").getField(date_dir).alias(date_dir), F.col("_newest._landing").alias("_landing"))
+    return marked.join(newest, [*keys, date_dir, "_landing"], "left_semi").drop("_landing")
 
 
 def daily_last(ticks: DataFrame, market: str = "market", ts: str = "ts", price: str = "price",
@@ -86,9 +89,3 @@ def dedupe_consistent(df: DataFrame, keys) -> DataFrame:
         .cast(df.select(F.struct(*rest)).schema[0].dataType)
     )
     return merged.withColumn("_row", row).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-
-
-def newest_by_position(df: DataFrame, keys, order) -> DataFrame:
-    """One row per key, the last by the given order columns."""
-    w = W.partitionBy(*keys).orderBy(*[col(o).desc() for o in order])
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.vintages import upsert_latest
-from tidemark.sources.landing import checksum
+from tidemark.sources.landing import land_new
 
 ROWS_PER_FILE = 2_000_000
 
@@ -28,103 +28,159 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType = LANDED_FL
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def stream_landed(spark: SparkSession, path: str, schema: T.StructType = LANDED_FLOWS,
-                  watermark: str = "7 days", files_per_trigger: int = 1000) -> DataFrame:
-    """Landed JSON rows as a stream, the same content once.
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table, empty as long as no batch has written it."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _source(batch: DataFrame) -> str:
+    """Names the stream a batch belongs to; a new checkpoint is a new stream."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
+def _foreach(df: DataFrame, write, checkpoint: str) -> StreamingQuery:
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# --- X1: landed rows, each content once ------------------------------------------
 
-    The content hash keeps only what arrived within the watermark in state, so
-    state does not grow with the archive.
+def landed_rows(spark: SparkSession, table: str, schema: T.StructType = LANDED_FLOWS) -> DataFrame:
+    """Rows that ``stream_landed`` has kept, with their ``sha256``."""
+    full = T.StructType([*schema.fields, *(T.StructField(c, T.StringType()) for c in ("sha256", "source", "batch"))])
+    return _read(spark, table, full).drop("source", "batch")
+
+
+def land_batch(batch: DataFrame, batch_id: int, source: str, table: str, schema: T.StructType) -> None:
+    """Append the rows whose content no other batch has landed.
+
+    The batch owns one folder; a replay compares with all other folders and
+    writes its own anew.
     """
-    raw = read_stream(spark, path, schema, files_per_trigger)
-    marked = raw.withColumn("sha256", checksum(schema.names))
-    return marked.withWatermark("retrieved_at", watermark).dropDuplicatesWithinWatermark(["sha256"])
+    full = T.StructType([T.StructField(c, T.StringType()) for c in ("sha256", "source", "batch")])
+    held = _read(batch.sparkSession, table, full)
+    mine = (F.col("source") == source) & (F.col("batch") == str(batch_id))
+    new = land_new(batch.select(*schema.names), held.where(~mine).select("sha256"), schema.names)
+    new.write.mode("overwrite").parquet(f"{table}/source={source}/batch={batch_id}")
 
 
-def current_rows(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-    """Live rows of a versioned month table: the newest version of each month."""
-    full = T.StructType([*schema.fields, T.StructField("month", T.DateType()),
+def stream_landed(df: DataFrame, table: str, checkpoint: str, schema: T.StructType = LANDED_FLOWS) -> StreamingQuery:
+    """Keep every landed row once, however late it arrives."""
+    return _foreach(df, lambda batch, n: land_batch(batch, n, _source(batch), table, schema), checkpoint)
+
+
+# --- X2: newest revision per key ---------------------------------------------------
+# The table holds versions of months.  ``_intents`` gives each batch of each
+# stream its version before anything is written, so a replay finds its own;
+# ``_versions`` names the months of a version once all of them are written.
+
+_INTENTS = T.StructType([T.StructField("source", T.StringType()), T.StructField("batch", T.LongType()),
                          T.StructField("version", T.LongType())])
-    try:
-        rows = spark.read.schema(full).parquet(table)
-    except Exception as error:  # the table does not exist before the first batch
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], full)
-    newest = rows.groupBy("month").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["month", "version"], "left_semi")
+_VERSIONS = T.StructType([T.StructField("month", T.DateType()), T.StructField("version", T.LongType())])
+
+
+def _versioned(spark: SparkSession, table: str, schema: T.StructType, below: int | None = None) -> DataFrame:
+    """Rows of the newest published version of each month, of those ``below`` one if given."""
+    full = T.StructType([*schema.fields, *_VERSIONS.fields])
+    published = _read(spark, f"{table}/_versions", _VERSIONS)
+    if below is not None:
+        published = published.where(F.col("version") < below)
+    newest = published.groupBy("month").agg(F.max("version").alias("version"))
+    # The versions are partitions, so this join prunes the files that are read.
+    return _read(spark, table, full).join(newest, ["month", "version"], "left_semi")
+
+
+def current_rows(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """Live rows of a versioned month table: the newest published version of each month."""
+    return _versioned(spark, table, schema)
+
+
+def batch_version(spark: SparkSession, table: str, source: str, batch_id: int) -> int:
+    """The version of a batch: the one it was given before, else the next of the table."""
+    given = _read(spark, f"{table}/_intents", _INTENTS)
+    mine = F.when((F.col("source") == source) & (F.col("batch") == batch_id), F.col("version"))
+    row = given.agg(F.min(mine).alias("mine"), F.max("version").alias("last")).first()
+    if row["mine"] is not None:
+        return row["mine"]
+    version = 0 if row["last"] is None else row["last"] + 1
+    spark.createDataFrame([(source, batch_id, version)], _INTENTS).coalesce(1).write.mode("append").parquet(f"{table}/_intents")
+    return version
 
 
-def upsert_batch(batch: DataFrame, version: int, table: str, schema: T.StructType, keys, ts: str) -> None:
+def upsert_batch(batch: DataFrame, batch_id: int, source: str, table: str, schema: T.StructType, keys, ts: str) -> None:
     """Rewrite only the months a batch touches, as a new version of them.
 
-    A replayed batch overwrites its own version folder and reads only older
-    ones, so an interrupted batch can run again.
+    One writer at a time.  A replayed batch keeps its version, reads only older
+    ones and overwrites its own folders, so it can run again at any point; rows
+    of a version are seen once all its months are written.
     """
     spark = batch.sparkSession
     columns = schema.names
+    version = batch_version(spark, table, source, batch_id)
     fresh = upsert_latest(
         batch.select(*columns).limit(0), batch.select(*columns), keys, ts
     ).withColumn("month", F.trunc("date", "month")).persist()
     months = fresh.select("month").distinct()
-    old = current_rows(spark, table, schema).where(F.col("version") < version)
-    old = old.join(months, "month", "left_semi").select(*columns, "month")
-    merged = upsert_latest(old.drop("month"), fresh.select(*columns), keys, ts)
+    old = _versioned(spark, table, schema, below=version).join(months, "month", "left_semi").select(*columns)
+    merged = upsert_latest(old, fresh.select(*columns), keys, ts)
     out = merged.withColumn("month", F.trunc("date", "month")).withColumn("version", F.lit(version).cast("long"))
-    # Adaptive rebalancing is off inside a stream, so months are spread by hand:
-    # one file each, and more for every ROWS_PER_FILE rows of the batch.
-    spread = 1 + fresh.count() // ROWS_PER_FILE
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(spread))
     (
-        out.repartition("month", bucket).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month", "version")
-        .parquet(table)
+        out.repartition("month").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
+        .partitionBy("month", "version").parquet(table)
     )
+    months.withColumn("version", F.lit(version).cast("long")).coalesce(1).write.mode("append").parquet(f"{table}/_versions")
     fresh.unpersist()
 
 
+def vacuum(spark: SparkSession, table: str) -> int:
+    """Delete versions of months that a newer published one replaces; returns how many."""
+    published = _read(spark, f"{table}/_versions", _VERSIONS).distinct()
+    newest = published.groupBy("month").agg(F.max("version").alias("newest"))
+    stale = published.join(newest, "month").where("version < newest").select("month", "version").collect()
+    deleted = 0
+    for row in stale:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/month={row.month}/version={row.version}")
+        deleted += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted
+
+
 def stream_upsert(df: DataFrame, table: str, keys, ts: str, checkpoint: str,
                   schema: T.StructType = LANDED_FLOWS) -> StreamingQuery:
-    """Latest revision wins across micro-batches; late months are rewritten."""
+    """Latest revision wins across micro-batches, restarts and streams; late months are rewritten."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(batch, batch_id, table, schema, keys, ts)
+        upsert_batch(batch, batch_id, _source(batch), table, schema, keys, ts)
 
-    return (
-        df.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _foreach(df, write, checkpoint)
 
 
-def stream_monthly_flows(df: DataFrame, watermark: str = "76 days", ts: str = "date") -> DataFrame:
-    """Net flow per month and category on the stream.
+# --- X3: monthly flows ---------------------------------------------------------------
+
+MONTHLY_PARTS = T.StructType([
+    T.StructField("month", T.DateType()), T.StructField("category", T.StringType()),
+    T.StructField("net", T.DoubleType()), T.StructField("date", T.DateType()),
+])
 
-    The month itself is the event time, so a month's state is dropped once the
-    watermark (a month plus the accepted lateness) has passed it.  Rows later
-    than that belong to the batch view kept by ``stream_upsert``.
-    """
-    month = F.date_trunc("month", F.col(ts).cast("timestamp"))
-    return df.withColumn("month", month).withWatermark("month", watermark).groupBy(
-        "month", "category"
-    ).agg(F.sum("net").alias("net"), F.max("date").alias("date"))
 
+def stream_monthly_flows(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Net flow per month and category, kept as one partial sum per batch.
 
-def stream_updates(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Changed aggregate rows of each micro-batch, one folder per batch."""
+    A batch owns one folder, which a replay writes anew.  No state waits for a
+    watermark, so a month may receive rows at any time.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        parts = batch.groupBy(F.trunc("date", "month").alias("month"), "category").agg(
+            F.sum("net").alias("net"), F.max("date").alias("date"))
+        parts.write.mode("overwrite").parquet(f"{table}/source={_source(batch)}/batch={batch_id}")
 
-    return (
-        df.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _foreach(df, write, checkpoint)
 
 
-def latest_updates(updates: DataFrame, keys) -> DataFrame:
-    """The newest state of each aggregate key."""
-    rest = [c for c in updates.columns if c not in (*keys, "batch")]
-    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+def monthly_flows(spark: SparkSession, table: str) -> DataFrame:
+    """Sums over all batches that ``stream_monthly_flows`` has written."""
+    return _read(spark, table, MONTHLY_PARTS).groupBy("month", "category").agg(
+        F.sum("net").alias("net"), F.max("date").alias("date"))
