@@ -15,7 +15,7 @@ from tidemark.llm.words import U, mix, powers, slices, text_buffer
 
 LENGTH, GRAM = 200, 48
 #: Text bytes per piece of a scan, contexts sorted together, and contexts of one anchor beyond which they are dealt by string.
-PIECE, SORTED, CROWD = 1 << 20, 3000, 2000
+PIECE, SORTED, CROWD = 1 << 20, 1000, 2000
 #: Of a context: its anchor, its hash, occurrences, least and greatest id, and the first occurrence.
 KNOWN = ["gram", "context", "n", "least_id", "last_id", "id", "text_hash", "begin"]
 
@@ -108,7 +108,11 @@ def _bytes_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 # -- longest previous factors ------------------------------------------------
 
 def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of the substrings of 8, 16, 32, ... and ``length`` bytes at every place, by doubling."""
+    """Ranks of the substrings of 8, 24, 72, ... and ``length`` bytes at every place.
+
+    Each step joins three ranks (two, where three would not fit 63 bits) of the
+    step before, the last ones overlapping.
+    """
     n = len(data)
     padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n + length]
@@ -117,12 +121,13 @@ def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
         value = value << U(8) | words[:, k]
     out, size = [(8, np.unique(value, return_inverse=True)[1])], 8
     while size < length:
-        step = min(size, length - size)
-        rank = out[-1][1]
-        pair = rank[:-step].astype(np.int64) * len(rank) + rank[step:] if step else rank
-        rank = np.unique(np.concatenate([pair, np.full(step, -1)]), return_inverse=True)[1]
-        size += step
-        out.append((size, rank))
+        rank, wide = out[-1][1], len(value).bit_length()
+        size, at = (min(3 * size, length), [size, 2 * size]) if 3 * wide <= 63 else (min(2 * size, length), [size])
+        joined = rank.astype(np.int64)
+        for step in at:
+            step = min(step, size - out[-1][0])
+            joined = joined << wide | np.concatenate([rank[step:], np.zeros(step, rank.dtype)])
+        out.append((size, np.unique(joined, return_inverse=True)[1]))
     return out
 
 
@@ -154,10 +159,10 @@ def longest_factors(data: np.ndarray, place: np.ndarray, group: np.ndarray, leng
     """
     ranks = suffix_ranks(data, length)
     whole = ranks[-1][1]
-    order = np.lexsort((place, whole[place], group))
+    order = np.argsort(group << 32 | whole[place], kind="stable")
     a, b = place[order[:-1]], place[order[1:]]
     shared = np.zeros(len(a), np.int64)
-    for size, rank in reversed(ranks[:-1]):
+    for size, rank in [r for r in reversed(ranks[:-1]) for _ in range(2)]:
         shared = np.where(shared + size <= length, shared + size * (rank[a + shared] == rank[b + shared]), shared)
     for _ in range(7):
         more = (shared < length) & (data[np.minimum(a + shared, len(data) - 1)] == data[np.minimum(b + shared, len(data) - 1)])
