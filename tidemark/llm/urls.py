@@ -86,12 +86,12 @@ def slot(token: str) -> int:
 
 
 def lexicon(pages: DataFrame, size: int = LEXICON, seeds: Sequence[str] = SEEDS) -> dict[str, int]:
-    """The ``size`` most frequent words of page titles and delimited URL parts, with counts over all pages.
+    """The ``size`` most frequent words of page titles and URL paths, with counts over all pages.
 
-    Seed words count as often as the most frequent word does in a thousand, so that they can be cut out of names.
+    Host names stay out, since they are what is to be cut.  Seed words count as often as the most frequent word does in a thousand, so that they can be cut out of names.
     """
     title = F.regexp_extract(F.coalesce(F.col("html").cast("string"), F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1)
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, "host", "path")), F.lit("([a-z]+|[^\\x00-\\x7f]+)"), 1)
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, "path")), F.lit("([a-z]+|[^\\x00-\\x7f]+)"), 1)
     counted = pages.select(F.explode(words).alias("w")).filter(F.length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n"))
     out = {r.w: r.n for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()}
     floor = max(1, max(out.values(), default=0) // 1000)
