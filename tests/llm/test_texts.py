@@ -247,11 +247,12 @@ def test_long_texts_come_in_pieces(spark, monkeypatch):
 def test_longest_factors_by_hand():
     data = np.frombuffer(b"abracadabra-abracadabra", np.uint8)
     place = np.arange(len(data) - 8)
-    before, after = repeats.longest_factors(data, place, np.zeros(len(place), np.int64), 8)
+    before, after, same = repeats.longest_factors(data, place, np.zeros(len(place), np.int64), 8)
     for i in place:
         lcp = [next((k for k in range(8) if data[i + k] != data[j + k]), 8) if i != j else 0 for j in place]
         assert before[i] == max([lcp[j] for j in place if j < i], default=0)
         assert after[i] == max([lcp[j] for j in place if j > i], default=0)
+        assert [same[j] == same[i] for j in place if j != i] == [lcp[j] == 8 for j in place if j != i]
 
 
 # -- personal data

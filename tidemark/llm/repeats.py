@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,9 +151,11 @@ def previous_smaller(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np
     return to, shared
 
 
-def longest_factors(data: np.ndarray, place: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_factors(data: np.ndarray, place: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Longest previous and next factors of ``place``s (ascending) within their groups, capped at ``length``.
 
+    Also a number for each place, equal where group and ``length`` bytes are.
+
     The suffixes are sorted by group and their first ``length`` bytes; the
     neighbours of smaller position on either side in that order hold the
     longest earlier match, those of larger position the longest later one.
@@ -177,7 +180,9 @@ def longest_factors(data: np.ndarray, place: np.ndarray, group: np.ndarray, leng
         factor = np.zeros(len(place), np.int64)
         factor[order] = np.maximum(left, right)
         out.append(factor)
-    return out[0], out[1]
+    same = np.empty(len(place), np.int64)
+    same[order] = np.cumsum(lcp < length)
+    return out[0], out[1], same
 
 
 def _spans(flags: np.ndarray) -> list[list[int]]:
@@ -197,12 +202,17 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, distinct: bool) ->
         inside = np.arange(len(context)) - (np.cumsum(starts) - starts)[context]
         place = (np.cumsum(size) - size)[context] + inside
         group = np.unique(held.column("gram").to_numpy(), return_inverse=True)[1]
-        before, after = longest_factors(data, place, group[context], length)
-        many = held.column("n").to_numpy()[context] > 1
+        before, after, same = longest_factors(data, place, group[context], length)
         if distinct:  # another id must hold it, not only another place
-            many = (held.column("least_id").to_numpy() < held.column("last_id").to_numpy())[context]
-        matched = (before >= length) | (after >= length)
-        again = matched | many
+            ends = [(pc.fill_null(held.column(c), default).to_numpy()[context], fold, default) for c, fold, default in (
+                ("least_id", np.minimum, np.iinfo(np.int64).max), ("last_id", np.maximum, np.iinfo(np.int64).min))]
+            bound = []
+            for ids, fold, default in ends:
+                bound.append(np.full(same.max(initial=0) + 1, default))
+                fold.at(bound[-1], same, ids)
+            again = (bound[0] < bound[1])[same]
+        else:
+            again = (before >= length) | (after >= length) | (held.column("n").to_numpy()[context] > 1)
         begin = np.concatenate([[0], np.cumsum(starts)])
         spans = [_spans(again[begin[c]:begin[c + 1]]) for c in range(len(size))]
         later = [_spans(before[begin[c]:begin[c + 1]] >= length) for c in range(len(size))]
