@@ -174,14 +174,6 @@ def country_year(spark, d):
     ).agg(davg("o_totalprice").alias("value"))
 
 
-def regression_m(spark, d):
-    def one(name):
-        return F.max(F.when(F.col("market") == name, F.col("price") / 1e6))
-    return prices_m(spark, d).groupBy("date").agg(
-        one("ASIA").alias("y"), one("EUROPE").alias("x1"), one("AFRICA").alias("x2")
-    )
-
-
 def regression_w(spark, d):
     """Monthly order value per nation against time: one small sample per group."""
     return geography(spark, d).groupBy(
@@ -268,8 +260,6 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
                   " from orders group by 1,2"),
     "monthly_volume": ((), f"select CAST(year(o_orderdate) AS INT) as y, CAST(month(o_orderdate) AS INT) as m, count(*) as volume, {s('o_totalprice')} as value from orders group by 1,2"),
     "country_year": ((), f"select n_name as entity, CAST(year(o_orderdate) AS INT) as year, {s('o_totalprice')}/count(*) as value from {GEO} group by 1,2"),
-    "regression_m": (("prices_m",), "select date, max(price/1e6) filter (where market='ASIA') as y, max(price/1e6) filter (where market='EUROPE') as x1,"
-                                    " max(price/1e6) filter (where market='AFRICA') as x2 from prices_m group by 1"),
     "regression_w": ((), f"select r_name as grp, {MONTH.format('o_orderdate')} as date, {s('o_totalprice')}/1e6 as y, CAST(count(*) AS DOUBLE) as x1,"
                          f" CAST(count(*) filter (where o_orderstatus='F') AS DOUBLE) as x2 from {GEO} group by 1,2"),
     "text_rows": ((), "select l_orderkey, l_linenumber, 'Capital Expenditure ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ' '"

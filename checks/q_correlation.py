@@ -89,7 +89,7 @@ def _(spark, d):
        "with al as (select a.market as market_a, b.market as market_b, a.ret as x, b.ret as y from ret_w a join ret_w b on a.date = b.date"
        f" where a.ret is not null and b.ret is not null and a.market < b.market) select market_a, market_b, {rd(corr_sql('x', 'y'))} as corr, count(*) as n from al group by 1,2")
 def _(spark, d):
-    out = co.pairwise_correlations(mk.with_returns(fx.prices_w(spark, d)), blocks=2)
+    out = co.pairwise_correlations(mk.with_returns(fx.prices_w(spark, d)))
     return out.select("market_a", "market_b", r("corr"), "n")
 
 

@@ -20,6 +20,13 @@ GROWTH = [1.018, 1.014, 1.012, 1.008, 1.006]
 MONTHS = pd.date_range("2018-04-30", periods=84, freq="ME")
 
 
+@pytest.fixture(autouse=True)
+def small_blocks(monkeypatch):
+    """A few markets make several blocks."""
+    monkeypatch.setattr(co, "BLOCK_MARKETS", 2)
+
+
+
 @pytest.fixture(scope="module")
 def prices(spark):
     rows = [(d.date(), m, 100 * g**i) for i, d in enumerate(MONTHS) for m, g in zip(MARKETS, GROWTH)]
@@ -110,7 +117,7 @@ def test_correlations_match_pandas(spark):
     for fn, expected in (
         (co.pearson_matrix, lambda a, b: ranked["pearson"].loc[a, b]),
         (co.kendall_matrix, lambda a, b: tau(*[c for _, c in wide[[a, b]].dropna().items()])),
-        (lambda r_, p_: co.pairwise_correlations(r_, blocks=3), lambda a, b: ranked["pearson"].loc[a, b]),
+        (lambda r_, p_: co.pairwise_correlations(r_), lambda a, b: ranked["pearson"].loc[a, b]),
         (co.spearman_matrix, lambda a, b: wide[[a, b]].dropna().rank().corr().iloc[0, 1]),
     ):
         got = {(r.market_a, r.market_b): r["corr"] for r in fn(df, pairs).collect()}
@@ -128,7 +135,7 @@ def test_hot_market_does_not_change_pairs(spark):
     days = pd.date_range("2000-01-01", periods=900).date
     rows = [(d, "hot", math.sin(i)) for i, d in enumerate(days)] + [(d, m, math.cos(i + j)) for j, m in enumerate("xyz") for i, d in enumerate(days[:40])]
     df = spark.createDataFrame(rows, "date date, market string, ret double")
-    got = {(r.market_a, r.market_b): r.n for r in co.pairwise_correlations(df, blocks=2).collect()}
+    got = {(r.market_a, r.market_b): r.n for r in co.pairwise_correlations(df).collect()}
     assert len(got) == 6 and set(got.values()) == {40}
 
 

@@ -51,10 +51,6 @@ def fiscal_quarter_end(start_year, quarter) -> Column:
     return F.last_day(F.add_months(fiscal_quarter_start(start_year, quarter), 2))
 
 
-def month_start(date) -> Column:
-    return F.trunc(col(date), "month")
-
-
 def month_end(year, month) -> Column:
     return F.last_day(F.make_date(col(year), col(month), F.lit(1)))
 
@@ -63,11 +59,6 @@ def quarter_end(year, quarter) -> Column:
     return F.last_day(F.make_date(col(year), col(quarter) * 3, F.lit(1)))
 
 
-def shift_month_end(date, months) -> Column:
-    """Month end a whole number of months away."""
-    return F.last_day(F.add_months(col(date), months))
-
-
 def period_index(date, frequency: str) -> Column:
     """Consecutive integer per period of the frequency."""
     d = col(date)

@@ -54,13 +54,17 @@ def aligned_pairs(returns: DataFrame, pairs: DataFrame, value: str = "ret") -> D
     )
 
 
+def every_pair(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each requested pair: null and n = 0 where it has no common date."""
+    return pairs.select(*PAIR).distinct().join(found, list(PAIR), "left").withColumn(
+        "n", F.coalesce(F.col("n"), F.lit(0).cast("long")))
+
+
 def pearson_matrix(returns: DataFrame, pairs: DataFrame, value: str = "ret") -> DataFrame:
-    """Pairwise-complete Pearson correlation; null for a constant side."""
-    return (
-        aligned_pairs(returns, pairs, value)
-        .groupBy(*PAIR)
-        .agg(correlation("x", "y").alias("corr"), pair_count("x", "y").alias("n"))
-    )
+    """Pairwise-complete Pearson correlation; null for a constant side or no common date."""
+    found = aligned_pairs(returns, pairs, value).groupBy(*PAIR).agg(
+        correlation("x", "y").alias("corr"), pair_count("x", "y").alias("n"))
+    return every_pair(pairs, found)
 
 
 def avg_rank(value, keys) -> Column:
@@ -89,9 +93,9 @@ def spearman_matrix(returns: DataFrame, pairs: DataFrame, value: str = "ret") ->
     ranked = aligned_pairs(returns, pairs, value).select(
         *PAIR, avg_rank("x", PAIR).alias("x"), avg_rank("y", PAIR).alias("y")
     )
-    return ranked.groupBy(*PAIR).agg(
+    return every_pair(pairs, ranked.groupBy(*PAIR).agg(
         correlation("x", "y").alias("corr"), pair_count("x", "y").alias("n")
-    )
+    ))
 
 
 def kendall_matrix(returns: DataFrame, pairs: DataFrame, value: str = "ret") -> DataFrame:
@@ -188,22 +192,28 @@ def _block_moments(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[out["n"] > 0][MOMENTS.names]
 
 
-def pairwise_correlations(returns: DataFrame, value: str = "ret", blocks: int = 8) -> DataFrame:
+BLOCK_MARKETS = 64
+
+
+def pairwise_correlations(returns: DataFrame, value: str = "ret") -> DataFrame:
     """Correlation of every unordered market pair, pairwise complete.
 
-    ``blocks`` market blocks (raise it with the market count) and calendar
-    years form the groups, so a group holds two blocks of one year.  Values are
-    centred per market first, which keeps the raw moments well conditioned.
+    Blocks of about ``BLOCK_MARKETS`` markets, as many as the market count
+    asks for, and calendar years form the groups, so a group holds two blocks
+    of one year whatever the number of markets.  Values are centred per market
+    first, which keeps the raw moments well conditioned.
     """
     present = returns.where(col(value).isNotNull()).select("date", "market", col(value).alias("v"))
+    markets = present.select(F.count_distinct("market")).scalar()
+    blocks = F.greatest(F.lit(1), F.ceil(markets / float(BLOCK_MARKETS))).cast("int")
     means = present.groupBy("market").agg(F.avg("v").alias("_mean"), F.stddev_samp("v").alias("_sd"))
     centred = present.join(means, "market").select(
         "date", "market",
         F.coalesce(ratio(F.col("v") - F.col("_mean"), "_sd"), F.lit(0.0)).alias("v"),
-        F.pmod(F.xxhash64("market"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("market"), blocks).cast("int").alias("block"),
         F.year("date").alias("chunk"),
     )
-    spread = centred.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+    spread = centred.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "date", "market", "v", "block", "chunk",
         F.least("block", "other").alias("block_a"),
         F.greatest("block", "other").alias("block_b"),

@@ -34,14 +34,18 @@ def bh_adjust(pvals: DataFrame, family=("family",), p: str = "p_value",
     """Benjamini-Hochberg within a family; a missing p enters as 1.
 
     Equal p-values share one adjusted value, so tests are counted per distinct
-    p first.  Distinct values are split into ``buckets`` ranges of p: ranks and
-    the running minimum from above are carried across ranges by per-range
-    totals, so a family with most of the tests spreads over many tasks.  The
-    tests are read several times and are settled first.
+    p first.  Distinct values are split into ``buckets`` ranges of p, and below
+    the first of these into ranges of its logarithm, so tests that are all very
+    small spread as well: ranks and the running minimum from above are carried
+    across ranges by per-range totals, and a family with most of the tests
+    spreads over many tasks.  The tests are read several times and are settled
+    first.
     """
     family = list(family)
     entered = settle(pvals).withColumn("_p", F.coalesce(col(p), F.lit(1.0)))
-    bucket = F.least(F.floor(F.col("_p") * buckets), F.lit(buckets - 1)).cast("int")
+    scaled = F.col("_p") * buckets
+    bucket = F.when(scaled >= 1.0, F.least(F.floor(scaled), F.lit(buckets - 1))).when(
+        scaled > 0.0, F.floor(F.ln(scaled) * 64.0)).otherwise(F.lit(-1_000_000)).cast("int")
     values = entered.groupBy(*family, "_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket)
 
     whole = W.partitionBy(*family)

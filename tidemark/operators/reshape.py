@@ -217,8 +217,3 @@ def latest_year_rows(df: DataFrame, columns, year: str = "year") -> DataFrame:
     present = df.dropna("any", subset=list(columns))
     newest = df.select(F.max(year)).scalar()
     return present.where(col(year) == newest)
-
-
-def window_rank(df: DataFrame, keys, order: Column, *ties: str, out: str = "rank") -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(order, *ties)
-    return df.withColumn(out, F.row_number().over(w))

@@ -193,8 +193,7 @@ def scatter_points(x: DataFrame, y: DataFrame, z: DataFrame | None = None, on: s
 
 
 def scatter_reference(points: DataFrame) -> DataFrame:
-    """Median lines of x and y, range of z."""
-    return points.agg(
-        F.median("x").alias("median_x"), F.median("y").alias("median_y"),
-        F.min("z").alias("min_z"), F.max("z").alias("max_z"),
-    )
+    """Median lines of x and y, range of z; no task gathers the values."""
+    x, y = (exact_median(points, c, ()).scalar() for c in ("x", "y"))
+    return points.agg(F.min("z").alias("min_z"), F.max("z").alias("max_z")).select(
+        x.alias("median_x"), y.alias("median_y"), "min_z", "max_z")

@@ -8,9 +8,6 @@ from pyspark.sql import types as T
 STATUSES = ("actual", "revised", "provisional", "estimate", "budget")
 SETTLED_EXCLUDES = ("budget", "estimate")
 
-# Frequencies accepted by the period index.
-FREQUENCIES = ("monthly", "quarterly", "annual", "fiscal_year", "academic_year")
-
 # Age in days after which an output of this frequency is stale.
 STALE_AFTER_DAYS = {"monthly": 45, "annual": 450, "mixed": 120}
 STALE_AFTER_DEFAULT = 120
@@ -33,14 +30,6 @@ RECORDS = T.StructType([
     T.StructField("period_start", T.DateType()),
     T.StructField("period_end", T.DateType()),
 ])
-RECORD_KEY = ("entity", "indicator", "date")
-
-PRICES = T.StructType([
-    T.StructField("date", T.DateType()),
-    T.StructField("market", T.StringType()),
-    T.StructField("price", T.DoubleType()),
-])
-
 FLOWS = T.StructType([
     T.StructField("date", T.DateType()),
     T.StructField("category", T.StringType()),
@@ -78,8 +67,3 @@ GRID = T.StructType([
     T.StructField("row_no", T.IntegerType()),
     T.StructField("cells", T.ArrayType(T.StringType())),
 ])
-
-
-def empty_records_columns(*present: str) -> list[T.StructField]:
-    """Record fields that a narrower frame does not carry."""
-    return [field for field in RECORDS.fields if field.name not in present]
