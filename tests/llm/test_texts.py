@@ -287,11 +287,14 @@ def test_personal_data(spark):
     got = {}
     for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r.doc_id, []).append(r)
-        assert [(s.start, s.end, pii.KINDS.index(s.kind)) for s in r.base] == brute_base(dict(rows)[r.doc_id] or "") or r.doc_id == 1
+        if r.doc_id == 3:  # the plain patterns would take hours over these runs
+            assert r.spans == []
+        elif r.doc_id != 1:
+            assert [(s.start, s.end, pii.KINDS.index(s.kind)) for s in r.base] == brute_base(dict(rows)[r.doc_id] or "")
         assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
     assert len(got[1]) == 2 and got[2][0].spans == []
     assert all(len(got[10 + i][0].spans) == 2 for i in range(60))  # the number without a country code is added
-    assert not any(got[100 + i][0].spans for i in range(30))
+    assert all(got[100 + i][0].spans == got[100 + i][0].base for i in range(30))  # nothing is added after a cue against it
 
 
 def test_reliabilities_find_the_bad_labeler():
