@@ -29,12 +29,14 @@ class Features:
     weight: np.ndarray
 
 
-def features(text: pa.Array, presence: bool = False) -> Features:
+def features(text: pa.Array, presence: bool = False, useful: np.ndarray | None = None) -> Features:
     """Word 1- and 2-grams and shape 1- to 3-grams, hashed.
 
     By default every occurrence weighs ten over their number: a text is what it
     is on average.  With ``presence`` every distinct feature weighs five over
-    the fourth root of that number: a single telling word counts.
+    the fourth root of that number: a single telling word counts.  Then
+    features that are not ``useful``, of weight zero in a model, may be left
+    out before the distinct ones are sorted; what is left weighs the same.
 
     Words are runs of letters and digits or runs of marks.  The shape of a word
     is its letter cases, digits and whether it repeats the word before it or
@@ -71,7 +73,11 @@ def features(text: pa.Array, presence: bool = False) -> Features:
     number = np.maximum(np.diff(first), 1)
     if not presence:
         return Features(index, first, 10 / number)
-    once = np.unique(np.repeat(doc, len(families)) * DIMENSIONS + index)
+    owner = np.repeat(doc, len(families))
+    if useful is not None:
+        kept = useful[index]
+        owner, index = owner[kept], index[kept]
+    once = np.unique(owner * DIMENSIONS + index)
     return Features(once % DIMENSIONS, np.searchsorted(once, np.arange(len(text) + 1) * DIMENSIONS), 5 / number ** 0.25)
 
 
@@ -155,7 +161,7 @@ def fit(labelled: DataFrame, outputs: int = 1, sample_rows: int = SAMPLE_ROWS, s
 
 def margins(text: pa.Array, weights: np.ndarray, presence: bool = False) -> np.ndarray:
     """Sparse dot products ``[outputs, texts]``."""
-    f = features(text, presence)
+    f = features(text, presence, (weights[:, :-1] != 0).any(axis=0) if presence else None)
     out = np.empty((len(weights), len(text)))
     for k, w in enumerate(weights):
         sums = np.concatenate([[0.0], np.cumsum(w[f.index], dtype=np.float64)])

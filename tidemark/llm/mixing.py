@@ -91,18 +91,21 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
 
 
 def with_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: float | None = None,
-               sample_rows: int = linear.SAMPLE_ROWS) -> DataFrame:
+               sample_rows: int = linear.SAMPLE_ROWS, with_text: bool = True) -> DataFrame:
     """The documents with ``_tokens, _posterior, _rate, _copies``.
 
+    Texts are judged once; what was judged is stored, with the texts unless
+    ``with_text`` is false, and read by the passes and by the result.
     ``_copies`` is the rate rounded down or up by a hash of id and text, so its
     expectation is the rate and every run decides alike.
     """
     names = list(targets)
-    judged = with_posteriors(docs, domains, names, sample_rows)
-    steps = fit_rates(stored(judged.select("_tokens", "_posterior"), "memberships"), [targets[n] for n in names], total)
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    judged = with_posteriors(docs, domains, names, sample_rows).withColumn("_chance", chance)
+    judged = stored(judged if with_text else judged.drop("text"), "memberships")
+    steps = fit_rates(judged.select("_tokens", "_posterior"), [targets[n] for n in names], total)
     return judged.withColumn("_rate", rate(steps)).withColumn(
-        "_copies", (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long"))
+        "_copies", (F.floor("_rate") + (F.col("_chance") < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample_rows: int = linear.SAMPLE_ROWS) -> DataFrame:
@@ -120,7 +123,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     those allow; without documents the result is empty.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = with_rates(docs, labelled_domains(labels), targets, None, sample_rows)
+    out = with_rates(docs, labelled_domains(labels), targets, None, sample_rows, with_text=False)
     return out.select("doc_id", F.col("_tokens").alias("n_tokens"), *[
         F.col("_posterior")[k].alias(f"p_{name}") for k, name in enumerate(targets)],
         F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
