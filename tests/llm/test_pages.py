@@ -85,6 +85,22 @@ def test_one_page(spark, page, text):
     assert (got.text, got.n_chars) == (text, len(text))
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<body class="has-sidebar logged-in admin-bar cookie-consent"><article class="post no-comments"><p>whole</p></article></body>', "whole"),
+    ('<html class="no-menu"><body class="sidebar"><p>plain</p><div class="sidebar">no</div></body></html>', "plain"),
+    ('<div class="layout with-sidebar"><p>text</p><article class="comment">no</article></div>', "text"),
+    ('<aside><article><p>teaser</p></article></aside><div><p>real text</p></div>', "real text"),
+    ('<div class="sidebar"><article><p>teaser</p></article></div><div><p>real text</p></div>', "real text"),
+    ('<form id="aspnetForm"><main class="menu-open"><p>in a form</p></main></form>', "in a form"),
+    ("<article><p>let <math><mi>x</mi><annotation encoding='t'>no</annotation></math> be</p><noscript><p>told</p></noscript>"
+     "<object data=a><p>instead</p></object></article>", "let x be\ntold\ninstead"),
+])
+def test_text_is_not_left_out(spark, page, text):
+    """Classes that tell of the page's state, articles that are left out, and elements with text of their own."""
+    got = html.extract_text(spark.createDataFrame([(1, "http://h.org/", page)], "page_id long, url string, html string")).first()
+    assert got.text == text
+
+
 def test_host_boilerplate(spark):
     """Pages without a marked article lose what other pages of the host have too, and nothing else."""
     shared = "<p>All rights reserved by the people who run this site, and so on.</p>"
