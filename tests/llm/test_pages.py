@@ -153,6 +153,18 @@ def test_nearest(spark, monkeypatch, block):
     assert sorted(got) == sorted(brute_nearest(rows, 5, 50))
 
 
+def test_tied_vectors(spark, monkeypatch):
+    """Scaled copies and one-hot vectors: of equal cosines the smaller ids, though every vector differs."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    scaled = [(i, [float(2 ** (i % 40)) * x for x in (1.0, 2.0, -1.0, 0.5, 3.0, 1.0)]) for i in range(40)]
+    hot = [(100 + i, [float(2 ** (i // 6)) if j == i % 6 else 0.0 for j in range(6)]) for i in range(120)]
+    rows = scaled[::-1] + hot[::-1] + [(1000, [0.0, 0.0, 0.0, 0.0, 0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in vectors.nearest(df, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == sorted(brute_nearest(rows, 5, 50))
+    assert [g[2] for g in sorted(got) if g[0] == 0] == [1, 2, 3, 4, 5]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = vectors.nearest(df, F.col("vec_id") % 50 == 0).collect()

@@ -13,6 +13,8 @@ from tidemark.llm.store import stored
 
 #: Orderings, projected dimensions, bits of each, neighbours per key window, rows of a scanned block and of its pruned parts.
 CURVES, AXES, BITS, NEAR, BLOCK, PART = 8, 8, 7, 40, 1 << 15, 256
+#: How far a product of unit vectors may lie from the exact cosine.
+MARGIN = 1e-10
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -80,13 +82,27 @@ def _ranked(keyed: DataFrame) -> DataFrame:
     return sorted_.join(parts, ["curve", "part"]).withColumn("rank", F.col("line") + F.col("move")).drop("part", "line", "move")
 
 
-def _best(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to the smaller name."""
-    if len(scores) > 4 * k:
-        some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((names[some], -scores[some]))[:k]]
+def _cosines(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Cosines as the result's expression gives them, summed in order."""
+    dot, norms, norm = np.zeros(len(rows)), np.zeros(len(rows)), 0.0
+    with np.errstate(all="ignore"):
+        for c, x in zip(rows.T, one, strict=True):
+            dot, norms, norm = dot + c * x, norms + c * c, norm + x * x
+        return dot / (np.sqrt(norms) * np.sqrt(norm))
+
+
+def _best(scores: np.ndarray, one: np.ndarray, rows: np.ndarray, least: np.ndarray, nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosines of the k nearest rows to ``one``, ties to the smaller id.
+
+    ``scores`` are near the cosines, -9 for rows that are no candidates; all
+    rows that may be among the k nearest are scored exactly.
+    """
+    at_least = np.partition(scores, -k)[-k] - MARGIN if len(scores) > k else -8
+    some = np.flatnonzero(scores >= max(at_least, -8))
+    exact = _cosines(rows[some], one)
+    exact = np.where(np.isfinite(exact), exact, scores[some])  # sums of very large or small squares
+    order = np.lexsort((nodes[some], least[some], -exact))[:k]
+    return some[order], exact[order]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -112,24 +128,26 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _answers(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)],
-                                      ["query", "node", "score"])
+def _answers(rows: list[tuple[int, int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)],
+                                      ["query", "node", "least", "score"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Of each query in a block of neighbouring keys, the k nearest rows there."""
     for table in _groups(batches, ["curve", "block"]):
         asks = table.column("asks").to_numpy()
-        nodes = table.column("node").to_numpy()
-        x = _unit(_matrix(table.column("vector").combine_chunks()))
+        nodes, least = table.column("node").to_numpy(), table.column("least").to_numpy()
+        raw = _matrix(table.column("vector").combine_chunks())
+        x = _unit(raw)
         mine, there = np.flatnonzero(asks), np.flatnonzero(~asks)
         rows = []
         if len(mine) and len(there):
-            for q, scores in zip(nodes[mine], x[mine] @ x[there].T, strict=True):
-                scores = np.where(nodes[there] == q, -9.0, scores)
-                rows += [(int(q), int(nodes[there[j]]), float(scores[j])) for j in _best(scores, nodes[there], k) if scores[j] > -9]
+            names, ids, vectors = nodes[there], least[there], raw[there]
+            for q, one, scores in zip(nodes[mine], raw[mine], x[mine] @ x[there].T, strict=True):
+                places, exact = _best(np.where(names == q, -9.0, scores), one, vectors, ids, names, k)
+                rows += [(int(q), int(names[j]), int(ids[j]), float(e)) for j, e in zip(places, exact, strict=True)]
         yield _answers(rows)
 
 
@@ -140,17 +158,17 @@ def _complete(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     k-th neighbour so far.  A part's rows lie within an angle of its centre, so
     the angle to the centre less that bounds the angle to any of them.
     """
-    def prepare(nodes: np.ndarray, x: np.ndarray):
+    def prepare(nodes: np.ndarray, least: np.ndarray, raw: np.ndarray, x: np.ndarray):
         cuts = range(0, len(nodes), PART)
         centre = np.stack([x[a:a + PART].mean(axis=0) for a in cuts])
         length = np.sqrt((centre * centre).sum(axis=1, keepdims=True))
         centre = np.divide(centre, length, out=np.zeros_like(centre), where=length > 1e-12)
         reach = np.array([np.arccos(np.clip((x[a:a + PART] @ c).min(), -1, 1)) for a, c in zip(cuts, centre, strict=True)])
         reach[length[:, 0] <= 1e-12] = np.pi
-        return nodes, x, centre, reach
+        return nodes, least, raw, x, centre, reach
 
-    def ask(block, queries: np.ndarray, y: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-        nodes, x, centre, reach = block
+    def ask(block, queries: np.ndarray, asked: np.ndarray, y: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        nodes, least, raw, x, centre, reach = block
         angle = np.arccos(np.clip(y @ centre.T, -1, 1)) - reach
         open_ = angle <= np.arccos(np.clip(known, -1, 1))[:, None] + 1e-6
         rows = []
@@ -159,9 +177,10 @@ def _complete(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             who = np.flatnonzero(open_[:, part])
             scores = y[who] @ x[at].T
             scores[queries[who][:, None] == nodes[at]] = -9.0
-            for q in np.flatnonzero((scores >= known[who][:, None] - 1e-12).any(axis=1)):
-                rows += [(int(queries[who[q]]), int(nodes[at][j]), float(scores[q][j])) for j in _best(scores[q], nodes[at], k)
-                         if scores[q][j] >= max(known[who[q]] - 1e-12, -8)]
+            for q in np.flatnonzero((scores >= known[who][:, None] - MARGIN).any(axis=1)):
+                places, exact = _best(scores[q], asked[who[q]], raw[at], least[at], nodes[at], k)
+                rows += [(int(queries[who[q]]), int(nodes[at][j]), int(least[at][j]), float(e)) for j, e in zip(places, exact, strict=True)
+                         if e >= known[who[q]]]
         return _answers(rows)
 
     block, held, name = None, [], None
@@ -172,16 +191,17 @@ def _complete(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for a, b in zip(edges, edges[1:], strict=False):
             if a == b:
                 continue
-            nodes = batch.column("node").to_numpy()[a:b]
-            x = _unit(_matrix(batch.column("vector").slice(a, b - a)))
+            nodes, least = batch.column("node").to_numpy()[a:b], batch.column("least").to_numpy()[a:b]
+            raw = _matrix(batch.column("vector").slice(a, b - a))
+            x = _unit(raw)
             if name != blocks[a]:
                 block, held, name = None, [], blocks[a]
             if not asks[a]:
-                held.append((nodes, x))
+                held.append((nodes, least, raw, x))
             elif held or block:
                 if block is None:
-                    block, held = prepare(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), []
-                yield ask(block, nodes, x, batch.column("known").to_numpy()[a:b])
+                    block, held = prepare(*(np.concatenate(some) for some in zip(*held, strict=True))), []
+                yield ask(block, nodes, raw, x, batch.column("known").to_numpy()[a:b])
 
 
 def usable(vector: Column) -> Column:
@@ -200,7 +220,9 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, curves: int = CURVES,
     along ``curves`` Hilbert curves of shifted random projections by range
     partitioning; each curve is cut in windows of ``near`` ranks, and a query
     meets its own and both adjacent windows.  The merged, reranked windows give
-    each query a k-th score that no answer may fall below.  With ``exact``, the
+    each query a k-th score that no answer may fall below; whatever may be among
+    the k nearest of a window is scored exactly, and ties go to the node of the
+    smaller least id.  With ``exact``, the
     queries then pass all rows in blocks of the first curve, skipping the parts
     whose rows provably lie farther: near queries skip almost everything, and
     queries without near neighbours, which no ordering can serve, stay right.
@@ -226,32 +248,31 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, curves: int = CURVES,
         named.select("vector", "node"), "vector").select(F.col("vec_id").alias("query_id"), "node")
     asking = stored(asking, "queries")
     seeks = asking.select("node").distinct().withColumn("seeks", F.lit(True))
-    plain = named.join(seeks, "node", "left").select("node", F.coalesce("seeks", F.lit(False)).alias("seeks"), "vector")
-    ranked = _ranked(plain.mapInArrow(lambda it: _order(it, curves, AXES, BITS), "curve int, key long, node long, seeks boolean, vector array<double>"))
+    plain = named.join(seeks, "node", "left").select("node", "least", F.coalesce("seeks", F.lit(False)).alias("seeks"), "vector")
+    ranked = _ranked(plain.mapInArrow(lambda it: _order(it, curves, AXES, BITS),
+                                      "curve int, key long, node long, least long, seeks boolean, vector array<double>"))
 
     block = F.floor(F.col("rank") / near)
-    put = ranked.select("curve", block.alias("block"), F.lit(False).alias("asks"), "node", "vector")
+    put = ranked.select("curve", block.alias("block"), F.lit(False).alias("asks"), "node", "least", "vector")
     sent = ranked.filter("seeks").select("curve", F.explode(F.array(block - 1, block, block + 1)).alias("block"), F.lit(True).alias("asks"),
-                                         "node", "vector")
+                                         "node", "least", "vector")
     met = put.unionByName(sent).repartition("curve", "block").sortWithinPartitions("curve", "block")
-    answer = "query long, node long, score double"
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    # Curves may round a score differently, so a neighbour counts once by name.
-    found = met.mapInArrow(lambda it: _windows(it, k), answer).groupBy("query", "node").agg(F.max("score").alias("score"))
+    answer = "query long, node long, least long, score double"
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "least", "node")
+    found = met.mapInArrow(lambda it: _windows(it, k), answer).distinct()
     found = stored(found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k), "neighbours")
     if exact:
         known = found.groupBy("query").agg(F.min("score").alias("score"), F.count("*").alias("n")).select(
             F.col("query").alias("node"), F.when(F.col("n") >= k, F.col("score")).otherwise(-2.0).alias("known"))
-        base = ranked.filter("curve = 0").select("rank", "seeks", "node", "vector")
+        base = ranked.filter("curve = 0").select("rank", "seeks", "node", "least", "vector")
         blocks = max(1, -(-base.count() // BLOCK))
-        held = base.select(F.floor(F.col("rank") / BLOCK).alias("block"), F.lit(False).alias("asks"), "rank", "node", "vector",
+        held = base.select(F.floor(F.col("rank") / BLOCK).alias("block"), F.lit(False).alias("asks"), "rank", "node", "least", "vector",
                            F.lit(0.0).alias("known"))
         posed = base.filter("seeks").join(known, "node", "left").select(
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asks"), "rank", "node", "vector",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asks"), "rank", "node", "least", "vector",
             F.coalesce("known", F.lit(-2.0)).alias("known"))
         passed = held.unionByName(posed).repartition("block").sortWithinPartitions("block", "asks", "rank")
-        found = found.select("query", "node", "score").unionByName(passed.mapInArrow(lambda it: _complete(it, k), answer))
-        found = found.groupBy("query", "node").agg(F.max("score").alias("score"))
+        found = found.drop("place").unionByName(passed.mapInArrow(lambda it: _complete(it, k), answer)).distinct()
         found = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
     # A node's own ids are neighbours of each other.
     own = asking.select(F.col("node").alias("query")).distinct().select("query", F.col("query").alias("node"))
