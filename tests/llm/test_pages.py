@@ -115,6 +115,25 @@ def test_host_boilerplate(spark):
     assert text[90] == f"{plain}\nalone" and text[91] == plain and text[92] == "" and text[93] == f"{plain}\n{plain}" and text[94] == plain
 
 
+def test_copies_and_headlines(spark):
+    """Copies and a print version of a story keep it, and so does a page whose headline others list as related."""
+    story = "<p>The whole story of the bridge over the river, told once and in full.</p>"
+    notice = "<p>All rights reserved by the people who run this site, and so on.</p>"
+    head = "<h1>Mayor opens the new bridge over the river after ten long years</h1>"
+    own = lambda i: f"<p>What page {i} says in its own words {i * 7919} about number {i * i}, at length.</p>"
+    rows = [(1, "http://h.org/s", story + notice), (2, "https://h.org/s", story + notice), (3, "http://h.org/s?utm=1", story + notice),
+            (4, "http://h.org/print", story + notice + own(4)), (5, "http://h.org/m", head + own(5) + notice)]
+    rows += [(i, f"http://h.org/{i}", f"{own(i)}{notice}<aside>{head}</aside>") for i in range(10, 30)]
+    rows += [(i, f"http://h.org/{i}", f"{own(i)}{notice}{head if i == 40 else ''}{notice}") for i in range(40, 60)]
+    rows += [(60, "http://one.org/a", story), (61, "http://one.org/b", story), (62, "http://one.org/c", story)]
+    got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text, plain = {r.page_id: r.text for r in got}, lambda t: re.sub("<[^>]*>", "", t)
+    assert text[1] == text[2] == text[3] == text[60] == text[61] == text[62] == plain(story)
+    assert text[4] == f"{plain(story)}\n{plain(own(4))}" and text[5] == f"{plain(head)}\n{plain(own(5))}"
+    assert text[40] == f"{plain(own(40))}\n{plain(head)}"
+    assert all(text[i] == plain(own(i)) for i in [*range(10, 30), *range(41, 60)])
+
+
 def test_no_pages(pages):
     assert html.extract_text(pages.filter("1 = 0")).count() == 0
 
