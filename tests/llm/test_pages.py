@@ -56,6 +56,19 @@ def test_urls(pages):
     assert all(found[200 + i].verdict == "allow" for i in range(60))
 
 
+def test_every_word_counts(spark):
+    """Names are cut by all words of the table, the rare and the long too, and unseen parts stay whole."""
+    import random
+    rng = random.Random(4)
+    rare = sorted({"".join(rng.choice("bcdfghklmnprtvwz") for _ in range(7)) for _ in range(205_000)})
+    long = "donaudampfschifffahrtsgesellschaft"
+    titles = [" ".join(rare[i:i + 1000]) for i in range(0, len(rare), 1000)] + [f"{long} {rare[0]} {rare[0]}"]
+    rows = [(i, f"http://h.org/{i}", f"<title>{t} {t}</title>") for i, t in enumerate(titles[:-1])] + [(900, "http://h.org/", f"<title>{titles[-1]}</title>")]
+    rows += [(1000, f"http://{rare[-1]}{rare[-2]}.org/", ""), (1001, f"http://{long}{rare[0]}.org/", ""), (1002, f"http://{'q' * 60}.org/", None)]
+    found = {r.page_id: r.words.split() for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1000] == [rare[-1], rare[-2], "org"] and found[1001] == [long, rare[0], "org"] and found[1002] == ["q" * 60, "org"]
+
+
 def test_no_urls(pages):
     assert urls.judge_urls(pages.filter("1 = 0")).count() == 0
 

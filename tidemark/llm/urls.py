@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import stored
+
 #: Rules of the registered query (fixed values).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words that mark a host as unwanted to begin with; naive Bayes learns the rest from the hosts that carry them.
 SEEDS = ("casino", "poker", "bet", "bets", "betting", "lottery", "slots", "jackpot", "adult", "porn", "xxx", "sex", "escort", "cams",
          "pills", "viagra", "pharma", "spam", "ads", "adserver", "tracker", "track", "malware", "phishing", "warez", "torrent", "crack",
          "payday", "replica", "clickbait")
-#: Words of the unigram model, slots of the token counts, the longest word a name is cut into, and what is added to counts.
-LEXICON, SLOTS, LONGEST, SMOOTHING = 200_000, 1 << 18, 24, 0.1
+#: Slots of the token counts, and what is added to counts.
+SLOTS, SMOOTHING = 1 << 18, 0.1
 _PARTS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
@@ -46,35 +48,39 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
 
 
 class Segmenter:
-    """Most probable split of a name into words of a unigram model, by dynamic programming."""
+    """Most probable split of a name into words of a unigram model, by dynamic programming.
+
+    ``counts`` needs the words that are pieces of the names only, ``total`` is
+    that of all words.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.known = {w: math.log(n / total) for w, n in counts.items()}
-        self.unseen = [math.log(10 / total) - k * math.log(10) for k in range(LONGEST + 1)]
-        self.seen: dict[str, list[str]] = {}
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = total or sum(counts.values()) or 1
+        self.known = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.longest = max(map(len, counts), default=0)
 
     def words(self, name: str) -> list[str]:
-        if name in self.seen:
-            return self.seen[name]
-        best, back = [0.0], [0]
+        """An unseen word costs ten times less than one count for each letter, so its best start follows from the best of all before."""
+        first, letter = math.log(10 / self.total), math.log(10)
+        best, back, unseen = [0.0], [0], (-math.inf, 0)
         for end in range(1, len(name) + 1):
-            score, start = max((best[s] + self.known.get(name[s:end], self.unseen[end - s]), s) for s in range(max(0, end - LONGEST), end))
+            unseen = max(unseen, (best[end - 1] + letter * (end - 1), end - 1))
+            score, start = unseen[0] + first - letter * end, unseen[1]
+            for s in range(max(0, end - self.longest), end):
+                if (p := self.known.get(name[s:end])) is not None and (best[s] + p, s) > (score, start):
+                    score, start = best[s] + p, s
             best.append(score)
             back.append(start)
         out, end = [], len(name)
         while end:
             out.append(name[back[end]:end])
             end = back[end]
-        if len(self.seen) >= 100_000:
-            self.seen = {}
-        self.seen[name] = out[::-1]
-        return self.seen[name]
+        return out[::-1]
+
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host's labels, and of the path marked as such."""
-        return [w for p in _PARTS.findall(host) for w in self.words(p)] + [
-            f"/{w}" for p in _PARTS.findall(path.lower()) for w in ([p] if p[0].isdigit() else self.words(p))]
+def name_parts(host: str, path: str) -> list[tuple[str, bool, bool]]:
+    """Parts of a host's labels and of the path: part, in the path, to be cut into words."""
+    return [(p, False, True) for p in _PARTS.findall(host)] + [(p, True, not p[0].isdigit()) for p in _PARTS.findall(path.lower())]
 
 
 def slot(token: str) -> int:
@@ -85,21 +91,65 @@ def slot(token: str) -> int:
     return (value ^ value >> 31) % SLOTS
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON, seeds: Sequence[str] = SEEDS) -> dict[str, int]:
-    """The ``size`` most frequent words of page titles and URL paths, with counts over all pages.
+def lexicon(pages: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
+    """All words of page titles and URL paths with their counts: ``w, n``.
 
     Host names stay out, since they are what is to be cut.  Seed words count as often as the most frequent word does in a thousand, so that they can be cut out of names.
     """
     title = F.regexp_extract(F.coalesce(F.col("html").cast("string"), F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1)
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, "path")), F.lit("([a-z]+|[^\\x00-\\x7f]+)"), 1)
-    counted = pages.select(F.explode(words).alias("w")).filter(F.length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n"))
-    out = {r.w: r.n for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()}
-    floor = max(1, max(out.values(), default=0) // 1000)
-    return out | {s: max(out.get(s, 0), floor) for s in seeds}
+    counted = stored(pages.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
+    floor = max(1, (counted.agg(F.max("n")).first()[0] or 0) // 1000)
+    marked = pages.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "w string").withColumn("n", F.lit(floor).cast("long"))
+    return counted.unionByName(marked).groupBy("w").agg(F.max("n").alias("n"))
+
+
+def segments(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Words of every distinct part: ``part, words``; each part meets the counts of its own pieces only."""
+    totals = counts.agg(F.sum("n"), F.max(F.length("w"))).first()
+    total, longest = totals[0] or 1, totals[1] or 0
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                width = min(longest, len(part))
+                for at in range(0, len(part), 64):  # a long part's pieces come by and by
+                    some = list({part[s:e] for s in range(at, min(at + 64, len(part))) for e in range(s + 1, min(s + width, len(part)) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), pa.array(some, pa.string())], ["part", "w"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [Segmenter({k["w"]: k["n"] for k in known or ()}, total).words(part)
+                     for part, known in zip(batch.column("part").to_pylist(), batch.column("known").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(words, pa.list_(pa.string()))], ["part", "words"])
+
+    known = parts.mapInArrow(pieces, "part string, w string").join(counts, "w").groupBy("part").agg(
+        F.collect_set(F.struct("w", "n")).alias("known"))
+    return parts.join(known, "part", "left").mapInArrow(cut, "part string, words array<string>")
+
+
+def tokenized(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """``host, path, tokens`` of distinct names: words of the host's labels, and of the path marked as such."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, p, k, *one) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)
+                    for k, one in enumerate(name_parts(h, p))]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                                             ["host", "path", "place", "part", "in_path", "cut"])
+
+    parts = stored(names.select("host", "path").mapInArrow(split, "host string, path string, place int, part string, in_path boolean, cut boolean"), "parts")
+    cuts = segments(parts.filter("cut").select("part").distinct(), counts)
+    words = F.coalesce("words", F.array("part"))
+    marked = F.when(F.col("in_path"), F.transform(words, lambda w: F.concat(F.lit("/"), w))).otherwise(words)
+    met = parts.join(cuts.withColumn("cut", F.lit(True)), ["part", "cut"], "left").groupBy("host", "path").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", marked.alias("tokens")))), lambda s: s["tokens"])).alias("tokens"))
+    return names.join(met, ["host", "path"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS,
-               lexicon_words: int = LEXICON, threshold: float = 0.5) -> DataFrame:
+               threshold: float = 0.5) -> DataFrame:
     """Allow or block every URL: ``page_id, host, path, rule, verdict, score, words``, one row per input row.
 
     Takes ``page_id, url, html``; other columns are ignored.  A URL that a
@@ -108,8 +158,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds
     Bayes decides: its two classes are counted over all pages, where a host
     with a seed word is unwanted.  ``score`` is the probability of that class.
 
-    The lexicon's size and the number of count slots are fixed, so both models
-    are bounded whatever the table; counts cover every page.  A null URL, or
+    The lexicon is a table of all words; each distinct part of a name meets the
+    counts of its own pieces in a join.  The number of count slots is fixed, so
+    what is gathered and sent is bounded whatever the table.  A null URL, or
     one without ``://``, has an empty host and path and is judged by the
     classes' shares alone; a null ``html`` has no title.  Repeated rows count
     as often as they occur.  An empty table gives an empty result.
@@ -117,14 +168,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), "html")
     sc = pages.sparkSession.sparkContext
-    sent = sc.broadcast(lexicon(rows, lexicon_words, seeds))
+    names = stored(tokenized(rows.groupBy("host", "path").agg(F.count("*").alias("n")), lexicon(rows, seeds)), "names")
     marked = frozenset(seeds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, total, urls = Segmenter(sent.value), np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
+        total, urls = np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for h, p, n in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "n")), strict=True):
-                tokens = cut.tokens(h, p)
+            for tokens, n in zip(*(batch.column(c).to_pylist() for c in ("tokens", "n")), strict=True):
                 bad = int(any(t in marked for t in tokens))
                 urls[bad] += n
                 for t in tokens:
@@ -134,8 +184,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds
             [pa.array(np.append(kind, [0, 1])), pa.array(np.append(place, [-1, -1])), pa.array(np.append(total[kind, place], urls))],
             ["kind", "slot", "n"])
 
-    grouped = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
-    found = grouped.mapInArrow(count, "kind long, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
+    found = names.select("tokens", "n").mapInArrow(count, "kind long, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
     counts, urls = np.zeros((2, SLOTS)), np.ones(2)
     real = found[found.slot >= 0]
     counts[real.kind, real.slot] += real.n
@@ -146,15 +195,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds
     model = sc.broadcast(((per[1] - per[0]).astype(np.float32), float(np.log(urls[1] / urls[0]))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, (odds, start) = Segmenter(sent.value), model.value
+        odds, start = model.value
         for batch in batches:
-            tokens = [cut.tokens(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            tokens = batch.column("tokens").to_pylist()
             logit = np.array([start + sum(float(odds[slot(t)]) for t in some) for some in tokens])
             p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(p),
-                                              pa.array([" ".join(some) for some in tokens])], ["page_id", "host", "path", "score", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), pa.array(p, pa.float64()),
+                                              pa.array([" ".join(some) for some in tokens], pa.string())], ["host", "path", "score", "words"])
 
-    judged = rows.select("page_id", "host", "path").mapInArrow(score, "page_id long, host string, path string, score double, words string")
+    scored = names.select("host", "path", "tokens").mapInArrow(score, "host string, path string, score double, words string")
+    judged = rows.select("page_id", "host", "path").join(scored, ["host", "path"])
     rule = best_rule(F.col("host"), F.col("path"), rules)
     return judged.withColumn("fit", rule).select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
