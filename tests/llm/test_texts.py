@@ -366,3 +366,9 @@ def test_random_reads_and_damage(spark, docs, tokenizer, plain, messy, tmp_path)
 
 def test_no_records(no_docs, tokenizer):
     assert records.token_records(no_docs, tokenizer).count() == 0
+
+
+def test_upper_case_address():
+    """An obfuscated address is a candidate in a text without a lower-case marker."""
+    text = "JOHN (AT) EXAMPLE (DOT) COM"
+    assert [s[:4] for s in pii.spans(text)] == [(0, len(text), 0, False)]

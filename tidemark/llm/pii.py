@@ -40,6 +40,7 @@ CUES = {
 }
 AGAINST = frozenset("isbn issn doi version v no nr order invoice item sku id ref page section article § # $ € £".split())
 _WORD = re.compile(r"[^\W_]+|[§#$€£]")
+_AT = re.compile(r"[(\[{]at[)\]}]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -107,7 +108,7 @@ def spans(text: str) -> list[tuple[int, int, int, bool, int, int]]:
     exact = base_spans(text)
     found = [(*s, True) for s in exact]
     for name, net in _LOOSE:
-        if name == "email" and "at" not in text or name == "ip" and ":" not in text:
+        if name == "email" and not _AT.search(text) or name == "ip" and ":" not in text:
             continue
         for m in net.finditer(text):
             if not any(a < m.end() and m.start() < b for a, b, _, _ in found):
