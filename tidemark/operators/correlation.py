@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from tidemark.functions.moments import correlation, pair_count
 from tidemark.functions.scalars import col, ratio
 from tidemark.operators.growth import pct_change, trailing
+from tidemark.operators.ranks import ranked_values
 from tidemark.session import settle
 
 PAIR = ("market_a", "market_b")
@@ -76,23 +77,22 @@ def avg_rank(value, keys) -> Column:
 
 
 def avg_rank_by_value(df: DataFrame, value: str, keys) -> DataFrame:
-    """Average rank of each distinct value within its keys.
-
-    Rows are counted per value first, so the ranking window holds distinct
-    values and a key with most of the rows costs no more than its values.
-    """
-    keys = list(keys)
-    counts = df.where(col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    below = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)
-    return counts.withColumn("avg_rank", rank).drop("_c")
+    """Average rank of each distinct value within its keys; a hot key is split by its values."""
+    return ranked_values(df, list(keys), value).select(*keys, value, "avg_rank")
 
 
 def spearman_matrix(returns: DataFrame, pairs: DataFrame, value: str = "ret") -> DataFrame:
     """Pearson correlation of average ranks over each pair's complete rows."""
-    ranked = aligned_pairs(returns, pairs, value).select(
-        *PAIR, avg_rank("x", PAIR).alias("x"), avg_rank("y", PAIR).alias("y")
-    )
+    rows = settle(aligned_pairs(returns, pairs, value))
+    sides = rows.select(*PAIR, F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(side).alias("value")) for side in ("x", "y")])).alias("v"))
+    ranks = settle(ranked_values(sides.select(*PAIR, "v.side", "v.value"), [*PAIR, "side"], "value"))
+
+    def of(side: str) -> DataFrame:
+        return ranks.where(F.col("side") == side).select(*PAIR, F.col("value").alias(side), F.col("avg_rank").alias(f"r{side}"))
+
+    ranked = rows.join(of("x"), [*PAIR, "x"]).join(of("y"), [*PAIR, "y"]).select(
+        *PAIR, F.col("rx").alias("x"), F.col("ry").alias("y"))
     return every_pair(pairs, ranked.groupBy(*PAIR).agg(
         correlation("x", "y").alias("corr"), pair_count("x", "y").alias("n")
     ))

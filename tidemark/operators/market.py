@@ -18,6 +18,7 @@ from tidemark.functions.moments import full_window
 from tidemark.functions.scalars import change, col, ratio
 from tidemark.operators.filters import common_period, drop_any
 from tidemark.operators.growth import pct_change, series_window, trailing
+from tidemark.operators.ranks import numbered
 
 TRADING_DAYS = 252
 MONTHS = 12
@@ -248,8 +249,8 @@ def metric_rankings(summary: DataFrame, metrics, market: str = "market") -> Data
     """Rank markets per metric; only volatility ranks ascending."""
     long = summary.unpivot([market], list(metrics), "metric", "value").where("value is not null")
     signed = F.when(F.col("metric").isin(*LOWER_IS_BETTER), F.col("value")).otherwise(-F.col("value"))
-    w = W.partitionBy("metric").orderBy(signed, col(market))
-    return long.withColumn("rank", F.row_number().over(w))
+    placed = numbered(long, ["metric"], [signed, market], "rank")
+    return placed.withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- composed monthly performance ------------------------------------------
