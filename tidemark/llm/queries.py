@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, leaks, merkle, mixing, near, pii, quality, records, repeats, urls, vectors
+from tidemark.llm import html, leaks, merkle, mixing, near, pii, quality, records, repeats, resample, urls, vectors
 from tidemark.llm.oracles import ORACLES as ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,10 +66,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_url_filters, op2_suffix_array_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_minhash_near_dedup,
-    op6_nearest_neighbours, op7_mixing_to_targets, op8_html_extraction, op9_token_records, op10_personal_data, op12_merkle_manifest)}
+    op6_nearest_neighbours, op7_mixing_to_targets, op8_html_extraction, op9_token_records, op10_personal_data,
+    op11_importance_resampling, op12_merkle_manifest)}
