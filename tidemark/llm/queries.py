@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, leaks, merkle, mixing, near, pii, quality, records, repeats, resample, urls, vectors
+from tidemark.llm import html, langid, leaks, merkle, mixing, near, pii, quality, records, repeats, resample, urls, vectors
 from tidemark.llm.oracles import ORACLES as ORACLES
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_url_filters, op2_suffix_array_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_minhash_near_dedup,
     op6_nearest_neighbours, op7_mixing_to_targets, op8_html_extraction, op9_token_records, op10_personal_data,
-    op11_importance_resampling, op12_merkle_manifest)}
+    op11_importance_resampling, op12_merkle_manifest, op13_language_id)}
