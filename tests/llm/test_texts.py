@@ -70,6 +70,27 @@ def test_near_duplicates_of_one_hot_group(spark):
     assert sum(r.kept for r in got) == 51
 
 
+@pytest.mark.parametrize("rare", [1, 4, 16])
+def test_near_copies_that_differ_from_each_other_too(spark, monkeypatch, rare):
+    """Copies of one text with up to eight edits of their own, or edits that a few share: most do not reach the threshold."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        text = list(base)
+        for k in rng.sample(range(150), i % 9):
+            text[k] = f"own{i}x{k}" if rng.random() < 0.7 else f"shared{i % 40}x{k}"
+        rows.append((i, " ".join(text)))
+    emitted = []
+    kept = near._remaining
+    monkeypatch.setattr(near, "_remaining", lambda *a: emitted.append(kept(*a).count()) or kept(*a))
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80, rare=rare).collect()
+    assert multiset(got) == multiset(brute_components(rows, 4, 80))
+    assert rare < 16 or emitted[0] < 4_000
+
+
 def test_no_documents(no_docs, benchmark, labels):
     assert near.near_duplicates(no_docs).count() == 0
     assert leaks.decontaminate(no_docs, benchmark).count() == 0
@@ -372,3 +393,20 @@ def test_upper_case_address():
     """An obfuscated address is a candidate in a text without a lower-case marker."""
     text = "JOHN (AT) EXAMPLE (DOT) COM"
     assert [s[:4] for s in pii.spans(text)] == [(0, len(text), 0, False)]
+
+
+def test_every_file_is_read_in_its_own_task(spark, docs, tokenizer, tmp_path):
+    folder = str(tmp_path / "records")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    records.write_records(docs, folder, tokenizer).write.parquet(str(tmp_path / "index"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert records.read_records(index.where("false"), folder).count() == 0
+    back = records.read_records(index, folder)
+    assert back.rdd.getNumPartitions() == index.select("file").distinct().count() > 1
+    assert back.count() == docs.count()
+
+
+def test_an_encoder_stays_with_its_worker(tokenizer):
+    one = records.encoder(tokenizer, 2)
+    assert records.encoder(tokenizer, 2) is one and records.encoder(tokenizer, 4) is not one

@@ -20,7 +20,9 @@ from tidemark.llm.store import stored
 from tidemark.llm.words import slices
 from tidemark.session import scratch_path
 
-END, CACHE, READ = 0, 600_000, 4 << 20
+#: Bytes of pieces and their ids that a worker remembers, with what a dictionary needs for each.
+CACHE = 192 << 20
+END, READ, ENTRY = 0, 4 << 20, 200
 
 # -- checksums -------------------------------------------------------------
 
@@ -112,8 +114,12 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.spaced: dict[str, bytes] = {}  # ids of a piece after its space
+        self.forget({})
+
+    def forget(self, keep: dict[str, bytes]) -> None:
+        self.spaced = keep  # ids of a piece after its space
         self.marks: dict[str, bytes] = {}  # ids of marks as they stand
+        self.used = sum(map(len, keep)) + sum(map(len, keep.values())) + ENTRY * len(keep)
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -129,6 +135,7 @@ class Encoder:
             yield from zip(some, [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
 
     def _learn(self, pieces: set[str]) -> None:
+        before, held = len(self.spaced), len(self.marks)
         plain = {p for p in pieces if p and " " not in p and not p[-1].isspace()}
         odd = list(pieces - plain)
         self.spaced.update(zip(odd, self._each([" " + p for p in odd]), strict=True))
@@ -137,6 +144,8 @@ class Encoder:
         marks = list({p[len(core):] for p, core in cores.items()} - self.marks.keys())
         self.marks.update(zip(marks, self._each(marks), strict=True))
         self.spaced.update([(p, self.spaced[core] + self.marks[p[len(core):]]) for p, core in cores.items() if p is not core])
+        # Every piece is about as long as its ids.
+        self.used += 2 * sum(map(len, pieces)) + ENTRY * (len(self.spaced) - before + len(self.marks) - held)
 
     def _cut(self, text: str) -> list[str]:
         """A first piece and the pieces that follow a space each; texts that spell a special token stay whole."""
@@ -148,12 +157,26 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self._cut(t) for t in texts]
-        new = set().union(*[pieces[1:] for pieces in split]) - self.spaced.keys()
-        if len(self.spaced) + len(new) > self.cache:
-            self.spaced, self.marks, new = {}, {}, set().union(*[pieces[1:] for pieces in split])
-        self._learn(new)
         heads = self._each([pieces[0] for pieces in split])
-        return [head + b"".join(map(self.spaced.__getitem__, pieces[1:])) for head, pieces in zip(heads, split, strict=True)]
+        found = [list(map(self.spaced.get, pieces[1:])) for pieces in split]
+        new = {p for pieces, ids in zip(split, found, strict=True) if None in ids for p, i in zip(pieces[1:], ids, strict=True) if i is None}
+        if new:
+            if self.used > self.cache:  # what these texts hold stays
+                self.forget({p: i for pieces, ids in zip(split, found, strict=True) for p, i in zip(pieces[1:], ids, strict=True) if i is not None})
+            self._learn(new)
+            found = [list(map(self.spaced.__getitem__, pieces[1:])) if None in ids else ids for pieces, ids in zip(split, found, strict=True)]
+        return [head + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, width: int) -> Encoder:
+    """The encoder of this worker: it loads the vocabulary once and remembers pieces from task to task."""
+    if (path, width) not in _encoders:
+        _encoders.clear()
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
 
 
 # -- files -----------------------------------------------------------------
@@ -170,7 +193,7 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, width: int, end: int) -> Iterator[pa.RecordBatch]:
-    encoder, place, out = Encoder(path, width), 0, None
+    ids_of, place, out = encoder(path, width).ids, 0, None
     stop = np.array([end], f"<u{width}").tobytes()
     part = TaskContext.get().partitionId()
     # Each attempt writes a file of its own; the index, committed by Spark, names those that count.
@@ -181,7 +204,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, width: int
                 texts = piece.column("text").to_pylist()
                 doc_ids = piece.column("doc_id").to_pylist()
                 payload = [struct.pack(_HEAD, i is not None, i or 0) + ids + stop
-                           for i, ids in zip(doc_ids, encoder.ids([t or "" for t in texts]), strict=True)]
+                           for i, ids in zip(doc_ids, ids_of([t or "" for t in texts]), strict=True)]
                 size = np.array([len(p) for p in payload])
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 sums = masked_crc32c(np.frombuffer(b"".join(payload), np.uint8), start, size)
@@ -243,48 +266,48 @@ def parse(block: bytes, last: bool) -> tuple[np.ndarray, np.ndarray, int]:
     return start, size, at
 
 
-def _payloads(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str, bytes, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for name in batch.column("file").to_pylist():
-            system, root = _filesystem(folder)
-            with system.open_input_stream(f"{root}/{name}", compression=None) as source:
-                held = b""
-                while True:
-                    more = source.read(max(READ, len(held)))
-                    held += more
-                    start, size, used = parse(held, last=not more)
-                    if len(start):
-                        yield name, held, start, size
-                    held = held[used:]
-                    if not more:
-                        break
+def _payloads(folder: str, name: str) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    system, root = _filesystem(folder)
+    with system.open_input_stream(f"{root}/{name}", compression=None) as source:
+        held = b""
+        while True:
+            more = source.read(max(READ, len(held)))
+            held += more
+            start, size, used = parse(held, last=not more)
+            if len(start):
+                yield held, start, size
+            held = held[used:]
+            if not more:
+                break
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterator[pa.RecordBatch]:
-    before, current = 0, None
-    for name, block, start, size in _payloads(batches, folder):
-        before = before if name == current else 0
-        current, rows = name, []
-        for s, n in zip(start.tolist(), size.tolist(), strict=True):
-            known, doc_id = struct.unpack_from(_HEAD, block, s)
-            ids = np.frombuffer(block, f"<u{width}", (n - _HEAD_SIZE) // width, s + _HEAD_SIZE)
-            rows.append((name, doc_id if known else None, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-            before += len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-            pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "doc_id", "inside", "n_tokens", "ids_crc32"])
+    for batch in batches:
+        for name, at in zip(batch.column("file").to_pylist(), batch.column("begin").to_pylist(), strict=True):
+            for block, start, size in _payloads(folder, name):
+                rows = []
+                for s, n in zip(start.tolist(), size.tolist(), strict=True):
+                    known, doc_id = struct.unpack_from(_HEAD, block, s)
+                    ids = np.frombuffer(block, f"<u{width}", (n - _HEAD_SIZE) // width, s + _HEAD_SIZE)
+                    rows.append((doc_id if known else None, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
+                                                 ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_records(index: DataFrame, folder: str, width: int = 2) -> DataFrame:
     """Read whole files back, checking every record: ``doc_id, start, n_tokens, ids_crc32``.
 
     ``start`` counts the ids of all records before, in file order.  Only one
-    row per file is gathered to number the files.
+    row per file is gathered to number the files; each file with its number is
+    read in a task of its own, which needs nothing else.
     """
     files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("ids"))
     begin = files.select("file", (F.sum("ids").over(Window.orderBy("part", "file")) - F.col("ids")).alias("begin"))
-    rows = files.select("file").repartition("file").mapInArrow(
-        lambda it: _read(it, folder, width), "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return rows.join(begin, "file").select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    begin = stored(begin, "files")
+    # A given number of partitions is not merged afterwards, as few small rows would be.
+    return begin.repartition(max(1, begin.count())).mapInArrow(
+        lambda it: _read(it, folder, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(index: DataFrame, folder: str, width: int = 2) -> DataFrame:
