@@ -147,23 +147,24 @@ def _(spark, d):
     return gr.growth_gap(left, right).select("year", r("left_growth"), r("right_growth"), r("gap"), "status")
 
 
-@query("j14_bridge", "records", "with l as (select date, entity as e, avg(value) as value from (select * from records where indicator='BUILDING' and entity='NATION_1') group by 1,2),"
-       " rr as (select date, value, status from records where indicator='MACHINERY' and entity='NATION_1')"
-       f" select date, 'share' as indicator, {rd('value', 4)} as value, 'actual' as status from l union all"
-       f" select l.date, 'ratio', {rd('l.value / rr.value')}, CASE WHEN rr.status <> 'actual' THEN rr.status ELSE 'actual' END from l join rr on l.date = rr.date where rr.value <> 0")
+@query("j14_bridge", "records", "with l as (select date, entity, value from records where indicator='BUILDING'),"
+       " rr as (select date, entity, value, status from records where indicator='MACHINERY')"
+       f" select entity, date, 'share' as indicator, {rd('value', 4)} as value, 'actual' as status from l union all"
+       f" select l.entity, l.date, 'ratio', {rd('l.value / rr.value')}, CASE WHEN rr.status <> 'actual' THEN rr.status ELSE 'actual' END from l join rr on l.date = rr.date and l.entity = rr.entity where rr.value <> 0")
 def _(spark, d):
-    recs = settle(fx.records(spark, d)).where("entity = 'NATION_1'")
-    left = recs.where("indicator = 'BUILDING'").select("date", F.lit("share").alias("indicator"), "value", F.lit("actual").alias("status"))
-    out = vt.bridge(left, recs.where("indicator = 'MACHINERY'"), "ratio")
-    return out.select("date", "indicator", F.when(F.col("indicator") == "share", r("value", 4)).otherwise(r("value", 6)).alias("value"), "status")
+    recs = settle(fx.records(spark, d))
+    left = recs.where("indicator = 'BUILDING'").select("entity", "date", F.lit("share").alias("indicator"), "value", F.lit("actual").alias("status"))
+    out = vt.bridge(left, recs.where("indicator = 'MACHINERY'"), "ratio", ("entity",))
+    return out.select("entity", "date", "indicator", F.when(F.col("indicator") == "share", r("value", 4)).otherwise(r("value", 6)).alias("value"), "status")
 
 
-@query("j15_outer_align", "country_year", "select year, max(value) filter (where entity='NATION_1') as a, max(value) filter (where entity='NATION_2') as b, max(value) filter (where entity='NATION_3' and year > 1997) as c"
-       " from country_year where entity in ('NATION_1','NATION_2') or (entity='NATION_3' and year > 1997) group by 1")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("j15_outer_align", "records", "select entity, date, " + ", ".join(f"max(value) filter (where indicator='{s}') as {s.lower()}" for s in SEGMENTS) + " from records group by 1,2")
 def _(spark, d):
-    cy = settle(fx.country_year(spark, d))
-    frames = {"a": cy.where("entity='NATION_1'"), "b": cy.where("entity='NATION_2'"), "c": cy.where("entity='NATION_3' and year > 1997")}
-    return rs.outer_align(frames, "year")
+    records = settle(fx.records(spark, d))
+    return rs.outer_align({s.lower(): records.where(F.col("indicator") == s) for s in SEGMENTS}, ("entity", "date"))
 
 
 STATUS = "select o_orderpriority as sector, CAST(year(o_orderdate) AS INT) as year, count(*) filter (where o_orderstatus='F') as on_schedule, count(*) filter (where o_orderstatus='O') as delayed, count(*) filter (where o_orderstatus='P') as without_date from orders where year(o_orderdate) < 2001 group by 1,2"
@@ -217,10 +218,15 @@ def _(spark, d):
     return rs.assert_known(fx.records(spark, d), defs).groupBy("indicator").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j22_scatter_points", "country_year", "select x.year, x.value as x, y.value as y, z.value as z from country_year x join country_year y on x.year=y.year left join (select * from country_year where entity='NATION_3' and year < 2000) z on z.year=x.year where x.entity='NATION_1' and y.entity='NATION_2'")
+@query("j22_scatter_points", "records", "select x.entity, x.date, x.value as x, y.value as y, z.value as z from records x join records y on x.entity=y.entity and x.date=y.date"
+       " left join records z on z.entity=x.entity and z.date=x.date and z.indicator='FURNITURE' where x.indicator='BUILDING' and y.indicator='MACHINERY'")
 def _(spark, d):
-    cy = settle(fx.country_year(spark, d))
-    return sm.scatter_points(cy.where("entity='NATION_1'"), cy.where("entity='NATION_2'"), cy.where("entity='NATION_3' and year < 2000"), "year")
+    return scatter(spark, d)
+
+
+def scatter(spark, d):
+    records = settle(fx.records(spark, d))
+    return sm.scatter_points(*[records.where(F.col("indicator") == s) for s in ("BUILDING", "MACHINERY", "FURNITURE")], ("entity", "date"))
 
 
 @query("j24_convert_currency", "prices_d", "with rt as (select market as currency, arg_max(price, date) as rate from prices_d where market <> 'view' group by 1), v as (select event_id, value, CASE WHEN event_type='click' THEN 'USD' ELSE event_type END as currency from events)"

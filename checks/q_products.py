@@ -66,7 +66,7 @@ LAGWIN = ("wf as (select market as series, 'capex_leads' as direction, CAST(o AS
           " from drv a cross join (values (0),(6),(12)) s(o) join rr m on m.date > last_day(CAST(a.date + to_months(CAST(o AS INT)) AS DATE)) and m.date <= last_day(CAST(a.date + to_months(CAST(o AS INT) + 12) AS DATE)) where driver is not null group by market, o, a.date having count(*) >= 9),"
           " wb as (select market as series, 'market_leads' as direction, CAST(o AS INT) as lag, 'months' as lag_unit, 'market' as outcome_type, max(driver) as driver, (product(1 + ret) - 1) * 100 as outcome, CAST(year(a.date) AS INT) as year"
           " from drv a cross join (values (3),(6),(12)) s(o) join rr m on m.date > last_day(CAST(a.date - to_months(CAST(o AS INT) + 12) AS DATE)) and m.date <= last_day(CAST(a.date - to_months(CAST(o AS INT)) AS DATE)) where driver is not null group by market, o, a.date having count(*) >= 9),"
-          " wy as (select outcome_key as series, 'capex_leads' as direction, lag, 'years' as lag_unit, 'real_economy' as outcome_type, driver, outcome, year from lp where lag < 3 and outcome_key = 'NATION_1'),"
+          " wy as (select outcome_key as series, 'capex_leads' as direction, lag, 'years' as lag_unit, 'real_economy' as outcome_type, driver, outcome, year from lp where lag < 3),"
           " allp as (select * from wf union all select * from wb union all select * from wy)")
 LAGKEYS = "series, direction, lag, lag_unit, outcome_type"
 LAGALL = f"{PERF}, {GROWTH}, {OUTC}, {PAIRS}, {RETS}, {LAGWIN}, {lagcorr_sql('allp', LAGKEYS, '2021, 2022')}"
@@ -74,7 +74,7 @@ LAGALL = f"{PERF}, {GROWTH}, {OUTC}, {PAIRS}, {RETS}, {LAGWIN}, {lagcorr_sql('al
 
 def lag_table(spark, d):
     performance, _summary = pr.market_performance(fx.prices_w(spark, d), BENCH, MARKETS)
-    return pr.lag_analysis(driver(spark, d), performance, TARGETS, BENCH, CONTROL, outcomes(spark, d).where("outcome_key = 'NATION_1'"))
+    return pr.lag_analysis(driver(spark, d), performance, TARGETS, BENCH, CONTROL, outcomes(spark, d))
 
 
 @query("e4_lag_analysis", "prices_w capex_fy country_year", f"with {LAGALL} select {LAGKEYS}, {rd('pearson')} as pearson, {rd('spearman')} as spearman, n, CASE WHEN outcome_type='market' THEN {rd('pearson_excluding')} END as pearson_excluding, n_excluding from lc")
@@ -134,13 +134,13 @@ def _(spark, d):
 
 
 CROWD = ("q as (select last_day(make_date(CAST(year(o_orderdate) AS INT), CAST(quarter(o_orderdate)*3 AS INT), 1)) as date, CAST(count(*) AS DOUBLE) as v from orders group by 1),"
-         " outc as (select entity as outcome_key, make_date(year, 3, 31) as date, value as outcome from country_year where entity in ('NATION_1','NATION_2') union all"
+         " outc as (select entity as outcome_key, make_date(year, 3, 31) as date, value as outcome from country_year union all"
          " select 'capacity', make_date(CAST(year(date + INTERVAL 9 MONTH) AS INT), 3, 31), avg(v) from q group by 2)")
 
 
 @query("e10_crowding_in", "capex_fy country_year", f"with {GROWTH}, {CROWD}, {PAIRS}, {lagcorr_sql('lp', 'outcome_key, lag')} select outcome_key, lag, n, {rd('pearson')} as pearson, {rd('spearman')} as spearman, n >= 8 as eligible, CASE WHEN n >= 8 THEN 'associational' ELSE 'insufficient_data' END as status from lc")
 def _(spark, d):
-    annual = outcomes(spark, d).where("outcome_key in ('NATION_1','NATION_2')")
+    annual = outcomes(spark, d)
     quarters = fx.table(spark, d, "orders").groupBy(cal.quarter_end(F.year("o_orderdate"), F.quarter("o_orderdate")).alias("date")).agg(F.count(F.lit(1)).cast("double").alias("outcome")).withColumn("outcome_key", F.lit("capacity"))
     t = pr.crowding_in(driver(spark, d), annual, quarters)
     return t.select("outcome_key", "lag", "n", r("pearson"), r("spearman"), "eligible", "status")

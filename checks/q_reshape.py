@@ -69,19 +69,19 @@ def definitions(spark, d):
 
 
 def national(spark, d):
-    return fx.records(spark, d).where("entity = 'NATION_7'").withColumn("period_label", F.date_format("date", "yyyy-MM"))
+    return fx.records(spark, d).withColumn("period_label", F.date_format("date", "yyyy-MM"))
 
 
-@query("u8_to_dated_multi_series", "records", "select indicator as key, count(*) as n, min(date) as first_date, max(date) as last_date, arg_max(value, date) as last_value, arg_min(status, date) as first_status from records where entity='NATION_7' group by 1")
+@query("u8_to_dated_multi_series", "records", "select entity, indicator as key, count(*) as n, min(date) as first_date, max(date) as last_date, arg_max(value, date) as last_value, arg_min(status, date) as first_status from records group by 1,2")
 def _(spark, d):
-    doc = rs.to_dated_multi_series(national(spark, d), definitions(spark, d), {"frequency": "monthly"})
+    doc = rs.to_dated_multi_series(national(spark, d), definitions(spark, d), {"frequency": "monthly"}, ("entity",))
     point = T.StructType([T.StructField("date", T.DateType()), T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())])
     body = T.StructType([T.StructField("values", T.ArrayType(point))])
     schema = T.StructType([T.StructField("series", T.MapType(T.StringType(), body))])
-    parsed = doc.select(F.explode(F.from_json("document", schema)["series"]).alias("key", "b"))
+    parsed = doc.select("entity", F.explode(F.from_json("document", schema)["series"]).alias("key", "b"))
     # A defined series without records has an empty list.
     v = F.col("b.values")
-    return parsed.where(F.size(v) > 0).select("key", F.size(v).cast("bigint").alias("n"), F.get(v, F.lit(0))["date"].alias("first_date"), F.try_element_at(v, F.lit(-1))["date"].alias("last_date"),
+    return parsed.where(F.size(v) > 0).select("entity", "key", F.size(v).cast("bigint").alias("n"), F.get(v, F.lit(0))["date"].alias("first_date"), F.try_element_at(v, F.lit(-1))["date"].alias("last_date"),
                          F.try_element_at(v, F.lit(-1))["value"].alias("last_value"), F.get(v, F.lit(0))["status"].alias("first_status"))
 
 
@@ -126,15 +126,15 @@ def _(spark, d):
     return out.select("entity", "first_year", "first_value", "last_year", "last_value", r("change", 5))
 
 
-@query("t6_latest_snapshot", "country_year", "with l as (select max(year) as y from country_year where entity in ('NATION_1','NATION_2','NATION_3')) select CAST(y AS INT) as year, e as category, value from l cross join (values ('NATION_1'),('NATION_2'),('NATION_3')) n(e) left join country_year c on c.year = l.y and c.entity = n.e")
+@query("t6_latest_snapshot", "country_year", "with l as (select max(year) as y from country_year) select CAST(y AS INT) as year, n_name as category, value from l cross join nation left join country_year c on c.year = l.y and c.entity = n_name")
 def _(spark, d):
-    names = COUNTRIES[1:4]
+    names = [f"NATION_{k}" for k in range(25)]
     return rs.latest_snapshot(rs.to_wide(fx.country_year(spark, d), names, "year", "entity"), names)
 
 
-@query("t8_latest_points", "records", "with l as (select indicator, max(date) as date, arg_max(value, date) as value from records where entity='NATION_3' group by 1) select * from l order by indicator limit 3")
+@query("t8_latest_points", "records", "select entity, indicator, max(date) as date, arg_max(value, date) as value from records group by 1,2")
 def _(spark, d):
-    return rs.latest_points(fx.records(spark, d).where("entity = 'NATION_3'"), limit=3)
+    return rs.latest_points(fx.records(spark, d), by=("entity",))
 
 
 @query("t9_latest_year_rows", "projects", f"select sector, year, on_schedule, original_cost from projects where year = (select max(year) from projects) and on_schedule > 0")

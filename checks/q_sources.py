@@ -141,9 +141,12 @@ def _(spark, d):
     return sk.verify_copies(spark, f"{root}/a/records", f"{root}/b/records")
 
 
-@query("s12_write_csv", "prices_m", "select date, max(price) filter (where market='ASIA') as ASIA, max(price) filter (where market='EUROPE') as EUROPE from prices_m group by 1")
+FIVE = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query("s12_write_csv", "prices_m", "select date, " + ", ".join(f"max(price) filter (where market='{m}') as \"{m}\"" for m in FIVE) + " from prices_m group by 1")
 def _(spark, d):
-    wide = fx.prices_m(spark, d).groupBy("date").pivot("market", ["ASIA", "EUROPE"]).agg(F.first("price"))
+    wide = fx.prices_m(spark, d).groupBy("date").pivot("market", list(FIVE)).agg(F.first("price"))
     path = scratch_path(spark, "csv")
     sk.write_csv(wide, path)
     return spark.read.schema(wide.schema).option("header", True).csv(path)

@@ -96,12 +96,13 @@ def _(spark, d):
     return fx.records(spark, d).orderBy("date", "indicator", "entity").limit(5).select("date", "indicator", "entity")
 
 
-@query("a44_scatter_reference", "country_year", "with p as (select x.value as x, y.value as y, z.value as z from country_year x join country_year y on x.year=y.year left join (select * from country_year where entity='NATION_3') z on z.year=x.year where x.entity='NATION_1' and y.entity='NATION_2')"
-       f" select {rd('median(x)', 4)} as median_x, {rd('median(y)', 4)} as median_y, min(z) as min_z, max(z) as max_z from p")
+@query("a44_scatter_reference", "records", "with p as (select x.entity, x.value as x, y.value as y, z.value as z from records x join records y on x.entity=y.entity and x.date=y.date"
+       " left join records z on z.entity=x.entity and z.date=x.date and z.indicator='FURNITURE' where x.indicator='BUILDING' and y.indicator='MACHINERY')"
+       f" select entity, {rd('median(x)', 6)} as median_x, {rd('median(y)', 6)} as median_y, min(z) as min_z, max(z) as max_z from p group by 1")
 def _(spark, d):
-    cy = settle(fx.country_year(spark, d))
-    p = sm.scatter_points(cy.where("entity='NATION_1'"), cy.where("entity='NATION_2'"), cy.where("entity='NATION_3'"), "year")
-    return sm.scatter_reference(p).select(r("median_x", 4), r("median_y", 4), "min_z", "max_z")
+    records = settle(fx.records(spark, d))
+    p = settle(sm.scatter_points(*[records.where(F.col("indicator") == s) for s in ("BUILDING", "MACHINERY", "FURNITURE")], ("entity", "date")))
+    return sm.scatter_reference(p, ("entity",)).select("entity", r("median_x", 6), r("median_y", 6), "min_z", "max_z")
 
 
 @query("a46_exclusion_summary", "records", "select indicator as input, CASE WHEN date < DATE '1996-01-01' THEN 'before_start' ELSE 'status' END as reason, count(*) as n from records where date < DATE '1996-01-01' or status <> 'actual' group by 1,2")
@@ -115,7 +116,7 @@ def _(spark, d):
     return sm.inventory(fx.records(spark, d).select(F.col("indicator").alias("output"), F.col("entity").alias("series"), "date"))
 
 
-@query("a48_non_null_counts", "country_year", "select entity as series, count(value) as n from country_year where entity in ('NATION_1','NATION_2','NATION_3') group by 1")
+@query("a48_non_null_counts", "country_year", "select entity as series, count(value) as n from country_year group by 1")
 def _(spark, d):
-    names = ["NATION_1", "NATION_2", "NATION_3"]
+    names = [f"NATION_{k}" for k in range(25)]
     return sm.non_null_counts(rs.to_wide(fx.country_year(spark, d), names, "year", "entity"), names)

@@ -1,7 +1,9 @@
 """Status-aware preparation and joining of registered inputs.
 
-Inputs are long frames (input, date, value, status).  Exclusions are counted
-in the same pass that keeps the other rows, so kept + excluded = input.
+Inputs are long frames (input, date, value, status), optionally with group keys
+``by`` (an entity, a segment): then every group has its own periods, lags and
+exclusion counts, and windows and joins are dealt by the group.  Exclusions are
+counted in the same pass that keeps the other rows, so kept + excluded = input.
 """
 
 from __future__ import annotations
@@ -62,18 +64,18 @@ def eligible_observations(df: DataFrame, spec: InputSpec, start=None) -> DataFra
     return df.withColumn("reason", exclusion_reason(spec, start))
 
 
-def period_lag(df: DataFrame, calendar: DataFrame, n: int, frequency: str) -> DataFrame:
-    """Move values to the loaded date ``n`` periods later.
+def period_lag(df: DataFrame, calendar: DataFrame, n: int, frequency: str, by=()) -> DataFrame:
+    """Move values to the loaded date ``n`` periods later, within ``by``.
 
-    ``calendar(date)`` holds every loaded date, also those whose own value was
+    ``calendar(*by, date)`` holds every loaded date, also those whose own value was
     excluded.  Rows without such a date keep a null date; a target that is not
     after its source is an error.
     """
     targets = calendar.select(
-        cal.period_index("date", frequency).alias("_idx"), F.col("date").alias("_target")
-    ).groupBy("_idx").agg(F.max("_target").alias("_target"))
+        *by, cal.period_index("date", frequency).alias("_idx"), F.col("date").alias("_target")
+    ).groupBy(*by, "_idx").agg(F.max("_target").alias("_target"))
     moved = df.withColumn("_idx", cal.period_index("date", frequency) + n)
-    joined = moved.join(targets, "_idx", "left")
+    joined = moved.join(targets, [*by, "_idx"], "left")
     target = F.when(
         F.col("_target") <= F.col("source_date"),
         F.raise_error(F.lit("Lag introduced future information")).cast("date"),
@@ -81,9 +83,9 @@ def period_lag(df: DataFrame, calendar: DataFrame, n: int, frequency: str) -> Da
     return joined.withColumn("date", target).drop("_idx", "_target")
 
 
-def prepare(df: DataFrame, spec: InputSpec, start=None) -> DataFrame:
+def prepare(df: DataFrame, spec: InputSpec, start=None, by=()) -> DataFrame:
     """Status rules, transformation and lag of one input, reasons kept."""
-    marked = eligible_observations(df.select("date", "value", "status"), spec, start)
+    marked = eligible_observations(df.select(*by, "date", "value", "status"), spec, start)
     v = F.ln("value") if spec.transform.startswith("log") else F.col("value")
     staged = marked.withColumn("v", F.when(F.col("reason").isNull(), v)).withColumn(
         "source_date", F.col("date")
@@ -91,7 +93,7 @@ def prepare(df: DataFrame, spec: InputSpec, start=None) -> DataFrame:
     if spec.transform.endswith("difference"):
         # Excluded rows carry a null v, so they count as an absent period.
         staged = staged.withColumn("_idx", cal.period_index("date", spec.frequency))
-        difference = F.col("v") - at_period("v", "_idx", (), -1)
+        difference = F.col("v") - at_period("v", "_idx", by, -1)
         staged = staged.withColumn("_d", difference).withColumn(
             "reason",
             F.when(F.col("reason").isNull() & F.col("_d").isNull(), F.lit("difference_unavailable"))
@@ -99,18 +101,18 @@ def prepare(df: DataFrame, spec: InputSpec, start=None) -> DataFrame:
         ).withColumn("v", F.when(F.col("reason").isNull(), F.col("_d"))).drop("_d", "_idx")
     if spec.lag:
         kept = staged.where("reason is null")
-        lagged = period_lag(kept, df.select("date"), spec.lag, spec.frequency).withColumn(
+        lagged = period_lag(kept, df.select(*by, "date"), spec.lag, spec.frequency, by).withColumn(
             "reason", F.when(F.col("date").isNull(), F.lit("lag_unavailable"))
         )
         staged = lagged.unionByName(staged.where("reason is not null"))
-    return staged.select(F.lit(spec.name).alias("input"), "date", "v", "status", "source_date", "reason")
+    return staged.select(*by, F.lit(spec.name).alias("input"), "date", "v", "status", "source_date", "reason")
 
 
-def to_quarters(prepared: DataFrame, how: str) -> DataFrame:
+def to_quarters(prepared: DataFrame, how: str, by=()) -> DataFrame:
     """Complete quarters of a prepared monthly input, incomplete ones reasoned."""
     kept = prepared.where("reason is null")
-    quarters = to_quarter(kept, how, ("input",), "v").select(
-        "input", "date", "v", "status", "source_date",
+    quarters = to_quarter(kept, how, (*by, "input"), "v").select(
+        *by, "input", "date", "v", "status", "source_date",
         F.when(~F.col("complete"), F.lit("incomplete_quarter")).alias("reason"),
     )
     return quarters.unionByName(prepared.where("reason is not null"))
@@ -151,8 +153,8 @@ def row_date(key, strategy: str) -> Column:
     return cal.quarter_end((k / 4).cast("int"), F.pmod(k, F.lit(4)) + 1)
 
 
-def align(inputs: dict[str, DataFrame], specs, strategy: str, start=None) -> Aligned:
-    """Inner join of all inputs on the period key, with exclusion counts.
+def align(inputs: dict[str, DataFrame], specs, strategy: str, start=None, by=()) -> Aligned:
+    """Inner join of all inputs on the period key within ``by``, with exclusion counts.
 
     The prepared inputs are stacked and pivoted by one grouped aggregation on
     the key; a key is complete when every input contributed.  Two rows of one
@@ -163,9 +165,9 @@ def align(inputs: dict[str, DataFrame], specs, strategy: str, start=None) -> Ali
         raise ValueError("Loaded inputs do not match the registered inputs")
     stacked = None
     for spec in specs:
-        part = prepare(inputs[spec.name], spec, start)
+        part = prepare(inputs[spec.name], spec, start, by)
         if strategy in QUARTERLY and spec.frequency == "monthly":
-            part = to_quarters(part, QUARTERLY[strategy])
+            part = to_quarters(part, QUARTERLY[strategy], by)
         stacked = part if stacked is None else stacked.unionByName(part)
 
     usable = stacked.where("reason is null").withColumn("key", join_key("date", strategy))
@@ -184,16 +186,16 @@ def align(inputs: dict[str, DataFrame], specs, strategy: str, start=None) -> Ali
             pick(s.name, "source_date").alias(f"{s.name}__source_date"),
             (rows > 0).alias(f"{s.name}__present"),
         ]
-    by_key = usable.groupBy("key").agg(F.count_distinct("input").alias("_inputs"), *columns)
+    by_key = usable.groupBy(*by, "key").agg(F.count_distinct("input").alias("_inputs"), *columns)
     complete = F.col("_inputs") == n_inputs
     sample = by_key.where(complete).select(
-        row_date("key", strategy).alias("date"),
+        *by, row_date("key", strategy).alias("date"),
         *[c for s in specs for c in (s.name, f"{s.name}__status", f"{s.name}__source_date")],
     )
-    unmatched = by_key.where(~complete).select(F.explode(F.array(*[
+    unmatched = by_key.where(~complete).select(*by, F.explode(F.array(*[
         F.when(F.col(f"{s.name}__present"), F.lit(s.name)) for s in specs
-    ])).alias("input")).where("input is not null").select("input", F.lit("alignment").alias("reason"))
+    ])).alias("input")).where("input is not null").select(*by, "input", F.lit("alignment").alias("reason"))
     excluded = exclusion_summary(
-        stacked.select("input", "reason").unionByName(unmatched)
+        stacked.select(*by, "input", "reason").unionByName(unmatched), by
     )
     return Aligned(sample, excluded, tuple(s.name for s in specs))

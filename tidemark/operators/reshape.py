@@ -51,15 +51,16 @@ def distinct_keys(df: DataFrame, key: str, order: str) -> DataFrame:
     return first.orderBy("first_seen", key)
 
 
-def outer_align(frames: dict[str, DataFrame], on: str = "date") -> DataFrame:
-    """Full outer alignment of several series as one wide frame.
+def outer_align(frames: dict[str, DataFrame], on="date") -> DataFrame:
+    """Full outer alignment of several series as one wide frame; ``on`` may be several columns.
 
     The series are stacked and pivoted: one exchange instead of one per join.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     stacked = union_records(*[
-        f.select(on, F.lit(k).alias("_series"), "value") for k, f in frames.items()
+        f.select(*keys, F.lit(k).alias("_series"), "value") for k, f in frames.items()
     ])
-    return stacked.groupBy(on).pivot("_series", list(frames)).agg(F.first("value"))
+    return stacked.groupBy(*keys).pivot("_series", list(frames)).agg(F.first("value"))
 
 
 def to_wide(df: DataFrame, keys, on: str = "date", key: str = "indicator", value: str = "value") -> DataFrame:
@@ -99,20 +100,30 @@ def series_documents(records: DataFrame, definitions: DataFrame) -> DataFrame:
     )
 
 
-def to_dated_multi_series(records: DataFrame, definitions: DataFrame, metadata: dict[str, str]) -> DataFrame:
-    """The dated multi-series document as one JSON row.
+def to_dated_multi_series(records: DataFrame, definitions: DataFrame, metadata: dict[str, str], by=()) -> DataFrame:
+    """The dated multi-series document as JSON, one row for each group of ``by``.
 
     ``definitions(ordinal, key, label, entity, unit, is_derived)``.  The
     document is the unit of publication: its size is the number of registered
-    series times the calendar.
+    series times the calendar.  Every document lists every defined series.
     """
-    series = series_documents(records, definitions)
-    body = F.struct("label", "entity", "unit", "is_derived", "values")
-    ordered = F.sort_array(F.collect_list(F.struct("ordinal", "key", body.alias("body"))))
-    return series.agg(
-        ordered.alias("s"),
-        F.min(F.array_min("values.date")).alias("d0"), F.max(F.array_max("values.date")).alias("d1"),
-    ).select(F.to_json(F.struct(
+    point = F.struct("date", "value", "status", "period_label")
+    nested = records.groupBy(*by, F.col("indicator").alias("key")).agg(F.sort_array(F.collect_list(point)).alias("values"))
+    found = nested.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("key", "values"))).alias("m"))
+    registered = definitions.agg(F.sort_array(F.collect_list(
+        F.struct("ordinal", "key", "label", "entity", "unit", "is_derived")))).scalar()
+    nothing = F.array().cast("array<struct<date:date,value:double,status:string,period_label:string>>")
+
+    def entry(e):
+        held = F.coalesce(F.try_element_at("m", e["key"]), nothing).alias("values")
+        return F.struct(e["ordinal"].alias("ordinal"), e["key"].alias("key"), F.struct(
+            e["label"].alias("label"), e["entity"].alias("entity"), e["unit"].alias("unit"), e["is_derived"].alias("is_derived"), held).alias("body"))
+
+    documents = found.withColumn("_registered", registered).withColumn("s", F.transform("_registered", entry)).withColumns({
+        "d0": F.array_min(F.transform("s", lambda e: F.array_min(F.transform(e["body"]["values"], lambda p: p["date"])))),
+        "d1": F.array_max(F.transform("s", lambda e: F.array_max(F.transform(e["body"]["values"], lambda p: p["date"])))),
+    })
+    return documents.select(*by, F.to_json(F.struct(
         F.struct(
             *[F.lit(v).alias(k) for k, v in metadata.items()],
             F.col("d0").alias("start_date"), F.col("d1").alias("end_date"),
@@ -201,15 +212,15 @@ def head(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(col(order)).limit(n)
 
 
-def latest_points(df: DataFrame, keys=None, key: str = "indicator", limit: int | None = None) -> DataFrame:
-    """Latest non-null point of each visible series, optionally the first few."""
+def latest_points(df: DataFrame, keys=None, key: str = "indicator", limit: int | None = None, by=()) -> DataFrame:
+    """Latest non-null point of each visible series within ``by``, optionally the first few."""
     present = df.where("value is not null")
     if keys is not None:
         present = present.where(col(key).isin(list(keys)))
-    points = present.groupBy(key).agg(
+    points = present.groupBy(*by, key).agg(
         F.max("date").alias("date"), F.max_by("value", "date").alias("value")
     )
-    return points if limit is None else points.orderBy(key).limit(limit)
+    return points if limit is None else points.orderBy(*by, key).limit(limit)
 
 
 def latest_year_rows(df: DataFrame, columns, year: str = "year") -> DataFrame:

@@ -136,9 +136,9 @@ def to_quarter(df: DataFrame, how: str = "mean", keys=(), value: str = "value",
     return grouped.withColumn(date, cal.quarter_end("_y", "_q")).drop("_y", "_q")
 
 
-def exclusion_summary(reasons: DataFrame) -> DataFrame:
-    """Rows per input and exclusion reason."""
-    return reasons.where("reason is not null").groupBy("input", "reason").agg(
+def exclusion_summary(reasons: DataFrame, by=()) -> DataFrame:
+    """Rows per input and exclusion reason, within ``by``."""
+    return reasons.where("reason is not null").groupBy(*by, "input", "reason").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -182,18 +182,24 @@ def non_null_counts(wide: DataFrame, columns) -> DataFrame:
     return counted.unpivot([], list(columns), "series", "n")
 
 
-def scatter_points(x: DataFrame, y: DataFrame, z: DataFrame | None = None, on: str = "date") -> DataFrame:
-    """Date-matched points of two (key, value) series, a third one optional."""
-    a = x.where("value is not null").select(on, F.col("value").alias("x"))
-    b = y.where("value is not null").select(on, F.col("value").alias("y"))
-    points = a.join(b, on)
+def scatter_points(x: DataFrame, y: DataFrame, z: DataFrame | None = None, on="date") -> DataFrame:
+    """Matched points of two series, a third one optional; ``on`` is the date, or entity and date."""
+    keys = [on] if isinstance(on, str) else list(on)
+    a = x.where("value is not null").select(*keys, F.col("value").alias("x"))
+    b = y.where("value is not null").select(*keys, F.col("value").alias("y"))
+    points = a.join(b, keys)
     if z is not None:
-        points = points.join(z.select(on, F.col("value").alias("z")), on, "left")
+        points = points.join(z.select(*keys, F.col("value").alias("z")), keys, "left")
     return points
 
 
-def scatter_reference(points: DataFrame) -> DataFrame:
-    """Median lines of x and y, range of z; no task gathers the values."""
-    x, y = (exact_median(points, c, ()).scalar() for c in ("x", "y"))
-    return points.agg(F.min("z").alias("min_z"), F.max("z").alias("max_z")).select(
-        x.alias("median_x"), y.alias("median_y"), "min_z", "max_z")
+def scatter_reference(points: DataFrame, by=()) -> DataFrame:
+    """Median lines of x and y, range of z, within ``by``; no task gathers the values."""
+    spread = points.groupBy(*by).agg(F.min("z").alias("min_z"), F.max("z").alias("max_z"))
+    if not by:
+        x, y = (exact_median(points, c, ()).scalar() for c in ("x", "y"))
+        return spread.select(x.alias("median_x"), y.alias("median_y"), "min_z", "max_z")
+    for c in ("x", "y"):
+        middle = exact_median(points, c, by)
+        spread = spread.join(middle.withColumnRenamed(middle.columns[-1], f"median_{c}"), list(by), "left")
+    return spread.select(*by, "median_x", "median_y", "min_z", "max_z")

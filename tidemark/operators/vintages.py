@@ -106,16 +106,16 @@ def execution_records(vintages: DataFrame, gdp: DataFrame | None = None) -> Data
     return rows.where(kept).select("date", F.lit("IND").alias("entity"), "e.*", "period_label")
 
 
-def bridge(left: DataFrame, right: DataFrame, ratio_indicator: str) -> DataFrame:
+def bridge(left: DataFrame, right: DataFrame, ratio_indicator: str, by=()) -> DataFrame:
     """All left rows, plus left/right ratio rows where the right is usable.
 
-    Both sides are (date, indicator, value, status).  A ratio takes the right
+    Both sides are (*by, date, indicator, value, status).  A ratio takes the right
     status unless that is "actual", then the left one.
     """
     r = right.where("value is not null").select(
-        "date", F.col("value").alias("_rv"), F.col("status").alias("_rs")
+        *by, "date", F.col("value").alias("_rv"), F.col("status").alias("_rs")
     )
-    joined = left.join(r, "date", "left")
+    joined = left.join(r, [*by, "date"], "left")
     derived = F.when(
         F.col("value").isNotNull() & (F.col("_rv") != 0),
         F.struct(
@@ -125,8 +125,8 @@ def bridge(left: DataFrame, right: DataFrame, ratio_indicator: str) -> DataFrame
         ),
     )
     own = F.struct("indicator", "value", "status")
-    rows = joined.select("date", F.explode(F.array(own, derived)).alias("e"))
-    return rows.where("e is not null").select("date", "e.*")
+    rows = joined.select(*by, "date", F.explode(F.array(own, derived)).alias("e"))
+    return rows.where("e is not null").select(*by, "date", "e.*")
 
 
 def quality_join(status: DataFrame, cost: DataFrame, keys=("sector", "year")) -> DataFrame:
