@@ -13,6 +13,7 @@ from tidemark.session import scratch_path, settle
 from tidemark.sources import grids as gd
 from tidemark.sources import json_sources as js
 from tidemark.sources import landing as ld
+from tidemark.sources import manifest as mf
 from tidemark.sources import sinks as sk
 from tidemark.streaming import flows as st
 
@@ -101,15 +102,13 @@ def _(spark, d):
 
 @query("s8_land_new", sql="select o_orderkey, o_custkey, o_totalprice, DATE '2024-01-01' + CASE WHEN o_orderstatus='F' THEN 0 ELSE 1 END as retrieved_date from orders")
 def _(spark, d):
-    path = scratch_path(spark, "landing")
-    o = fx.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"]
-    none = spark.createDataFrame([], "sha256 string")
-    first = ld.land_new(o.where("o_orderstatus = 'F'"), none, columns).withColumn("retrieved_at", F.lit("2024-01-01").cast("timestamp"))
-    ld.append_landing(first, path)
+    path, hashes = scratch_path(spark, "landing"), scratch_path(spark, "hashes")
+    o = fx.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate")
     # The second delivery repeats the first and repeats itself.
-    second = ld.land_new(o.unionByName(o), spark.read.parquet(path), columns).withColumn("retrieved_at", F.lit("2024-01-02").cast("timestamp"))
-    ld.append_landing(second, path)
+    for batch, (rows, at) in enumerate(((o.where("o_orderstatus = 'F'"), "2024-01-01"), (o.unionByName(o), "2024-01-02"))):
+        new = settle(mf.unseen(rows, hashes, "orders", str(batch), "o_orderdate"))
+        mf.record(new, hashes, "orders", str(batch))
+        ld.append_landing(new.drop("shard").withColumn("retrieved_at", F.lit(at).cast("timestamp")), path)
     return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_totalprice", "retrieved_date")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.vintages import upsert_latest
-from tidemark.sources.landing import land_new
+from tidemark.sources import manifest
 
 ROWS_PER_FILE = 2_000_000
 
@@ -58,14 +58,17 @@ def landed_rows(spark: SparkSession, table: str, schema: T.StructType = LANDED_F
 def land_batch(batch: DataFrame, batch_id: int, source: str, table: str, schema: T.StructType) -> None:
     """Append the rows whose content no other batch has landed.
 
-    The batch owns one folder; a replay compares with all other folders and
-    writes its own anew.
+    The batch owns one folder, and its entries in the manifest of hashes,
+    which is read for the months of the batch only.  Entries are written
+    before rows: whatever interrupts a batch, no other one lands its rows, and
+    a replay leaves its own entries aside and writes both anew.
     """
-    full = T.StructType([T.StructField(c, T.StringType()) for c in ("sha256", "source", "batch")])
-    held = _read(batch.sparkSession, table, full)
-    mine = (F.col("source") == source) & (F.col("batch") == str(batch_id))
-    new = land_new(batch.select(*schema.names), held.where(~mine).select("sha256"), schema.names)
-    new.write.mode("overwrite").parquet(f"{table}/source={source}/batch={batch_id}")
+    date = "date" if "date" in schema.names else None
+    hashes = f"{table}/_hashes"
+    new = manifest.unseen(batch.select(*schema.names), hashes, source, str(batch_id), date).persist()
+    manifest.record(new, hashes, source, str(batch_id))
+    new.drop("shard").write.mode("overwrite").parquet(f"{table}/source={source}/batch={batch_id}")
+    new.unpersist()
 
 
 def stream_landed(df: DataFrame, table: str, checkpoint: str, schema: T.StructType = LANDED_FLOWS) -> StreamingQuery:
