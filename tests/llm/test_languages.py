@@ -102,3 +102,16 @@ def test_held_out_accuracy(spark):
     got = langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model")).join(docs, "doc_id").where("held_out and lang_pred <> 'und'")
     rows = got.select("lang", "lang_pred").collect()
     assert len(rows) > 200 and sum(a == b for a, b in rows) / len(rows) > 0.97
+
+
+def test_a_judge_that_forgets_says_the_same(small):
+    pieces, p, now = small
+    model = langid.Model(["x", "y", "z"], np.log([1, 2, 3]), now)
+    texts = ["abc a\tab", "", "Ab, CAB 1", "1 2", "a" * 500, "b c b"]
+    patient, forgetful = langid.Judge(pieces, model), langid.Judge(pieces, model, memory=0)
+    want, letters = patient(texts)
+    assert letters.tolist() == [True, False, True, False, True, True]
+    for text, row, letter in zip(texts * 2, [*want] * 2, [*letters] * 2, strict=True):
+        got, has = forgetful([text])
+        assert np.allclose(got[0], row) and has[0] == letter
+        assert np.allclose(row, model.prior + langid.log_likelihood(langid.units(text), pieces, now).sum(axis=0))

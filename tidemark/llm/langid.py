@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ ROUNDS, PRIOR = 4, 0.05
 BLOCK = 64
 #: Longest piece and longest unit in bytes; characters of the parts of a longer run of letters.
 PIECE_BYTES, UNIT_BYTES, CUT = 16, 64, 16
-#: Units that a counting task holds, and megabytes of scores that a judging task remembers.
+#: Tokens that a counting task holds, and megabytes of scores that a worker remembers.
 HELD, MEMORY = 1 << 19, 64
 #: Probabilities are multiplied by this for every byte, so that long units stay in the range of a double.
 SCALE = 4096.0
@@ -65,30 +65,69 @@ def public_pieces(path: str) -> list[bytes]:
 
 
 class Pieces:
-    """Looks up all substrings of units at once."""
+    """Finds all pieces in many units at once, by a hash table of the pieces' prefixes."""
 
     def __init__(self, pieces: list[bytes]):
         self.number, self.longest = len(pieces), max(map(len, pieces))
         self.length = np.array([len(p) for p in pieces])
-        keys = np.zeros(len(pieces), U)
-        for k, piece in enumerate(pieces):
-            key = 0
-            for byte in piece:
-                key = (key * 0x100000001B3 + byte + 1) & 0xFFFFFFFFFFFFFFFF
-            keys[k] = key
-        keys = mix(keys ^ (self.length.astype(U) << U(56)))
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
-
-    def find(self, block: np.ndarray) -> list[np.ndarray]:
-        """Of units of n bytes each, the pieces of each length by where they start; ``number`` where there is none."""
-        out, key = [], np.zeros(block.shape, U)
-        for size in range(1, min(self.longest, block.shape[1]) + 1):
-            key = key[:, :block.shape[1] - size + 1] * U(0x100000001B3) + (block[:, size - 1:].astype(U) + U(1))
-            held = mix(key ^ (U(size) << U(56)))
-            at = np.minimum(np.searchsorted(self.keys, held), len(self.keys) - 1)
-            out.append(np.where(self.keys[at] == held, self.order[at], self.number))
-        return out
+        place = {p: k for k, p in enumerate(pieces)}
+        prefixes = sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)})
+        keys = np.array([self._key(p) for p in prefixes], U)
+        self.mask = (1 << (8 * len(prefixes)).bit_length()) - 1
+        self.key, self.piece = np.zeros(self.mask + 1, U), np.full(self.mask + 1, self.number, np.int32)
+        for key, prefix in zip(mix(keys).tolist(), prefixes, strict=True):
+            at = key & self.mask
+            while self.key[at]:
+                at = (at + 1) & self.mask
+            self.key[at], self.piece[at] = key, place.get(prefix, self.number)
+
+    @staticmethod
+    def _key(prefix: bytes) -> int:
+        key = 0
+        for byte in prefix:
+            key = (key * 0x100000001B3 + byte + 1) & 0xFFFFFFFFFFFFFFFF
+        return key
+
+    def _look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is that of a prefix, and its piece."""
+        key = mix(key)
+        at = (key & U(self.mask)).astype(np.int64)
+        held = self.key[at]
+        open_ = np.flatnonzero((held != key) & (held != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            now = self.key[at[open_]]
+            held[open_] = now
+            open_ = open_[(now != key[open_]) & (now != 0)]
+        known = held == key
+        return known, np.where(known, self.piece[at], self.number)
+
+    def edges(self, block: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(begin, end, units, pieces)`` of all pieces in units of n bytes each, by end and begin.
+
+        A substring is looked up only while what precedes its last byte is a prefix of some piece.
+        """
+        n, m = block.shape[1], block.shape[0]
+        flat = block.T.astype(U) + U(1)  # a row for each byte
+        flat = np.ascontiguousarray(flat).reshape(-1)
+        cell = np.arange(n * m)  # begin * m + unit
+        key, out = np.zeros(n * m, U), []
+        for size in range(1, min(self.longest, n) + 1):
+            inside = cell < (n - size + 1) * m
+            cell, key = cell[inside], key[inside]
+            key = key * U(0x100000001B3) + flat[cell + (size - 1) * m]
+            known, piece = self._look_up(key)
+            real = piece < self.number
+            mine, pieces = cell[real], piece[real]
+            cuts = np.searchsorted(mine, np.arange(n - size + 2) * m)
+            for begin in range(n - size + 1):
+                a, b = cuts[begin], cuts[begin + 1]
+                if a < b:
+                    out.append((begin, begin + size, mine[a:b] - begin * m, pieces[a:b]))
+            cell, key = cell[known], key[known]
+            if not len(cell):
+                break
+        return sorted(out, key=lambda e: (e[1], e[0]))
 
 
 def by_length(some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -102,71 +141,76 @@ def by_length(some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.frombuffer(b"".join([raw[k] for k in part]), np.uint8).reshape(len(part), n)
 
 
-def forward(found: list[np.ndarray], prob: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
-    """Summed probability of all segmentations of the first 0, 1, ... n bytes."""
-    n = found[0].shape[1]
-    alpha = [np.ones_like(prob(found[0][:, 0]))]
-    for end in range(1, n + 1):
-        alpha.append(sum(alpha[end - size] * prob(found[size - 1][:, end - size]) for size in range(1, min(len(found), end) + 1)))
+def forward(edges, prob, n: int, shape: tuple) -> np.ndarray:
+    """Summed probability of all segmentations of the first 0, 1, ... n bytes; ``prob`` has those of each edge."""
+    alpha = np.zeros((n + 1, *shape))
+    alpha[0] = 1
+    for (begin, end, units_, _), p in zip(edges, prob, strict=True):
+        alpha[end][units_] += alpha[begin][units_] * p
     return alpha
 
 
-def backward(found: list[np.ndarray], prob: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
-    """The same of the last n, ..., 1, 0 bytes."""
-    n = found[0].shape[1]
-    beta = [np.ones_like(prob(found[0][:, 0]))] * (n + 1)
-    for begin in range(n - 1, -1, -1):
-        beta[begin] = sum(beta[begin + size] * prob(found[size - 1][:, begin]) for size in range(1, min(len(found), n - begin) + 1))
+def backward(edges, prob, n: int, shape: tuple) -> np.ndarray:
+    """The same of what follows the first 0, 1, ... n bytes."""
+    beta = np.zeros((n + 1, *shape))
+    beta[n] = 1
+    for (begin, end, units_, _), p in sorted(zip(edges, prob, strict=True), key=lambda e: -e[0][0]):
+        beta[begin][units_] += beta[end][units_] * p
     return beta
 
 
 def scaled(p: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Probabilities ``[pieces + 1, languages]`` by the bytes of each piece; the last row, of no piece, is zero."""
-    return np.vstack([p * SCALE ** length[:, None], np.zeros((1, p.shape[1]))])
+    """Probabilities ``[pieces, languages]`` by the bytes of each piece."""
+    return p * SCALE ** length[:, None]
 
 
 def log_likelihood(some: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """``[units, languages]`` from scaled probabilities."""
     out = np.zeros((len(some), p.shape[1]))
     for who, block in by_length(some):
-        out[who] = np.log(forward(pieces.find(block), lambda at: p[at])[-1]) - block.shape[1] * np.log(SCALE)
+        edges, n = pieces.edges(block), block.shape[1]
+        alpha = forward(edges, [p[k] for *_, k in edges], n, (len(who), p.shape[1]))
+        out[who] = np.log(alpha[n]) - n * np.log(SCALE)
     return out
 
 
 def expected(some: list[str], language: np.ndarray, times: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected piece counts ``[pieces, languages]`` of units that occur so often in a language."""
-    out = np.zeros((pieces.number + 1) * p.shape[1])
+    out = np.zeros(pieces.number * p.shape[1])
     for who, block in by_length(some):
-        found, spoken, n = pieces.find(block), language[who], block.shape[1]
-        alpha, beta = (way(found, lambda at: p[at, spoken]) for way in (forward, backward))
-        each = times[who] / alpha[-1]
-        for size, at in enumerate(found, 1):
-            for begin in range(n - size + 1):
-                k = at[:, begin]
-                weight = each * alpha[begin] * p[k, spoken] * beta[begin + size]
-                real = k < pieces.number
-                out += np.bincount(k[real] * p.shape[1] + spoken[real], weight[real], len(out))
-    return out.reshape(-1, p.shape[1])[:-1]
+        edges, spoken, n = pieces.edges(block), language[who], block.shape[1]
+        prob = [p[k, spoken[units_]] for _, _, units_, k in edges]
+        alpha, beta = (way(edges, prob, n, (len(who),)) for way in (forward, backward))
+        each = times[who] / alpha[n]
+        place = np.concatenate([k.astype(np.int64) * p.shape[1] + spoken[units_] for _, _, units_, k in edges])
+        weight = np.concatenate([each[units_] * alpha[begin][units_] * q * beta[end][units_]
+                                 for (begin, end, units_, _), q in zip(edges, prob, strict=True)])
+        out += np.bincount(place, weight, len(out))
+    return out.reshape(-1, p.shape[1])
 
 
 # -- learning --------------------------------------------------------------
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(held: Counter) -> pa.RecordBatch:
-        lang, unit = zip(*held, strict=True) if held else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(unit, pa.string()), pa.array(held.values(), pa.int64())],
-                                          ["lang", "unit", "n"])
-
-    held: Counter = Counter()
+    def out(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, tokens in held.items():
+            sums: Counter = Counter()
+            for token, n in tokens.items():
+                for unit in units(token):
+                    sums[unit] += n
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sums), pa.string()), pa.array(sums.keys(), pa.string()),
+                                              pa.array(sums.values(), pa.int64())], ["lang", "unit", "n"])
+
+    held: dict[str, Counter] = {}
     for batch in batches:
         for part in slices(batch):
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                for unit, n in Counter(units(text)).items():
-                    held[lang, unit] += n
-            if len(held) > HELD:
-                yield out(held)
-                held = Counter()
-    yield out(held)
+                # Runs of letters never cross white space, so equal tokens are cut once.
+                held.setdefault(lang, Counter()).update(text.split())
+            if sum(map(len, held.values())) > HELD:
+                yield from out(held)
+                held = {}
+    yield from out(held)
 
 
 def unit_counts(texts: DataFrame) -> DataFrame:
@@ -214,33 +258,58 @@ def fit(counts: DataFrame, documents: dict[str, int], pieces: Pieces, rounds: in
 # -- judging ---------------------------------------------------------------
 
 class Judge:
-    """Log probabilities of texts; those of units are remembered while they take less than some megabytes."""
+    """Log probabilities of texts; those of tokens between white space are remembered up to some megabytes.
+
+    A worker keeps what it remembers from task to task.
+    """
 
     def __init__(self, pieces: Pieces, model: Model, memory: int = MEMORY):
-        self.pieces, self.model = pieces, model
-        self.most = max(1, (memory << 20) // (8 * len(model.languages) + 120))
+        self.pieces, self.model, self.memory = pieces, model, memory << 20
+        self.forget()
+
+    def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.value = np.zeros((0, len(model.languages)))
+        self.value, self.letter, self.used = np.zeros((1024, len(self.model.languages))), np.zeros(1024, bool), 0
+
+    def learn(self, tokens: list[str]) -> None:
+        split = [units(t) for t in tokens]
+        some = list(set().union(*split))
+        at = dict(zip(some, range(len(some)), strict=True))
+        each = log_likelihood(some, self.pieces, self.model.p)
+        owner = np.repeat(np.arange(len(tokens)), [len(u) for u in split])
+        mine = np.array([at[u] for us in split for u in us], np.int64)
+        begin, end = len(self.place), len(self.place) + len(tokens)
+        if end > len(self.value):
+            more = max(end, 2 * len(self.value)) - len(self.value)
+            self.value, self.letter = np.vstack([self.value, np.zeros((more, self.value.shape[1]))]), np.concatenate([self.letter, np.zeros(more, bool)])
+        for k in range(self.value.shape[1]):
+            self.value[begin:end, k] = np.bincount(owner, each[mine, k], len(tokens))
+        self.letter[begin:end] = [any(map(str.isalpha, t)) if u else False for t, u in zip(tokens, split, strict=True)]
+        self.place.update(zip(tokens, range(begin, end), strict=True))
+        self.used += sum(map(len, tokens)) + len(tokens) * (160 + 8 * self.value.shape[1])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``[texts, languages]``, and whether a text has a letter."""
-        split = [units(t) for t in texts]
-        new = list(set().union(*split) - self.place.keys())
-        if len(self.place) + len(new) > self.most:
-            self.place, self.value, new = {}, self.value[:0], list(set().union(*split))
+        split = [t.split() for t in texts]
+        found = [list(map(self.place.get, some)) for some in split]
+        new = {t for some, at in zip(split, found, strict=True) if None in at for t, k in zip(some, at, strict=True) if k is None}
+        if new and self.used > self.memory:
+            self.forget()
+            new = set().union(*split)
         if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.value = np.vstack([self.value, log_likelihood(new, self.pieces, self.model.p)])
-        out = np.tile(self.model.prior, (len(texts), 1))
-        for d, some in enumerate(split):
-            if some:
-                out[d] += self.value[np.fromiter(map(self.place.__getitem__, some), np.int64, len(some))].sum(axis=0)
-        return out, np.array([any(map(str.isalpha, t)) if s else False for t, s in zip(texts, split, strict=True)], bool)
+            self.learn(list(new))
+            found = [list(map(self.place.__getitem__, some)) for some in split]
+        out, letters = np.tile(self.model.prior, (len(texts), 1)), np.zeros(len(texts), bool)
+        for d, at in enumerate(found):
+            if at:
+                out[d] += self.value[at].sum(axis=0)
+                letters[d] = self.letter[at].any()
+        return out, letters
 
 
-def _judge(batches: Iterator[pa.RecordBatch], pieces: Pieces, model: Model) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[pa.RecordBatch]:
     """Adds a block of languages to what is known of a text: the best one, its log probability, and that of all."""
-    judge = Judge(pieces, model)
+    model = judge.model
     for batch in batches:
         for part in slices(batch):
             found, letters = judge([t or "" for t in part.column("text").to_pylist()])
@@ -294,8 +363,8 @@ def identify(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, block: int
         names = list(number)
         for at in range(0, len(names), block):
             model = fit(counts, {n: number[n] for n in names[at:at + block]}, pieces, rounds)
-            sent = docs.sparkSession.sparkContext.broadcast((pieces, model))
-            judged = judged.mapInArrow(lambda it, sent=sent: _judge(it, *sent.value), "doc_id long, text string, name string, high double, every double")
+            sent = docs.sparkSession.sparkContext.broadcast(Judge(pieces, model))
+            judged = judged.mapInArrow(lambda it, sent=sent: _judge(it, sent.value), "doc_id long, text string, name string, high double, every double")
     posterior = F.exp(F.least(F.col("high") - F.col("every"), F.lit(0.0)))
     return judged.select("doc_id", held_out().alias("held_out"), F.coalesce("name", F.lit(UNKNOWN)).alias("lang_pred"),
                          F.when(F.col("name").isNotNull(), posterior).otherwise(0.0).alias("score"))
