@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -41,9 +42,9 @@ def brute(rows, target, buckets=10_000):
     return Counter(map(tuple, out))
 
 
-@pytest.mark.parametrize(("words", "pairs"), [(1 << 16, 1 << 18), (5, 3), (0, 0)])
-def test_resample(docs, messy, benchmark, words, pairs):
-    got = Counter(map(tuple, resample.resample(docs, benchmark, words=words, pairs=pairs).collect()))
+@pytest.mark.parametrize(("words", "paired"), [(1 << 16, 512), (50, 3), (0, 0)])
+def test_resample(docs, messy, benchmark, words, paired):
+    got = Counter(map(tuple, resample.resample(docs, benchmark, words=words, paired=paired).collect()))
     assert got == brute(messy, [r.text for r in benchmark.collect()])
     assert sum(x[4] is not None for x in got) > 10
 
@@ -61,7 +62,7 @@ def test_head_and_tail_agree():
         want[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)]
     word, state, _ = resample._count_words(text)
     head = resample.Head(word, state)
-    pair, bucket, _ = resample._count_pairs(text, head, 10_000)
+    pair, bucket, _ = resample._count_pairs(text, head, word, 10_000)
     for known in (head, resample.Head(word, state, pair, bucket), resample.Head(word[::2], state[::2], pair[1:2], bucket[1:2])):
         assert resample.Slice(text, known).buckets(10_000)[0].tolist() == want.tolist()
 
@@ -75,3 +76,12 @@ def test_counts_are_passed_on_when_a_task_holds_too_many(monkeypatch):
     for p in parts:
         n.update(dict(zip(p.column("value").to_pylist(), p.column("n").to_pylist(), strict=True)))
     assert n[zlib.crc32(b"a")] == 3 and n[zlib.crc32(b"b")] == 2 and sum(n.values()) == 26
+
+
+def test_the_head_is_bounded(spark):
+    rows = [(f"w{k % 40} w{k % 7} w{k}",) for k in range(400)]
+    df = spark.createDataFrame(rows, "text string")
+    for words in (0, 1, 7, 45, 10_000):
+        head = resample.frequent(df, words, 5)
+        assert len(head.word) <= words and len(head.pair) <= 25 and (np.diff(head.word.astype(object)) > 0).all()
+    assert len(head.word) == 400 and len(resample.frequent(df, 45, 5).word) >= 7

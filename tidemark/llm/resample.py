@@ -17,8 +17,8 @@ from tidemark.llm.words import ALNUM, BASE, U, Words, mix, slices, words_of
 from tidemark.operators.ranks import numbered
 
 BUCKETS, PERCENT, LEAST_WORDS, SEED = 10_000, 25, 20, 7
-#: The head: so many words and word pairs are broadcast, 12 and 10 bytes each.
-HEAD_WORDS, HEAD_PAIRS = 1 << 16, 1 << 18
+#: The head: at most so many words are broadcast, at 12 bytes each, and the pairs of so many of them, at 10 bytes.
+HEAD_WORDS, PAIRED_WORDS = 1 << 16, 1 << 9
 #: Entries that a task holds before it passes counts on.
 HELD = 1 << 20
 
@@ -140,10 +140,10 @@ def _count_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s.word, s.state, np.bincount(s.of, minlength=len(s.word))
 
 
-def _count_pairs(text: pa.Array, head: Head, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of two head words, their bucket and count."""
+def _count_pairs(text: pa.Array, head: Head, paired: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of two words among ``paired``, their bucket and count."""
     s = Slice(text, head)
-    frequent = _find(s.word, head.word)[0][s.of]
+    frequent = _find(s.word, paired)[0][s.of]
     keys, at = _pairs(s.words)
     both = frequent[at] & frequent[np.minimum(at + 1, max(len(s.of) - 1, 0))]
     keys, at = keys[both], at[both]
@@ -152,23 +152,46 @@ def _count_pairs(text: pa.Array, head: Head, buckets: int) -> tuple[np.ndarray,
     return pair, sums % np.uint32(buckets), np.bincount(of, minlength=len(pair))
 
 
-def _most(texts: DataFrame, each, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the largest counts over all texts, ascending, and their values."""
-    counts = texts.mapInArrow(lambda it: _tally(it, each), "key long, value long, n long").groupBy("key").agg(
+def _counts(texts: DataFrame, each) -> DataFrame:
+    return texts.mapInArrow(lambda it: _tally(it, each), "key long, value long, n long").groupBy("key").agg(
         F.min("value").alias("value"), F.sum("n").alias("n"))
-    best = counts.orderBy(F.desc("n"), "key").limit(limit).select("key", "value").toArrow()
-    key = best.column("key").to_numpy().astype(np.int64).view(U)
+
+
+def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys ascending, values and counts of a table of bounded size."""
+    found = counts.select("key", "value", "n").toArrow()
+    key = found.column("key").to_numpy().astype(np.int64).view(U)
     order = np.argsort(key)
-    return key[order], best.column("value").to_numpy()[order]
+    return key[order], found.column("value").to_numpy()[order], found.column("n").to_numpy()[order]
+
+
+def _most(counts: DataFrame, limit: int) -> DataFrame:
+    """Rows of the largest counts, at most ``limit``: those above a count that a histogram of all gives.
+
+    A step of the histogram is a sixteenth of a power of two; a step that does
+    not fit in whole stays out.
+    """
+    step = F.floor(F.log2("n") * 16)
+    left, least = limit, None
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if row["count"] > left:
+            break
+        left, least = left - row["count"], row.step
+    return counts.where(F.lit(False)) if least is None else counts.where(step >= least)
 
 
-def frequent(texts: DataFrame, words: int = HEAD_WORDS, pairs: int = HEAD_PAIRS, buckets: int = BUCKETS) -> Head:
-    """The most frequent words of all texts, and the most frequent pairs of these words."""
-    word, state = _most(texts, _count_words, words)
+def frequent(texts: DataFrame, words: int = HEAD_WORDS, paired: int = PAIRED_WORDS, buckets: int = BUCKETS) -> Head:
+    """The most frequent words of all texts, and the pairs that occur of the first ``paired`` of these.
+
+    So the number of pairs is bounded by ``paired`` squared before they are counted.
+    """
+    counts = stored(_counts(texts, _count_words), "word-counts")
+    word, state, n = _collected(_most(counts, words))
     head = Head(word, state.astype(np.uint32))
-    if pairs and len(word):
-        known = texts.sparkSession.sparkContext.broadcast(head)
-        pair, bucket = _most(texts, lambda text: _count_pairs(text, known.value, buckets), pairs)
+    first = np.sort(word[np.argsort(-n, kind="stable")[:paired]])
+    if len(first):
+        sent = texts.sparkSession.sparkContext.broadcast((head, first))
+        pair, bucket, _ = _collected(_counts(texts, lambda text: _count_pairs(text, *sent.value, buckets)))
         head = Head(word, head.state, pair, bucket.astype(np.uint16))
     return head
 
@@ -225,12 +248,12 @@ def _weigh(batches: Iterator[pa.RecordBatch], gain: np.ndarray) -> Iterator[pa.R
                                              ["doc_id", "n_words", "n_features", "weight"])
 
 
-def importance(docs: DataFrame, target: DataFrame, words: int = HEAD_WORDS, pairs: int = HEAD_PAIRS,
+def importance(docs: DataFrame, target: DataFrame, words: int = HEAD_WORDS, paired: int = PAIRED_WORDS,
                buckets: int = BUCKETS) -> DataFrame:
     """``doc_id, n_words, n_features, weight`` of every document: how much likelier its features are in the target."""
     texts, aim = (x.select(F.col(c).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                   for x, c in ((docs, "doc_id"), (target.withColumn("doc_id", F.lit(0)), "doc_id")))
-    head = docs.sparkSession.sparkContext.broadcast(frequent(texts.select("text"), words, pairs, buckets))
+    head = docs.sparkSession.sparkContext.broadcast(frequent(texts.select("text"), words, paired, buckets))
     schema = "doc_id long, n_words long, features binary"
     held = stored(texts.mapInArrow(lambda it: _encode(it, head.value, buckets), schema), "features")
     gain = gains(totals(held, buckets), totals(aim.mapInArrow(lambda it: _encode(it, head.value, buckets), schema), buckets))
@@ -238,7 +261,7 @@ def importance(docs: DataFrame, target: DataFrame, words: int = HEAD_WORDS, pair
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED,
-             words: int = HEAD_WORDS, pairs: int = HEAD_PAIRS, buckets: int = BUCKETS) -> DataFrame:
+             words: int = HEAD_WORDS, paired: int = PAIRED_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """Draw documents without replacement, likelier ones under the target corpus first.
 
     Takes ``doc_id, text`` and the target's ``text``; other columns are
@@ -250,9 +273,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     Of the documents of ``least_words`` or more, ``percent`` % (floored) of
     highest scores have a ``rank``, ties to the smaller id.
 
-    The most frequent words and pairs are counted over all documents and
-    broadcast with their checksum states and buckets, a fixed number of them;
-    other features are checksummed as they come.  Both ways give the same
+    The most frequent words, and the pairs of the most frequent of them, are
+    counted over all documents and broadcast with their checksum states and
+    buckets, a bounded number; other features are checksummed as they come.  Both ways give the same
     bucket, so the head decides speed alone.  Totals are sums of one row of
     counts per task.
 
@@ -264,7 +287,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     """
     drawn = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10)
     noise = F.floor(-1000 * F.log(-F.log((drawn.cast("double") + 0.5) / 4294967296.0)))
-    scored = stored(importance(docs, target, words, pairs, buckets).select(
+    scored = stored(importance(docs, target, words, paired, buckets).select(
         "doc_id", "n_words", "n_features", "weight", (F.col("weight") + noise).alias("score")), "scores")
     able = scored.where(F.col("n_words") >= least_words)
     number = able.count() * percent // 100
