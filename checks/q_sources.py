@@ -12,8 +12,10 @@ from tidemark.schema import FLOWS
 from tidemark.session import scratch_path, settle
 from tidemark.sources import grids as gd
 from tidemark.sources import json_sources as js
+from tidemark.operators import quality as ql
 from tidemark.sources import landing as ld
 from tidemark.sources import manifest as mf
+from tidemark.sources import publish as pb
 from tidemark.sources import sinks as sk
 from tidemark.streaming import flows as st
 
@@ -134,6 +136,20 @@ def _(spark, d):
     return spark.read.parquet(f"{root}/b/records")
 
 
+@query("s10_gated_publication", "records monthly_volume", "select 'records' as name, 0::BIGINT as version, count(*) as rows, true as same from records union all select 'volume', 0, count(*), true from monthly_volume")
+def _(spark, d):
+    root = scratch_path(spark, "published")
+    records, volume = fx.records(spark, d), fx.monthly_volume(spark, d)
+    checks = {"repeated keys": lambda s: ql.check_unique(s["records"], ["date", "entity", "indicator"]),
+              "not finite": lambda s: ql.check_finite(s["records"]), "too few rows": lambda s: ql.check_min_rows(s["volume"], 2)}
+    pb.publish({"records": records, "volume": volume}, checks, root)
+    try:  # repeats every key, with other values
+        pb.publish({"records": records.unionByName(records.withColumn("value", F.col("value") + 1)), "volume": volume.limit(0)}, checks, root)
+    except ql.DataQualityError:
+        pass
+    return pb.published_set(spark, root).select("name", "version").join(pb.verify_published(spark, root), "name")
+
+
 @query("s11_verify_copies", "records", "select count(*) as rows, true as same from records")
 def _(spark, d):
     root, _names = written(spark, d)
