@@ -141,6 +141,49 @@ def _(spark, d):
     return ql.check_evidence(res).select("analysis_key", "problem")
 
 
+# An analysis is a customer, its estimates and diagnostics are the customer's orders.
+ANALYSES = ("an as (select c_custkey as analysis_key, CASE c_custkey % 6 WHEN 0 THEN 'supported' WHEN 1 THEN 'not_supported' WHEN 2 THEN 'mixed' WHEN 3 THEN 'failed_diagnostics' WHEN 4 THEN 'insufficient_data' ELSE 'descriptive_only' END as status,"
+            " CASE WHEN c_nationkey % 2 = 0 THEN 'descriptive' ELSE 'limited' END as grade, count(o_orderkey) as n, CAST(min(o_orderdate) AS DATE) as start_date, CAST(max(o_orderdate) AS DATE) as end_date, DATE '1995-02-01' as source_start, DATE '2001-07-01' as source_end,"
+            " count(o_orderkey) > 8 as eligible, count(o_orderkey) filter (where o_totalprice > 1000) as available, CASE c_nationkey % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'two_sided' END as expected from customer left join orders on c_custkey = o_custkey group by c_custkey, c_nationkey),"
+            " es as (select o_custkey as analysis_key, o_orderkey as position, o_orderpriority as term, (o_totalprice - 150000) / 1000 as value, CASE WHEN o_orderkey % 30 > 0 THEN (o_totalprice - 150000) / 1000 - 1 END as ci_low, CASE WHEN o_orderkey % 30 > 0 THEN (o_totalprice - 150000) / 1000 + CASE WHEN o_orderkey % 50 = 0 THEN -2 WHEN o_orderkey % 60 = 1 THEN -0.5 ELSE 1 END END as ci_high,"
+            " CASE WHEN o_orderkey % 40 > 0 THEN 0.95 END as level, CASE WHEN o_orderkey % 3 > 0 THEN 0.01 END as p, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 20) / 300.0 END as adj, o_orderpriority in ('1-URGENT', '2-HIGH') as focal from orders),"
+            " ef as (select analysis_key, count(*) as n_est, count(*) filter (where focal) as n_focal, bool_or(coalesce(ci_low > ci_high, false)) as reversed, bool_or(coalesce(ci_low <= ci_high and not value between ci_low and ci_high, false)) as outside, bool_or(ci_low is not null and level is null) as no_level, bool_or(ci_low is null and level is not null) as no_interval,"
+            " bool_or(focal and p is not null and adj is null) as unadjusted, bool_or(p is not null or adj is not null) as tested, bool_or(focal and (ci_low is null or p is null or adj is null)) as incomplete, coalesce(bool_and(coalesce(adj < 0.05, false)) filter (where focal), false) as small, coalesce(bool_and(coalesce(adj < 0.05 and value > 0, false)) filter (where focal), false) as up, coalesce(bool_and(coalesce(adj < 0.05 and value < 0, false)) filter (where focal), false) as down,"
+            " coalesce(list(term order by position) filter (where focal), []) as terms from es group by 1),"
+            " df as (select o_custkey as analysis_key, bool_or(o_totalprice >= 400000) as failed, list(o_orderstatus order by o_orderkey) as keys from orders group by 1),"
+            " kn as (select an.*, coalesce(n_est, 0) as n_est, coalesce(n_focal, 0) as n_focal, coalesce(reversed, false) as reversed, coalesce(outside, false) as outside, coalesce(no_level, false) as no_level, coalesce(no_interval, false) as no_interval, coalesce(unadjusted, false) as unadjusted, coalesce(tested, false) as tested, coalesce(incomplete, false) as incomplete,"
+            " coalesce(terms, []) as terms, coalesce(keys, []) as keys, coalesce(failed, false) as failed, coalesce(CASE expected WHEN 'positive' THEN up WHEN 'negative' THEN down ELSE small END, false) as support from an left join ef using (analysis_key) left join df using (analysis_key))")
+ANALYSIS_RULES = {
+    "sample_outside_sources": "start_date < source_start or end_date > source_end", "interval_reversed": "reversed", "estimate_outside_interval": "outside", "interval_without_level": "no_level",
+    "level_without_interval": "no_interval", "adjusted_p_missing": "unadjusted", "inference_without_eligibility": f"{INF} and not eligible", "inference_without_focal": f"{INF} and n_focal = 0",
+    "inference_incomplete": f"{INF} and incomplete", "focal_terms_differ": f"{INF} and terms <> ['1-URGENT', '2-HIGH']", "diagnostics_differ": f"{INF} and keys <> ['F', 'O']",
+    "supported_contradicts_rule": "status = 'supported' and (not support or failed)", "not_supported_contradicts_rule": "status = 'not_supported' and (support or failed)",
+    "failed_without_diagnostic": "status = 'failed_diagnostics' and not failed", "descriptive_with_p_value": "status = 'descriptive_only' and tested", "descriptive_with_other_grade": "status = 'descriptive_only' and grade <> 'descriptive'",
+    "insufficient_with_estimate": "status = 'insufficient_data' and n_est > 0", "insufficient_but_eligible": "status = 'insufficient_data' and eligible", "count_differs": "n <> available",
+}
+
+
+@query("v15_check_analyses", sql=f"with {ANALYSES} " + " union all ".join(f"select analysis_key, '{k}' as problem from kn where {v}" for k, v in ANALYSIS_RULES.items()))
+def _(spark, d):
+    orders, k, nk = fx.table(spark, d, "orders"), F.col("c_custkey"), F.col("c_nationkey") % 3
+    per = orders.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_orderdate").cast("date").alias("start_date"), F.max("o_orderdate").cast("date").alias("end_date"),
+        F.count_if(F.col("o_totalprice") > 1000).alias("available"))
+    statuses = F.array(*[F.lit(x) for x in ("supported", "not_supported", "mixed", "failed_diagnostics", "insufficient_data", "descriptive_only")])
+    analyses = fx.table(spark, d, "customer").join(per, k == F.col("o_custkey"), "left").fillna(0, ["n", "available"]).select(
+        k.alias("analysis_key"), F.get(statuses, (k % 6).cast("int")).alias("status"), F.when(F.col("c_nationkey") % 2 == 0, "descriptive").otherwise("limited").alias("grade"),
+        "n", "start_date", "end_date", F.lit("1995-02-01").cast("date").alias("source_start"), F.lit("2001-07-01").cast("date").alias("source_end"), (F.col("n") > 8).alias("eligible"), "available",
+        F.when(nk == 0, "positive").when(nk == 1, "negative").otherwise("two_sided").alias("expected"),
+        F.array(F.lit("1-URGENT"), F.lit("2-HIGH")).alias("focal_terms"), F.array(F.lit("F"), F.lit("O")).alias("diagnostic_keys"))
+    o, v = F.col("o_orderkey"), (F.col("o_totalprice") - 150000) / 1000
+    estimates = orders.select(
+        F.col("o_custkey").alias("analysis_key"), o.alias("position"), F.col("o_orderpriority").alias("term"), v.alias("value"), F.when(o % 30 > 0, v - 1).alias("ci_low"),
+        F.when(o % 30 > 0, v + F.when(o % 50 == 0, -2.0).when(o % 60 == 1, -0.5).otherwise(1.0)).alias("ci_high"), F.when(o % 40 > 0, 0.95).alias("confidence_level"), F.lit(0.5).alias("se"),
+        F.when(o % 3 > 0, 0.01).alias("p_value"), F.when(o % 7 > 0, (o % 20) / 300.0).alias("adjusted_p_value"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("is_focal"))
+    diagnostics = orders.select(F.col("o_custkey").alias("analysis_key"), o.alias("position"), F.col("o_orderstatus").alias("key"), (F.col("o_totalprice") < 400000).alias("passed"))
+    return ql.check_analyses(analyses, estimates, diagnostics)
+
+
 TEXT_PATTERNS = (r"\bcopyright\b", r"\blicen[cs]e", r"\bcauses?\b", r"\bdrives?\b", r"\bpassword\b")
 
 

@@ -184,8 +184,8 @@ def check_evidence(results: DataFrame, alpha: float = ALPHA) -> DataFrame:
         "inference_incomplete": inferential & F.col("is_focal") & (
             F.col("value").isNull() | F.col("se").isNull() | F.col("ci_low").isNull() | F.col("p_value").isNull()
         ),
-        "supported_contradicts_rule": (F.col("status") == "supported") & (~supported | F.col("failed")),
-        "not_supported_contradicts_rule": (F.col("status") == "not_supported") & (supported | F.col("failed")),
+        "supported_contradicts_rule": (F.col("status") == "supported") & F.col("is_focal") & (~supported | F.col("failed")),
+        "not_supported_contradicts_rule": (F.col("status") == "not_supported") & F.col("is_focal") & (supported | F.col("failed")),
         "failed_without_diagnostic": (F.col("status") == "failed_diagnostics") & ~F.col("failed"),
         "insufficient_with_estimate": (F.col("status") == "insufficient_data") & estimate,
         "insufficient_but_eligible": (F.col("status") == "insufficient_data") & F.coalesce("eligible", F.lit(True)),
@@ -195,3 +195,77 @@ def check_evidence(results: DataFrame, alpha: float = ALPHA) -> DataFrame:
         F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()
     ]))
     return results.select("*", F.explode(broken).alias("problem"))
+
+
+def check_analyses(analyses: DataFrame, estimates: DataFrame, diagnostics: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``analysis_key, problem``: rules over the result tables of each analysis taken together.
+
+    ``analyses(analysis_key, status, grade, n, start_date, end_date,
+    source_start, source_end, eligible, available, expected, focal_terms,
+    diagnostic_keys)`` has a row for each analysis and the registered order of
+    its focal terms and diagnostics (null: any).  ``estimates(analysis_key,
+    position, term, value, ci_low, ci_high, confidence_level, se, p_value,
+    adjusted_p_value, is_focal)`` and ``diagnostics(analysis_key, position,
+    key, passed)`` have its rows.  Support is decided by all focal rows of an
+    analysis; other rows can't contradict a status.
+    """
+    def any_of(test: Column) -> Column:
+        return F.coalesce(F.bool_or(F.coalesce(test, F.lit(False))), F.lit(False))
+
+    focal, interval = F.col("is_focal"), F.col("ci_low").isNotNull()
+    small = F.coalesce(F.col("adjusted_p_value") < alpha, F.lit(False))
+
+    def every_focal(test: Column) -> Column:
+        return F.coalesce(F.bool_and(F.when(focal, F.coalesce(test, F.lit(False)))), F.lit(False))
+
+    facts = estimates.groupBy("analysis_key").agg(
+        F.count(F.lit(1)).alias("_estimates"), F.count_if(focal).alias("_focal"),
+        any_of(F.col("ci_low") > F.col("ci_high")).alias("_reversed"),
+        any_of((F.col("ci_low") <= F.col("ci_high")) & ~F.col("value").between(F.col("ci_low"), F.col("ci_high"))).alias("_outside"),
+        any_of(interval & F.col("confidence_level").isNull()).alias("_no_level"),
+        any_of(~interval & F.col("confidence_level").isNotNull()).alias("_no_interval"),
+        any_of(focal & F.col("p_value").isNotNull() & F.col("adjusted_p_value").isNull()).alias("_unadjusted"),
+        any_of(F.col("p_value").isNotNull() | F.col("adjusted_p_value").isNotNull()).alias("_tested"),
+        any_of(focal & (F.col("se").isNull() | ~interval | F.col("p_value").isNull() | F.col("adjusted_p_value").isNull())).alias("_incomplete"),
+        every_focal(small).alias("_two_sided"), every_focal(small & (F.col("value") > 0)).alias("_positive"),
+        every_focal(small & (F.col("value") < 0)).alias("_negative"),
+        F.transform(F.sort_array(F.collect_list(F.when(focal, F.struct("position", "term")))), lambda x: x["term"]).alias("_terms"),
+    )
+    checked = diagnostics.groupBy("analysis_key").agg(
+        any_of(~F.col("passed")).alias("_failed"),
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "key"))), lambda x: x["key"]).alias("_keys"),
+    )
+    known = analyses.join(facts, "analysis_key", "left").join(checked, "analysis_key", "left")
+
+    def fact(name: str, otherwise=False) -> Column:
+        return F.coalesce(F.col(name), F.lit(otherwise))
+
+    status, eligible = F.col("status"), F.coalesce("eligible", F.lit(False))
+    inferential, failed, nothing = status.isin(*INFERENTIAL), fact("_failed"), F.array().cast("array<string>")
+    support = F.when(F.col("expected") == "positive", fact("_positive")).when(F.col("expected") == "negative", fact("_negative")).otherwise(fact("_two_sided"))
+    rules = {
+        "sample_dates_half_set": F.col("start_date").isNull() != F.col("end_date").isNull(),
+        "sample_reversed": F.col("start_date") > F.col("end_date"),
+        "sample_outside_sources": (F.col("start_date") < F.col("source_start")) | (F.col("end_date") > F.col("source_end")),
+        "sources_without_overlap": F.col("source_start") > F.col("source_end"),
+        "interval_reversed": fact("_reversed"),
+        "estimate_outside_interval": fact("_outside"),
+        "interval_without_level": fact("_no_level"),
+        "level_without_interval": fact("_no_interval"),
+        "adjusted_p_missing": fact("_unadjusted"),
+        "inference_without_eligibility": inferential & ~eligible,
+        "inference_without_focal": inferential & (fact("_focal", 0) == 0),
+        "inference_incomplete": inferential & fact("_incomplete"),
+        "focal_terms_differ": inferential & (F.coalesce("_terms", nothing) != F.col("focal_terms")),
+        "diagnostics_differ": inferential & (F.coalesce("_keys", nothing) != F.col("diagnostic_keys")),
+        "supported_contradicts_rule": (status == "supported") & (~support | failed),
+        "not_supported_contradicts_rule": (status == "not_supported") & (support | failed),
+        "failed_without_diagnostic": (status == "failed_diagnostics") & ~failed,
+        "descriptive_with_p_value": (status == "descriptive_only") & fact("_tested"),
+        "descriptive_with_other_grade": (status == "descriptive_only") & ~F.coalesce(F.col("grade") == "descriptive", F.lit(False)),
+        "insufficient_with_estimate": (status == "insufficient_data") & (fact("_estimates", 0) > 0),
+        "insufficient_but_eligible": (status == "insufficient_data") & F.coalesce("eligible", F.lit(True)),
+        "count_differs": F.col("n") != F.col("available"),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]))
+    return known.select("analysis_key", F.explode(broken).alias("problem"))
