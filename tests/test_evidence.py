@@ -289,3 +289,33 @@ def test_reversed_event_window_gives_nothing(spark):
     events = spark.createDataFrame([("ok", dt.date(2024, 1, 2), dt.date(2024, 1, 5)), ("back", dt.date(2024, 1, 9), dt.date(2024, 1, 3))],
                                    "event_id string, start_date date, end_date date")
     assert [r.event_id for r in mk.event_window_change(prices, events).collect()] == ["ok"]
+
+
+def test_large_means_lose_no_digits(spark):
+    """Columns whose mean is a million times their spread, against the centred fit in numpy."""
+    rng = np.random.default_rng(21)
+    x1, x2 = 1e6 + rng.normal(size=200), 5e5 + rng.normal(size=200).cumsum()
+    y = 3e6 + 0.4 * x1 - 0.3 * x2 + rng.normal(size=200)
+    df = frame(spark, {"y": y, "x1": x1, "x2": x2}).repartition(5)
+    c1, c2 = (np.array([math.fsum(v) / 200]) for v in (x1, x2))
+    z = np.column_stack([np.ones(200), x1 - c1, x2 - c2])
+    b, se, u, inv = ols_hac(y - 3e6, z, 3)
+    fit = rg.ols(df, "y", ("intercept", "x1", "x2"))
+    rows = {r.term: r for r in rg.hac(fit, 3).collect()}
+    for i, term in ((1, "x1"), (2, "x2")):
+        assert rows[term].coef == pytest.approx(b[i], rel=1e-9) and rows[term].se == pytest.approx(se[i], rel=1e-9)
+    assert rows["intercept"].coef == pytest.approx(3e6 + b[0] - b[1] * c1[0] - b[2] * c2[0], rel=1e-9)
+    h = np.einsum("ij,jk,ik->i", z, inv, z)
+    cook = u**2 * h / (3 * (u @ u / 197) * (1 - h) ** 2)
+    got = rg.cooks(fit).orderBy("date").collect()
+    assert [r.leverage for r in got] == pytest.approx(list(h), rel=1e-9) and [r.cooks for r in got] == pytest.approx(list(cook), rel=1e-7)
+    cond = np.linalg.cond(np.column_stack([np.ones(200), z[:, 1] / z[:, 1].std(), z[:, 2] / z[:, 2].std()]))
+    assert rg.condition_number(df, ("x1", "x2")).first().condition == pytest.approx(cond, rel=1e-9)
+    assert rg.design_rank(df, ("intercept", "x1", "x2")).first().full_rank
+
+
+def test_constant_columns_are_rank_deficient(spark):
+    df = frame(spark, {"y": np.arange(9.0), "x": np.full(9, 1e6 / 3), "t": np.arange(9.0) ** 2}).repartition(4)
+    assert rg.ols(df, "y", ("intercept", "x", "t")).groups.first().rank == 2
+    assert rg.ols(df, "y", ("x", "t")).groups.first().rank == 2
+    assert rg.ols(df, "y", ("intercept",)).groups.first().beta == pytest.approx([4.0])

@@ -134,33 +134,13 @@ def gram_rank(gram: np.ndarray, tolerance: float = 1e-12) -> int:
     return int((np.linalg.eigvalsh(gram * np.outer(scale, scale)) > tolerance).sum())
 
 
-def standardised_condition(gram: np.ndarray, constant: int | None) -> float | None:
-    """Condition number after scaling columns to mean 0, population sd 1.
-
-    Needs the intercept's row of the Gram matrix for the means; columns with
-    no spread stay as they are, like the intercept.
-    """
-    if constant is None:
-        return None
-    n = gram[constant, constant]
-    mean = gram[constant] / n
-    cov = gram / n - np.outer(mean, mean)
-    spread = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    moving = spread > 1e-12 * np.maximum(np.abs(mean), 1.0)
-    factor = np.where(moving, 1.0 / np.where(moving, spread, 1.0), 1.0)
-    scaled = np.where(np.outer(moving, moving), cov, 0.0) * np.outer(factor, factor)
-    still = ~moving
-    scaled[np.ix_(still, still)] = (gram / n)[np.ix_(still, still)]
-    values = np.linalg.eigvalsh(scaled)
-    if values[0] <= 0:
-        return None
-    return float(math.sqrt(values[-1] / values[0]))
-
-
 SOLUTION = T.StructType([
     T.StructField("n", T.LongType()),
     T.StructField("beta", T.ArrayType(T.DoubleType())),
     T.StructField("inverse", T.ArrayType(T.DoubleType())),
+    T.StructField("means", T.ArrayType(T.DoubleType())),
+    T.StructField("gamma", T.ArrayType(T.DoubleType())),
+    T.StructField("core", T.ArrayType(T.DoubleType())),
     T.StructField("rank", T.IntegerType()),
     T.StructField("condition", T.DoubleType()),
 ])
@@ -174,43 +154,101 @@ def unpack(packed: np.ndarray) -> np.ndarray:
     return full + np.triu(full, 1).T
 
 
-def solver(constant: int | None = None):
-    """Column function: packed Gram of (1, terms..., y) -> solution.
+def constant_columns(cov: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Columns without spread, up to the rounding of merged means."""
+    return np.sqrt(np.maximum(np.diag(cov), 0.0)) <= 1e-12 * np.abs(mean)
+
+
+def _centred_solution(n: int, mean: np.ndarray, cov: np.ndarray, constant: int) -> tuple:
+    """Fit with an intercept, solved on columns less their means.
 
-    A singular or non-finite system gives null coefficients and its rank.
-    ``constant`` is the position of the intercept among the terms.
+    ``mean`` and ``cov`` hold the other terms, then the dependent.
+    """
+    x, m, y = cov[:-1, :-1], mean[:-1], mean[-1]
+    still = constant_columns(x, m)
+    moving = x[np.ix_(~still, ~still)]
+    rank = 1 + (gram_rank(moving) if len(moving) else 0)
+    if rank <= len(m):
+        return None, None, None, None, None, rank, None
+    slope, inverse = solve_scaled(x, cov[:-1, -1]) if len(m) else (np.zeros(0), np.zeros((0, 0)))
+    inverse = inverse / n
+    spread = np.sqrt(np.diag(x))
+    values = np.append(np.linalg.eigvalsh(x / np.outer(spread, spread)), 1.0)
+    at = np.delete(np.arange(len(m) + 1), constant)
+    core, full = np.zeros((2, len(m) + 1, len(m) + 1))
+    core[constant, constant], core[np.ix_(at, at)] = 1.0 / n, inverse
+    full[np.ix_(at, at)] = inverse
+    full[constant, at] = full[at, constant] = -inverse @ m
+    full[constant, constant] = 1.0 / n + m @ inverse @ m
+    gamma, means = np.insert(slope, constant, y), np.insert(m, constant, 0.0)
+    beta = np.insert(slope, constant, y - slope @ m)
+    condition = math.sqrt(values.max() / values.min()) if values.min() > 0 else None
+    return beta, full, means, gamma, core, rank, condition
+
+
+def _plain_solution(n: int, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    """Fit without an intercept, on the columns as they are."""
+    full = n * (cov + np.outer(mean, mean))
+    gram, moment = full[:-1, :-1], full[:-1, -1]
+    rank = gram_rank(gram)
+    if rank < len(moment):
+        return None, None, None, None, None, rank, None
+    beta, inverse = solve_scaled(gram, moment)
+    return beta, inverse, np.zeros(len(moment)), beta, inverse, rank, None
+
+
+def solver(constant: int | None = None):
+    """Column function: counts, means and packed covariances of (terms..., y) -> solution.
+
+    ``constant`` is the position of the intercept among the terms; it is not
+    among the columns.  With it the system is centred, so columns whose mean
+    is large beside their spread lose no digits.  ``means``, ``gamma`` and
+    ``core`` are the fit in centred columns: fitted values are
+    ``gamma . (x - means)`` and ``core`` is the inverse cross product there.
+    Without an intercept they equal the plain fit.  A singular or non-finite
+    system gives null coefficients and its rank.
     """
 
     @F.pandas_udf(SOLUTION)
-    def solve(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for grams in batches:
+    def solve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for sizes, means, covs in batches:
             rows = []
-            for packed in grams:
-                full = unpack(np.array(packed, dtype=float))
-                g, v = full[1:-1, 1:-1], full[1:-1, -1]
-                usable = bool(np.isfinite(full).all())
-                rank = gram_rank(g) if usable else 0
-                beta = inverse = condition = None
-                if usable and rank == len(v):
-                    b, i = solve_scaled(g, v)
-                    beta, inverse = b.tolist(), i.reshape(-1).tolist()
-                    condition = standardised_condition(g, constant)
-                rows.append((int(full[0, 0]) if usable else None, beta, inverse, rank, condition))
+            for n, mean, cov in zip(sizes, means, covs):
+                mean, cov = np.array(mean, dtype=float), unpack(np.array(cov, dtype=float))
+                if not n or not (np.isfinite(mean).all() and np.isfinite(cov).all()):
+                    rows.append((None, None, None, None, None, None, 0, None))
+                    continue
+                solution = _plain_solution(n, mean, cov) if constant is None else _centred_solution(n, mean, cov, constant)
+                rows.append((int(n), *[v.reshape(-1).tolist() if isinstance(v, np.ndarray) else v for v in solution]))
             yield pd.DataFrame(rows, columns=SOLUTION.names)
 
     return solve
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def sandwich_errors(inverse: pd.Series, half: pd.Series, factor: pd.Series) -> pd.Series:
-    """Standard errors from the inverse Gram and one half of the score sums."""
-    out = []
-    for flat, meat, f in zip(inverse, half, factor):
-        k = int(math.sqrt(len(flat)))
-        a, m = np.array(flat, dtype=float).reshape(k, k), np.array(meat, dtype=float).reshape(k, k)
-        variance = np.diag(a @ (m + m.T) @ a) * f
-        out.append(np.sqrt(np.maximum(variance, 0.0)).tolist())
-    return pd.Series(out)
+def sandwich_errors(constant: int | None):
+    """Column function of a struct ``core, means, half, factor`` -> standard errors.
+
+    Inverse and score sums are those of centred columns; ``half`` is one half of
+    the score sums.  Only the intercept's error needs the means: its column is
+    the centred one less the means' share.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def errors(fits: pd.DataFrame) -> pd.Series:
+        out = []
+        for flat, mean, meat, f in zip(fits["core"], fits["means"], fits["half"], fits["factor"]):
+            k = int(math.sqrt(len(flat)))
+            a, m = np.array(flat, dtype=float).reshape(k, k), np.array(meat, dtype=float).reshape(k, k)
+            covariance = a @ (m + m.T) @ a
+            variance = np.diag(covariance).copy()
+            if constant is not None:
+                back = -np.array(mean, dtype=float)
+                back[constant] = 1.0
+                variance[constant] = back @ covariance @ back
+            out.append(np.sqrt(np.maximum(variance * f, 0.0)).tolist())
+        return pd.Series(out)
+
+    return errors
 
 
 @F.pandas_udf(T.DoubleType())

@@ -1,8 +1,9 @@
 """Least squares with Newey-West errors and its diagnostics.
 
-Shape of every fit: Spark aggregates the design's cross products per group,
-a k-by-k solve turns them into coefficients, and everything row-wise
-(residuals, lags, leverage) goes back to column expressions and windows.  A
+Shape of every fit: Spark aggregates the design's covariances per group in one
+pass that merges centred partial sums, a k-by-k solve turns them into
+coefficients, and everything row-wise (residuals, lags, leverage) goes back to
+column expressions and windows on centred columns.  A
 group is one analysis or variant; its windows run over its dated sample.
 """
 
@@ -47,51 +48,71 @@ class Fit:
 
 
 # Columns that a fit adds to its rows.
-BOOKKEEPING = ("beta", "inverse", "df", "fitted", "resid")
-# Up to this many design columns their cross products are summed as columns;
-# wider designs are summed as (position, product) rows, which keeps the
-# generated code small.
-WIDE_DESIGN = 8
+BOOKKEEPING = ("beta", "means", "gamma", "core", "df", "fitted", "resid")
 
 
 def grouped(df: DataFrame, by, *aggregates: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
 
 
-def summed_products(df: DataFrame, by, left, right=None, out: str = "packed") -> DataFrame:
-    """Sums of products per group as one array, row-major.
+def whole_columns(df: DataFrame, columns) -> DataFrame:
+    """Columns as doubles in which a null is not-a-number.
 
-    With one list: the upper triangle of its cross products.  With two lists:
-    every product of a left with a right column.
+    So a group with an incomplete or non-finite row has no finite system and is
+    refused as a whole, never fitted to sums that skip different rows.
     """
-    left, by = list(left), list(by)
-    if max(len(left), len(right or ())) <= WIDE_DESIGN:
-        pairs = (
-            [(a, b) for i, a in enumerate(left) for b in left[i:]] if right is None
-            else [(a, b) for a in left for b in right]
-        )
-        return grouped(df, by, F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias(out))
-    z = F.array(*left)
-    staged = df.select(*by, z.alias("_z"), (F.array(*right) if right else z).alias("_w"))
-    inner = (
-        (lambda a, i: F.transform(F.slice("_w", i + 1, len(left)), lambda b: a * b)) if right is None
-        else (lambda a, i: F.transform("_w", lambda b: a * b))
-    )
-    products = staged.select(*by, F.posexplode(F.flatten(F.transform("_z", inner))).alias("_pos", "_p"))
-    sums = products.groupBy(*by, "_pos").agg(F.sum("_p").alias("_p"))
-    packed = F.sort_array(F.collect_list(F.struct("_pos", "_p")))["_p"]
-    return grouped(sums, by, packed.alias(out))
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in dict.fromkeys(columns)})
+
+
+def paired(df: DataFrame, by, left, right=None) -> DataFrame:
+    """Rows ``_pos, _a, _b`` of all pairs of a left with a right column.
+
+    With one list: its pairs i <= j, row-major.  Pairs are rows, so a wide
+    design aggregates by the same small code as a narrow one.
+    """
+    left = list(left)
+    pairs = [(a, b) for a in left for b in right] if right else [(a, b) for i, a in enumerate(left) for b in left[i:]]
+    entries = F.array(*[F.struct(F.col(a).alias("_a"), F.col(b).alias("_b")) for a, b in pairs])
+    return df.select(*by, F.posexplode(entries).alias("_pos", "_p")).select(*by, "_pos", "_p._a", "_p._b")
+
+
+def summed_products(df: DataFrame, by, left, right=None, out: str = "packed") -> DataFrame:
+    """Sums of products per group as one array, row-major: see ``paired``."""
+    by = list(by)
+    sums = paired(df, by, left, right).groupBy(*by, "_pos").agg(F.sum(F.col("_a") * F.col("_b")).alias("_p"))
+    return grouped(sums, by, F.sort_array(F.collect_list(F.struct("_pos", "_p")))["_p"].alias(out))
 
 
 def packed_gram(df: DataFrame, by, terms, y: str) -> DataFrame:
-    """Packed Gram matrix of (1, terms..., y) per group.
+    """Packed Gram matrix of (1, terms..., y) per group, not-a-number where a value is missing."""
+    return summed_products(whole_columns(df, (*terms, y)).withColumn("_1", F.lit(1.0)), by, ["_1", *terms, y])
+
 
-    A null counts as not-a-number, so a group with an incomplete or non-finite
-    row has no finite system and is refused as a whole, never fitted to sums
-    that skip different rows.
+def packed_moments(df: DataFrame, by, terms, y: str) -> DataFrame:
+    """``n, mean, cov`` per group: means and packed covariances of (terms..., y).
+
+    Spark's covariance updates and merges centred sums, so one pass keeps the
+    digits that sums of raw products lose where a mean is large.
     """
-    whole = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in dict.fromkeys((*terms, y))})
-    return summed_products(whole.withColumn("_1", F.lit(1.0)), by, ["_1", *terms, y])
+    by = list(by)
+    names = [t for t in terms if t != INTERCEPT] + [y]
+    ends = [len(names) * i - i * (i - 1) // 2 for i in range(len(names))]
+    moments = paired(whole_columns(df, names), by, names).groupBy(*by, "_pos").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_a").alias("_mean"), F.covar_pop("_a", "_b").alias("_cov"))
+    packed = F.sort_array(F.collect_list(F.struct("_pos", "_mean", "_cov")))
+    return grouped(moments, by, F.max("_n").alias("n"), packed.alias("_s")).select(
+        *by, "n", F.array(*[F.get("_s._mean", F.lit(i)) for i in ends]).alias("mean"), F.col("_s._cov").alias("cov"))
+
+
+def solved(df: DataFrame, by, terms, y: str) -> DataFrame:
+    """The solution ``s`` per group."""
+    constant = terms.index(INTERCEPT) if INTERCEPT in terms else None
+    return packed_moments(df, by, terms, y).select(*by, nx.solver(constant)("n", "mean", "cov").alias("s"))
+
+
+def centred(terms) -> list[Column]:
+    """The terms less their means; the intercept stays."""
+    return [F.col(t) - F.element_at("means", i + 1) for i, t in enumerate(terms)]
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, by) -> DataFrame:
@@ -119,18 +140,16 @@ def ols(df: DataFrame, y: str, terms, by=(), order: str = "date") -> Fit:
         raise ValueError("Regression term names must be unique")
     k = len(terms)
     base = design(df, terms)
-    constant = terms.index(INTERCEPT) if INTERCEPT in terms else None
-    solved = packed_gram(base, by, terms, y).select(*by, nx.solver(constant)("packed").alias("s"))
+    solution = solved(base, by, terms, y)
     enough = F.col("s.n") > k
-    groups = solved.select(
+    groups = solution.select(
         *by, F.col("s.n").alias("n"), (F.col("s.n") - k).alias("df"),
-        F.when(enough, F.col("s.beta")).alias("beta"),
-        F.when(enough, F.col("s.inverse")).alias("inverse"),
+        *[F.when(enough, F.col(f"s.{c}")).alias(c) for c in ("beta", "inverse", "means", "gamma", "core")],
         F.col("s.rank").alias("rank"), F.col("s.condition").alias("condition"),
     )
-    slim = groups.where("beta is not null").select(*by, "beta", "inverse", "df")
+    slim = groups.where("beta is not null").select(*by, "beta", "means", "gamma", "core", "df")
     rows = join_groups(base, slim, by)
-    fitted = sum((F.col(t) * F.element_at("beta", i + 1) for i, t in enumerate(terms)), F.lit(0.0))
+    fitted = sum((z * F.element_at("gamma", i + 1) for i, z in enumerate(centred(terms))), F.lit(0.0))
     rows = rows.withColumn("fitted", fitted).withColumn("resid", F.col(y) - F.col("fitted"))
     return Fit(groups, rows, y, terms, by, order)
 
@@ -143,7 +162,7 @@ def hac(fit: Fit, max_lag: int) -> DataFrame:
     number of lags.
     """
     w = fit.window()
-    scores = F.array(*[F.col(t) * F.col("resid") for t in fit.terms])
+    scores = F.array(*[z * F.col("resid") for z in centred(fit.terms)])
     rows = fit.rows.select(*fit.by, fit.order, scores.alias("_g"))
     rows = rows.withColumns({f"_l{i}": F.lag("_g", i).over(w) for i in range(1, max_lag + 1)})
 
@@ -163,7 +182,8 @@ def hac(fit: Fit, max_lag: int) -> DataFrame:
         flat, fit.by, [f"_g{i}" for i in range(k)], [f"_h{i}" for i in range(k)], "half"
     )
     table = join_groups(fit.groups.where("beta is not null"), sums, fit.by)
-    errors = nx.sandwich_errors("inverse", "half", ratio("n", "df"))
+    constant = fit.terms.index(INTERCEPT) if INTERCEPT in fit.terms else None
+    errors = nx.sandwich_errors(constant)(F.struct("core", "means", "half", ratio("n", "df").alias("factor")))
     names = F.array(*[F.lit(t) for t in fit.terms])
     long = table.withColumn("_se", errors).select(
         *fit.by, "n", "df", F.inline(F.arrays_zip(names.alias("term"), F.col("beta").alias("coef"), F.col("_se").alias("se")))
@@ -183,9 +203,9 @@ def cooks(fit: Fit) -> DataFrame:
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
-    x = F.array(*fit.terms)
+    x = F.array(*centred(fit.terms))
     leverage = total(F.transform(x, lambda a, i: a * total(
-        F.zip_with(F.slice("inverse", i * k + 1, k), x, lambda p, b: p * b)
+        F.zip_with(F.slice("core", i * k + 1, k), x, lambda p, b: p * b)
     )))
     residual_ss = F.sum(F.col("resid") * F.col("resid"))
     variance = grouped(fit.rows, fit.by, residual_ss.alias("_ss"))
@@ -205,8 +225,7 @@ def max_cooks(fit: Fit) -> DataFrame:
 def design_rank(df: DataFrame, terms, by=()) -> DataFrame:
     """Rank of the design against its column count."""
     terms = tuple(terms)
-    packed = packed_gram(design(df, terms), by, terms, terms[0])
-    ranked = packed.withColumn("rank", nx.solver(None)("packed")["rank"])
+    ranked = solved(design(df, terms), by, terms, terms[0]).select(*by, F.col("s.rank").alias("rank"))
     return ranked.select(*by, "rank", F.lit(len(terms)).alias("columns"),
                          (F.col("rank") == len(terms)).alias("full_rank"))
 
@@ -214,8 +233,7 @@ def design_rank(df: DataFrame, terms, by=()) -> DataFrame:
 def condition_number(df: DataFrame, terms, by=()) -> DataFrame:
     """Condition number of the standardised design (population deviation)."""
     terms = (INTERCEPT, *[t for t in terms if t != INTERCEPT])
-    packed = packed_gram(design(df, terms), by, terms, terms[0])
-    return packed.select(*by, nx.solver(0)("packed")["condition"].alias("condition"))
+    return solved(design(df, terms), by, terms, terms[0]).select(*by, F.col("s.condition").alias("condition"))
 
 
 def breusch_godfrey(fit: Fit, lags: int) -> DataFrame:
