@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from tidemark.functions import numerics as nx
 from tidemark.functions.numerics import gram_rank, solve_scaled, unpack
 from tidemark.functions.scalars import col, ratio
+from tidemark.operators.blocks import PLACE, placed, with_lags
 from tidemark.session import settle
 
 INTERCEPT = "intercept"
@@ -36,21 +37,36 @@ class Fit:
     terms: tuple[str, ...]
     by: tuple[str, ...]
     order: str
+    blocked: bool
 
-    def window(self):
-        return W.partitionBy(*self.by).orderBy(self.order)
+    def lagged(self, rows: DataFrame, lags) -> DataFrame:
+        """Lags of ``out: (column, lag)`` along each series: see ``lag_columns``."""
+        return lag_columns(rows, self.by, self.order, lags, self.blocked)
 
     def settle(self) -> Fit:
         """Groups and rows as written tables, for a fit that many tests read."""
+        rows = placed(self.rows, self.by, self.order) if self.blocked else self.rows
         kept = (*self.by, self.order, *self.terms, self.y, *BOOKKEEPING)
-        kept += tuple(c for c in self.rows.columns if c not in kept)
-        return replace(self, groups=settle(self.groups), rows=settle(self.rows.select(*kept)))
+        kept += tuple(c for c in rows.columns if c not in kept)
+        return replace(self, groups=settle(self.groups), rows=settle(rows.select(*kept)))
 
 
 # Columns that a fit adds to its rows.
 BOOKKEEPING = ("beta", "means", "gamma", "core", "df", "fitted", "resid")
 
 
+def lag_columns(rows: DataFrame, by, order: str, lags, blocked: bool) -> DataFrame:
+    """Lags per series: in blocks with a halo, or in one window per group.
+
+    Each way gives the same values.  A series without keys has no other split,
+    so callers take blocks for it unless told otherwise.
+    """
+    if blocked:
+        return with_lags(rows, by, order, lags)
+    w = W.partitionBy(*by).orderBy(order)
+    return rows.withColumns({out: F.lag(c, lag).over(w) for out, (c, lag) in lags.items()}) if lags else rows
+
+
 def grouped(df: DataFrame, by, *aggregates: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
 
@@ -129,9 +145,12 @@ def design(df: DataFrame, terms) -> DataFrame:
     return df.withColumn(INTERCEPT, F.lit(1.0)) if INTERCEPT in terms and INTERCEPT not in df.columns else df
 
 
-def ols(df: DataFrame, y: str, terms, by=(), order: str = "date") -> Fit:
+def ols(df: DataFrame, y: str, terms, by=(), order: str = "date", blocked: bool | None = None) -> Fit:
     """OLS per group.
 
+    ``blocked`` says whether tests of the fit take lags in blocks of a series
+    or in one window per group; by default a fit without groups takes blocks.
+
     A group that is rank-deficient or saturated, or holds a null or non-finite
     value, has null ``beta`` and no rows.
     """
@@ -139,7 +158,8 @@ def ols(df: DataFrame, y: str, terms, by=(), order: str = "date") -> Fit:
     if len(set(terms)) != len(terms):
         raise ValueError("Regression term names must be unique")
     k = len(terms)
-    base = design(df, terms)
+    # Places of another fit's rows may have gaps here.
+    base = design(df, terms).drop(PLACE)
     solution = solved(base, by, terms, y)
     enough = F.col("s.n") > k
     groups = solution.select(
@@ -151,7 +171,7 @@ def ols(df: DataFrame, y: str, terms, by=(), order: str = "date") -> Fit:
     rows = join_groups(base, slim, by)
     fitted = sum((z * F.element_at("gamma", i + 1) for i, z in enumerate(centred(terms))), F.lit(0.0))
     rows = rows.withColumn("fitted", fitted).withColumn("resid", F.col(y) - F.col("fitted"))
-    return Fit(groups, rows, y, terms, by, order)
+    return Fit(groups, rows, y, terms, by, order, not by if blocked is None else blocked)
 
 
 def hac(fit: Fit, max_lag: int) -> DataFrame:
@@ -161,10 +181,11 @@ def hac(fit: Fit, max_lag: int) -> DataFrame:
     are summed per row first, so the aggregation holds k*k sums whatever the
     number of lags.
     """
-    w = fit.window()
     scores = F.array(*[z * F.col("resid") for z in centred(fit.terms)])
-    rows = fit.rows.select(*fit.by, fit.order, scores.alias("_g"))
-    rows = rows.withColumns({f"_l{i}": F.lag("_g", i).over(w) for i in range(1, max_lag + 1)})
+    place = [PLACE] if PLACE in fit.rows.columns else []
+    rows = fit.rows.select(*fit.by, fit.order, *place, scores.alias("_g"))
+    if max_lag:
+        rows = fit.lagged(rows, {f"_l{i}": ("_g", i) for i in range(1, max_lag + 1)})
 
     def weighted(v: Column, i: Column) -> Column:
         total = v * 0.5
@@ -242,12 +263,9 @@ def breusch_godfrey(fit: Fit, lags: int) -> DataFrame:
     Lags reaching before the sample count as zero; LM = n * R-squared of the
     residual on the design and its lags.
     """
-    w = fit.window()
     names = [f"_lag{i}" for i in range(1, lags + 1)]
-    base = fit.rows.withColumns({
-        name: F.coalesce(F.lag("resid", i).over(w), F.lit(0.0))
-        for i, name in enumerate(names, 1)
-    }).select(*fit.by, fit.order, *fit.terms, "resid", *names)
+    lagged = fit.lagged(fit.rows, {name: ("resid", i) for i, name in enumerate(names, 1)})
+    base = lagged.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in names}).select(*fit.by, fit.order, *fit.terms, "resid", *names)
     aux = ols(base.withColumnRenamed("resid", "_u"), "_u", (*fit.terms, *names), fit.by, fit.order)
     stats = grouped(
         aux.rows, fit.by, F.count(F.lit(1)).alias("n"),
@@ -266,27 +284,30 @@ def default_adf_lag(n: Column) -> Column:
 
 
 def adf(rows: DataFrame, value: str = "resid", by=(), order: str = "date",
-        max_lag: int | None = None) -> DataFrame:
+        max_lag: int | None = None, blocked: bool | None = None) -> DataFrame:
     """Augmented Dickey-Fuller without a deterministic term, lag by AIC.
 
     One Gram matrix over the common sample holds every candidate regression as
     a leading block; the chosen lag is then refitted on its own longer sample.
     ``max_lag`` defaults to Schwert's rule on each group's own size; the one
     action asks for the widest, which sets the number of columns.  Every group
-    has a row; one too short for the test has nulls.
+    has a row; one too short for the test has nulls.  ``blocked``: see ``ols``.
     """
     by = tuple(by)
+    blocked = not by if blocked is None else blocked
     cap = default_adf_lag(F.col("_n")) if max_lag is None else F.lit(max_lag)
     groups = grouped(rows, by, F.count(F.lit(1)).alias("_n")).select(*by, cap.alias("_cap"))
     widest = max_lag if max_lag is not None else groups.agg(F.max("_cap")).first()[0] or 0
-    w = W.partitionBy(*by).orderBy(order)
-    staged = join_groups(rows.select(*by, order, col(value).alias("_u")), groups, by).withColumns({
-        "_lvl": F.lag("_u").over(w), "_pos": F.row_number().over(w),
-    }).withColumn("_d", F.col("_u") - F.col("_lvl"))
+    lags = {f"_u{i}": ("_u", i) for i in range(1, widest + 2)}
+    staged = lag_columns(rows.select(*by, order, col(value).alias("_u")), by, order, lags, blocked)
+    if PLACE not in staged.columns:
+        staged = staged.withColumn(PLACE, F.row_number().over(W.partitionBy(*by).orderBy(order)))
     lag_names = [f"_d{i}" for i in range(1, widest + 1)]
-    staged = staged.withColumns({
-        name: F.when(F.col("_cap") >= i, F.lag("_d", i).over(w)).otherwise(0.0) for i, name in enumerate(lag_names, 1)
-    }) if lag_names else staged
+    staged = join_groups(staged, groups, by).select(
+        *by, order, "_cap", F.col(PLACE).alias("_pos"), F.col("_u1").alias("_lvl"), (F.col("_u") - F.col("_u1")).alias("_d"),
+        *[F.when(F.col("_cap") >= i, F.col(f"_u{i}") - F.col(f"_u{i + 1}")).otherwise(0.0).alias(name)
+          for i, name in enumerate(lag_names, 1)],
+    )
     terms = ("_lvl", *lag_names)
     common = staged.where(F.col("_pos") > F.col("_cap") + 1)
     chosen = join_groups(packed_gram(common, by, terms, "_d"), groups, by).select(
@@ -351,9 +372,12 @@ def month_index(date) -> Column:
     return (F.year(col(date)) * 12 + F.month(col(date))).cast("int")
 
 
-def trend(unit: Column, by=()) -> Column:
-    """Zero-based trend from the first row of the group."""
-    return (unit - F.min(unit).over(W.partitionBy(*by))).cast("double")
+def with_trend(df: DataFrame, unit: Column, out: str, by=()) -> DataFrame:
+    """Adds the zero-based trend from the first row of the group."""
+    by = tuple(by)
+    staged = df.withColumn("_unit", unit)
+    first = grouped(staged, by, F.min("_unit").alias("_first"))
+    return join_groups(staged, first, by).withColumn(out, (F.col("_unit") - F.col("_first")).cast("double")).drop("_unit", "_first")
 
 
 MONTH_TERMS = tuple(f"month_{m:02d}" for m in range(2, 13))
@@ -363,8 +387,7 @@ def segmented_design(df: DataFrame, break_date, by=(), date: str = "date") -> Da
     """Monthly trend, month dummies, level shift and slope after a break."""
     idx = month_index(date)
     cut = month_index(F.lit(break_date).cast("date"))
-    return df.withColumns({
-        "monthly_trend": trend(idx, by),
+    return with_trend(df, idx, "monthly_trend", by).withColumns({
         **{name: F.when(F.month(col(date)) == m, 1.0).otherwise(0.0)
            for m, name in zip(range(2, 13), MONTH_TERMS)},
         "level_shift": F.when(idx >= cut, 1.0).otherwise(0.0),
@@ -381,13 +404,17 @@ def exceptional_dates(df: DataFrame, dates, out: str = "exceptional", date: str
     return df.withColumn(out, F.when(hit, 1.0).otherwise(0.0))
 
 
-def drop_ends(df: DataFrame, n: int = 12, by=(), order: str = "date") -> DataFrame:
-    """Two variants of a sample: without its first n and without its last n rows."""
-    part = W.partitionBy(*by)
-    w = part.orderBy(order)
-    staged = df.withColumn("_pos", F.row_number().over(w)).withColumn(
-        "_size", F.count(F.lit(1)).over(part)
-    )
+def drop_ends(df: DataFrame, n: int = 12, by=(), order: str = "date", blocked: bool | None = None) -> DataFrame:
+    """Two variants of a sample: without its first n and without its last n rows.
+
+    ``blocked``: see ``ols``.
+    """
+    by = tuple(by)
+    blocked = not by if blocked is None else blocked
+    df = df.drop(PLACE)
+    numbered = placed(df, by, order) if blocked else df.withColumn(PLACE, F.row_number().over(W.partitionBy(*by).orderBy(order)))
+    sizes = grouped(df, by, F.count(F.lit(1)).alias("_size"))
+    staged = join_groups(numbered.withColumnRenamed(PLACE, "_pos"), sizes, by)
     kinds = F.array(
         F.when(F.col("_pos") > n, F.lit("without_first")),
         F.when(F.col("_pos") <= F.col("_size") - n, F.lit("without_last")),

@@ -121,7 +121,7 @@ class Report:
 
 def fiscal_columns(sample: DataFrame, spec: EvidenceSpec, by=()) -> DataFrame:
     """Design columns that depend on the rows of a variant."""
-    out = sample.withColumn("trend", rg.trend(F.year("date"), by))
+    out = rg.with_trend(sample, F.year("date"), "trend", by)
     return rg.exceptional_dates(out, spec.covid_dates or COVID_YEARS, "covid_fy2020_22")
 
 
