@@ -322,3 +322,13 @@ def _(spark, d):
     table = scratch_path(spark, "monthly")
     st.stream_monthly_flows(st.read_stream(spark, path, files_per_trigger=2), table, f"{table}-state").awaitTermination()
     return st.monthly_flows(spark, table).select("month", "category", r("net", 3), "date")
+
+
+@query("x3_compacted_flows", "flows", f"select CAST(date_trunc('month', date) AS DATE) as month, category, {rd('sum(net)', 3)} as net, max(date) as date from flows group by 1,2")
+def _(spark, d):
+    path, table = scratch_path(spark, "flows"), scratch_path(spark, "monthly")
+    fx.flows(spark, d).withColumn("retrieved_at", F.lit("2024-01-01").cast("timestamp")).repartition(6, F.xxhash64("date")).write.json(path)
+    st.stream_monthly_flows(st.read_stream(spark, path, files_per_trigger=2), table, f"{table}-state").awaitTermination()
+    st.compact_monthly_flows(spark, table)
+    st.vacuum_monthly_flows(spark, table)
+    return st.monthly_flows(spark, table).select("month", "category", r("net", 3), "date")

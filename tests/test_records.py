@@ -273,3 +273,41 @@ def test_latest_landing_keeps_all_part_files(spark):
             ("k", "2024-01-02", 4, "/x" + job.format(0, 2), 3), ("k", "2024-01-01", 9, "/y.json", 4)]
     df = spark.createDataFrame(rows, "key string, date_dir string, file_time int, file_path string, value int")
     assert sorted(r.value for r in latest_landing(df, ["key"]).collect()) == [1, 2]
+
+
+def test_compacted_monthly_flows_agree_and_replay_safely(spark, tmp_path):
+    import os
+
+    from tidemark.streaming import flows as st
+
+    table = str(tmp_path / "monthly")
+
+    def put(source, batch, *rows):
+        st.monthly_batch(flow_rows(spark, [(day, net, "2024-10-01") for day, net in rows]), batch, source, table)
+
+    def live():
+        return {str(r.month): (r.net, str(r.date)) for r in st.monthly_flows(spark, table).collect()}
+
+    def folders():
+        return sorted(f"{s}/{b}" for s in os.listdir(table) if s.startswith("source") for b in os.listdir(f"{table}/{s}"))
+
+    assert st.compact_monthly_flows(spark, table) is None and live() == {}
+    for n, day in enumerate(("2024-09-01", "2024-02-01", "2024-09-03")):
+        put("a", n, (day, 7.0))
+    put("b", 0, ("2024-09-02", 1.0))
+    want = {"2024-09-01": (15.0, "2024-09-03"), "2024-02-01": (7.0, "2024-02-01")}
+    assert live() == want
+    assert st.compact_monthly_flows(spark, table) == 0 and live() == want
+    assert st.compact_monthly_flows(spark, table) == 0  # nothing new to merge
+    assert st.vacuum_monthly_flows(spark, table) == 2 and live() == want
+    assert folders() == ["source=a/batch=2", "source=b/batch=0"]
+    put("a", 0, ("2024-09-01", 7.0))  # held by the base
+    put("a", 2, ("2024-09-03", 7.0))  # the newest batch, not held
+    assert live() == want and folders() == ["source=a/batch=2", "source=b/batch=0"]
+    # An interrupted run has written a base without publishing it.
+    flow_rows(spark, [("2024-09-01", 99.0, "2024-10-01")]).selectExpr("date as month", "category", "net", "date").write.parquet(f"{table}/_base/version=1")
+    assert live() == want
+    put("a", 3, ("2024-02-09", 2.0))
+    want["2024-02-01"] = (9.0, "2024-02-09")
+    assert live() == want and st.compact_monthly_flows(spark, table) == 1 and live() == want
+    assert st.vacuum_monthly_flows(spark, table) == 2 and live() == want  # a batch and the older base

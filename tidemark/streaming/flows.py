@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.vintages import upsert_latest
+from tidemark.session import settle
 from tidemark.sources import manifest
 
 ROWS_PER_FILE = 2_000_000
@@ -169,21 +170,95 @@ MONTHLY_PARTS = T.StructType([
 ])
 
 
+_PART_ROWS = T.StructType([*MONTHLY_PARTS.fields, T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())])
+_BASES = T.StructType([T.StructField("version", T.LongType()), T.StructField("source", T.StringType()), T.StructField("through", T.LongType())])
+
+
+def _newest_base(spark: SparkSession, table: str) -> tuple[int | None, DataFrame]:
+    """Version of the newest base, and the last batch of each source that it holds."""
+    bases = _read(spark, f"{table}/_bases", _BASES)
+    newest = bases.agg(F.max("version")).first()[0]
+    return newest, bases.where(F.col("version") == newest).select("source", "through")
+
+
+def _base_rows(spark: SparkSession, table: str, version: int | None) -> DataFrame:
+    if version is None:
+        return spark.createDataFrame([], MONTHLY_PARTS)
+    return spark.read.schema(MONTHLY_PARTS).parquet(f"{table}/_base/version={version}")
+
+
+def _live_parts(spark: SparkSession, table: str, through: DataFrame) -> DataFrame:
+    """Partial sums of the batches that no base holds."""
+    parts = _read(spark, table, _PART_ROWS).join(through, "source", "left")
+    return parts.where("through is null or batch > through").drop("through")
+
+
+def _monthly_sums(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("month", "category").agg(F.sum("net").alias("net"), F.max("date").alias("date"))
+
+
+def monthly_batch(batch: DataFrame, batch_id: int, source: str, table: str) -> None:
+    """Write the partial sums of a batch into its own folder; one that a base holds is left alone."""
+    _, through = _newest_base(batch.sparkSession, table)
+    if through.where((F.col("source") == source) & (F.col("through") >= batch_id)).isEmpty():
+        parts = _monthly_sums(batch.withColumn("month", F.trunc("date", "month")))
+        parts.write.mode("overwrite").parquet(f"{table}/source={source}/batch={batch_id}")
+
+
 def stream_monthly_flows(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Net flow per month and category, kept as one partial sum per batch.
 
     A batch owns one folder, which a replay writes anew.  No state waits for a
     watermark, so a month may receive rows at any time.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        parts = batch.groupBy(F.trunc("date", "month").alias("month"), "category").agg(
-            F.sum("net").alias("net"), F.max("date").alias("date"))
-        parts.write.mode("overwrite").parquet(f"{table}/source={_source(batch)}/batch={batch_id}")
-
-    return _foreach(df, write, checkpoint)
+    return _foreach(df, lambda batch, n: monthly_batch(batch, n, _source(batch), table), checkpoint)
 
 
 def monthly_flows(spark: SparkSession, table: str) -> DataFrame:
-    """Sums over all batches that ``stream_monthly_flows`` has written."""
-    return _read(spark, table, MONTHLY_PARTS).groupBy("month", "category").agg(
-        F.sum("net").alias("net"), F.max("date").alias("date"))
+    """Sums over all batches that ``stream_monthly_flows`` has written: the newest base and what came after it."""
+    version, through = _newest_base(spark, table)
+    live = _live_parts(spark, table, through).select(*MONTHLY_PARTS.names)
+    return _monthly_sums(_base_rows(spark, table, version).unionByName(live))
+
+
+def compact_monthly_flows(spark: SparkSession, table: str) -> int | None:
+    """Merge the partial sums of finished batches into a new base; returns the newest version.
+
+    The newest batch of each source stays out, as it may still be replayed.
+    Batches of a source come in order, so one number per source says which are
+    held.  The base is written before the row that publishes it: an interrupted
+    run changes nothing that readers see, and the next one writes it again.
+    One compaction at a time; streams may go on.
+    """
+    newest, through = _newest_base(spark, table)
+    parts = _live_parts(spark, table, through)
+    finished = parts.groupBy("source").agg((F.max("batch") - 1).alias("through"))
+    held = settle(through.unionByName(finished).groupBy("source").agg(F.max("through").alias("through")))
+    merged = parts.join(held, "source").where("batch <= through").select(*MONTHLY_PARTS.names)
+    if merged.isEmpty():
+        return newest
+    version = 0 if newest is None else newest + 1
+    sums = _monthly_sums(_base_rows(spark, table, newest).unionByName(merged))
+    sums.write.mode("overwrite").parquet(f"{table}/_base/version={version}")
+    held.select(F.lit(version).cast("long").alias("version"), "source", "through").coalesce(1).write.mode("append").parquet(f"{table}/_bases")
+    return version
+
+
+def vacuum_monthly_flows(spark: SparkSession, table: str) -> int:
+    """Delete batch folders that the newest base holds and older bases; returns how many.
+
+    Run it when no reader of an older base is left.
+    """
+    newest, through = _newest_base(spark, table)
+    held = {r.source: r.through for r in through.collect()}
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    deleted = 0
+    for status in files.globStatus(hadoop(f"{table}/source=*/batch=*")) or ():
+        path = status.getPath()
+        source, batch = path.getParent().getName().split("=", 1)[1], int(path.getName().split("=", 1)[1])
+        if batch <= held.get(source, -1):
+            deleted += files.delete(path, True)
+    for version in range(newest or 0):
+        deleted += files.delete(hadoop(f"{table}/_base/version={version}"), True)
+    return deleted
