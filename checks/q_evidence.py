@@ -288,15 +288,21 @@ GR = ("fo as (select *, CASE WHEN analysis_key % 3 = 0 THEN 'positive' WHEN anal
       " gs as (select *, CASE WHEN failed THEN 'failed_diagnostics' WHEN main_support THEN CASE WHEN consistent and supported_checks >= ceil(checks / 2.0) THEN 'supported' ELSE 'mixed' END WHEN supported_checks > 0 THEN 'mixed' ELSE 'not_supported' END as status from gj)")
 
 
-def graded(spark, d):
+def grade_tables(spark, d):
     k = F.col("analysis_key") % 3
     focal = settle(ev.bh_adjust(tests(spark, d))).withColumn("expected", F.when(k == 0, "positive").when(k == 1, "negative").otherwise("two_sided"))
     o = fx.table(spark, d, "orders").withColumnRenamed("o_custkey", "analysis_key")
-    diagnostics = o.select("analysis_key", (F.col("o_totalprice") <= 490000).alias("passed"))
-    robust = o.select("analysis_key", ((F.col("o_totalprice") - 150000) / 1000).alias("value"), F.when(F.col("o_orderstatus") == "F", 0.01).otherwise(0.2).alias("p"))
+    diagnostics = o.select("analysis_key", F.lit("influential_observation").alias("key"), F.col("o_totalprice").cast("double").alias("value"),
+                           F.lit(490000.0).alias("threshold"), (F.col("o_totalprice") <= 490000).alias("passed"))
+    robust = o.select("analysis_key", F.col("o_orderkey").alias("specification"), ((F.col("o_totalprice") - 150000) / 1000).alias("value"),
+                      F.when(F.col("o_orderstatus") == "F", 0.01).otherwise(0.2).alias("p_value"))
     robust = robust.join(focal.select("analysis_key", "expected"), "analysis_key")
-    robust = robust.withColumn("status", ev.robustness_status("p", "value", F.col("expected")))
-    return ev.grade(focal, diagnostics, robust.select("analysis_key", "value", "status"), 0.1)
+    robust = robust.withColumn("status", ev.robustness_status("p_value", "value", F.col("expected"))).drop("expected")
+    return focal, diagnostics, robust
+
+
+def graded(spark, d):
+    return ev.grade(*grade_tables(spark, d), 0.1)
 
 
 @query("r5_grade", sql=f"with {PV}, {BH}, {GR} select analysis_key, main_support, failed, checks, supported_checks, status, CASE WHEN status='supported' and supported_checks = checks THEN 'strong' WHEN status='supported' THEN 'moderate' ELSE 'limited' END as grade from gs")
@@ -309,3 +315,14 @@ def _(spark, d):
     g = fit(spark, d).groups.select("grp", F.col("beta")[1].alias("value"))
     off = g.withColumn("value", F.when(F.col("grp") == "EUROPE", F.col("value")).otherwise(F.col("value") + 0.001))
     return ev.review(g, off, ["grp"]).select("grp", r("published", 5), r("recomputed", 5))
+
+
+@query("r8_rederived_decisions", sql=f"with {PV}, {BH}, {GR}, gd as (select analysis_key, CASE WHEN status='supported' and supported_checks = checks THEN 'strong' WHEN status='supported' THEN 'moderate' ELSE 'limited' END as grade from gs)"
+       " select analysis_key, 'grade' as item, CASE WHEN grade='limited' THEN 'strong' ELSE 'limited' END as published, grade as derived from gd where analysis_key % 10 = 0")
+def _(spark, d):
+    # Every tenth customer's published grade is flipped.
+    focal, diagnostics, robust = grade_tables(spark, d)
+    flipped = F.when(F.col("analysis_key") % 10 != 0, F.col("grade")).when(F.col("grade") == "limited", "strong").otherwise("limited")
+    published = ev.grade(focal, diagnostics, robust, 0.1).withColumn("grade", flipped).join(focal.select("analysis_key", "family", "expected"), "analysis_key")
+    estimates = focal.withColumns({"term": F.lit("x"), "is_focal": F.lit(True)})
+    return ev.review_decisions(published, estimates, diagnostics, robust, 0.1).select("analysis_key", "item", "published", "derived")

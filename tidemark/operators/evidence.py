@@ -246,3 +246,90 @@ def review(published: DataFrame, recomputed: DataFrame, keys, tolerance: float =
     scale = F.greatest(F.lit(1.0), F.abs("published"), F.abs("recomputed"))
     drift = F.abs(F.col("published") - F.col("recomputed")) > F.lit(tolerance) * scale
     return joined.where(one_missing | F.coalesce(drift, F.lit(False)))
+
+
+# What a published diagnostic has to meet, by its own value and threshold.
+FLAG_RULES = {
+    "residual_degrees_of_freedom": "value >= threshold", "condition_number": "value <= threshold",
+    "residual_autocorrelation": "value >= threshold", "stationarity": "value < threshold",
+    "influential_observation": "value <= threshold", "stability": "value = 1",
+}
+
+
+def _points(expected: str = "expected", value: str = "value") -> Column:
+    """Does a value point the expected way?  A null does not."""
+    signs = F.when(F.col(expected) == "positive", F.lit(1)).when(F.col(expected) == "negative", F.lit(-1))
+    way = F.signum(value)
+    return F.coalesce(F.when(signs.isNull(), way != 0).otherwise(way == signs), F.lit(False))
+
+
+def review_decisions(analyses: DataFrame, estimates: DataFrame, diagnostics: DataFrame, robustness: DataFrame,
+                     alpha: float = ALPHA, robust_alpha: float = ALPHA, tolerance: float = 1e-9) -> DataFrame:
+    """Published decisions that the published rows do not give: ``analysis_key, item, subject, published, derived``.
+
+    ``analyses(analysis_key, family, expected, status, grade)``,
+    ``estimates(analysis_key, term, value, p_value, adjusted_p_value, is_focal)``,
+    ``diagnostics(analysis_key, key, value, threshold, passed)`` and
+    ``robustness(analysis_key, specification, value, p_value, status)``.
+
+    A second way beside ``grade``: every flag, robustness status and adjusted
+    p-value is derived again from its own numbers, evidence becomes points per
+    analysis in one aggregate, and status and grade follow from the counts.  An
+    analysis without focal estimates has insufficient data; a descriptive one
+    is not reviewed.  Diagnostics without a known rule keep their flag.
+    """
+    names = ("analysis_key", "item", "subject", "published", "derived")
+    reviewed = analyses.where("status is null or status <> 'descriptive_only'")
+    expected = reviewed.select("analysis_key", "expected")
+
+    # Other columns of the tables may share names.
+    estimates = estimates.where("is_focal").select("analysis_key", "term", "value", "p_value", "adjusted_p_value")
+    diagnostics = diagnostics.select("analysis_key", "key", "value", "threshold", "passed")
+    robustness = robustness.select("analysis_key", "specification", "value", "p_value", "status")
+    focal = estimates.join(expected, "analysis_key")
+    entered = reviewed.select("analysis_key", "family").join(
+        focal.select("analysis_key", "term", "p_value", F.col("adjusted_p_value").alias("_published")), "analysis_key", "left")
+    adjusted = bh_adjust(entered, out="_derived").where("term is not null")
+    off = ~F.coalesce(F.abs(F.col("_published") - F.col("_derived")) <= tolerance, F.lit(False))
+    drifts = [adjusted.where(off).select(
+        "analysis_key", F.lit("adjusted_p_value").alias("item"), F.col("term").alias("subject"),
+        F.col("_published").cast("string").alias("published"), F.col("_derived").cast("string").alias("derived"))]
+
+    rule = F.col("passed")
+    for key, condition in FLAG_RULES.items():
+        rule = F.when(F.col("key") == key, F.coalesce(F.expr(condition), F.lit(False))).otherwise(rule)
+    flags = diagnostics.join(expected, "analysis_key").withColumn("_passed", rule)
+    drifts.append(flags.where("not (passed <=> _passed)").select(
+        "analysis_key", F.lit("diagnostic").alias("item"), F.col("key").alias("subject"),
+        F.col("passed").cast("string").alias("published"), F.col("_passed").cast("string").alias("derived")))
+
+    significant = F.coalesce(F.col("p_value") < robust_alpha, F.lit(False))
+    refits = robustness.join(expected, "analysis_key").withColumn("_points", _points()).withColumn(
+        "_status", F.when(F.col("value").isNull(), "insufficient_data").when(significant & F.col("_points"), "supported")
+        .otherwise("not_supported"))
+    drifts.append(refits.where("not (status <=> _status)").select(
+        "analysis_key", F.lit("robustness").alias("item"), F.col("specification").cast("string").alias("subject"),
+        F.col("status").alias("published"), F.col("_status").alias("derived")))
+
+    # Evidence as points: focal estimates and those that hold, failures, refits, those that point and support.
+    derived_p = adjusted.select("analysis_key", "term", "_derived")
+    held = focal.join(derived_p, ["analysis_key", "term"]).select(
+        "analysis_key", F.lit(1).alias("main"), ((F.col("_derived") < alpha) & _points()).cast("int").alias("holds"))
+    failed = flags.select("analysis_key", (~F.coalesce("_passed", F.lit(True))).cast("int").alias("failed"))
+    tried = refits.select("analysis_key", F.lit(1).alias("refits"), F.col("_points").cast("int").alias("points"),
+                          (F.col("_status") == "supported").cast("int").alias("supports"))
+    evidence = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [reviewed.select("analysis_key"), held, failed, tried])
+    tally = evidence.groupBy("analysis_key").agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("main", "holds", "failed", "refits", "points", "supports")])
+    whole = F.expr("points = refits and 2 * supports >= refits")
+    status = F.expr("case when main = 0 then 'insufficient_data' when failed > 0 then 'failed_diagnostics' end")
+    status = F.coalesce(status, F.when(F.expr("holds = main") & whole, "supported").when(
+        F.expr("holds = main or supports > 0"), "mixed").otherwise("not_supported"))
+    grades = F.expr("case when _status = 'insufficient_data' then 'not_assessed' when _status <> 'supported' then 'limited'"
+                    " when supports = refits then 'strong' else 'moderate' end")
+    decided = reviewed.join(tally.withColumn("_status", status).withColumn("_grade", grades), "analysis_key")
+    for item in ("status", "grade"):
+        drifts.append(decided.where(f"not ({item} <=> _{item})").select(
+            "analysis_key", F.lit(item).alias("item"), F.lit(None).cast("string").alias("subject"),
+            F.col(item).alias("published"), F.col(f"_{item}").alias("derived")))
+    return reduce(lambda a, b: a.unionByName(b), drifts).select(*names)

@@ -428,13 +428,15 @@ def direction_matches(value, expected: str) -> Column:
 
 
 def stability_gate(df: DataFrame, y: str, terms, focal: str, expected: str, n: int = 12,
-                   min_rows: int = 36, by=(), order: str = "date", rebuild=None) -> DataFrame:
+                   min_rows: int = 36, by=(), order: str = "date", rebuild=None,
+                   blocked: bool | None = None) -> DataFrame:
     """Does the focal sign persist without the first and the last rows?
 
     ``rebuild`` recomputes design columns that depend on the sample start.
+    ``blocked``: see ``ols``.
     """
     by = tuple(by)
-    parts = drop_ends(df, n, by, order)
+    parts = drop_ends(df, n, by, order, blocked)
     keys = (*by, "variant")
     if rebuild is not None:
         parts = rebuild(parts, keys)

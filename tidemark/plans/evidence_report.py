@@ -2,7 +2,8 @@
 
 One analysis is a small dated sample, so its fits run as grouped Spark
 aggregations over all robustness variants at once: a variant is a tag, and the
-tagged copies of the sample are fitted together.
+tagged copies of the sample are fitted together.  A sample has one row per
+fiscal year or month, so its lags take a window, not blocks.
 """
 
 from __future__ import annotations
@@ -196,10 +197,10 @@ def robustness_fits(spec: EvidenceSpec, sample: DataFrame, fit: rg.Fit) -> DataF
         if k.startswith("hac_max_lags_"):
             tables.append(focal(fit, k, int(k.rsplit("_", 1)[1])))
         elif k == "parsimonious_bivariate":
-            tables.append(focal(rg.ols(designed(spec, sample), y, ("intercept", spec.focal)), k))
+            tables.append(focal(rg.ols(designed(spec, sample), y, ("intercept", spec.focal), blocked=False), k))
         elif k == "linear_level_trend":
             level = designed(spec, sample).withColumn("_level", F.exp(y))
-            tables.append(focal(rg.ols(level, "_level", spec.terms), k))
+            tables.append(focal(rg.ols(level, "_level", spec.terms, blocked=False), k))
     fields = ("specification", "coef", "se", "t", "p_value", "ci_low", "ci_high", "n")
     fitted = union_records(*[t.select(*fields) for t in tables])
     names = sample.sparkSession.createDataFrame([(k,) for k in spec.robustness], "specification string")
@@ -227,11 +228,11 @@ def diagnostic_values(spec: EvidenceSpec, sample: DataFrame, fit: rg.Fit) -> Dat
     """One wide row of the registered diagnostic values."""
     parts = [rg.breusch_godfrey(fit, max(1, spec.max_lag)).select("bg_p_value"), rg.max_cooks(fit)]
     if "stationarity" in spec.diagnostics:
-        parts.append(rg.adf(fit.rows).select("adf_p_value"))
+        parts.append(rg.adf(fit.rows, blocked=False).select("adf_p_value"))
     if "stability" in spec.diagnostics:
         parts.append(rg.stability_gate(
             sample, spec.dependent, spec.terms, spec.focal, spec.expected, 12, 36,
-            rebuild=lambda df, keys: designed(spec, df, keys),
+            rebuild=lambda df, keys: designed(spec, df, keys), blocked=False,
         ).select("stable"))
     row = fit.groups.select("df", "condition", F.lit(spec.key).alias("analysis_key"))
     for part in parts:
@@ -250,7 +251,7 @@ def run(spec: EvidenceSpec, inputs: dict[str, DataFrame]) -> Report:
     gate = settle(gates(spec, sample))
     passed = gate.where("eligible").select("analysis_key")
     key = F.lit(spec.key).alias("analysis_key")
-    fit = rg.ols(designed(spec, sample), spec.dependent, spec.terms).settle()
+    fit = rg.ols(designed(spec, sample), spec.dependent, spec.terms, blocked=False).settle()
     reported = rg.hac(fit, spec.max_lag).where(F.col("term").isin(spec.focal, *dict(spec.secondary)))
     scaled = on_scale(reported, spec.scale, {("term", t): own for t, own in spec.secondary})
     estimates = scaled.select(
