@@ -121,9 +121,9 @@ def brute_leaks(rows, items, window=10):
     for item, text in items:
         w = spell(text)
         size = min(window, len(w))
-        if item is not None and w:
+        if w:
             for k in range(len(w) - size + 1):
-                index[tuple(w[k:k + size])].add(str(item))
+                index[tuple(w[k:k + size])] |= set() if item is None else {str(item)}
     out = []
     for i, text in rows:
         w, hit, found = spell(text), set(), set()
@@ -144,6 +144,22 @@ def test_decontaminate(docs, messy, benchmark, scan_terms):
     assert sum(r.contaminated for r in got) > 3
 
 
+def test_phrases_without_id_and_phrases_that_repeat(spark):
+    """An item without id hits words; a document may hold one phrase at very many places."""
+    rows = [(1, "a nameless phrase of some words"), (2, "spam eggs " * 20_000), (3, "spam eggs"), (None, "spam eggs spam"), (4, "clean")]
+    items = [(None, "nameless phrase of"), (None, "eggs spam"), (7, "eggs spam"), (8, "spam eggs " * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = leaks.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).drop("text_hash").collect()
+    assert multiset(got) == multiset(brute_leaks(rows, items))
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in got} >= {(1, 3, 0), (2, 40_000, 2)}
+
+
+def test_proximity_passes_over_terms_that_no_document_has(spark):
+    docs = spark.createDataFrame([(1, "red b c d fox"), (2, "red b"), (3, "fox c"), (4, "b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "red unseen fox"), (8, "unseen c"), (7, "never heard"), (None, "b c")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.proximity_matches(docs, items, slop=2).collect()} == {(1, "9"), (1, "8"), (3, "8"), (4, "8")}
+
+
 def test_decontaminate_against_nothing(docs, messy, benchmark):
     got = leaks.decontaminate(docs, benchmark.filter("1 = 0")).collect()
     assert len(got) == len(messy) and not any(r.contaminated for r in got)

@@ -91,20 +91,23 @@ def postings(docs: DataFrame, terms: DataFrame, scan_terms: int = SCAN_TERMS) ->
     return out
 
 
-def rarest_terms(items: DataFrame, counts: DataFrame, window: int, anchors: int) -> DataFrame:
+def rarest_terms(items: DataFrame, counts: DataFrame, window: int, anchors: int, whole_phrase: bool = True) -> DataFrame:
     """The rarest terms of each phrase window: ``item, pair, slot, need, term, offset``.
 
     ``items`` has ``item, words``.  Windows in which a term never occurs in the
-    corpus have no match and are left out; windows of the same item with the
-    same rarest terms share a ``pair``.
+    corpus have no match as a ``whole_phrase`` and are left out; else the
+    rarest of the terms that do occur are taken.  Windows of the same item with
+    the same rarest terms share a ``pair``.
     """
     word = items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
     frame = Window.partitionBy("item").orderBy("offset").rowsBetween(0, window - 1)
     ranked = word.join(counts.withColumnRenamed("n", "times"), "term", "left").select(
         "item", "n", "offset", F.array_sort(F.collect_list(F.struct(
             F.coalesce("times", F.lit(0)).alias("times"), "term", "offset")).over(frame)).alias("best"))
-    whole = ranked.filter(f"offset <= n - {window} or (n < {window} and offset = 0)").filter("best[0].times > 0")
-    chosen = whole.select("item", F.slice("best", 1, anchors).alias("best")).distinct()
+    whole = ranked.filter(f"offset <= n - {window} or (n < {window} and offset = 0)")
+    if not whole_phrase:
+        whole = whole.withColumn("best", F.filter("best", lambda t: t["times"] > 0))
+    chosen = whole.filter("get(best, 0).times > 0").select("item", F.slice("best", 1, anchors).alias("best")).distinct()
     return chosen.select("item", F.xxhash64("best").alias("pair"), F.size("best").alias("need"),
                          F.posexplode("best").alias("slot", "a")).select(
         "item", "pair", "slot", "need", F.col("a.term").alias("term"), F.col("a.offset").alias("offset"))
@@ -132,17 +135,18 @@ def _confirm(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 hit, seen = np.zeros(len(mine), bool), set()
                 for one in found[d]:
                     item = np.array(one["words"], np.int64).view(np.uint64)
-                    size, shift = min(window, len(item)), one["shift"]
-                    lo, hi = max(0, -shift), min(len(item), len(mine) - shift)
-                    if hi - lo < size:
-                        continue
-                    same = mine[lo + shift:hi + shift] == item[lo:hi]
-                    sums = np.concatenate([[0], np.cumsum(same)])
-                    at = np.flatnonzero(sums[size:] - sums[:-size] == size)
-                    for begin in at:
-                        hit[lo + shift + begin:lo + shift + begin + size] = True
-                    if len(at):
-                        seen.add(one["item"])
+                    size = min(window, len(item))
+                    for shift in one["shifts"]:
+                        lo, hi = max(0, -shift), min(len(item), len(mine) - shift)
+                        if hi - lo < size:
+                            continue
+                        same = mine[lo + shift:hi + shift] == item[lo:hi]
+                        sums = np.concatenate([[0], np.cumsum(same)])
+                        at = np.flatnonzero(sums[size:] - sums[:-size] == size)
+                        for begin in at:
+                            hit[lo + shift + begin:lo + shift + begin + size] = True
+                        if len(at):
+                            seen.add(one["item"])
                 n_hit.append(int(hit.sum()))
                 items.append(sorted(seen))
             yield pa.RecordBatch.from_arrays(
@@ -154,10 +158,11 @@ def _prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     """Documents with a text hash, distinct benchmark word lists, and the ids of each list."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     spelled = rows.mapInArrow(_spell, "item string, words array<long>").filter(F.size("words") > 0)
     spelled = stored(spelled.select("words", F.xxhash64("words").alias("key"), F.col("item").alias("item_id")), "items")
-    return docs, spelled.select(F.col("key").alias("item"), "words").distinct(), spelled.select(
+    named = spelled.filter("item_id is not null")
+    return docs, spelled.select(F.col("key").alias("item"), "words").distinct(), named.select(
         F.col("key").alias("item"), "item_id").distinct()
 
 
@@ -181,19 +186,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
 
     Null or empty texts have no words and no matches.  Rows of equal id and
     text give equal rows; a null id is a document of its own.  Items without
-    id or words match nothing; repeated items count once by id.
+    words match nothing; those without id hit words and contaminate, but are
+    in neither ``item_ids`` nor ``n_items``; repeated items count once by id.
     """
     docs, items, ids = _prepare(docs, benchmark)
     terms = items.select(F.explode("words").alias("term")).distinct()
     chosen = stored(rarest_terms(items, term_counts(docs, terms, scan_terms), window, anchors), "anchors")
     index = stored(postings(docs, chosen.select("term").distinct(), scan_terms), "postings")
-    found = _intersect(index, chosen).join(items, "item").groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("item", "shift", "words")).alias("found"))
+    shifts = _intersect(index, chosen).groupBy("doc_id", "text_hash", "item").agg(F.collect_list("shift").alias("shifts"))
+    found = shifts.join(items, "item").groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("item", "shifts", "words")).alias("found"))
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
     read = docs.alias("d").join(found.alias("f"), same).select("d.doc_id", "d.text_hash", "d.text", "f.found")
     hits = stored(read.mapInArrow(lambda it: _confirm(it, window), "doc_id long, text_hash long, n_hit long, items array<long>")
                   .filter("n_hit > 0").distinct(), "hits")
-    named = hits.select("doc_id", "text_hash", "n_hit", F.explode("items").alias("item")).join(ids, "item").groupBy(
+    named = hits.select("doc_id", "text_hash", "n_hit", F.explode("items").alias("item")).join(ids, "item", "left").groupBy(
         "doc_id", "text_hash", "n_hit").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash"))
     return index.filter("n_words is not null").alias("d").join(named.alias("h"), same, "left").select(
@@ -208,12 +215,13 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, wind
     """Documents in which the two rarest terms of a phrase stand about as far apart as in the item.
 
     Returns distinct ``doc_id, item_id``: the distance may differ by up to
-    ``slop`` words.  Items of one word match where the word occurs.  Null and
-    empty inputs behave as in ``decontaminate``.
+    ``slop`` words.  Terms that no document has are passed over; where one
+    term of a phrase is left, it matches where it occurs.  Items without id are
+    left out; null and empty inputs behave as in ``decontaminate``.
     """
     docs, items, ids = _prepare(docs, benchmark)
     terms = items.select(F.explode("words").alias("term")).distinct()
-    chosen = stored(rarest_terms(items, term_counts(docs, terms, scan_terms), window, 2), "anchors")
+    chosen = stored(rarest_terms(items, term_counts(docs, terms, scan_terms), window, 2, whole_phrase=False), "anchors")
     index = postings(docs, chosen.select("term").distinct(), scan_terms)
     lists = index.select("doc_id", "text_hash", F.explode(F.arrays_zip("terms", "places")).alias("p")).select(
         "doc_id", "text_hash", F.col("p.terms").alias("term"), F.col("p.places").alias("place"))
