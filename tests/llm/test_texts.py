@@ -215,6 +215,30 @@ def test_rates_meet_targets(spark):
     assert np.allclose((rates * tokens) @ p, np.array(goal) * tokens.sum(), rtol=1e-3)
 
 
+def test_rates_of_overlapping_memberships(spark):
+    """Production settings: weak memberships take more passes than forty, out of reach targets end too."""
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet((2.0, 1.0, 1.0), 300)
+    tokens = rng.integers(1, 500, 300)
+    soft = spark.createDataFrame([(int(n), [float(x) for x in row]) for n, row in zip(tokens, p, strict=True)],
+                                 "_tokens long, _posterior array<double>").coalesce(1).cache()  # few rows, many passes
+    shares = lambda steps: np.array([r * n for (r,), n in zip(soft.select(mixing.rate(steps)).collect(), tokens, strict=True)]) @ p / tokens.sum()
+    steps = mixing.fit_rates(soft, [0.7, 0.15, 0.15])
+    assert len(steps) > 40 and np.abs(shares(steps) - [0.7, 0.15, 0.15]).max() <= mixing.TOLERANCE
+    far = mixing.fit_rates(soft, [0.0, 0.0, 1.0], progress=1e-2)
+    start = np.abs(shares([]) - [0, 0, 1]).max()
+    assert 0 < len(far) < 200 and mixing.TOLERANCE < np.abs(shares(far) - [0, 0, 1]).max() < start
+
+
+def test_labels_that_repeat_are_one_example(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} words {i}", i % 2) for i in range(40)]
+    plain = linear.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    often = spark.createDataFrame(rows + [rows[3]] * 3000, "doc_id long, text string, label int")
+    assert np.array_equal(linear.fit(often), plain)
+    assert np.array_equal(linear.fit(often, sample_rows=40), plain)
+    assert not linear.fit(often.filter("1 = 0")).any()
+
+
 def test_mixing_messy_rows(docs, messy, labels):
     got = mixing.mix(docs, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in messy)

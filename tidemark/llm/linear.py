@@ -15,6 +15,8 @@ from tidemark.llm.words import SAME, SPACED, U, byte_class, mix, slices, span_ha
 DIMENSIONS = 1 << 18
 #: Labelled rows that a fit reads at most, over all shards; beyond it rows are taken by a hash of their id.
 SAMPLE_ROWS, SHARD_ROWS, EPOCHS = 24_000, 3_000, 4
+#: Bytes of text, each text counted up to ``DIMENSIONS`` as it has no more distinct features, that one task fits.
+SHARD_BYTES = 1 << 26
 LETTERS = byte_class(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 MARKS = SPACED & ~LETTERS
 UPPER, LOW, DIGIT = (byte_class(lambda b, lo=lo, hi=hi: lo <= b <= hi) for lo, hi in ((65, 90), (97, 122), (48, 57)))
@@ -139,18 +141,24 @@ def fit(labelled: DataFrame, outputs: int = 1, sample_rows: int = SAMPLE_ROWS, s
         epochs: int = EPOCHS, presence: bool = False) -> np.ndarray:
     """Weights ``[outputs, DIMENSIONS + 1]`` from ``doc_id, text, label`` rows (label: 0/1, or the output's number).
 
-    The sample is bounded by ``sample_rows``: beyond it, rows are taken by a
-    hash of their id, the same ones in every run.  It is dealt by another hash
-    over tasks of about ``shard_rows`` rows; each runs ``epochs`` passes in a fixed order and
+    Rows of equal id, text and label are one example, however often they come.
+    The sample is bounded by ``sample_rows``: beyond it, examples are taken by
+    a hash of their id and text, the same ones in every run.  It is dealt by
+    another hash over tasks of about ``shard_rows`` rows, or fewer where texts
+    are very long; each runs ``epochs`` passes in a fixed order and
     returns a weight vector of fixed size, and the vectors are averaged.
     Without labelled rows the weights are zero, which scores 0.5.
     """
-    total = labelled.count()
-    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+    turn = F.xxhash64(F.lit("order"), "doc_id", "text")
+    keyed = labelled.select("text", "label", turn.alias("turn"), F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)).alias("part"),
+                            F.least(F.length("text"), F.lit(DIMENSIONS)).alias("size"))
+    once = keyed.groupBy("turn", "part", "label").agg(F.max("size").alias("size"))
+    total, size = once.agg(F.count("*"), F.sum("size")).first()
     if total > sample_rows:
-        labelled = labelled.filter(part < int((1 << 30) * sample_rows / total))
-    shards = -(-min(total, sample_rows) // shard_rows) or 1
-    dealt = labelled.select("text", "label", F.xxhash64(F.lit("order"), "doc_id", "text").alias("turn")).repartition(
+        keyed = keyed.filter(F.col("part") < int((1 << 30) * sample_rows / total))
+        size = (size or 0) * sample_rows // total
+    shards = max(-(-min(total, sample_rows) // shard_rows), -(-(size or 0) // SHARD_BYTES)) or 1
+    dealt = keyed.groupBy("turn", "label").agg(F.min("text").alias("text")).repartition(
         shards, F.pmod("turn", F.lit(shards))).sortWithinPartitions("turn", "label")
     found = dealt.mapInArrow(lambda it: _fit_shard(it, outputs, epochs, presence), "rows long, w binary").collect()
     out = np.zeros((outputs, DIMENSIONS + 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,9 @@ from tidemark.llm.words import SPACED, slices, words_of
 
 #: Share of the token total that each domain should get.
 TARGETS = {"prime": 0.97, "rough": 0.02, "toxic": 0.01}
-STEPS, TOLERANCE = 40, 5e-4
+#: Share of the token total by which a domain may miss its target, and the least fall of the squared distance that makes a pass worth another.
+TOLERANCE, PROGRESS = 5e-4, 1e-3
+_log = logging.getLogger(__name__)
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
@@ -52,14 +55,14 @@ def rate(steps: list[list[float]], posterior: str = "_posterior") -> Column:
     """A document's rate after projected steps: from 1, minus its memberships times each step, at least 0."""
     if not steps:
         return F.lit(1.0)
-    moves = F.array(*[F.array(*[F.lit(float(u)) for u in step]) for step in steps])
+    moves = F.expr(f"array({', '.join('array(' + ', '.join(f'{float(u)!r}D' for u in step) + ')' for step in steps)})")
     width = len(steps[0])
     return F.aggregate(moves, F.lit(1.0), lambda r, u: F.greatest(
         F.lit(0.0), r - sum((F.col(posterior)[k] * u[k] for k in range(width)), F.lit(0.0))))
 
 
-def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, max_steps: int = STEPS,
-              tolerance: float = TOLERANCE) -> list[list[float]]:
+def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, max_steps: int | None = None,
+              tolerance: float = TOLERANCE, progress: float = PROGRESS) -> list[list[float]]:
     """Steps of projected-gradient least squares on ``_tokens, _posterior`` rows.
 
     Minimises the squared distance of the expected domain totals
@@ -69,6 +72,12 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     for which a step of one is stable.  A pass is one aggregate of one number
     per domain; rates are never stored, since a document's rate follows from
     its memberships and the steps.
+
+    Passes go on until every domain is within ``tolerance`` of its target, or
+    the squared distance, which never rises, falls by less than ``progress`` of itself:
+    memberships may not allow the targets.  The domain shares that are reached
+    are logged, as a warning where they miss the targets; ``domain_shares``
+    gives them for any rates.
     """
     width = len(targets)
     shares = targets / np.sum(targets)
@@ -84,12 +93,28 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     goal = shares * (capacity.sum() if total is None else total)
     steps: list[list[float]] = []
     now = capacity
-    while len(steps) < max_steps and np.abs(now - goal).max() > tolerance * goal.sum():
-        steps.append(list((now - goal) / np.maximum(capacity, 1e-9 * capacity.sum())))
+    scale = np.maximum(capacity, 1e-9 * capacity.sum())
+    distance = np.inf
+    while np.abs(now - goal).max() > tolerance * goal.sum() and (max_steps is None or len(steps) < max_steps):
+        before, distance = distance, float(((now - goal) ** 2 / scale).sum())
+        if distance > before * (1 - progress):
+            break
+        steps.append(list((now - goal) / scale))
         now = totals(steps)
+    missed = np.abs(now - goal).max() / goal.sum()
+    _log.log(logging.WARNING if missed > tolerance else logging.INFO, "domain shares %s for targets %s after %d passes",
+             np.round(now / goal.sum(), 5).tolist(), np.round(shares, 5).tolist(), len(steps))
     return steps
 
 
+def domain_shares(rated: DataFrame, names: list[str]) -> DataFrame:
+    """Expected share of all tokens of each domain under ``rate``: ``domain, share``; takes what ``mix`` returns."""
+    held = rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{name}")).alias(name) for name in names])
+    whole = sum((F.col(name) for name in names), F.lit(0.0))
+    return held.select(F.explode(F.array(*[F.struct(F.lit(name).alias("domain"), (F.col(name) / F.nullif(whole, F.lit(0.0))).alias("share"))
+                                           for name in names])).alias("d")).select("d.*")
+
+
 def with_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: float | None = None,
                sample_rows: int = linear.SAMPLE_ROWS, with_text: bool = True) -> DataFrame:
     """The documents with ``_tokens, _posterior, _rate, _copies``.
@@ -119,7 +144,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     Null and empty texts have no tokens and weigh nothing; they get the rate
     their (constant) memberships give.  Rows of equal id and text get equal
-    rates.  Without labels the memberships are equal, and rates stay at what
+    rates.  Where memberships do not allow the targets, the rates come as near
+    as they do (see ``fit_rates``).  Without labels the memberships are equal, and rates stay at what
     those allow; without documents the result is empty.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
