@@ -114,6 +114,21 @@ def test_text_is_not_left_out(spark, page, text):
     assert got.text == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><img alt="a > b" src=x>Hello<a title=\'x > "y"\' href=/>there</a></article>', "Hellothere"),
+    ('<article><p title="never closed>one</p><p>two</p></article>', "one\ntwo"), ("<article><p don't>x</p><p it's>y</p></article>", "x\ny"),
+    ('<article><p title = "1>2">x<br title="</p>">y', "x y"),
+    ('<article><div class="entry share-your-story"><p>a</p></div><div class="post-header"><h1>Title</h1></div><h2 id="related-work">Related</h2></article>',
+     "a\nTitle\nRelated"),
+    ('<article><p title="the hidden truth" data-x="y class=sidebar z">kept</p><p hidden>no</p><p aria-hidden="TRUE">no</p></article>', "kept"),
+    ('<article><p>a</p><div class="comment-list">no</div><div class="site-footer2">no</div><div id="ad_slot_3">no</div><div class="x ad">no</div>'
+     '<section class="related-posts">no</section><div class="cookie-notice">no</div><p>b</p></article>', "a\nb"),
+    ("<article><p " + "a=" * 200_000 + ">x</p>" + '<p b="' * 20_000, "x"),
+])
+def test_quoted_attributes_and_class_words(page, text):
+    assert "\n".join(t for t, inside, out in html.blocks(page) if inside and not out) == text
+
+
 def test_host_boilerplate(spark):
     """Pages without a marked article lose what other pages of the host have too, and nothing else."""
     shared = "<p>All rights reserved by the people who run this site, and so on.</p>"
