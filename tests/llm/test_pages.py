@@ -69,6 +69,33 @@ def test_every_word_counts(spark):
     assert found[1000] == [rare[-1], rare[-2], "org"] and found[1001] == [long, rare[0], "org"] and found[1002] == ["q" * 60, "org"]
 
 
+def test_segments_against_the_whole_lexicon(spark):
+    """Parts cut with their own pieces come out as with all words, the long ones and those that share a beginning too."""
+    import random
+
+    rng = random.Random(3)
+    stem = "abcdefghijklmnopqrstuvwx"
+    counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))): rng.randrange(1, 50) for _ in range(80)}
+    counts |= {stem: 3, f"{stem}yz": 4, f"{stem}yzabc": 9, f"{stem}unheld": 50, "ab" * 40: 2}
+    names = ["".join(rng.choice(list(counts) + ["q", "zz"]) for _ in range(rng.randrange(1, 9))) for _ in range(60)] + [f"a{stem}yzabcb", "ab" * 130]
+    brute = urls.Segmenter(counts)
+    lexicon = spark.createDataFrame(list(counts.items()), "w string, n long")
+    got = urls.segments(spark.createDataFrame([(n,) for n in set(names)], "part string"), lexicon).collect()
+    assert {r.part: r.words for r in got} == {n: brute.words(n) for n in names}
+    assert brute.words(f"a{stem}yzabcb") == ["a", f"{stem}yzabc", "b"]
+
+
+def test_urls_of_very_long_parts(spark):
+    import random
+
+    rng = random.Random(8)
+    runs = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (500, 2_000, 20_000, 100_000)]
+    rows = [(i, f"http://h.org/{run}", None) for i, run in enumerate(runs)] + [(9, f"http://{runs[-1]}.com/x", None)]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 5 and all(got[i].path == f"/{run}" and got[i].verdict == "allow" for i, run in enumerate(runs))
+    assert got[9].words.split()[:2] == [runs[-1], "com"]
+
+
 def test_no_urls(pages):
     assert urls.judge_urls(pages.filter("1 = 0")).count() == 0
 

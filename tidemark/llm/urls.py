@@ -21,6 +21,8 @@ SEEDS = ("casino", "poker", "bet", "bets", "betting", "lottery", "slots", "jackp
          "payday", "replica", "clickbait")
 #: Slots of the token counts, and what is added to counts.
 SLOTS, SMOOTHING = 1 << 18, 0.1
+#: Letters by which a piece of a name is looked up, and places of a name whose pieces are told apart at once.
+PIECE, PLACES = 24, 4096
 _PARTS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
@@ -57,7 +59,7 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int | None = None):
         self.total = total or sum(counts.values()) or 1
         self.known = {w: math.log(n / self.total) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=0)
+        self.lengths = sorted({len(w) for w in counts})
 
     def words(self, name: str) -> list[str]:
         """An unseen word costs ten times less than one count for each letter, so its best start follows from the best of all before."""
@@ -66,7 +68,9 @@ class Segmenter:
         for end in range(1, len(name) + 1):
             unseen = max(unseen, (best[end - 1] + letter * (end - 1), end - 1))
             score, start = unseen[0] + first - letter * end, unseen[1]
-            for s in range(max(0, end - self.longest), end):
+            for length in self.lengths:
+                if (s := end - length) < 0:
+                    break
                 if (p := self.known.get(name[s:end])) is not None and (best[s] + p, s) > (score, start):
                     score, start = best[s] + p, s
             best.append(score)
@@ -105,17 +109,34 @@ def lexicon(pages: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
 
 
 def segments(parts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Words of every distinct part: ``part, words``; each part meets the counts of its own pieces only."""
-    totals = counts.agg(F.sum("n"), F.max(F.length("w"))).first()
-    total, longest = totals[0] or 1, totals[1] or 0
+    """Words of every distinct part: ``part, words``; each part meets the counts of its own pieces only.
+
+    A word is looked up by its first ``PIECE`` letters, a longer one is then
+    kept where the part holds it.  So a part of n letters makes at most
+    ``PIECE`` times n rows, each with a checksum in place of the part.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    keyed = parts.select("part", F.md5("part").alias("key"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[str] = []
+        heads: list[str] = []
+
+        def held() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(heads, pa.string())], ["key", "head"])
+            keys.clear()
+            heads.clear()
+            return out
+
         for batch in batches:
-            for part in batch.column("part").to_pylist():
-                width = min(longest, len(part))
-                for at in range(0, len(part), 64):  # a long part's pieces come by and by
-                    some = list({part[s:e] for s in range(at, min(at + 64, len(part))) for e in range(s + 1, min(s + width, len(part)) + 1)})
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), pa.array(some, pa.string())], ["part", "w"])
+            for part, key in zip(batch.column("part").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                for at in range(0, len(part), PLACES):
+                    some = {part[s:s + k] for s in range(at, min(at + PLACES, len(part))) for k in range(1, min(PIECE, len(part) - s) + 1)}
+                    keys += [key] * len(some)
+                    heads += some
+                    if len(heads) >= 50_000:
+                        yield held()
+        yield held()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +144,12 @@ def segments(parts: DataFrame, counts: DataFrame) -> DataFrame:
                      for part, known in zip(batch.column("part").to_pylist(), batch.column("known").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(words, pa.list_(pa.string()))], ["part", "words"])
 
-    known = parts.mapInArrow(pieces, "part string, w string").join(counts, "w").groupBy("part").agg(
-        F.collect_set(F.struct("w", "n")).alias("known"))
-    return parts.join(known, "part", "left").mapInArrow(cut, "part string, words array<string>")
+    met = keyed.mapInArrow(pieces, "key string, head string").join(
+        counts.select("w", "n", F.substring("w", 1, PIECE).alias("head")), "head").select("key", "w", "n")
+    whole = met.filter(F.length("w") <= PIECE).unionByName(
+        met.filter(F.length("w") > PIECE).join(keyed, "key").filter(F.col("part").contains(F.col("w"))).select("key", "w", "n"))
+    known = whole.groupBy("key").agg(F.collect_set(F.struct("w", "n")).alias("known"))
+    return keyed.join(known, "key", "left").select("part", "known").mapInArrow(cut, "part string, words array<string>")
 
 
 def tokenized(names: DataFrame, counts: DataFrame) -> DataFrame:
