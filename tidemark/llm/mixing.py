@@ -18,7 +18,7 @@ from tidemark.llm.words import SPACED, slices, words_of
 #: Share of the token total that each domain should get.
 TARGETS = {"prime": 0.97, "rough": 0.02, "toxic": 0.01}
 #: Share of the token total by which a domain may miss its target, and the least fall of the squared distance that makes a pass worth another.
-TOLERANCE, PROGRESS = 5e-4, 1e-3
+TOLERANCE, PROGRESS = 5e-4, 1e-2
 _log = logging.getLogger(__name__)
 
 
