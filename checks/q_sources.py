@@ -191,7 +191,7 @@ def text(c):
 
 def gsdp_grid(spark, d):
     """Two sheets of states by fiscal year, with notes and an aggregate row."""
-    p = fx.panel(spark, d).withColumn("sheet_id", F.concat(F.lit("t"), F.pmod(F.crc32("state"), F.lit(2)).cast("string")))
+    p = settle(fx.panel(spark, d)).withColumn("sheet_id", F.concat(F.lit("t"), F.pmod(F.crc32("state"), F.lit(2)).cast("string")))
     wide = p.groupBy("sheet_id", "state").pivot("fy", FYS).agg(F.first("current_value"))
     values = [F.col(f"`{y}`").cast("string") for y in FYS]
     rows = wide.select("sheet_id", (F.row_number().over(_w("sheet_id", "state")) + 1).alias("row_no"), F.array("state", *values).alias("cells"))
@@ -217,7 +217,7 @@ def _(spark, d):
 
 @query("s16_grid_columns", "panel", "select CAST(fy AS VARCHAR) || '-' || right(CAST(fy + 1 AS VARCHAR), 2) as key, state as sheet_id, constant_value as constant, outlay from panel where right(state, 1) in ('1','3')")
 def _(spark, d):
-    p = fx.panel(spark, d)
+    p = settle(fx.panel(spark, d))  # heads and body, each read by every pass over the grid
     key = F.concat(text("fy"), F.lit("-"), F.substring((F.col("fy") + 1).cast("string"), 3, 2))
     body = p.select(F.col("state").alias("sheet_id"), (F.col("fy") - 1900).alias("row_no"), F.array(key, text("current_value"), F.lit("-"), text("constant_value"), F.lit(None).cast("string"), text("outlay")).alias("cells"))
     title = F.when(F.substring("state", -1, 1).isin("1", "3"), "Gross Primary Deficit").otherwise("Revenue Receipts")

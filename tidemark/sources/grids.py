@@ -65,11 +65,10 @@ def grid_columns(grid: DataFrame, key: str, columns: dict[str, int], header_cont
     """
     rows = grid
     if header_contains is not None:
-        numbered = grid.withColumn("_n", F.row_number().over(W.partitionBy("sheet_id").orderBy("row_no")))
-        titled = numbered.where(
-            (F.col("_n") <= header_rows) & F.array_join("cells", " ").contains(header_contains)
-        ).select("sheet_id").distinct()
-        rows = grid.join(titled, "sheet_id", "left_semi")
+        sheet = W.partitionBy("sheet_id")
+        numbered = grid.withColumn("_n", F.row_number().over(sheet.orderBy("row_no")))
+        title = (F.col("_n") <= header_rows) & F.array_join("cells", " ").contains(header_contains)
+        rows = numbered.withColumn("_titled", F.max(title).over(sheet)).where("_titled and sheet_id is not null")
     return rows.where(cell(0).rlike(key)).select(
         "sheet_id", F.regexp_extract(cell(0), key, 0).alias("key"),
         *[number(cell(i)).alias(name) for name, i in columns.items()],
