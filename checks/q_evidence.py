@@ -322,6 +322,7 @@ def _(spark, d):
 def _(spark, d):
     # Every tenth customer's published grade is flipped.
     focal, diagnostics, robust = grade_tables(spark, d)
+    robust = settle(robust)  # graded, and reviewed
     flipped = F.when(F.col("analysis_key") % 10 != 0, F.col("grade")).when(F.col("grade") == "limited", "strong").otherwise("limited")
     published = ev.grade(focal, diagnostics, robust, 0.1).withColumn("grade", flipped).join(focal.select("analysis_key", "family", "expected"), "analysis_key")
     estimates = focal.withColumns({"term": F.lit("x"), "is_focal": F.lit(True)})

@@ -55,3 +55,31 @@ def test_what_differs_is_reported(spark, tables, wanted):
 
 def test_empty_tables(spark):
     assert drifts(spark, [], [], [], []) == {}
+
+
+def test_analyses_and_refits_are_read_once(spark, tmp_path):
+    """The result reads what was settled: no task sorts for several passes; a repeated analysis still counts twice."""
+    tables = []
+    for name, rows, schema in (("analyses", [*ANALYSES, ("d", "g", "positive", "supported", "limited")], A), ("estimates", ESTIMATES, E),
+                               ("diagnostics", replaced(DIAGNOSTICS, 2, _4=True), D), ("robustness", ROBUSTNESS, R)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        tables.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    out = ev.review_decisions(*tables)
+    assert not any(f"/{name}/" in file for file in out.inputFiles() for name in ("analyses", "robustness"))
+    got = sorted((r.analysis_key, r.item, r.published, r.derived) for r in out.collect())
+    assert [g for g in got if g[1] == "diagnostic"] == [("d", "diagnostic", "true", "false")] * 2
+    assert ("d", "status", "supported", "failed_diagnostics") in got
+
+
+def test_grade_points_by_direction(spark):
+    """Refits are counted before the direction is known; nulls and refits of no analysis as before."""
+    focal = spark.createDataFrame([("p", 1.0, 0.01, "positive"), ("n", -1.0, 0.01, "negative"), ("e", -1.0, 0.01, "two_sided"), ("z", 1.0, 0.01, "positive"),
+                                   ("u", 1.0, 0.01, None)], "analysis_key string, value double, adjusted_p_value double, expected string")
+    refits = [("p", "a", 1.0, 0.01, "supported"), ("n", "a", -1.0, 0.01, "supported"), ("n", "b", 1.0, 0.01, "supported"),
+              ("e", "a", 1.0, 0.01, "supported"), ("e", "b", -1.0, 0.4, "not_supported"), ("z", "a", None, None, "supported"),
+              ("u", "a", -1.0, 0.01, "supported"), ("x", "a", 1.0, 0.01, "supported"), (None, "a", 1.0, 0.01, "supported")]
+    robust = spark.createDataFrame(refits, R)
+    got = {r.analysis_key: (r.checks, r.supported_checks, r.grade) for r in ev.grade(focal, spark.createDataFrame([], D), robust).collect()}
+    assert got == {"p": (1, 1, "strong"), "n": (2, 2, "limited"), "e": (2, 1, "moderate"), "z": (1, 0, "limited"), "u": (1, 1, "strong")}
+    plan = ev.grade(focal, spark.createDataFrame([], D), robust)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # refits are not joined row by row

@@ -195,28 +195,29 @@ def grade(focal: DataFrame, diagnostics: DataFrame, robustness: DataFrame, alpha
     diagnostic failed, every robustness fit could be made and points the same
     way, and at least half of them are supported on their own.
     """
-    def matches(value: str) -> Column:
-        v, e = F.col(value), F.col("expected")
-        return F.when(e == "positive", v > 0).when(e == "negative", v < 0).otherwise(v != 0)
+    v, e = F.col("value"), F.col("expected")
+    ways = {"positive": v > 0, "negative": v < 0, "either": v != 0}
+
+    def by_direction(of: dict[str, Column]) -> Column:
+        return F.when(e == "positive", of["positive"]).when(e == "negative", of["negative"]).otherwise(of["either"])
 
     main = focal.groupBy("analysis_key").agg(
-        F.min(F.coalesce((F.col("adjusted_p_value") < alpha) & matches("value"), F.lit(False))).alias("main_support"),
+        F.min(F.coalesce((F.col("adjusted_p_value") < alpha) & by_direction(ways), F.lit(False))).alias("main_support"),
         F.first("expected").alias("expected"),
     )
     failed = diagnostics.groupBy("analysis_key").agg(F.max(~F.col("passed")).alias("failed"))
-    robust = robustness.select("analysis_key", "value", "status").join(
-        main.select("analysis_key", "expected"), "analysis_key"
-    ).groupBy("analysis_key").agg(
+    # Fits are counted for every direction before they meet the analyses, so none is sorted.
+    robust = robustness.groupBy("analysis_key").agg(
         F.count(F.lit(1)).alias("checks"),
-        F.count_if(F.col("value").isNotNull() & (F.col("status") == "supported")).alias("supported_checks"),
-        F.min(F.coalesce(matches("value"), F.lit(False))).alias("consistent"),
+        F.count_if(v.isNotNull() & (F.col("status") == "supported")).alias("supported_checks"),
+        *[F.min(F.coalesce(way, F.lit(False))).alias(f"_{name}") for name, way in ways.items()],
     )
     joined = main.join(failed, "analysis_key", "left").join(robust, "analysis_key", "left").select(
         "analysis_key", "main_support",
         F.coalesce("failed", F.lit(False)).alias("failed"),
         F.coalesce("checks", F.lit(0)).alias("checks"),
         F.coalesce("supported_checks", F.lit(0)).alias("supported_checks"),
-        F.coalesce("consistent", F.lit(True)).alias("consistent"),
+        F.coalesce(by_direction({name: F.col(f"_{name}") for name in ways}), F.lit(True)).alias("consistent"),
     )
     half = F.col("supported_checks") >= F.ceil(F.col("checks") / 2)
     status = (
@@ -277,9 +278,14 @@ def review_decisions(analyses: DataFrame, estimates: DataFrame, diagnostics: Dat
     analysis in one aggregate, and status and grade follow from the counts.  An
     analysis without focal estimates has insufficient data; a descriptive one
     is not reviewed.  Diagnostics without a known rule keep their flag.
+
+    What several passes read (analyses, adjusted p-values, refits) is settled,
+    so that no task sorts for more than one of them; diagnostics are filtered
+    or counted before they meet the analyses.
     """
     names = ("analysis_key", "item", "subject", "published", "derived")
-    reviewed = analyses.where("status is null or status <> 'descriptive_only'")
+    reviewed = settle(analyses.where("status is null or status <> 'descriptive_only'").select(
+        "analysis_key", "family", "expected", "status", "grade"))
     expected = reviewed.select("analysis_key", "expected")
 
     # Other columns of the tables may share names.
@@ -289,7 +295,7 @@ def review_decisions(analyses: DataFrame, estimates: DataFrame, diagnostics: Dat
     focal = estimates.join(expected, "analysis_key")
     entered = reviewed.select("analysis_key", "family").join(
         focal.select("analysis_key", "term", "p_value", F.col("adjusted_p_value").alias("_published")), "analysis_key", "left")
-    adjusted = bh_adjust(entered, out="_derived").where("term is not null")
+    adjusted = settle(bh_adjust(entered, out="_derived").where("term is not null"))
     off = ~F.coalesce(F.abs(F.col("_published") - F.col("_derived")) <= tolerance, F.lit(False))
     drifts = [adjusted.where(off).select(
         "analysis_key", F.lit("adjusted_p_value").alias("item"), F.col("term").alias("subject"),
@@ -298,24 +304,26 @@ def review_decisions(analyses: DataFrame, estimates: DataFrame, diagnostics: Dat
     rule = F.col("passed")
     for key, condition in FLAG_RULES.items():
         rule = F.when(F.col("key") == key, F.coalesce(F.expr(condition), F.lit(False))).otherwise(rule)
-    flags = diagnostics.join(expected, "analysis_key").withColumn("_passed", rule)
-    drifts.append(flags.where("not (passed <=> _passed)").select(
+    flags = diagnostics.withColumn("_passed", rule)
+    drifts.append(flags.where("not (passed <=> _passed)").join(expected, "analysis_key").select(
         "analysis_key", F.lit("diagnostic").alias("item"), F.col("key").alias("subject"),
         F.col("passed").cast("string").alias("published"), F.col("_passed").cast("string").alias("derived")))
 
     significant = F.coalesce(F.col("p_value") < robust_alpha, F.lit(False))
-    refits = robustness.join(expected, "analysis_key").withColumn("_points", _points()).withColumn(
-        "_status", F.when(F.col("value").isNull(), "insufficient_data").when(significant & F.col("_points"), "supported")
-        .otherwise("not_supported"))
+    refits = settle(robustness.join(expected, "analysis_key").withColumn("_points", _points()).select(
+        "analysis_key", F.col("specification").cast("string").alias("subject"), "status", "_points",
+        F.when(F.col("value").isNull(), "insufficient_data").when(significant & F.col("_points"), "supported")
+        .otherwise("not_supported").alias("_status")))
     drifts.append(refits.where("not (status <=> _status)").select(
-        "analysis_key", F.lit("robustness").alias("item"), F.col("specification").cast("string").alias("subject"),
+        "analysis_key", F.lit("robustness").alias("item"), "subject",
         F.col("status").alias("published"), F.col("_status").alias("derived")))
 
     # Evidence as points: focal estimates and those that hold, failures, refits, those that point and support.
     derived_p = adjusted.select("analysis_key", "term", "_derived")
     held = focal.join(derived_p, ["analysis_key", "term"]).select(
         "analysis_key", F.lit(1).alias("main"), ((F.col("_derived") < alpha) & _points()).cast("int").alias("holds"))
-    failed = flags.select("analysis_key", (~F.coalesce("_passed", F.lit(True))).cast("int").alias("failed"))
+    failed = flags.groupBy("analysis_key").agg(F.count_if(~F.coalesce("_passed", F.lit(True))).alias("failed")).join(
+        reviewed.select("analysis_key"), "analysis_key")
     tried = refits.select("analysis_key", F.lit(1).alias("refits"), F.col("_points").cast("int").alias("points"),
                           (F.col("_status") == "supported").cast("int").alias("supports"))
     evidence = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [reviewed.select("analysis_key"), held, failed, tried])
@@ -328,8 +336,7 @@ def review_decisions(analyses: DataFrame, estimates: DataFrame, diagnostics: Dat
     grades = F.expr("case when _status = 'insufficient_data' then 'not_assessed' when _status <> 'supported' then 'limited'"
                     " when supports = refits then 'strong' else 'moderate' end")
     decided = reviewed.join(tally.withColumn("_status", status).withColumn("_grade", grades), "analysis_key")
-    for item in ("status", "grade"):
-        drifts.append(decided.where(f"not ({item} <=> _{item})").select(
-            "analysis_key", F.lit(item).alias("item"), F.lit(None).cast("string").alias("subject"),
-            F.col(item).alias("published"), F.col(f"_{item}").alias("derived")))
+    drifts.append(decided.select("analysis_key", F.inline(F.array(*[F.struct(
+        F.lit(item).alias("item"), F.lit(None).cast("string").alias("subject"), F.col(item).alias("published"),
+        F.col(f"_{item}").alias("derived")) for item in ("status", "grade")]))).where("not (published <=> derived)"))
     return reduce(lambda a, b: a.unionByName(b), drifts).select(*names)
