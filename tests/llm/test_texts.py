@@ -450,3 +450,15 @@ def test_every_file_is_read_in_its_own_task(spark, docs, tokenizer, tmp_path):
 def test_an_encoder_stays_with_its_worker(tokenizer):
     one = records.encoder(tokenizer, 2)
     assert records.encoder(tokenizer, 2) is one and records.encoder(tokenizer, 4) is not one
+
+
+def test_labels_in_a_table_of_their_own(spark):
+    """Labels looked up by hashes of the texts give the weights of the joined table, sampled or not."""
+    rows = [(i, f"{'good' if i % 2 else 'bad'} words {i}") for i in range(400)] + [(7, "other text"), (8, "bad words 8"), (None, "x"), (401, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, 0), (6, 0), (6, 0), (None, 1), (999, 1), (401, 1)], "doc_id long, label int")
+    joined = texts.join(marks, "doc_id")
+    for bound in (24_000, 100):
+        apart = linear.fit(texts, sample_rows=bound, shard_rows=60, marks=marks)
+        assert apart.any() and np.array_equal(apart, linear.fit(joined, sample_rows=bound, shard_rows=60))
+    assert not linear.fit(texts, marks=marks.filter("1 = 0")).any()

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import stored
 from tidemark.llm.words import SAME, SPACED, U, byte_class, mix, slices, span_hashes, text_buffer, words_of
 
 DIMENSIONS = 1 << 18
@@ -138,9 +139,13 @@ def _fit_shard(batches: Iterator[pa.RecordBatch], outputs: int, epochs: int, pre
 
 
 def fit(labelled: DataFrame, outputs: int = 1, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS,
-        epochs: int = EPOCHS, presence: bool = False) -> np.ndarray:
+        epochs: int = EPOCHS, presence: bool = False, marks: DataFrame | None = None) -> np.ndarray:
     """Weights ``[outputs, DIMENSIONS + 1]`` from ``doc_id, text, label`` rows (label: 0/1, or the output's number).
 
+    Labels may be in a table of their own, ``marks`` of ``doc_id, label``.
+    They are counted and drawn by hashes of the texts, and only the texts of
+    the sample are looked up, so no other text is shuffled.
+
     Rows of equal id, text and label are one example, however often they come.
     The sample is bounded by ``sample_rows``: beyond it, examples are taken by
     a hash of their id and text, the same ones in every run.  It is dealt by
@@ -150,15 +155,21 @@ def fit(labelled: DataFrame, outputs: int = 1, sample_rows: int = SAMPLE_ROWS, s
     Without labelled rows the weights are zero, which scores 0.5.
     """
     turn = F.xxhash64(F.lit("order"), "doc_id", "text")
-    keyed = labelled.select("text", "label", turn.alias("turn"), F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)).alias("part"),
-                            F.least(F.length("text"), F.lit(DIMENSIONS)).alias("size"))
-    once = keyed.groupBy("turn", "part", "label").agg(F.max("size").alias("size"))
+    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30))
+    keys = ["turn", "part"] if marks is not None else ["turn", "part", "label"]
+    keyed = labelled.withColumns({"turn": turn, "part": part})
+    sized = keyed.select("doc_id", *keys, F.least(F.length("text"), F.lit(DIMENSIONS)).alias("size"))
+    if marks is not None:
+        sized = sized.join(marks.select("doc_id", "label"), "doc_id")
+    once = stored(sized.groupBy("turn", "part", "label").agg(F.max("size").alias("size")), "examples")
     total, size = once.agg(F.count("*"), F.sum("size")).first()
     if total > sample_rows:
-        keyed = keyed.filter(F.col("part") < int((1 << 30) * sample_rows / total))
+        once = stored(once.filter(F.col("part") < int((1 << 30) * sample_rows / total)), "sample")
         size = (size or 0) * sample_rows // total
     shards = max(-(-min(total, sample_rows) // shard_rows), -(-(size or 0) // SHARD_BYTES)) or 1
-    dealt = keyed.groupBy("turn", "label").agg(F.min("text").alias("text")).repartition(
+    # The sample holds about sample_rows rows at most, whatever the table, so it may always be broadcast.
+    drawn = keyed.select("text", *keys).join(F.broadcast(once.drop("size")), keys)
+    dealt = drawn.groupBy("turn", "label").agg(F.min("text").alias("text")).repartition(
         shards, F.pmod("turn", F.lit(shards))).sortWithinPartitions("turn", "label")
     found = dealt.mapInArrow(lambda it: _fit_shard(it, outputs, epochs, presence), "rows long, w binary").collect()
     out = np.zeros((outputs, DIMENSIONS + 1))

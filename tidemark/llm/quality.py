@@ -20,7 +20,7 @@ def with_score(docs: DataFrame, labels: DataFrame, sample_rows: int = linear.SAM
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & ~linear.held_out())
-    weights = docs.sparkSession.sparkContext.broadcast(linear.fit(rows.join(marked, "doc_id"), 1, sample_rows))
+    weights = docs.sparkSession.sparkContext.broadcast(linear.fit(rows, 1, sample_rows, marks=marked))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
