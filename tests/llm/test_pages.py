@@ -189,6 +189,18 @@ def test_copies_and_headlines(spark):
     assert all(text[i] == plain(own(i)) for i in [*range(10, 30), *range(41, 60)])
 
 
+def test_strings_decide_in_marked_articles(spark):
+    """Under a class that leaves it open, a block goes where the host's pages hold it too; plain repeated passages stay."""
+    line = "Share this story with all your friends and tell us what you think."
+    own = lambda i: f"What page {i} says in its own words {i * 7919} about number {i * i}, at length."
+    page = "<article><p>{line}</p><p>{own}</p><div class='share-your-story'><p>{asked}</p></div></article><p>beside</p>"
+    rows = [(i, f"http://h.org/{i}", page.format(line=line, own=own(i), asked=line if i % 2 else own(i + 100))) for i in range(20)]
+    rows += [(50, "http://one.org/", page.format(line=line, own=own(50), asked=line)), (51, "http://h.org/u", f"<p>{line}</p><p>{own(51)}</p>")]
+    text = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == "\n".join([line, own(i)] + ([] if i % 2 else [own(i + 100)])) for i in range(20))
+    assert text[50] == f"{line}\n{own(50)}\n{line}" and text[51] == own(51)
+
+
 def test_no_pages(pages):
     assert html.extract_text(pages.filter("1 = 0")).count() == 0
 
