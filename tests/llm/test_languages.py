@@ -115,3 +115,17 @@ def test_a_judge_that_forgets_says_the_same(small):
         got, has = forgetful([text])
         assert np.allclose(got[0], row) and has[0] == letter
         assert np.allclose(row, model.prior + langid.log_likelihood(langid.units(text), pieces, now).sum(axis=0))
+
+
+def test_short_prefixes_have_tables_of_their_own(monkeypatch):
+    """One and two bytes are not looked up again; what is found is every piece at every place."""
+    some = ["a", "ab", "b", "bc", "abc", "é", "aé", "abcab"]
+    pieces = langid.Pieces(sorted(p.encode() for p in some))
+    block = np.frombuffer("abcabcaébb€b".encode() * 2, np.uint8).reshape(2, -1)
+    looked = []
+    plain = langid.Pieces._look_up
+    monkeypatch.setattr(langid.Pieces, "_look_up", lambda self, key: (looked.append(len(key)), plain(self, key))[1])
+    found = {(b, e, int(u), int(k)) for b, e, units_, ks in pieces.edges(block) for u, k in zip(units_, ks, strict=True)}
+    texts, names = [bytes(r) for r in block], sorted(p.encode() for p in some)
+    assert found == {(b, b + len(p), u, k) for u, t in enumerate(texts) for k, p in enumerate(names) for b in range(len(t)) if t[b:b + len(p)] == p}
+    assert sum(looked) < block.size

@@ -80,6 +80,9 @@ class Pieces:
             while self.key[at]:
                 at = (at + 1) & self.mask
             self.key[at], self.piece[at] = key, place.get(prefix, self.number)
+        # Most look-ups are of one or two bytes; those have tables of their own.
+        byte = np.arange(256).astype(U) + U(1)
+        self.short = [self._look_up(byte), self._look_up((byte[:, None] * U(0x100000001B3) + byte).reshape(-1))]
 
     @staticmethod
     def _key(prefix: bytes) -> int:
@@ -115,16 +118,23 @@ class Pieces:
         for size in range(1, min(self.longest, n) + 1):
             inside = cell < (n - size + 1) * m
             cell, key = cell[inside], key[inside]
-            key = key * U(0x100000001B3) + flat[cell + (size - 1) * m]
-            known, piece = self._look_up(key)
-            real = piece < self.number
+            before = key if size == 2 else None
+            last = flat[cell + (size - 1) * m]
+            key = key * U(0x100000001B3) + last
+            if size <= 2:  # the key of one byte is that byte
+                code = (last - U(1) if size == 1 else (before - U(1) << U(8)) + last - U(1)).astype(np.int64)
+                known, piece = (column[code] for column in self.short[size - 1])
+            else:
+                known, piece = self._look_up(key)
+            real = np.flatnonzero(piece < self.number)
             mine, pieces = cell[real], piece[real]
             cuts = np.searchsorted(mine, np.arange(n - size + 2) * m)
             for begin in range(n - size + 1):
                 a, b = cuts[begin], cuts[begin + 1]
                 if a < b:
                     out.append((begin, begin + size, mine[a:b] - begin * m, pieces[a:b]))
-            cell, key = cell[known], key[known]
+            on = np.flatnonzero(known)
+            cell, key = cell[on], key[on]
             if not len(cell):
                 break
         return sorted(out, key=lambda e: (e[1], e[0]))
