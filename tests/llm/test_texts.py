@@ -462,3 +462,16 @@ def test_labels_in_a_table_of_their_own(spark):
         apart = linear.fit(texts, sample_rows=bound, shard_rows=60, marks=marks)
         assert apart.any() and np.array_equal(apart, linear.fit(joined, sample_rows=bound, shard_rows=60))
     assert not linear.fit(texts, marks=marks.filter("1 = 0")).any()
+
+
+def test_late_passes_repeat_few_steps(spark, monkeypatch):
+    """Rates are stored on the way, so no pass starts from the first step again; the steps stay the same."""
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet((2.0, 1.0, 1.0), 100)
+    soft = spark.createDataFrame([(int(n), [float(x) for x in row]) for n, row in zip(rng.integers(0, 500, 100), p, strict=True)],
+                                 "_tokens long, _posterior array<double>").coalesce(1)
+    repeated, rate = [], mixing.rate
+    monkeypatch.setattr(mixing, "rate", lambda steps, **more: repeated.append(len(steps)) or rate(steps, **more))
+    steps = mixing.fit_rates(soft, [0.7, 0.15, 0.15], max_steps=11, keep=4)
+    assert len(steps) == 11 and max(repeated) == 4
+    assert np.allclose(steps, mixing.fit_rates(soft, [0.7, 0.15, 0.15], max_steps=11, keep=100), rtol=1e-9)

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import linear
-from tidemark.llm.store import plain_names, stored
+from tidemark.llm.store import discard, plain_names, stored
 from tidemark.llm.words import SPACED, slices, words_of
 
 #: Share of the token total that each domain should get.
 TARGETS = {"prime": 0.97, "rough": 0.02, "toxic": 0.01}
 #: Share of the token total by which a domain may miss its target, and the least fall of the squared distance that makes a pass worth another.
 TOLERANCE, PROGRESS = 5e-4, 1e-2
+#: Passes after which rates are stored, so that a pass repeats fewer steps than that.
+STORED = 32
 _log = logging.getLogger(__name__)
 
 
@@ -51,18 +53,19 @@ def with_posteriors(docs: DataFrame, domains: DataFrame, names: list[str], sampl
         *docs.schema.fields, T.StructField("_tokens", T.LongType()), T.StructField("_posterior", T.ArrayType(T.DoubleType()))]))
 
 
-def rate(steps: list[list[float]], posterior: str = "_posterior") -> Column:
-    """A document's rate after projected steps: from 1, minus its memberships times each step, at least 0."""
+def rate(steps: list[list[float]], posterior: str = "_posterior", start: Column | None = None) -> Column:
+    """A document's rate after projected steps: from 1 (or ``start``), minus its memberships times each step, at least 0."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     moves = F.expr(f"array({', '.join('array(' + ', '.join(f'{float(u)!r}D' for u in step) + ')' for step in steps)})")
     width = len(steps[0])
-    return F.aggregate(moves, F.lit(1.0), lambda r, u: F.greatest(
+    return F.aggregate(moves, start, lambda r, u: F.greatest(
         F.lit(0.0), r - sum((F.col(posterior)[k] * u[k] for k in range(width)), F.lit(0.0))))
 
 
 def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, max_steps: int | None = None,
-              tolerance: float = TOLERANCE, progress: float = PROGRESS) -> list[list[float]]:
+              tolerance: float = TOLERANCE, progress: float = PROGRESS, keep: int = STORED) -> list[list[float]]:
     """Steps of projected-gradient least squares on ``_tokens, _posterior`` rows.
 
     Minimises the squared distance of the expected domain totals
@@ -70,8 +73,9 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     nonnegative rates, starting at 1.  The gradient by a document is its
     memberships times the residuals; both are scaled by the domains' capacity,
     for which a step of one is stable.  A pass is one aggregate of one number
-    per domain; rates are never stored, since a document's rate follows from
-    its memberships and the steps.
+    per domain over a table of tokens, memberships and rates alone.  A
+    document's rate follows from its memberships and the steps; rates are stored
+    every ``keep`` passes, so a pass costs the same however many came before.
 
     Passes go on until every domain is within ``tolerance`` of its target, or
     the squared distance, which never rises, falls by less than ``progress`` of itself:
@@ -82,13 +86,17 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     width = len(targets)
     shares = targets / np.sum(targets)
 
+    # Rows of no tokens add nothing to any total.
+    held = stored(soft.select("_tokens", "_posterior", F.lit(1.0).alias("_rate")).filter("_tokens > 0"), "rates")
+
     def totals(steps: list[list[float]]) -> np.ndarray:
-        r = rate(steps)
-        row = soft.agg(*[F.sum(r * F.col("_tokens") * F.col("_posterior")[k]) for k in range(width)]).first()
+        r = rate(steps, start=F.col("_rate"))
+        row = held.agg(*[F.sum(r * F.col("_tokens") * F.col("_posterior")[k]) for k in range(width)]).first()
         return np.array([x or 0.0 for x in row], float)
 
     capacity = totals([])
     if not capacity.sum():
+        discard(held)
         return []
     goal = shares * (capacity.sum() if total is None else total)
     steps: list[list[float]] = []
@@ -100,7 +108,11 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
         if distance > before * (1 - progress):
             break
         steps.append(list((now - goal) / scale))
-        now = totals(steps)
+        if len(steps) % keep == 0:
+            last, held = held, stored(held.withColumn("_rate", rate(steps[-keep:], start=F.col("_rate"))), "rates")
+            discard(last)
+        now = totals(steps[len(steps) // keep * keep:])
+    discard(held)
     missed = np.abs(now - goal).max() / goal.sum()
     _log.log(logging.WARNING if missed > tolerance else logging.INFO, "domain shares %s for targets %s after %d passes",
              np.round(now / goal.sum(), 5).tolist(), np.round(shares, 5).tolist(), len(steps))
