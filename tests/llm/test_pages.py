@@ -201,6 +201,24 @@ def test_strings_decide_in_marked_articles(spark):
     assert text[50] == f"{line}\n{own(50)}\n{line}" and text[51] == own(51)
 
 
+def test_frames_of_hosts_that_ask_nothing_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 7}.org/{i}", "<article><p>" + " ".join(str(i * k * 7919) for k in range(400)) + "</p></article>") for i in range(60)]
+    rows += [(90, "http://open.org/", "<p>one</p>")]
+    plans, stored = {}, html.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(html, "stored", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+        assert got.count() == 61 and "BroadcastHashJoin" in plans["hosts"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_pages(pages):
     assert html.extract_text(pages.filter("1 = 0")).count() == 0
 
