@@ -475,3 +475,13 @@ def test_late_passes_repeat_few_steps(spark, monkeypatch):
     steps = mixing.fit_rates(soft, [0.7, 0.15, 0.15], max_steps=11, keep=4)
     assert len(steps) == 11 and max(repeated) == 4
     assert np.allclose(steps, mixing.fit_rates(soft, [0.7, 0.15, 0.15], max_steps=11, keep=100), rtol=1e-9)
+
+
+def test_marks_are_remembered_apart(tokenizer, plain):
+    """A word with marks after it is the word and the marks: it goes through the tokenizer once."""
+    one = records.Encoder(tokenizer)
+    texts = ["a thonder, thonder. (thonder) thonder!? thonder", None, "thonder, x", " thonder,  y"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in one.ids([t or "" for t in texts])] == [
+        plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert one.ids(pa.array(texts)) == one.ids([t or "" for t in texts])
+    assert {p for p in one.spaced if p.startswith("thonder")} == {"thonder"}

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -22,7 +23,7 @@ from tidemark.session import scratch_path
 
 #: Bytes of pieces and their ids that a worker remembers, with what a dictionary needs for each.
 CACHE = 192 << 20
-END, READ, ENTRY = 0, 4 << 20, 200
+END, READ, ENTRY, SLICE = 0, 4 << 20, 160, 4 << 20
 
 # -- checksums -------------------------------------------------------------
 
@@ -93,6 +94,20 @@ def masked_crc32c(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
 _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+_SPACES = re.escape("".join(_WHITE))
+#: Pieces that hold a space, end in white space or are empty; and those that end in a letter or number.
+_ODD, _WORD = f" |[{_SPACES}]$|^$", r"[\p{L}\p{N}]$"
+
+
+def _strings(text: pa.Array) -> list[str]:
+    return text.to_numpy(zero_copy_only=False).tolist()
+
+
+def _taken(flat: np.ndarray, first: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat[first[r]:first[r] + size[r]]`` of the rows, one after the other, and their sizes."""
+    size = size[rows]
+    ahead = np.cumsum(size) - size
+    return flat[np.repeat(first[rows] - ahead, size) + np.arange(int(size.sum()))], size
 
 
 class Encoder:
@@ -102,7 +117,8 @@ class Encoder:
     non-spaces, and where ASCII marks other than an apostrophe follow a letter;
     the ids of such pieces do not depend on what stands around them.  So each
     distinct piece goes through the tokenizer once, and a text's ids are its
-    pieces' ids in order.
+    pieces' ids in order.  Arrow finds the distinct pieces of the texts at
+    hand, and only those are looked up.
     """
 
     def __init__(self, path: str, width: int = 2, cache: int = CACHE):
@@ -111,61 +127,120 @@ class Encoder:
 
         self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), np.dtype(f"<u{width}"), cache
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # Texts with a space that does not stand between two non-spaces, or with a special token.
+        self.uneven = "|".join(["  ", "^ ", " $", f"[{_SPACES}] ", f" [{_SPACES}]", *map(re.escape, self.special)])
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.forget({})
-
-    def forget(self, keep: dict[str, bytes]) -> None:
-        self.spaced = keep  # ids of a piece after its space
-        self.marks: dict[str, bytes] = {}  # ids of marks as they stand
-        self.used = sum(map(len, keep)) + sum(map(len, keep.values())) + ENTRY * len(keep)
-
-    def _each(self, pieces: list[str]) -> list[bytes]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.spaced: dict[str, int] = {}  # the number of a piece after its space
+        self.marks: dict[str, int] = {}  # of marks as they stand
+        # The ids of piece k: flat[first[k]:first[k + 1]]; both arrays have room at their end.
+        self.flat, self.first, self.count = np.zeros(1 << 12, self.kind), np.zeros(1 << 10, np.int64), 0
+        self.used = 0
+        self._add(np.zeros(0, self.kind), np.zeros(1, np.int64))  # piece 0 has no ids
+
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> range:
+        """Numbers of new pieces, whose ids follow each other."""
+        at, to = int(self.first[self.count]), self.count + len(size)
+        if at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:at], np.zeros(at + 2 * len(ids), self.kind)])
+        if to + 1 > len(self.first):
+            self.first = np.concatenate([self.first[:self.count + 1], np.zeros(self.count + 2 * len(size), np.int64)])
+        self.flat[at:at + len(ids)] = ids
+        self.first[self.count + 1:to + 1] = at + np.cumsum(size)
+        made, self.count = range(self.count, to), to
+        return made
+
+    def _ids(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by number, one after the other, and how many each has."""
+        first = self.first[:self.count + 1]
+        return _taken(self.flat, first[:-1], np.diff(first), pieces)
+
+    def _each(self, pieces: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        return [np.array(x.ids, self.kind) for x in found]
+
+    def _alone(self, pieces: list[str]) -> range:
+        found = self._each(pieces)
+        return self._add(np.concatenate(found) if found else np.zeros(0, self.kind), np.array([len(x) for x in found], np.int64))
 
-    def _joined(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words without white space, encoded as one text and cut where a space begins a token."""
+    def _joined(self, words: list[str]) -> None:
+        """Words without white space, encoded as one text and cut where a space begins a token."""
         for at in range(0, len(words), 4096):
             some = words[at:at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids)
-            cuts = [*(np.flatnonzero(self.opens[ids]) * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
-            flat = ids.astype(self.kind).tobytes()
-            yield from zip(some, [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
-
-    def _learn(self, pieces: set[str]) -> None:
-        before, held = len(self.spaced), len(self.marks)
-        plain = {p for p in pieces if p and " " not in p and not p[-1].isspace()}
-        odd = list(pieces - plain)
-        self.spaced.update(zip(odd, self._each([" " + p for p in odd]), strict=True))
-        cores = {p: core if (core := p.rstrip(_MARKS)) and core[-1].isalnum() else p for p in plain}
-        self.spaced.update(self._joined(list(set(cores.values()) - self.spaced.keys())))
-        marks = list({p[len(core):] for p, core in cores.items()} - self.marks.keys())
-        self.marks.update(zip(marks, self._each(marks), strict=True))
-        self.spaced.update([(p, self.spaced[core] + self.marks[p[len(core):]]) for p, core in cores.items() if p is not core])
+            size = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+            self.spaced.update(zip(some, self._add(ids, size), strict=True))
+
+    def _learn(self, new: pa.Array) -> None:
+        """Remember pieces after their space."""
+        before, odd = self.count, pc.match_substring_regex(new, _ODD)
+        alone = _strings(new.filter(odd))
+        self.spaced.update(zip(alone, self._alone([" " + p for p in alone]), strict=True))
+        self._joined(_strings(new.filter(pc.invert(odd))))
         # Every piece is about as long as its ids.
-        self.used += 2 * sum(map(len, pieces)) + ENTRY * (len(self.spaced) - before + len(self.marks) - held)
+        self.used += 2 * int(pc.sum(pc.binary_length(new)).as_py() or 0) + ENTRY * (self.count - before)
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces; those not remembered yet are learnt."""
+        found = list(map(self.spaced.get, _strings(words)))
+        if None in found:
+            new = pa.array([k is None for k in found])
+            if self.used > self.cache:  # what these texts hold stays
+                kept, (ids, size) = words.filter(pc.invert(new)), self._ids(np.array([k for k in found if k is not None], np.int64))
+                self.forget()
+                self.spaced.update(zip(_strings(kept), self._add(ids, size), strict=True))
+                self.used = 2 * int(pc.sum(pc.binary_length(kept)).as_py() or 0) + ENTRY * len(kept)
+            self._learn(words.filter(new))
+            found = list(map(self.spaced.__getitem__, _strings(words)))
+        return np.array(found, np.int64)
+
+    def _pairs(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of each distinct piece without the marks at its end, and of these marks."""
+        core = pc.ascii_rtrim(pieces, characters=_MARKS)
+        ends = pc.and_not(pc.match_substring_regex(core, _WORD), pc.match_substring_regex(pieces, _ODD))
+        core = pc.if_else(ends, core, pieces)
+        size = pc.binary_length(pieces).to_numpy() - pc.binary_length(core).to_numpy()  # of ASCII marks, so of characters too
+        core = core.dictionary_encode()
+        pair = np.zeros((len(pieces), 2), np.int64)
+        pair[:, 0] = self._known(core.dictionary)[core.indices.to_numpy()]
+        marked = np.flatnonzero(size)
+        marks = [p[-n:] for p, n in zip(_strings(pieces.take(pa.array(marked))), size[marked].tolist(), strict=True)]
+        fresh = list(set(marks) - self.marks.keys())
+        if fresh:
+            self.marks.update(zip(fresh, self._alone(fresh), strict=True))
+            self.used += sum(map(len, fresh)) * 2 + ENTRY * len(fresh)
+        pair[marked, 1] = list(map(self.marks.__getitem__, marks))
+        return pair
 
     def _cut(self, text: str) -> list[str]:
         """A first piece and the pieces that follow a space each; texts that spell a special token stay whole."""
-        if any(x in text for x in self.special):
-            return [text]
-        if any(c in text and (c + " " in text or " " + c in text) for c in _WHITE) or "  " in text:
-            return _SAFE_SPACE.split(text)
-        return text.split(" ")
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [self._cut(t) for t in texts]
-        heads = self._each([pieces[0] for pieces in split])
-        found = [list(map(self.spaced.get, pieces[1:])) for pieces in split]
-        new = {p for pieces, ids in zip(split, found, strict=True) if None in ids for p, i in zip(pieces[1:], ids, strict=True) if i is None}
-        if new:
-            if self.used > self.cache:  # what these texts hold stays
-                self.forget({p: i for pieces, ids in zip(split, found, strict=True) for p, i in zip(pieces[1:], ids, strict=True) if i is not None})
-            self._learn(new)
-            found = [list(map(self.spaced.__getitem__, pieces[1:])) if None in ids else ids for pieces, ids in zip(split, found, strict=True)]
-        return [head + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
+        return [text] if any(x in text for x in self.special) else _SAFE_SPACE.split(text)
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        whole = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        held = pa.large_list(pa.large_string())
+        odd = pc.match_substring_regex(whole, self.uneven)
+        order = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable").tolist()
+        split = pa.concat_arrays([pc.split_pattern(whole.filter(pc.invert(odd)), " ").cast(held),
+                                  pa.array([self._cut(t) for t in _strings(whole.filter(odd))], held)])
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        pieces = split.flatten()
+        heads = self._each(_strings(pieces.take(pa.array(first[:-1]))))
+        follows = np.ones(len(pieces), bool)
+        follows[first[:-1]] = False
+        coded = pieces.filter(pa.array(follows)).dictionary_encode()
+        flat, size = self._ids(self._pairs(coded.dictionary).reshape(-1))
+        size = size.reshape(-1, 2).sum(axis=1)
+        ids, size = _taken(flat, np.cumsum(size) - size, size, coded.indices.to_numpy())
+        place = np.concatenate([[0], np.cumsum(size)])[first - np.arange(len(first))]  # of each text's ids, heads apart
+        out: list[bytes] = [b""] * len(texts)
+        for k, head, a, b in zip(order, heads, place.tolist(), place[1:].tolist(), strict=False):
+            out[k] = head.tobytes() + ids[a:b].tobytes()
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -200,11 +275,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, width: int
     name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.rec"
     try:
         for batch in batches:
-            for piece in slices(batch, max_rows=512):
-                texts = piece.column("text").to_pylist()
+            for piece in slices(batch, max_bytes=SLICE, max_rows=2048):
                 doc_ids = piece.column("doc_id").to_pylist()
                 payload = [struct.pack(_HEAD, i is not None, i or 0) + ids + stop
-                           for i, ids in zip(doc_ids, ids_of([t or "" for t in texts]), strict=True)]
+                           for i, ids in zip(doc_ids, ids_of(piece.column("text")), strict=True)]
                 size = np.array([len(p) for p in payload])
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 sums = masked_crc32c(np.frombuffer(b"".join(payload), np.uint8), start, size)
