@@ -485,3 +485,37 @@ def test_marks_are_remembered_apart(tokenizer, plain):
         plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert one.ids(pa.array(texts)) == one.ids([t or "" for t in texts])
     assert {p for p in one.spaced if p.startswith("thonder")} == {"thonder"}
+
+
+def test_long_spans_take_few_steps(monkeypatch):
+    """Checksums join neighbours, then pairs: steps grow with the logarithm of a span, and are those of single bytes."""
+    rng = np.random.default_rng(3)
+    size = np.array([0, 1, 63, 64, 65, 127, 128, 129, 0, 1000, 64 * 37 + 5, 200_000, 0])
+    data = rng.integers(0, 256, int(size.sum()) + 7, dtype=np.uint8)
+    start = np.cumsum(size) - size + 7
+    steps, then = [], records._then
+    monkeypatch.setattr(records, "_then", lambda op, c: steps.append(len(c)) or then(op, c))
+    got = records.masked_crc32c(data, start, size)
+    assert len(steps) < 50
+    for s, n, value in zip(start.tolist(), size.tolist(), got.tolist(), strict=True):
+        crc = 0xFFFFFFFF
+        for b in data[s:s + n].tolist():
+            crc = int(records._TABLE[(crc ^ b) & 255]) ^ (crc >> 8)
+        crc ^= 0xFFFFFFFF
+        assert value == (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+    assert len(records.masked_crc32c(data, start[:0], size[:0])) == 0
+
+
+def test_pieces_are_spelled_once(tokenizer, plain, monkeypatch):
+    """A slice makes each distinct piece a string once, known or new, and after the memory was emptied too."""
+    texts = [f"a {' '.join(f'wo{k}rd' for k in range(n, n + 300))}" for n in (0, 100, 900)]
+    spelled, strings = [], records._strings
+    for cache in (1 << 20, 0):
+        one = records.Encoder(tokenizer, cache=cache)
+        for text in texts:
+            spelled.clear()
+            with monkeypatch.context() as m:
+                m.setattr(records, "_strings", lambda x: spelled.extend(strings(x)) or strings(x))
+                ids = one.ids([text])[0]
+            assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+            assert len(spelled) <= 302

@@ -8,6 +8,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,11 @@ from tidemark.session import scratch_path
 
 #: Bytes of pieces and their ids that a worker remembers, with what a dictionary needs for each.
 CACHE = 192 << 20
-END, READ, ENTRY, SLICE = 0, 4 << 20, 160, 4 << 20
+END, READ, ENTRY, SLICE, WORDS = 0, 4 << 20, 160, 4 << 20, 512
 
 # -- checksums -------------------------------------------------------------
 
-POLYNOMIAL, MASK, CHUNK = 0x82F63B78, 0xA282EAD8, 64
+POLYNOMIAL, MASK, CHUNK, BLOCK = 0x82F63B78, 0xA282EAD8, 64, 4096
 
 
 def _bytes_table() -> np.ndarray:
@@ -64,25 +65,32 @@ def masked_crc32c(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
 
     A checksum without its start value is linear: every 64-byte chunk (the
     first one padded in front, which changes nothing) is a sum of table
-    entries, and chunks join by appending zeros.
+    entries, and chunks join by appending zeros: neighbours first, then pairs,
+    so a span takes as many steps as the logarithm of its size.
     """
     count = -(-size // CHUNK)
-    first = np.concatenate([[0], np.cumsum(count)])
-    span = np.repeat(np.arange(len(size)), count)
-    begin = (start + size - count * CHUNK)[span] + (np.arange(first[-1]) - first[:-1][span]) * CHUNK
-    at = begin[:, None] + np.arange(CHUNK)
-    grid = np.where(at >= start[span][:, None], data[np.maximum(at, 0)], 0) if len(at) else np.zeros((0, CHUNK), np.uint8)
-    part = np.zeros(len(begin), np.uint32)
-    for k in range(CHUNK):
-        part ^= _AT[CHUNK - 1 - k][grid[:, k]]
+    end = np.cumsum(count) * CHUNK
+    padded = np.zeros(int(count.sum()) * CHUNK, np.uint8)
+    for s, n, e in zip(start.tolist(), size.tolist(), end.tolist(), strict=True):
+        padded[e - n:e] = data[s:s + n]
+    grid, part = padded.reshape(-1, CHUNK), np.zeros(len(padded) // CHUNK, np.uint32)
+    longest = int(size.max()) if len(size) else 0
+    for at in range(0, len(grid), BLOCK):
+        columns = np.ascontiguousarray(grid[at:at + BLOCK].T)
+        for k in range(CHUNK - min(longest, CHUNK), CHUNK):
+            part[at:at + BLOCK] ^= _AT[CHUNK - 1 - k][columns[k]]
+    some, step = size > 0, CHUNK.bit_length() - 1
+    while longest > 1 << step:
+        odd = count & 1  # such a span gets a chunk of zeros in front
+        count = (count + odd) // 2
+        pairs = np.zeros((int(count.sum()), 2), np.uint32)
+        pairs.reshape(-1)[np.arange(len(part)) + np.repeat(np.cumsum(odd), 2 * count - odd)] = part
+        part = _then(_ZEROS[step], pairs[:, 0]) ^ pairs[:, 1]
+        step += 1
     state = np.zeros(len(size), np.uint32)
-    order = np.argsort(-count, kind="stable")
-    left = np.searchsorted(-count[order], -np.arange(1, (count.max() if len(count) else 0) + 1), side="right")
-    for k, rows in enumerate(left):
-        who = order[:rows]
-        state[who] = _then(_ZEROS[CHUNK.bit_length() - 1], state[who]) ^ part[first[who] + k]
+    state[some] = part
     whole = np.full(len(size), 0xFFFFFFFF, np.uint32)
-    for bit in range(int(size.max()).bit_length() if len(size) else 0):
+    for bit in range(longest.bit_length()):
         odd = (size >> bit & 1) == 1
         whole[odd] = _then(_ZEROS[bit], whole[odd])
     crc = state ^ whole ^ np.uint32(0xFFFFFFFF)
@@ -167,48 +175,56 @@ class Encoder:
         found = self._each(pieces)
         return self._add(np.concatenate(found) if found else np.zeros(0, self.kind), np.array([len(x) for x in found], np.int64))
 
-    def _joined(self, words: list[str]) -> None:
-        """Words without white space, encoded as one text and cut where a space begins a token."""
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids)
-            size = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
-            self.spaced.update(zip(some, self._add(ids, size), strict=True))
-
-    def _learn(self, new: pa.Array) -> None:
-        """Remember pieces after their space."""
-        before, odd = self.count, pc.match_substring_regex(new, _ODD)
-        alone = _strings(new.filter(odd))
-        self.spaced.update(zip(alone, self._alone([" " + p for p in alone]), strict=True))
-        self._joined(_strings(new.filter(pc.invert(odd))))
+    def _joined(self, words: list[str]) -> range:
+        """Words without white space, encoded as few texts and cut where a space begins a token."""
+        ids = [np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words[at:at + WORDS])], add_special_tokens=False)[0].ids, np.int64)
+               for at in range(0, len(words), WORDS)]
+        ids = np.concatenate([*ids, np.zeros(0, np.int64)])
+        return self._add(ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+
+    def _learn(self, new: pa.Array, spelled: list[str]) -> np.ndarray:
+        """Remember pieces after their space; their numbers."""
+        made, odd = np.zeros(len(new), np.int64), pc.match_substring_regex(new, _ODD).to_numpy(zero_copy_only=False)
+        alone, joined = np.flatnonzero(odd), np.flatnonzero(~odd)
+        made[alone] = self._alone([" " + spelled[k] for k in alone.tolist()])
+        made[joined] = self._joined([spelled[k] for k in joined.tolist()])
+        self._remember(new, spelled, made)
+        return made
+
+    def _remember(self, words: pa.Array, spelled: list[str], made: np.ndarray) -> None:
+        self.spaced.update(zip(spelled, made.tolist(), strict=True))
         # Every piece is about as long as its ids.
-        self.used += 2 * int(pc.sum(pc.binary_length(new)).as_py() or 0) + ENTRY * (self.count - before)
+        self.used += 2 * int(pc.sum(pc.binary_length(words)).as_py() or 0) + ENTRY * len(spelled)
 
     def _known(self, words: pa.Array) -> np.ndarray:
         """Numbers of distinct pieces; those not remembered yet are learnt."""
-        found = list(map(self.spaced.get, _strings(words)))
-        if None in found:
-            new = pa.array([k is None for k in found])
+        spelled = _strings(words)
+        found = np.fromiter(map(self.spaced.get, spelled, repeat(-1)), np.int64, len(spelled))
+        new = np.flatnonzero(found < 0)
+        if len(new):
             if self.used > self.cache:  # what these texts hold stays
-                kept, (ids, size) = words.filter(pc.invert(new)), self._ids(np.array([k for k in found if k is not None], np.int64))
+                kept = np.flatnonzero(found >= 0)
+                ids, size = self._ids(found[kept])
                 self.forget()
-                self.spaced.update(zip(_strings(kept), self._add(ids, size), strict=True))
-                self.used = 2 * int(pc.sum(pc.binary_length(kept)).as_py() or 0) + ENTRY * len(kept)
-            self._learn(words.filter(new))
-            found = list(map(self.spaced.__getitem__, _strings(words)))
-        return np.array(found, np.int64)
+                found[kept] = self._add(ids, size)
+                self._remember(words.take(pa.array(kept)), [spelled[k] for k in kept.tolist()], found[kept])
+            found[new] = self._learn(words.take(pa.array(new)), [spelled[k] for k in new.tolist()])
+        return found
 
     def _pairs(self, pieces: pa.Array) -> np.ndarray:
         """Numbers of each distinct piece without the marks at its end, and of these marks."""
         core = pc.ascii_rtrim(pieces, characters=_MARKS)
-        ends = pc.and_not(pc.match_substring_regex(core, _WORD), pc.match_substring_regex(pieces, _ODD))
-        core = pc.if_else(ends, core, pieces)
         size = pc.binary_length(pieces).to_numpy() - pc.binary_length(core).to_numpy()  # of ASCII marks, so of characters too
-        core = core.dictionary_encode()
+        marked = np.flatnonzero(size)
+        some = pieces.take(pa.array(marked))
+        ends = pc.and_not(pc.match_substring_regex(core.take(pa.array(marked)), _WORD), pc.match_substring_regex(some, _ODD))
+        some, marked = some.filter(ends), marked[ends.to_numpy(zero_copy_only=False)]
+        trimmed = np.zeros(len(pieces), bool)
+        trimmed[marked] = True
+        core = pc.if_else(pa.array(trimmed), core, pieces).dictionary_encode()
         pair = np.zeros((len(pieces), 2), np.int64)
         pair[:, 0] = self._known(core.dictionary)[core.indices.to_numpy()]
-        marked = np.flatnonzero(size)
-        marks = [p[-n:] for p, n in zip(_strings(pieces.take(pa.array(marked))), size[marked].tolist(), strict=True)]
+        marks = [p[-n:] for p, n in zip(_strings(some), size[marked].tolist(), strict=True)]
         fresh = list(set(marks) - self.marks.keys())
         if fresh:
             self.marks.update(zip(fresh, self._alone(fresh), strict=True))
